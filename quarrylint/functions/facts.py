@@ -9,19 +9,14 @@ from __future__ import annotations
 import ast
 import gc
 import hashlib
-import sys
 import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The worker gets this module with the task, so a cluster needs no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 FACTS_DDL = """
 n_lines INT, parse_error STRING, error_line INT,
 failures ARRAY<STRUCT<part: STRING, error: STRING>>,

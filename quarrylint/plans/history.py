@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEPT_ROWS = 20  # fixed value: rows shown
 HISTORY_DDL = "project STRING, scanned_at TIMESTAMP, overall INT, total INT, security INT, quality INT"
 
 
-def history_rows(overview: DataFrame, scanned_at: datetime | None = None) -> DataFrame:
+def history_rows(overview: DataFrame, scanned_at: Column | datetime | None = None) -> DataFrame:
     """One history row per project of an overview (see ``report.project_overview``)."""
-    when = F.current_timestamp() if scanned_at is None else F.lit(scanned_at)
+    when = F.current_timestamp() if scanned_at is None else scanned_at
+    when = when if isinstance(when, Column) else F.lit(when)
     return overview.select(
         "project", when.alias("scanned_at"), F.col("score_overall").alias("overall"),
         "total", "security", "quality",

@@ -20,16 +20,24 @@ NO_FILES_NOTE = "No .py files were found in this project."
 SUMMARY_COLUMNS = ("total", "quality", "security", "critical", "error", "warning", "info")
 SCORE_COLUMNS = ("overall", "security", "quality", "complexity")
 
-_SECURITY = F.col("category") == "security"
-_QUALITY = F.col("category") == "quality"
-_COMPLEXITY = F.col("checker") == "complexity"
+
+def _security() -> Column:
+    return F.col("category") == "security"
+
+
+def _quality() -> Column:
+    return F.col("category") == "quality"
+
+
+def _complexity() -> Column:
+    return F.col("checker") == "complexity"
 
 
 def _counts() -> list[Column]:
     columns = [
         F.count("*").alias("total"),
-        F.count_if(_QUALITY).alias("quality"),
-        F.count_if(_SECURITY).alias("security"),
+        F.count_if(_quality()).alias("quality"),
+        F.count_if(_security()).alias("security"),
     ]
     columns += [F.count_if(F.col("severity") == s).alias(s) for s in SUMMARY_COLUMNS[3:]]
     return columns
@@ -49,9 +57,9 @@ def _sub_score(test: Column) -> Column:
 def sub_scores(issues: DataFrame) -> DataFrame:
     """100 minus penalties, not below 0, for security, quality without complexity, complexity."""
     return issues.groupBy("project").agg(
-        _sub_score(_SECURITY).alias("security"),
-        _sub_score(_QUALITY & ~_COMPLEXITY).alias("quality"),
-        _sub_score(_COMPLEXITY).alias("complexity"),
+        _sub_score(_security()).alias("security"),
+        _sub_score(_quality() & ~_complexity()).alias("quality"),
+        _sub_score(_complexity()).alias("complexity"),
     )
 
 
@@ -91,9 +99,9 @@ def coverage(files: DataFrame, parse_errors: DataFrame) -> DataFrame:
 def project_overview(projects: DataFrame, issues: DataFrame, files: DataFrame, parse_errors: DataFrame) -> DataFrame:
     """One flat row per project, also for projects without files or issues (scores 100, counts 0)."""
     lost = {
-        "lost_security": _SECURITY,
-        "lost_quality": _QUALITY & ~_COMPLEXITY,
-        "lost_complexity": _COMPLEXITY,
+        "lost_security": _security(),
+        "lost_quality": _quality() & ~_complexity(),
+        "lost_complexity": _complexity(),
     }
     points = [
         F.sum(F.when(test, penalty(F.col("severity"))).otherwise(0)).alias(name) for name, test in lost.items()
@@ -122,8 +130,8 @@ def file_breakdown(files: DataFrame, issues: DataFrame) -> DataFrame:
     """Issue counts of every discovered file, zeros included."""
     counted = issues.groupBy("project", "path").agg(
         F.count("*").alias("total"),
-        F.count_if(_SECURITY).alias("security"),
-        F.count_if(_QUALITY).alias("quality"),
+        F.count_if(_security()).alias("security"),
+        F.count_if(_quality()).alias("quality"),
         F.count_if(F.col("severity") == "critical").alias("critical"),
     )
     columns = ("total", "security", "quality", "critical")
@@ -285,7 +293,7 @@ def json_reports(report: DataFrame) -> DataFrame:
 def report_order() -> list[Column]:
     """Security before quality, then file and line, equal ones in scan order."""
     rest = [F.col(c) for c in ISSUE_ORDER if c != "path"]
-    return [F.when(_SECURITY, 0).otherwise(1), F.col("path"), F.col("line"), *rest]
+    return [F.when(_security(), 0).otherwise(1), F.col("path"), F.col("line"), *rest]
 
 
 TEXT_ORDER = ("project", "section", "kind", "path", "line", "phase", "rule_order", "bfs", "ord")
@@ -313,7 +321,7 @@ def text_report(issues: DataFrame, parse_errors: DataFrame, overview: DataFrame)
         "  %s:%d  [%s] (%s) %s", "path", "line", F.upper("severity"), "checker", "message"
     )
     own = {c: F.col(c) for c in ("path", "line", "phase", "rule_order", "bfs", "ord")}
-    body = rows(issues, F.when(_SECURITY, 0).otherwise(1), 1, entry, **own)
+    body = rows(issues, F.when(_security(), 0).otherwise(1), 1, entry, **own)
     errors = rows(parse_errors, 2, 1, F.concat(F.lit("  "), _error_text()), path=F.col("path"))
     titles = (
         ("SECURITY", 0, F.col("security") > 0),

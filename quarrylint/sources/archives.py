@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +14,6 @@ from quarrylint.functions.text import decode
 from quarrylint.sources.paths import exclude_dirs
 from quarrylint.sources.tree import list_tree
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # The guard limits.
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 MAX_ENTRIES = 2000

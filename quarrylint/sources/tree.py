@@ -8,12 +8,10 @@ subtrees on the executors, then the listed files are spread evenly and read. Spa
 from __future__ import annotations
 
 import os
-import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,8 +19,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import DEFAULT_EXCLUDES
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 LISTING_DDL = "path STRING, location STRING, length BIGINT, read_error STRING"
 MAX_FILE_BYTES = 200 * 1024 * 1024  # fixed value: the limit of a whole unpacked project
 _BATCH_BYTES = 32 * 1024 * 1024
