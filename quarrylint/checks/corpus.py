@@ -12,11 +12,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylint.functions.staging import work_partitions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Share out rows before they grow into text: a small table is one partition otherwise."""
+    return rows.repartition(work_partitions(rows.sparkSession), *keys)
+
+
 # Spark SQL text of each family over columns k (p_partkey), s (p_size), t (p_type).
 _LINES = "array_join(transform(sequence(1, {n}), i -> {line}), '')"
 FAMILIES = {
@@ -79,7 +86,7 @@ def family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     part = table(spark, sf_dir, "part").selectExpr(
         "p_brand AS project", "cast(p_partkey AS string) AS k", "p_size AS s", "p_type AS t"
     )
-    return part.selectExpr(
+    return spread(part, "k").selectExpr(
         "project", f"concat('{name}/part_', k, '.py') AS path", f"{FAMILIES[name]} AS content"
     )
 
@@ -87,7 +94,8 @@ def family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` with one call each: one file per event, one project per user."""
     texts = F.array(*[F.lit(f"{first}\n{second}\n") for first, second in CALLS])
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return spread(events, "event_id").select(
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("project"),
         F.format_string("calls/event_%d.py", "event_id").alias("path"),
         F.get(texts, (F.col("event_id") % len(CALLS)).cast("int")).alias("content"),
@@ -109,7 +117,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "struct(l_linenumber AS n, cast(l_quantity AS int) % 5 AS q, l_returnflag AS f) AS item"
     )
     text = r"""concat('def line_', i.n, '(a):\n', repeat('    a += 1\n', i.q + 1), '    return "', i.f, '"\n')"""
-    modules = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    modules = spread(items, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderpriority AS project")
     return modules.join(orders, "l_orderkey").selectExpr(
         "project",

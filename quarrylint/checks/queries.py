@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrylint.checks import corpus as made
 from quarrylint.checks import files_on_disk, oracle
 from quarrylint.functions import facts as code
-from quarrylint.functions.staging import numbered, shared_folder
+from quarrylint.functions.staging import numbered, shared_folder, stage
 from quarrylint.functions.text import decode, entropy, lines, n_lines
 from quarrylint.operators import duplicates, tree_rules
 from quarrylint.operators.catalog import explain_issues, rule_catalog
@@ -181,6 +181,10 @@ def order_facts(spark, sf_dir):
     return code.extract_facts(made.order_files(spark, sf_dir))
 
 
+def staged_order_facts(spark, sf_dir):
+    return stage(order_facts(spark, sf_dir), "facts")
+
+
 ORDER_ITEMS = """items AS (
     SELECT o_orderpriority AS project, 'orders/order_' || l_orderkey || '.py' AS path, l_linenumber AS n,
         l_quantity::INT % 5 AS q, l_returnflag AS f,
@@ -297,6 +301,8 @@ def rule_query(checker: str, files: Query, **thresholds) -> Query:
     def run(spark, sf_dir):
         rule = builtin_rule(checker)
         facts = scan_facts(files(spark, sf_dir), [rule])
+        if rule.query is not None:
+            facts = stage(facts, "facts")
         return scan_issues(facts, [rule], {checker: thresholds}).select(*ISSUE_FIELDS)
 
     return run
@@ -355,7 +361,7 @@ COPIES = f"""WITH {ORDER_ITEMS}, bodies AS (SELECT *, count(*) OVER (PARTITION B
 @check("r03_duplicate_groups", COPIES + """ SELECT project, occurrences::INT AS occurrences, path AS first_path,
     lineno AS first_line FROM bodies WHERE place = 1 AND occurrences > 1""")
 def duplicate_groups(spark, sf_dir):
-    return duplicates.duplicate_groups(order_facts(spark, sf_dir)).select(
+    return duplicates.duplicate_groups(staged_order_facts(spark, sf_dir)).select(
         "project", "occurrences", F.col("first.path").alias("first_path"), F.col("first.lineno").alias("first_line")
     )
 
@@ -363,7 +369,7 @@ def duplicate_groups(spark, sf_dir):
 @check("r03_duplicate_places", COPIES + """ SELECT project, path, lineno, 'line_' || n AS name,
     occurrences::INT AS occurrences, place = 1 AS is_first FROM bodies WHERE occurrences > 1""")
 def duplicate_places(spark, sf_dir):
-    return duplicates.duplicate_places(order_facts(spark, sf_dir)).select(
+    return duplicates.duplicate_places(staged_order_facts(spark, sf_dir)).select(
         "project", "path", "lineno", "name", "occurrences", "is_first"
     )
 
@@ -375,7 +381,7 @@ def duplicate_places(spark, sf_dir):
     || ' (' || count(*) || ' occurrences)' AS message
     FROM bodies WHERE occurrences > 1 GROUP BY project, q, f""")
 def hot_copies(spark, sf_dir):
-    found = duplicates.duplicate_code(order_facts(spark, sf_dir), named_places=20)
+    found = duplicates.duplicate_code(staged_order_facts(spark, sf_dir), named_places=20)
     return found.select("project", "path", "measure", "message")
 
 
@@ -466,8 +472,7 @@ _CLI_RULES = ["complexity", "long-function", "duplicate-code", "unused-imports",
 
 @check("c03_only_security", oracle.issues_sql(_SECURITY_RULES))
 def only_security(spark, sf_dir):
-    rules = choose_rules("web", only="security")
-    return scan_issues(scan_facts(made.corpus(spark, sf_dir), rules), rules).select(*ISSUE_FIELDS)
+    return scan(made.corpus(spark, sf_dir), only="security").issues.select(*ISSUE_FIELDS)
 
 
 @check("c04_thresholds", oracle.issues_sql(

@@ -20,19 +20,19 @@ from pyspark.sql import types as T
 FACTS_DDL = """
 n_lines INT, parse_error STRING, error_line INT,
 failures ARRAY<STRUCT<part: STRING, error: STRING>>,
-functions ARRAY<STRUCT<bfs: INT, name: STRING, lineno: INT, end_lineno: INT,
+functions ARRAY<STRUCT<bfs: BIGINT, name: STRING, lineno: INT, end_lineno: INT,
     params: ARRAY<STRING>, default_kinds: ARRAY<STRING>,
     decisions: ARRAY<STRUCT<kind: STRING, weight: INT>>,
     nesting: ARRAY<STRUCT<depth: INT, lineno: INT>>,
     body_digest: BINARY>>,
-classes ARRAY<STRUCT<bfs: INT, name: STRING, lineno: INT, end_lineno: INT>>,
-imports ARRAY<STRUCT<bfs: INT, ord: INT, lineno: INT, form: STRING, module: STRING,
+classes ARRAY<STRUCT<bfs: BIGINT, name: STRING, lineno: INT, end_lineno: INT>>,
+imports ARRAY<STRUCT<bfs: BIGINT, ord: INT, lineno: INT, form: STRING, module: STRING,
     name: STRING, local: STRING, display: STRING, line_text: STRING>>,
 names ARRAY<STRING>,
 exported ARRAY<STRING>,
-calls ARRAY<STRUCT<bfs: INT, lineno: INT, form: STRING, func: STRING, recv: STRING,
+calls ARRAY<STRUCT<bfs: BIGINT, lineno: INT, form: STRING, func: STRING, recv: STRING,
     keywords: ARRAY<STRUCT<name: STRING, const: STRING>>, arg0_kind: STRING, arg0_op: STRING>>,
-handlers ARRAY<STRUCT<bfs: INT, lineno: INT, type_kind: STRING, type_name: STRING,
+handlers ARRAY<STRUCT<bfs: BIGINT, lineno: INT, type_kind: STRING, type_name: STRING,
     only_pass: BOOLEAN>>
 """
 
@@ -41,34 +41,39 @@ def _rows_of(**fields: pa.DataType) -> pa.DataType:
     return pa.list_(pa.struct(list(fields.items())))
 
 
-_I, _S = pa.int32(), pa.string()
+_I, _L, _S = pa.int32(), pa.int64(), pa.string()
 _ARROW = {
     "n_lines": _I,
     "parse_error": _S,
     "error_line": _I,
     "failures": _rows_of(part=_S, error=_S),
     "functions": _rows_of(
-        bfs=_I, name=_S, lineno=_I, end_lineno=_I,
+        bfs=_L, name=_S, lineno=_I, end_lineno=_I,
         params=pa.list_(_S), default_kinds=pa.list_(_S),
         decisions=_rows_of(kind=_S, weight=_I),
         nesting=_rows_of(depth=_I, lineno=_I),
         body_digest=pa.binary(),
     ),
-    "classes": _rows_of(bfs=_I, name=_S, lineno=_I, end_lineno=_I),
+    "classes": _rows_of(bfs=_L, name=_S, lineno=_I, end_lineno=_I),
     "imports": _rows_of(
-        bfs=_I, ord=_I, lineno=_I, form=_S, module=_S, name=_S, local=_S, display=_S, line_text=_S
+        bfs=_L, ord=_I, lineno=_I, form=_S, module=_S, name=_S, local=_S, display=_S, line_text=_S
     ),
     "names": pa.list_(_S),
     "exported": pa.list_(_S),
     "calls": _rows_of(
-        bfs=_I, lineno=_I, form=_S, func=_S, recv=_S,
+        bfs=_L, lineno=_I, form=_S, func=_S, recv=_S,
         keywords=_rows_of(name=_S, const=_S), arg0_kind=_S, arg0_op=_S,
     ),
-    "handlers": _rows_of(bfs=_I, lineno=_I, type_kind=_S, type_name=_S, only_pass=pa.bool_()),
+    "handlers": _rows_of(bfs=_L, lineno=_I, type_kind=_S, type_name=_S, only_pass=pa.bool_()),
 }
 
-_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
-_NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
+_NESTING = {ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith}
+# Nodes without content of their own, spelled out in the line of their parent.
+_PLAIN = {
+    kind
+    for group in (ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.expr_context)
+    for kind in group.__subclasses__()
+}
 _WEIGHT = {
     ast.If: lambda n: 1,
     ast.For: lambda n: 1,
@@ -90,22 +95,29 @@ def _text(value: str) -> str:
     return value.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
-def _body_digest(node) -> bytes | None:
-    body = node.body
-    head = body[0]
-    if isinstance(head, ast.Expr) and isinstance(head.value, ast.Constant):
-        if isinstance(head.value.value, str):
-            body = body[1:]
-    if not body:
-        return None
+def _atom(value) -> str:
     try:
-        return hashlib.sha256("\n".join(map(ast.dump, body)).encode("utf-8")).digest()
-    except Exception:
-        return None
+        return repr(value)
+    except ValueError:  # an integer too long for decimal digits
+        return hex(value)
+
+
+def _has_docstring(node) -> bool:
+    head = node.body[0]
+    return (
+        isinstance(head, ast.Expr)
+        and isinstance(head.value, ast.Constant)
+        and isinstance(head.value.value, str)
+    )
 
 
 class _FileFacts:
-    """Facts of one parsed file, gathered in one breadth-first and one depth-first walk."""
+    """Facts of one parsed file, gathered in one depth-first walk with a stack of its own.
+
+    ``bfs`` is (level, place in the walk): it sorts as breadth-first order does. Each node inside
+    a function leaves one line that spells out its kind and plain fields, so the lines of a body
+    are equal if and only if the bodies are, whatever their layout; only a digest is kept.
+    """
 
     def __init__(self, tree: ast.AST, lines: list[str]):
         self.lines = lines
@@ -114,68 +126,96 @@ class _FileFacts:
         }
         self.names: set[str] = set()
         self.failures: dict[str, str] = {}
-        self.function_at: dict[int, dict] = {}
-        self.nodes, self.first = self._breadth_first(tree)
-        if self.function_at:
-            self._guard("functions", self._depth_first)
+        self._walk(tree)
+        for collected in self.out.values():
+            collected.sort(key=lambda fact: fact["bfs"])
+        self.out["exported"] = [fact["name"] for fact in self.out["exported"]]
 
     def _guard(self, part: str, step, *args) -> None:
         try:
-            step(*args)
+            step(self, *args)
         except Exception as error:  # one broken fact group must not lose the file
             self.failures.setdefault(part, f"{type(error).__name__}: {error}")
 
-    def _breadth_first(self, tree):
-        nodes, first = [tree], []
-        collectors = self._COLLECTORS
-        for bfs, node in enumerate(nodes):
-            first.append(len(nodes))
-            for field in node._fields:
-                if field == "ctx":
-                    continue
-                value = getattr(node, field, None)
-                if isinstance(value, list):
-                    nodes.extend([item for item in value if isinstance(item, ast.AST)])
-                elif isinstance(value, ast.AST):
-                    nodes.append(value)
-            collector = collectors.get(type(node))
-            if collector is not None:
-                self._guard(collector[0], collector[1], self, bfs, node)
-        first.append(len(nodes))
-        return nodes, first
-
-    def _depth_first(self) -> None:
-        """Decision weights and first line per nesting depth, for all enclosing functions at once."""
-        nodes, first = self.nodes, self.first
-        todo = [(0, 0, ())]
+    def _walk(self, tree) -> None:
+        AST, collectors, weights = ast.AST, self._COLLECTORS, _WEIGHT
+        spelled: list[str] = []
+        todo = [(tree, 0, 0, ())]
+        place = 0
         while todo:
-            bfs, depth, owners = todo.pop()
-            node = nodes[bfs]
+            node, level, depth, owners = todo.pop()
+            if node is None:  # the edge of a function body: level is its fact, depth the edge
+                level[depth] = len(spelled)
+                continue
+            kind = type(node)
+            if kind is ast.Name:  # by far the most frequent node
+                self.names.add(node.id)
+                if owners:
+                    spelled.append(node.id)
+                continue
+            place += 1
+            bfs = level << 32 | place
+            collector = collectors.get(kind)
+            if collector is not None:
+                self._guard(collector[0], collector[1], bfs, node)
             if owners:
-                weigh = _WEIGHT.get(type(node))
+                weigh = weights.get(kind)
                 if weigh is not None:
-                    weight, kind = weigh(node), type(node).__name__
+                    weight, name = weigh(node), kind.__name__
                     for function, _ in owners:
                         total = function["decisions"]
-                        total[kind] = total.get(kind, 0) + weight
-                if isinstance(node, _NESTING):
+                        total[name] = total.get(name, 0) + weight
+                if kind in _NESTING:
                     depth += 1
                     for function, base in owners:
                         seen = function["nesting"]
                         if depth - base > len(seen):
                             seen.append({"depth": depth - base, "lineno": node.lineno})
-            function = self.function_at.get(bfs)
-            if function is not None:
-                owners = (*owners, (function, depth))
-            todo.extend((child, depth, owners) for child in range(first[bfs + 1] - 1, first[bfs] - 1, -1))
-        for function in self.function_at.values():
-            function["decisions"] = [
-                {"kind": kind, "weight": weight} for kind, weight in function["decisions"].items()
-            ]
+            children, line = [], [kind.__name__]
+            body = None
+            for field in node._fields:
+                value = getattr(node, field, None)
+                if value is None:
+                    line.append("")
+                elif isinstance(value, list):
+                    if field == "body":
+                        body = len(children)
+                    shape = []
+                    for item in value:
+                        if not isinstance(item, AST):
+                            shape.append(_atom(item))
+                        elif type(item) in _PLAIN:
+                            shape.append(type(item).__name__)
+                        else:
+                            children.append(item)
+                            shape.append(".")
+                    line.append(f"[{','.join(shape)}]")
+                elif not isinstance(value, AST):
+                    line.append(_atom(value))
+                elif type(value) in _PLAIN:
+                    line.append(type(value).__name__)
+                else:
+                    children.append(value)
+                    line.append(".")
+            if owners:
+                spelled.append(",".join(line))
+            if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+                fact = self.out["functions"][-1]
+                owners = (*owners, (fact, depth))
+            steps = [(child, level + 1, depth, owners) for child in children]
+            if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+                steps.insert(body + len(node.body), (None, fact, "end", None))
+                steps.insert(body + _has_docstring(node), (None, fact, "start", None))
+            steps.reverse()
+            todo += steps
+        for fact in self.out["functions"]:
+            text = "\n".join(spelled[fact.pop("start"):fact.pop("end")])
+            fact["body_digest"] = hashlib.sha256(text.encode("utf-8")).digest() if text else None
+            fact["decisions"] = [{"kind": k, "weight": w} for k, w in fact["decisions"].items()]
 
     def _function(self, bfs, node) -> None:
         args = node.args
-        fact = {
+        self.out["functions"].append({
             "bfs": bfs,
             "name": node.name,
             "lineno": node.lineno,
@@ -184,10 +224,7 @@ class _FileFacts:
             "default_kinds": [_kind(d) for group in (args.defaults, args.kw_defaults) for d in group],
             "decisions": {},
             "nesting": [],
-            "body_digest": _body_digest(node),
-        }
-        self.function_at[bfs] = fact
-        self.out["functions"].append(fact)
+        })
 
     def _class(self, bfs, node) -> None:
         self.out["classes"].append(
@@ -211,16 +248,13 @@ class _FileFacts:
                 "line_text": line,
             })
 
-    def _name(self, bfs, node) -> None:
-        self.names.add(node.id)
-
     def _assign(self, bfs, node) -> None:
         if not isinstance(node.value, (ast.List, ast.Tuple)):
             return
         if any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
             for item in node.value.elts:
                 if isinstance(item, ast.Constant) and isinstance(item.value, str):
-                    self.out["exported"].append(_text(item.value))
+                    self.out["exported"].append({"bfs": bfs, "name": _text(item.value)})
 
     def _call(self, bfs, node) -> None:
         func, recv, form = node.func, None, "other"
@@ -240,7 +274,7 @@ class _FileFacts:
             "keywords": [
                 {
                     "name": k.arg,
-                    "const": _text(repr(k.value.value)) if isinstance(k.value, ast.Constant) else None,
+                    "const": _text(_atom(k.value.value)) if isinstance(k.value, ast.Constant) else None,
                 }
                 for k in node.keywords
             ],
@@ -263,13 +297,15 @@ class _FileFacts:
         ast.ClassDef: ("classes", _class),
         ast.Import: ("imports", _import),
         ast.ImportFrom: ("imports", _import),
-        ast.Name: ("names", _name),
         ast.Assign: ("exported", _assign),
         ast.Call: ("calls", _call),
         ast.ExceptHandler: ("handlers", _handler),
     }
 
 
+_TREE_PARTS = ("functions", "classes", "imports", "names", "exported", "calls", "handlers")
+
+
 def file_facts(content: str | None) -> dict:
     """Facts of one file as a plain row; every failure is data, none is raised."""
     row = {column: [] for column in _ARROW}
@@ -287,7 +323,12 @@ def file_facts(content: str | None) -> dict:
     except Exception as error:  # recursion or memory limits of the parser
         row["parse_error"] = f"{type(error).__name__}: {_text(str(error))}"
         return row
-    facts = _FileFacts(tree, lines)
+    try:
+        facts = _FileFacts(tree, lines)
+    except Exception as error:
+        text = f"{type(error).__name__}: {_text(str(error))}"
+        row["failures"] = [{"part": part, "error": text} for part in _TREE_PARTS]
+        return row
     row.update(facts.out)
     row["names"] = sorted(facts.names)
     row["failures"] = [{"part": part, "error": _text(e)} for part, e in facts.failures.items()]
@@ -312,14 +353,19 @@ def _extract(rows_per_batch: int, batches: Iterable[pa.RecordBatch]) -> Iterator
         gc.enable()
 
 
-def extract_facts(files: DataFrame, rows_per_batch: int = 256) -> DataFrame:
+def extract_facts(files: DataFrame, partitions: int | None = None, rows_per_batch: int = 256) -> DataFrame:
     """``files`` (project, path, content, …) to one row of facts per file.
 
+    Parsing keeps the partitions of ``files``, so no text is shuffled. Give ``partitions`` only
+    where the table has too few of them to keep the cores busy.
+
     All other columns pass through; ``content`` is dropped, so text never crosses back from
     Python. A null content (unreadable file) gives a row without facts.
     """
     kept = [f for f in files.schema.fields if f.name != "content"]
     schema = T.StructType([*kept, *T._parse_datatype_string(FACTS_DDL).fields])
+    if partitions is not None:
+        files = files.repartition(partitions, "project", "path")
     return files.mapInArrow(lambda batches: _extract(rows_per_batch, batches), schema)
 
 

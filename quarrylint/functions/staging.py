@@ -28,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[0].name
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Number of partitions for rows that are small but stand for much work, such as file names.
+
+    Given as a number, because adaptive execution would merge such partitions by their bytes.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, 2 * spark.sparkContext.defaultParallelism)
+
+
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylint.functions.facts import functions
-from quarrylint.functions.staging import join_groups
+from quarrylint.functions.staging import join_groups, stage
 
 # A message names at most this many other places; duplicate_places always has all of them.
 NAMED_PLACES = 500
@@ -39,8 +39,11 @@ def duplicate_groups(facts: DataFrame, min_lines: int = 5) -> DataFrame:
 
 
 def duplicate_places(facts: DataFrame, min_lines: int = 5) -> DataFrame:
-    """Every place of every duplicated body, one row each."""
-    groups = duplicate_groups(facts, min_lines)
+    """Every place of every duplicated body, one row each.
+
+    The groups are staged, since the join below reads them more than once.
+    """
+    groups = stage(duplicate_groups(facts, min_lines), "duplicate_groups")
     return join_groups(function_bodies(facts, min_lines), groups, _GROUP, "occurrences").select(
         "project",
         F.lower(F.hex("body_digest")).alias("digest"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 FINDING_DDL = (
     "struct<severity:string,line:int,column:int,symbol:string,measure:int,threshold:int,"
-    "message:string,snippet:string,bfs:int,ord:int>"
+    "message:string,snippet:string,bfs:bigint,ord:int>"
 )
 NO_FINDINGS = f"array<{FINDING_DDL}>"
 
@@ -38,7 +38,7 @@ def finding(
         _value(threshold, "int").alias("threshold"),
         _value(message, "string").alias("message"),
         _value(snippet, "string").alias("snippet"),
-        _value(bfs, "int").alias("bfs"),
+        _value(bfs, "bigint").alias("bfs"),
         _value(ord, "int").alias("ord"),
     )
 

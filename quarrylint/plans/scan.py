@@ -31,14 +31,14 @@ class Scan:
     rules: tuple[str, ...]
 
 
-def scan_facts(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def scan_facts(files: DataFrame, rules: Sequence[Rule], partitions: int | None = None) -> DataFrame:
     """One row per file with all that ``rules`` read.
 
     Text expressions are evaluated on the way into the extractor, so the source table is read
     once. Without a tree rule there is no Python stage at all.
     """
     text = F.col("content")
-    columns = files
+    columns = files if partitions is None else files.repartition(partitions, "project", "path")
     if any(rule.checker == "hardcoded-secret" for rule in rules):
         hits = F.when(text.isNotNull(), secret_hits(text)).otherwise(F.array().cast(HIT_DDL))
         columns = columns.withColumn("secret_hits", hits)
@@ -127,17 +127,19 @@ def scan(
     thresholds: Thresholds = {},
     extra_rules: Sequence[Rule] = (),
     folder: str | None = None,
+    partitions: int | None = None,
 ) -> Scan:
     """Run the rules of ``profile`` over ``files`` (project, path, content[, read_error]).
 
     ``thresholds`` maps rule names to keyword arguments, as ``{"complexity": {"threshold": 15}}``.
     Facts and issues are staged as Parquet below ``folder`` (by default the folder named in
-    spark.checkpoint.dir), so files are parsed once for rules, duplicates and reports.
+    spark.checkpoint.dir), so files are parsed once for rules, duplicates and reports. Give
+    ``partitions`` where ``files`` has too few of them to keep the cores busy.
     """
     rules = choose_rules(profile, only, extra_rules)
     if not rules:
         raise ValueError("no rules chosen")
-    facts = stage(scan_facts(files, rules), "facts", folder)
+    facts = stage(scan_facts(files, rules, partitions), "facts", folder)
     issues = stage(scan_issues(facts, rules, thresholds), "issues", folder)
     errors = parse_errors(facts if "parse_error" in facts.columns else _unparsed(facts))
     return Scan(files, facts, issues, errors, tuple(rule.checker for rule in rules))

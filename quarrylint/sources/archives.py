@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylint.functions.staging import work_partitions
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import exclude_dirs
 from quarrylint.sources.tree import list_tree
@@ -90,7 +91,7 @@ def turned_away(max_upload: int = MAX_UPLOAD_BYTES) -> Column:
 def archive_entries(archives: DataFrame, max_upload: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """Directory of each archive, one row per entry; one row without idx if there is none."""
     opened = archives.filter(turned_away(max_upload).isNull()).select("archive", "location")
-    spread = opened.repartition(F.xxhash64("location"))
+    spread = opened.repartition(work_partitions(archives.sparkSession), F.xxhash64("location"))
     return spread.mapInArrow(_list_entries, ENTRIES_DDL)
 
 
@@ -188,7 +189,7 @@ def unpack(archives: DataFrame, rejects: DataFrame, excludes: Iterable[str] | No
     good = archives.join(rejects.select("archive"), "archive", "left_anti")
     unpacked = (
         good.select("archive", "location")
-        .repartition(F.xxhash64("location"))
+        .repartition(work_partitions(archives.sparkSession), F.xxhash64("location"))
         .mapInArrow(_unpack, "project STRING, path STRING, content BINARY, read_error STRING")
     )
     return exclude_dirs(unpacked, excludes).select(

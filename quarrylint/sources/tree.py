@@ -16,23 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quarrylint.functions.staging import work_partitions
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import DEFAULT_EXCLUDES
 
 LISTING_DDL = "path STRING, location STRING, length BIGINT, read_error STRING"
 MAX_FILE_BYTES = 200 * 1024 * 1024  # fixed value: the limit of a whole unpacked project
 _BATCH_BYTES = 32 * 1024 * 1024
+_FILES_PER_SHARD = 20_000
 
 
-class _Subtree(InputPartition):
-    """A directory to list: with everything below it, or only one hash shard of its own files."""
-
-    def __init__(self, directory: str, deep: bool, shard: int = 0, shards: int = 1):
-        super().__init__((directory, deep, shard, shards))
+class _Work(InputPartition):
+    """Directories to list, each as (directory, with all below it or only its own files, shard, shards)."""
 
 
 class FileListing(DataSource):
-    """Options: path, suffix (case-insensitive if ``anycase``), excludes (JSON list), slices."""
+    """Options: path, suffix, excludes (names joined by ``/``), slices."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,43 +50,50 @@ class FileListingReader(DataSourceReader):
         self.suffix = options.get("suffix", ".py")
         self.excludes = frozenset(options["excludes"].split("/")) if options.get("excludes") else frozenset()
         self.slices = int(options.get("slices", "64"))
-        self.shards = int(options.get("shards", "8"))
 
     def _wanted_dir(self, name: str) -> bool:
         return name not in self.excludes and not name.startswith(".")
 
     def partitions(self) -> list[InputPartition]:
-        """Open directories level by level until there are enough of them, never below that."""
+        """Open directories level by level until there are enough of them, never below that.
+
+        The driver keeps directory names of the upper levels only. A directory with very many
+        files of its own is shared out by a hash of their names.
+        """
         if not os.path.isdir(self.root):
-            return [_Subtree(self.root, False)]
-        opened: list[str] = []
+            return [_Work([(self.root, False, 0, 1)])]
+        units: list[tuple] = []
         level = [self.root]
-        while level and len(opened) + len(level) < self.slices:
-            opened += level
-            level = [
-                entry.path
-                for directory in level
-                for entry in _scan(directory)
-                if entry.is_dir(follow_symlinks=False) and self._wanted_dir(entry.name)
-            ]
-        own = [_Subtree(d, False, shard, self.shards) for d in opened for shard in range(self.shards)]
-        return own + [_Subtree(d, True) for d in level]
-
-    def read(self, partition: _Subtree) -> Iterator[tuple]:
-        directory, deep, shard, shards = partition.value
-        if os.path.isfile(directory):
-            if directory.endswith(self.suffix):
-                yield self._row(directory, os.path.basename(directory))
-            return
-        todo = [directory]
-        while todo:
-            for entry in _scan(todo.pop()):
-                if entry.is_dir():
-                    if deep and not entry.is_symlink() and self._wanted_dir(entry.name):
-                        todo.append(entry.path)
-                elif entry.name.endswith(self.suffix):
-                    if zlib.crc32(os.fsencode(entry.name)) % shards == shard:
-                        yield self._row(entry.path, os.path.relpath(entry.path, self.root))
+        while level and len(units) + len(level) < self.slices:
+            below = []
+            for directory in level:
+                own = 0
+                for entry in _scan(directory):
+                    if not entry.is_dir(follow_symlinks=False):
+                        own += 1
+                    elif self._wanted_dir(entry.name):
+                        below.append(entry.path)
+                shards = -(-own // _FILES_PER_SHARD)
+                units += [(directory, False, shard, shards) for shard in range(shards)]
+            level = below
+        units += [(directory, True, 0, 1) for directory in level]
+        return [_Work(units[i :: self.slices]) for i in range(min(self.slices, len(units)))] or [_Work([])]
+
+    def read(self, partition: _Work) -> Iterator[tuple]:
+        for directory, deep, shard, shards in partition.value:
+            if os.path.isfile(directory):
+                if directory.endswith(self.suffix):
+                    yield self._row(directory, os.path.basename(directory))
+                continue
+            todo = [directory]
+            while todo:
+                for entry in _scan(todo.pop()):
+                    if entry.is_dir():
+                        if deep and not entry.is_symlink() and self._wanted_dir(entry.name):
+                            todo.append(entry.path)
+                    elif entry.name.endswith(self.suffix):
+                        if zlib.crc32(os.fsencode(entry.name)) % shards == shard:
+                            yield self._row(entry.path, os.path.relpath(entry.path, self.root))
 
     def _row(self, location: str, path: str) -> tuple:
         try:
@@ -114,7 +120,7 @@ def list_tree(
 ) -> DataFrame:
     """Paths below ``root`` (or ``root`` itself, if it is a file) with their sizes."""
     spark.dataSource.register(FileListing)
-    slices = max(64, 4 * spark.sparkContext.defaultParallelism)
+    slices = 2 * spark.sparkContext.defaultParallelism
     return (
         spark.read.format("quarrylint_listing")
         .options(path=root, suffix=suffix, excludes="/".join(excludes), slices=str(slices))
@@ -157,7 +163,7 @@ def _bytes_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 
 def read_bytes(listing: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Add the bytes of each listed file; listing rows are spread first so that no task holds a tree."""
-    spread = listing.repartition(F.xxhash64("location"))
+    spread = listing.repartition(work_partitions(listing.sparkSession), F.xxhash64("location"))
     return spread.mapInArrow(
         lambda batches: _read_bytes(max_bytes, batches),
         ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema) + ", content BINARY",
