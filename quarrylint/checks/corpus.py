@@ -7,8 +7,6 @@ with its table: no row is left out.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +79,15 @@ CALLS = (
 )
 
 
-def family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``files`` of one family: one file per part, one project per brand."""
+def families(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """``files`` of some families: one file per part and family, one project per brand."""
     part = table(spark, sf_dir, "part").selectExpr(
         "p_brand AS project", "cast(p_partkey AS string) AS k", "p_size AS s", "p_type AS t"
     )
-    return spread(part, "k").selectExpr(
-        "project", f"concat('{name}/part_', k, '.py') AS path", f"{FAMILIES[name]} AS content"
-    )
+    texts = [
+        f"struct(concat('{name}/part_', k, '.py') AS path, {FAMILIES[name]} AS content)" for name in names
+    ]
+    return spread(part, "k").selectExpr("project", f"inline(array({', '.join(texts)}))")
 
 
 def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +103,7 @@ def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All families and call files as one table."""
-    parts = [family(spark, sf_dir, name) for name in FAMILIES] + [call_files(spark, sf_dir)]
-    return reduce(DataFrame.unionByName, parts)
+    return families(spark, sf_dir, *FAMILIES).unionByName(call_files(spark, sf_dir))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +126,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents themselves as files: a project per source."""
-    return table(spark, sf_dir, "documents").selectExpr(
-        "source AS project", "cast(doc_id AS string) AS path", "text AS content"
-    )
+    documents = table(spark, sf_dir, "documents")
+    if documents.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        documents = spread(documents, "doc_id")  # one small file; large tables stay as they are
+    return documents.selectExpr("source AS project", "cast(doc_id AS string) AS path", "text AS content")

@@ -174,7 +174,7 @@ def files_list(spark, sf_dir):
 # ---------------------------------------------------------------- extraction
 
 def facts_of(name: str) -> Query:
-    return lambda spark, sf_dir: code.extract_facts(made.family(spark, sf_dir, name))
+    return lambda spark, sf_dir: code.extract_facts(made.families(spark, sf_dir, name))
 
 
 def order_facts(spark, sf_dir):
@@ -309,14 +309,7 @@ def rule_query(checker: str, files: Query, **thresholds) -> Query:
 
 
 def family_union(*names: str) -> Query:
-    def run(spark, sf_dir):
-        parts = [made.family(spark, sf_dir, name) for name in names]
-        files = parts[0]
-        for part in parts[1:]:
-            files = files.unionByName(part)
-        return files
-
-    return run
+    return lambda spark, sf_dir: made.families(spark, sf_dir, *names)
 
 
 for _number, _checker, _files in (
@@ -418,7 +411,9 @@ _SIGNED = (
     SELECT doc_id, line, instr(text, value)::INT AS "column", kind, value[1:4] || '****' AS snippet, bits::DOUBLE AS bits
     FROM hits""")
 def document_secrets(spark, sf_dir):
-    hits = made.table(spark, sf_dir, "documents").select("doc_id", F.inline(secret_hits(F.col("text"))))
+    hits = made.document_files(spark, sf_dir).select(
+        F.col("path").cast("bigint").alias("doc_id"), F.inline(secret_hits(F.col("content")))
+    )
     return hits.select("doc_id", "line", "column", "kind", masked(F.col("value")).alias("snippet"), "bits")
 
 
@@ -449,7 +444,7 @@ def _fragile_check(path: str, content: str) -> list[dict]:
     FROM part_rows WHERE s = 30 OR s > 40""")
 def rule_failure(spark, sf_dir):
     rule = python_rule("branch-count", "quality", _fragile_check)
-    facts = scan_facts(made.family(spark, sf_dir, "branches"), [rule])
+    facts = scan_facts(made.families(spark, sf_dir, "branches"), [rule])
     return file_issues(facts, [rule]).select("project", "path", "rule_id", "checker", "severity", "line", "message")
 
 
@@ -514,7 +509,7 @@ def custom_rules(spark, sf_dir):
         Rule("short-name", "quality", findings=short_name, parts=("functions",), rule_id="ORG001"),
         Rule("crowded-project", "quality", query=crowded),
     ]
-    facts = code.extract_facts(made.family(spark, sf_dir, "dups"))
+    facts = code.extract_facts(made.families(spark, sf_dir, "dups"))
     return scan_issues(facts, rules).select("project", "path", "rule_id", "checker", "symbol", "message")
 
 
@@ -692,7 +687,7 @@ ANNOTATED = """, marked AS (SELECT project, path, 'x = ' || k AS first, severity
     FROM all_lines LEFT JOIN marks USING (project, path, line_no)""")
 def annotated_source(spark, sf_dir):
     rules = choose_rules(["long-function", "large-class", "long-file"])
-    files = made.family(spark, sf_dir, "long")
+    files = made.families(spark, sf_dir, "long")
     issues = scan_issues(scan_facts(files, rules), rules)
     sources = report.flagged_sources(files, issues, max_files=999)
     return report.annotated_source(sources, issues).select(
@@ -709,7 +704,7 @@ def annotated_source(spark, sf_dir):
     FROM near WHERE line_no <= n + 3""")
 def excerpts(spark, sf_dir):
     rule = builtin_rule("deep-nesting")
-    files = made.family(spark, sf_dir, "nest")
+    files = made.families(spark, sf_dir, "nest")
     issues = scan_issues(scan_facts(files, [rule]), [rule])
     sources = report.flagged_sources(files, issues, max_files=999)
     return report.excerpts(sources, issues, context=2).select(

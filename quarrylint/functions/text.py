@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The line boundaries of str.splitlines.
-_BREAK_CLASS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_BREAK = r"\r\n|" + _BREAK_CLASS
-_ENDS_IN_BREAK = _BREAK_CLASS + r"\z"
+# The line boundaries of str.splitlines other than \n; \r\n counts as one.
+_BREAKS = ("\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+def _plain_breaks(text: Column) -> Column:
+    """Every line boundary as ``\\n``. Plain replacing is far quicker than a regular expression,
+    and costs one scan without a copy for each boundary that does not occur."""
+    for boundary in _BREAKS:
+        text = F.replace(text, F.lit(boundary), F.lit("\n"))
+    return text
 
 
 def decode(content: Column) -> Column:
@@ -19,14 +25,17 @@ def decode(content: Column) -> Column:
 
 def n_lines(text: Column) -> Column:
     """Number of lines as ``len(text.splitlines())`` counts them, without building the lines."""
-    open_end = (F.length(text) > 0) & ~text.rlike(_ENDS_IN_BREAK)
-    return F.regexp_count(text, F.lit(_BREAK)) + open_end.cast("int")
+    plain = _plain_breaks(text)
+    breaks = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+    open_end = (F.length(plain) > 0) & ~plain.endswith("\n")
+    return (breaks + open_end.cast("int")).cast("int")
 
 
 def split_lines(text: Column) -> Column:
     """The lines of ``text.splitlines()`` as an array."""
-    parts = F.split(text, _BREAK, -1)
-    closed = (F.length(text) == 0) | text.rlike(_ENDS_IN_BREAK)
+    plain = _plain_breaks(text)
+    parts = F.split(plain, "\n", -1)
+    closed = (F.length(plain) == 0) | plain.endswith("\n")
     return F.when(closed, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -107,6 +107,12 @@ def penalty(severity: Column) -> Column:
     return points
 
 
+def explanation_maps() -> tuple[Column, Column]:
+    """Rule name to reason and to remedy, as constant maps."""
+    pairs = lambda place: [F.lit(text) for rule in RULES for text in (rule[1], rule[place])]
+    return F.create_map(*pairs(4)), F.create_map(*pairs(5))
+
+
 def explain_issues(issues: DataFrame) -> DataFrame:
     """Add rule_id (``UNKNOWN`` for a name outside the catalog), why and fix (empty by default).
 

@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.facts import functions
+from quarrylint.functions.facts import bodies
 from quarrylint.functions.staging import join_groups, stage
 
 # A message names at most this many other places; duplicate_places always has all of them.
 NAMED_PLACES = 500
 
-_GROUP = ["project", "body_digest"]
+_GROUP = ["project", "digest"]
 
 
 def function_bodies(facts: DataFrame, min_lines: int = 5) -> DataFrame:
     """Where each comparable body stands: digests and places only, never the bodies."""
-    return (
-        functions(facts)
-        .filter((F.col("n_lines") >= min_lines) & F.col("body_digest").isNotNull())
-        .select(*_GROUP, "path", "bfs", "lineno", "name", "n_lines")
-    )
+    return bodies(facts).filter(F.col("n_lines") >= min_lines).select(*_GROUP, "path", "bfs", "lineno", "name")
 
 
 def duplicate_groups(facts: DataFrame, min_lines: int = 5) -> DataFrame:
@@ -46,7 +42,7 @@ def duplicate_places(facts: DataFrame, min_lines: int = 5) -> DataFrame:
     groups = stage(duplicate_groups(facts, min_lines), "duplicate_groups")
     return join_groups(function_bodies(facts, min_lines), groups, _GROUP, "occurrences").select(
         "project",
-        F.lower(F.hex("body_digest")).alias("digest"),
+        F.lower(F.hex("digest")).alias("digest"),
         "occurrences", "path", "bfs", "lineno", "name",
         (F.struct("path", "bfs") == F.struct("first.path", "first.bfs")).alias("is_first"),
     )

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylint.functions.text import entropy, split_lines
 
-# Public token formats, as (kind, pattern).
+# Public token formats, as (kind, literals of which one must occur, pattern).
 SIGNATURES = (
-    ("aws-access-key", r"AKIA[0-9A-Z]{16}"),
-    ("github-token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    ("slack-token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("json-web-token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("aws-access-key", ("AKIA",), r"AKIA[0-9A-Z]{16}"),
+    ("github-token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}"),
+    ("slack-token", ("xox",), r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("json-web-token", ("eyJ",), r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    ("private-key", ("PRIVATE KEY-----",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 # Names that make a quoted value suspicious, and the limits for such a value.
 NAME_WORDS = ("token", "secret", "password", "api_key")
@@ -30,8 +32,11 @@ HIT_DDL = "array<struct<line:int,column:int,kind:string,value:string,bits:double
 
 
 def _may_hold_secret(text: Column, signatures) -> Column:
-    words = "|".join([pattern for _, pattern in signatures] + [r"(?i:" + "|".join(NAME_WORDS) + ")"])
-    return text.rlike(words)
+    """Plain substring tests, cheap enough for every file and line, before any pattern runs."""
+    literals = [literal for _, some, _ in signatures for literal in some]
+    tests = [F.contains(text, F.lit(literal)) for literal in literals]
+    tests += [F.contains(F.lower(text), F.lit(word)) for word in NAME_WORDS]
+    return reduce(Column.__or__, tests)
 
 
 def _line_hits(line: Column, number: Column, signatures, min_entropy: float) -> Column:
@@ -48,7 +53,7 @@ def _line_hits(line: Column, number: Column, signatures, min_entropy: float) ->
         values = F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
         return F.transform(F.array_distinct(values), lambda v: hit(v, kind, bits(v)))
 
-    known = F.concat(*[matches(pattern, 0, kind, lambda v: F.lit(None)) for kind, pattern in signatures])
+    known = F.concat(*[matches(pattern, 0, kind, lambda v: F.lit(None)) for kind, _, pattern in signatures])
     random = F.filter(
         matches(ASSIGNMENT, 1, "high-entropy", entropy), lambda found: found["bits"] >= min_entropy
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylint.functions.staging import numbered
-from quarrylint.operators.catalog import SEVERITIES, explain_issues, penalty
+from quarrylint.operators.catalog import SEVERITIES, explain_issues, explanation_maps, penalty
 from quarrylint.operators.findings import ISSUE_ORDER
 from quarrylint.plans.scan import Scan
 
@@ -255,9 +255,9 @@ def _report_lists(scan: Scan, part_rows: int) -> DataFrame:
     order = [c for c in ISSUE_ORDER if c != "path"]
     issue = F.struct(
         "rule_id", "checker", "category", "severity", F.col("path").alias("file"), "line", "message",
-        "snippet", "column", "why", "fix",
+        "snippet", "column",
     )
-    issues = explain_issues(scan.issues).select(
+    issues = scan.issues.select(
         "project", F.lit("issues").alias("section"), "path", *order, issue.alias("issue"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -276,11 +276,17 @@ def _report_lists(scan: Scan, part_rows: int) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("seq", value)))),
         lambda row: row["value"],
     )
-    return ranked.groupBy("project", part.alias("part")).agg(
+    lists = ranked.groupBy("project", part.alias("part")).agg(
         of("issues", F.col("issue").alias("value")).alias("issues"),
         of("parse_errors", F.col("error").alias("value")).alias("parse_errors"),
         of("files_list", F.col("path").alias("value")).alias("files_list"),
     )
+    # Reasons and remedies are looked up last, so that their text is never shuffled.
+    why, fix = explanation_maps()
+    explained = lambda i: i.withField("why", F.coalesce(why[i["checker"]], F.lit(""))).withField(
+        "fix", F.coalesce(fix[i["checker"]], F.lit(""))
+    )
+    return lists.withColumn("issues", F.transform("issues", explained))
 
 
 def json_reports(report: DataFrame) -> DataFrame:
