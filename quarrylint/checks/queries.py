@@ -534,6 +534,14 @@ def rule_usage(spark, sf_dir):
     )
 
 
+@check("c08_relative_paths", f"WITH {oracle.PART}, {oracle.ERRORS} SELECT 'tree' AS project, "
+       "project || '/' || path AS path, 1 AS line FROM errors")
+def relative_paths(spark, sf_dir):
+    files = made.families(spark, sf_dir, "broken").selectExpr("concat(project, '/', path) AS path", "content")
+    loaded = tree.load_tree(spark, files_on_disk.write_tree(files), project="tree")
+    return code.parse_errors(code.extract_facts(loaded)).select("project", "path", "line")
+
+
 @check("c09_rules_run", f"""WITH {oracle.PART}, {oracle.EVENTS}, {oracle.FILES}, {PROJECTS}
     SELECT project, CASE WHEN project IN (SELECT s_name FROM supplier) THEN '' ELSE '{",".join(oracle.PROFILES["web"])}' END
     AS checkers_run FROM projects""")
@@ -769,7 +777,7 @@ def report_issues(spark, sf_dir):
 def failed_scans(spark, sf_dir):
     root = files_on_disk.write_archives(spark, sf_dir)
     files, rejects = archives.load_archives(spark, root)
-    return archives.failed_scans(rejects, files).withColumn("files_list", F.array_join("files_list", ","))
+    return archives.failed_scans(rejects, files).withColumn("files_list", F.array_join("files_list", ",")).drop("part")
 
 
 # ---------------------------------------------------------------- sinks

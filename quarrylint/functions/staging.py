@@ -55,23 +55,27 @@ def numbered(
     """Exact ``row_number()`` of ``order`` inside each ``within`` group, for groups of any size.
 
     A plain window would put a whole group into one task. Here the rows are range-partitioned
-    over (within, order) and staged; the running sum then only sees one count per group and
-    slot, and the window that numbers rows sees one slot of a group.
+    and sorted by (within, order) and written with their place in their partition, which is
+    fixed from then on. What is left is to add the number of rows of the group in the partitions
+    before: one small row per group and partition. ``order`` has to be total within a group.
     """
     keys = list(within)
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_slot", F.spark_partition_id())
-    ranged = stage(ranged, "numbered")
+    ranged = (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    ranged = stage(ranged, "numbered").withColumn("_slot", F.shiftright("_place", 33))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_slot")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select(*keys, "_slot", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
     return (
         ranged.join(offsets, [*keys, "_slot"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_before"))
-        .drop("_slot", "_before")
+        .withColumn(name, F.col("_before") + F.col("_place") - F.col("_first") + 1)
+        .drop("_slot", "_place", "_first", "_before")
     )
 
 

@@ -221,8 +221,9 @@ def project_report(scan: Scan, projects: DataFrame | None = None, part_rows: int
     lists go on in parts 1, 2, …, so no row and no task ever holds an unbounded project. Part 0
     has the counts, scores, sources and the number of parts.
     """
-    projects = scan.files.select("project").distinct() if projects is None else projects
-    head = project_overview(projects, scan.issues, scan.files, scan.parse_errors)
+    # The staged facts list the files; the source table is read for the flagged texts only.
+    projects = scan.facts.select("project").distinct() if projects is None else projects
+    head = project_overview(projects, scan.issues, scan.facts, scan.parse_errors)
     sources = (
         flagged_sources(scan.files, scan.issues)
         .groupBy("project")
@@ -267,7 +268,7 @@ def _report_lists(scan: Scan, part_rows: int) -> DataFrame:
         F.lit(None).cast(none).alias("issue"), error.cast("string").alias("error"),
     )
     items = issues.unionByName(plain(scan.parse_errors, "parse_errors", _error_text())).unionByName(
-        plain(scan.files, "files_list", F.lit(None))
+        plain(scan.facts, "files_list", F.lit(None))
     )
     ranked = numbered(items, ["project", "section"], ISSUE_ORDER)
     part = F.floor((F.col("seq") - 1) / part_rows).cast("int")
@@ -311,48 +312,48 @@ def text_report(issues: DataFrame, parse_errors: DataFrame, overview: DataFrame)
     ``section``: 0 security, 1 quality, 2 parse errors, 3 summary. ``kind``: 0 title, 1 entry,
     2 closing line. Lines stay rows, so a project of any size can be sorted and written by Spark.
     """
-    keys = {"path": F.lit(""), "line": F.lit(0), "phase": F.lit(0), "rule_order": F.lit(0), "bfs": F.lit(0), "ord": F.lit(0)}
+    places = ("path", "line", "phase", "rule_order", "bfs", "ord")
 
-    def rows(df: DataFrame, section, kind: int, text, **own) -> DataFrame:
-        order = {**keys, **own}
+    def rows(df: DataFrame, section: Column, text: Column, **own: Column) -> DataFrame:
+        place = {name: F.lit("" if name == "path" else 0) for name in places} | own
         return df.select(
-            "project",
-            (section if isinstance(section, Column) else F.lit(section)).alias("section"),
-            F.lit(kind).alias("kind"),
-            *[value.alias(name) for name, value in order.items()],
-            (text if isinstance(text, Column) else F.lit(text)).alias("text"),
+            "project", section.alias("section"), F.lit(1).alias("kind"),
+            *[value.alias(name) for name, value in place.items()], text.alias("text"),
         )
 
     entry = F.format_string(
         "  %s:%d  [%s] (%s) %s", "path", "line", F.upper("severity"), "checker", "message"
     )
-    own = {c: F.col(c) for c in ("path", "line", "phase", "rule_order", "bfs", "ord")}
-    body = rows(issues, F.when(_security(), 0).otherwise(1), 1, entry, **own)
-    errors = rows(parse_errors, 2, 1, F.concat(F.lit("  "), _error_text()), path=F.col("path"))
-    titles = (
-        ("SECURITY", 0, F.col("security") > 0),
-        ("CODE QUALITY", 1, F.col("quality") > 0),
-        ("PARSE ERRORS", 2, F.col("files_with_errors") > 0),
-    )
-    frame = [
-        part
-        for title, section, shown in titles
-        for part in (rows(overview.filter(shown), section, 0, title), rows(overview.filter(shown), section, 2, ""))
-    ]
+    body = rows(issues, F.when(_security(), 0).otherwise(1), entry, **{name: F.col(name) for name in places})
+    errors = rows(parse_errors, F.lit(2), F.concat(F.lit("  "), _error_text()), path=F.col("path"))
+
+    # Titles, blank lines and the summary of a project come from its one overview row.
+    def line(section: int, kind: int, text, shown) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(kind).alias("kind"),
+            (text if isinstance(text, Column) else F.lit(text)).alias("text"), shown.alias("shown"),
+        )
+
     total = F.format_string(
         "  %d issues (%d security, %d quality); %d file(s) failed to parse.",
         "total", "security", "quality", "files_with_errors",
     )
     alarm = F.format_string("  %d CRITICAL findings: review these first.", "critical")
-    closing = [
-        rows(overview, 3, 0, "SUMMARY"),
-        rows(overview, 3, 1, total),
-        rows(overview.filter("critical > 0"), 3, 2, alarm),
+    frame = [
+        part
+        for section, (title, count) in enumerate(
+            (("SECURITY", "security"), ("CODE QUALITY", "quality"), ("PARSE ERRORS", "files_with_errors"))
+        )
+        for part in (line(section, 0, title, F.col(count) > 0), line(section, 2, "", F.col(count) > 0))
     ]
-    lines = body
-    for part in (errors, *frame, *closing):
-        lines = lines.unionByName(part)
-    return lines
+    frame += [
+        line(3, 0, "SUMMARY", F.lit(True)), line(3, 1, total, F.lit(True)), line(3, 2, alarm, F.col("critical") > 0)
+    ]
+    framed = overview.select("project", F.inline(F.filter(F.array(*frame), lambda l: l["shown"])))
+    framed = framed.select(
+        "project", "section", "kind", *[F.lit("" if name == "path" else 0).alias(name) for name in places], "text"
+    )
+    return body.unionByName(errors).unionByName(framed)
 
 
 def write_json(reports: DataFrame, target: str) -> None:

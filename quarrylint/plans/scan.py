@@ -31,11 +31,13 @@ class Scan:
     rules: tuple[str, ...]
 
 
-def scan_facts(files: DataFrame, rules: Sequence[Rule], partitions: int | None = None) -> DataFrame:
+def scan_facts(
+    files: DataFrame, rules: Sequence[Rule], partitions: int | None = None, parse: bool = False
+) -> DataFrame:
     """One row per file with all that ``rules`` read.
 
     Text expressions are evaluated on the way into the extractor, so the source table is read
-    once. Without a tree rule there is no Python stage at all.
+    once. Without a tree rule there is no Python stage at all, unless ``parse`` asks for it.
     """
     text = F.col("content")
     columns = files if partitions is None else files.repartition(partitions, "project", "path")
@@ -45,7 +47,7 @@ def scan_facts(files: DataFrame, rules: Sequence[Rule], partitions: int | None =
     for rule in rules:
         if rule.reads_text:
             columns = columns.withColumn(_custom_column(rule), rule.findings())
-    if any(rule.needs_tree for rule in rules):
+    if parse or any(rule.needs_tree for rule in rules):
         return extract_facts(columns)
     return columns.withColumn("n_lines", n_lines(text)).drop("content")
 
@@ -128,18 +130,20 @@ def scan(
     extra_rules: Sequence[Rule] = (),
     folder: str | None = None,
     partitions: int | None = None,
+    parse: bool = True,
 ) -> Scan:
     """Run the rules of ``profile`` over ``files`` (project, path, content[, read_error]).
 
     ``thresholds`` maps rule names to keyword arguments, as ``{"complexity": {"threshold": 15}}``.
     Facts and issues are staged as Parquet below ``folder`` (by default the folder named in
     spark.checkpoint.dir), so files are parsed once for rules, duplicates and reports. Give
-    ``partitions`` where ``files`` has too few of them to keep the cores busy.
+    ``partitions`` where ``files`` has too few of them to keep the cores busy. Syntax errors are
+    reported whatever the rules; with ``parse=False`` they are not, if no rule needs a tree.
     """
     rules = choose_rules(profile, only, extra_rules)
     if not rules:
         raise ValueError("no rules chosen")
-    facts = stage(scan_facts(files, rules, partitions), "facts", folder)
+    facts = stage(scan_facts(files, rules, partitions, parse), "facts", folder)
     issues = stage(scan_issues(facts, rules, thresholds), "issues", folder)
     errors = parse_errors(facts if "parse_error" in facts.columns else _unparsed(facts))
     return Scan(files, facts, issues, errors, tuple(rule.checker for rule in rules))

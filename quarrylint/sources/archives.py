@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import work_partitions
+from quarrylint.functions.staging import numbered, work_partitions
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import exclude_dirs
 from quarrylint.sources.tree import list_tree
@@ -206,26 +206,27 @@ def load_archives(
     return unpack(archives, rejects, excludes), rejects
 
 
-def failed_scans(rejects: DataFrame, files: DataFrame) -> DataFrame:
+def failed_scans(rejects: DataFrame, files: DataFrame, part_rows: int = 5000) -> DataFrame:
     """Report rows of projects that could not be scanned: error, number and list of found files.
 
-    ``rejects`` is (archive, reason); ``files`` lists what was found of it, if anything. Only
-    rejected archives count here, and their listing is bounded by the archive itself.
+    ``rejects`` is (archive, reason); ``files`` lists what was found. A list longer than
+    ``part_rows`` goes on in further parts, so that no row or task holds an unbounded project.
     """
-    found = (
-        files.join(rejects.select(F.col("archive").alias("project")), "project", "left_semi")
-        .groupBy("project")
-        .agg(F.count("*").alias("files_scanned"), F.array_sort(F.collect_list("path")).alias("files_list"))
+    failed = rejects.select(F.col("archive").alias("project"), F.col("reason").alias("error"))
+    found = files.select("project", "path").join(failed.select("project"), "project", "left_semi")
+    counts = found.groupBy("project").agg(F.count("*").alias("files_scanned"))
+    part = F.floor((F.col("seq") - 1) / part_rows).cast("int")
+    lists = (
+        numbered(found, ["project"], ["path"])
+        .groupBy("project", part.alias("part"))
+        .agg(F.array_sort(F.collect_list("path")).alias("files_list"))
     )
-    empty = F.array().cast("array<string>")
-    return (
-        rejects.select(F.col("archive").alias("project"), F.col("reason").alias("error"))
-        .join(found, "project", "left")
-        .select(
-            "project",
-            F.lit("failed").alias("status"),
-            "error",
-            F.coalesce("files_scanned", F.lit(0)).cast("int").alias("files_scanned"),
-            F.coalesce("files_list", empty).alias("files_list"),
-        )
+    rows = failed.join(counts, "project", "left").join(lists, "project", "left")
+    return rows.select(
+        "project",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.lit("failed").alias("status"),
+        "error",
+        F.coalesce("files_scanned", F.lit(0)).cast("int").alias("files_scanned"),
+        F.coalesce("files_list", F.array().cast("array<string>")).alias("files_list"),
     )
