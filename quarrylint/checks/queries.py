@@ -829,7 +829,7 @@ HISTORY = OVERVIEW + """, runs AS (SELECT project, TIMESTAMP '2024-01-01' + INTE
 def _history(spark, sf_dir) -> DataFrame:
     done = corpus_scan(spark, sf_dir)
     overview = report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
-    scanned_at = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, files_scanned)")
+    scanned_at = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("files_scanned"))  # from 2024-01-01 UTC on
     rows = history.history_rows(overview, scanned_at)
     target = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     history.append_history(rows, target)

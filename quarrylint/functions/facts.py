@@ -102,6 +102,46 @@ def _atom(value) -> str:
         return hex(value)
 
 
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in source order, but for operators and contexts."""
+    children = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            children += [v for v in value if isinstance(v, ast.AST) and type(v) not in _PLAIN]
+        elif isinstance(value, ast.AST) and type(value) not in _PLAIN:
+            children.append(value)
+    return children
+
+
+def _spell(node: ast.AST) -> tuple[list[ast.AST], str]:
+    """Child nodes, and the node itself as text: its kind, its plain values, a dot per child."""
+    children, line = [], [type(node).__name__]
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if value is None:
+            line.append("")
+        elif isinstance(value, list):
+            shape = []
+            for item in value:
+                if not isinstance(item, ast.AST):
+                    shape.append(_atom(item))
+                elif type(item) in _PLAIN:
+                    shape.append(type(item).__name__)
+                else:
+                    children.append(item)
+                    shape.append(".")
+            line.append(f"[{','.join(shape)}]")
+        elif not isinstance(value, ast.AST):
+            line.append(_atom(value))
+        elif type(value) in _PLAIN:
+            line.append(type(value).__name__)
+        else:
+            children.append(value)
+            line.append(".")
+    return children, ",".join(line)
+
+
 def _has_docstring(node) -> bool:
     head = node.body[0]
     return (
@@ -139,7 +179,7 @@ class _FileFacts:
             self.failures.setdefault(part, f"{type(error).__name__}: {error}")
 
     def _walk(self, tree) -> None:
-        AST, collectors, weights = ast.AST, self._COLLECTORS, _WEIGHT
+        collectors, weights = self._COLLECTORS, _WEIGHT
         spelled: list[str] = []
         todo = [(tree, 0, 0, ())]
         place = 0
@@ -176,43 +216,21 @@ class _FileFacts:
                         seen = function["nesting"]
                         if depth - base > len(seen):
                             seen.append({"depth": depth - base, "lineno": node.lineno})
-            children, line = [], [kind.__name__]
-            body = None
-            for field in node._fields:
-                value = getattr(node, field, None)
-                if value is None:
-                    line.append("")
-                elif isinstance(value, list):
-                    if field == "body":
-                        body = len(children)
-                    shape = []
-                    for item in value:
-                        if not isinstance(item, AST):
-                            shape.append(_atom(item))
-                        elif type(item) in _PLAIN:
-                            shape.append(type(item).__name__)
-                        else:
-                            children.append(item)
-                            shape.append(".")
-                    line.append(f"[{','.join(shape)}]")
-                elif not isinstance(value, AST):
-                    line.append(_atom(value))
-                elif type(value) in _PLAIN:
-                    line.append(type(value).__name__)
-                else:
-                    children.append(value)
-                    line.append(".")
             if owners:
-                spelled.append(",".join(line))
-            if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
-                fact = self.out["functions"][-1]
-                owners = (*owners, (fact, depth))
+                children, line = _spell(node)
+                spelled.append(line)
+            else:
+                children = _children(node)
+            if kind is not ast.FunctionDef and kind is not ast.AsyncFunctionDef:
+                todo += [(child, level + 1, depth, owners) for child in reversed(children)]
+                continue
+            fact = self.out["functions"][-1]
+            owners = (*owners, (fact, depth))
             steps = [(child, level + 1, depth, owners) for child in children]
-            if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
-                steps.insert(body + len(node.body), (None, fact, "end", None))
-                steps.insert(body + _has_docstring(node), (None, fact, "start", None))
-            steps.reverse()
-            todo += steps
+            body = children.index(node.body[0])
+            steps.insert(body + len(node.body), (None, fact, "end", None))
+            steps.insert(body + _has_docstring(node), (None, fact, "start", None))
+            todo += reversed(steps)
         for fact in self.out["functions"]:
             text = "\n".join(spelled[fact.pop("start"):fact.pop("end")])
             if text:
