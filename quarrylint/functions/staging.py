@@ -96,3 +96,13 @@ def join_groups(
             groups.join(hot_keys, keys, "left_anti"), keys
         )
     )
+
+
+def semi_join_spread(rows: DataFrame, keys: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``; one key's rows go to ``salts`` partitions by a hash of ``by``."""
+    salted = keys.select(key).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (
+        rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+        .join(salted, [key, "_salt"], "left_semi")
+        .drop("_salt")
+    )

@@ -242,13 +242,12 @@ def project_report(scan: Scan, projects: DataFrame | None = None, part_rows: int
         F.coalesce("sources", F.create_map().cast("map<string,string>")).alias("sources"),
         "note",
     )
-    parts = _report_lists(scan, part_rows)
-    # Parts of projects outside ``projects`` have no head and are not asked for.
-    asked = parts.join(projects.select("project").distinct(), "project", "left_semi")
-    joined = head.join(asked, ["project", "part"], "full_outer")
-    lists = ("issues", "parse_errors", "files_list")
-    kinds = {name: parts.schema[name].dataType for name in lists}
-    return joined.withColumns({name: F.coalesce(name, F.array().cast(kinds[name])) for name in lists})
+    lists = _report_lists(scan, part_rows)
+    # Everything meets on (project, part), so the parts of a huge project stay spread out.
+    keys = head.select("project", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    whole = keys.join(head, ["project", "part"], "left").join(lists, ["project", "part"], "left")
+    kinds = {f.name: f.dataType for f in lists.schema if f.name not in ("project", "part")}
+    return whole.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in kinds.items()})
 
 
 def _report_lists(scan: Scan, part_rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import numbered, work_partitions
+from quarrylint.functions.staging import numbered, semi_join_spread, stage, work_partitions
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import exclude_dirs
 from quarrylint.sources.tree import list_tree
@@ -200,10 +200,15 @@ def unpack(archives: DataFrame, rejects: DataFrame, excludes: Iterable[str] | No
 def load_archives(
     spark: SparkSession, root: str, excludes: Iterable[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects) of all archives below ``root``; the archive's path is the project."""
-    archives = list_archives(spark, root)
-    rejects = archive_rejects(archives, archive_entries(archives))
-    return unpack(archives, rejects, excludes), rejects
+    """(files, rejects) of all archives below ``root``; the archive's path is the project.
+
+    Listing, entry tables and rejects are staged: each archive is opened once for its directory
+    and, if it passed the guards, once more for its contents.
+    """
+    listed = stage(list_archives(spark, root), "archives")
+    entries = stage(archive_entries(listed), "archive_entries")
+    rejects = stage(archive_rejects(listed, entries), "archive_rejects")
+    return unpack(listed, rejects, excludes), rejects
 
 
 def failed_scans(rejects: DataFrame, files: DataFrame, part_rows: int = 5000) -> DataFrame:
@@ -213,7 +218,7 @@ def failed_scans(rejects: DataFrame, files: DataFrame, part_rows: int = 5000) ->
     ``part_rows`` goes on in further parts, so that no row or task holds an unbounded project.
     """
     failed = rejects.select(F.col("archive").alias("project"), F.col("reason").alias("error"))
-    found = files.select("project", "path").join(failed.select("project"), "project", "left_semi")
+    found = semi_join_spread(files.select("project", "path"), failed, "project", "path")
     counts = found.groupBy("project").agg(F.count("*").alias("files_scanned"))
     part = F.floor((F.col("seq") - 1) / part_rows).cast("int")
     lists = (
@@ -221,10 +226,12 @@ def failed_scans(rejects: DataFrame, files: DataFrame, part_rows: int = 5000) ->
         .groupBy("project", part.alias("part"))
         .agg(F.array_sort(F.collect_list("path")).alias("files_list"))
     )
-    rows = failed.join(counts, "project", "left").join(lists, "project", "left")
+    last = F.floor((F.greatest(F.coalesce("files_scanned", F.lit(0)), F.lit(1)) - 1) / part_rows).cast("int")
+    heads = failed.join(counts, "project", "left").withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    rows = heads.join(lists, ["project", "part"], "left")
     return rows.select(
         "project",
-        F.coalesce("part", F.lit(0)).alias("part"),
+        "part",
         F.lit("failed").alias("status"),
         "error",
         F.coalesce("files_scanned", F.lit(0)).cast("int").alias("files_scanned"),

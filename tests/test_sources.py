@@ -136,6 +136,10 @@ def test_failed_scan_lists_what_was_found(spark):
     files = spark.createDataFrame([("p", "b.py"), ("p", "a.py"), ("q", "c.py")], "project STRING, path STRING")
     row = archives.failed_scans(rejects, files).collect()[0]
     assert (row.error, row.files_scanned, row.files_list) == ("Scan crashed", 2, ["a.py", "b.py"])
+    many = spark.range(25).select(F.lit("p").alias("project"), F.format_string("%02d.py", "id").alias("path"))
+    rows = archives.failed_scans(rejects, many, part_rows=10).orderBy("part").collect()
+    assert [(r.part, len(r.files_list), r.files_scanned) for r in rows] == [(0, 10, 25), (1, 10, 25), (2, 5, 25)]
+    assert [path for r in rows for path in r.files_list] == [f"{i:02}.py" for i in range(25)]
 
 
 @pytest.mark.parametrize("name,leaves", [
