@@ -107,20 +107,19 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per order, one function per line item; few different bodies, so huge groups of copies.
+    """One file per order with one to seven functions; few different bodies, so huge groups of copies.
 
-    A function has 3 to 7 lines: its body depends on quantity and return flag only.
+    A function has 3 to 7 lines: its body depends on customer, place in the file and order status.
     """
-    items = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey", "struct(l_linenumber AS n, cast(l_quantity AS int) % 5 AS q, l_returnflag AS f) AS item"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    text = (
+        r"concat('def line_', i, '(a):\n', repeat('    a += 1\n', cast((o_custkey + i) % 5 AS int) + 1), "
+        r"""'    return "', o_orderstatus, '"\n')"""
     )
-    text = r"""concat('def line_', i.n, '(a):\n', repeat('    a += 1\n', i.q + 1), '    return "', i.f, '"\n')"""
-    modules = spread(items, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderpriority AS project")
-    return modules.join(orders, "l_orderkey").selectExpr(
-        "project",
-        "concat('orders/order_', l_orderkey, '.py') AS path",
-        f"array_join(transform(items, i -> {text}), '') AS content",
+    return spread(orders, "o_orderkey").selectExpr(
+        "o_orderpriority AS project",
+        "concat('orders/order_', o_orderkey, '.py') AS path",
+        f"array_join(transform(sequence(1, 1 + o_orderkey % 7), i -> {text}), '') AS content",
     )
 
 

@@ -136,10 +136,11 @@ S05_NAME = "CASE WHEN {tax} >= 8 THEN 'a/../../b.py' WHEN {tax} = 7 THEN 'a/../c
     SELECT archive, min_by(reason, idx) AS reason FROM reasons WHERE reason IS NOT NULL GROUP BY archive
     UNION ALL SELECT DISTINCT archive, 'Too many files in zip (max 6).' FROM running WHERE n > 6""")
 def entry_rejects(spark, sf_dir):
-    entries = made.table(spark, sf_dir, "lineitem").selectExpr(
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"]
+    items = made.table(spark, sf_dir, "lineitem").select("l_orderkey", *order)
+    entries = numbered(items, ["l_orderkey"], order, "idx").selectExpr(
         "cast(l_orderkey AS string) AS archive",
-        "cast(row_number() OVER (PARTITION BY l_orderkey "
-        "ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS int) AS idx",
+        "cast(idx AS int) AS idx",
         S05_NAME.format(tax="cast(round(l_tax * 100) AS int)") + " AS name",
         "cast(round(l_extendedprice * 400) AS bigint) AS file_size",
         "false AS is_dir", "false AS encrypted",
@@ -185,11 +186,9 @@ def staged_order_facts(spark, sf_dir):
     return stage(order_facts(spark, sf_dir), "facts")
 
 
-ORDER_ITEMS = """items AS (
-    SELECT o_orderpriority AS project, 'orders/order_' || l_orderkey || '.py' AS path, l_linenumber AS n,
-        l_quantity::INT % 5 AS q, l_returnflag AS f,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INT % 5, l_returnflag) AS pos
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ORDER_ITEMS = """numbers AS (SELECT *, unnest(range(1, 2 + o_orderkey % 7)) AS n FROM orders),
+    items AS (SELECT o_orderpriority AS project, 'orders/order_' || o_orderkey || '.py' AS path, n,
+        (o_custkey + n) % 5 AS q, o_orderstatus AS f, n AS pos FROM numbers),
     placed AS (SELECT *, (sum(q + 3) OVER (PARTITION BY path ORDER BY pos) - (q + 3) + 1)::INT AS lineno FROM items)"""
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import join_groups, numbered, stage
+from quarrylint.functions.staging import join_groups, numbered, semi_join_spread, stage
 from quarrylint.operators import duplicates
 from quarrylint.operators.findings import finding
 from quarrylint.operators.registry import Rule, choose_rules, python_rule
@@ -59,6 +59,14 @@ def test_join_groups_equals_plain_join(spark):
     )
 
 
+def test_semi_join_spread_equals_plain_semi_join(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    keys = spark.range(0, 10, 2).select(F.col("id").alias("k"))
+    assert rows_of(semi_join_spread(rows, keys, "k", "id"), "k", "id") == rows_of(
+        rows.join(keys, "k", "left_semi"), "k", "id"
+    )
+
+
 def test_hot_copies_are_counted_whole(spark, files_of):
     body = "def f{i}(a):\n    x = a\n    y = x\n    z = y\n    return z\n"
     done = scan(files_of({f"m{i:03}.py": body.format(i=i) for i in range(120)}), profile=["duplicate-code"])
