@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.functions.staging import work_partitions
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Share out rows before they grow into text: a small table is one partition otherwise."""
-    return rows.repartition(work_partitions(rows.sparkSession), *keys)
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 # Spark SQL text of each family over columns k (p_partkey), s (p_size), t (p_type).
