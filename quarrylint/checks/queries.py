@@ -1,848 +1,8 @@
-"""One check per operator: a Spark query over the driver tables and, where there is one, its SQL answer."""
+"""All checks; importing the modules registers them, in the order of the inventory."""
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quarrylint.checks import corpus as made
-from quarrylint.checks import files_on_disk, oracle
-from quarrylint.functions import facts as code
-from quarrylint.functions.staging import numbered, shared_folder, stage
-from quarrylint.functions.text import decode, entropy, lines, n_lines
-from quarrylint.operators import duplicates, tree_rules
-from quarrylint.operators.catalog import explain_issues, rule_catalog
-from quarrylint.operators.findings import finding, no_findings
-from quarrylint.operators.registry import Rule, builtin_rule, choose_rules, python_rule
-from quarrylint.operators.secrets import masked, secret_hits
-from quarrylint.plans import history, report, triage
-from quarrylint.plans.scan import Scan, file_issues, in_order, scan, scan_facts, scan_issues
-from quarrylint.sources import archives, paths, tree
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-ISSUE_FIELDS = [
-    "project", "rule_id", "checker", "category", "severity", "path", "line", "column", "symbol",
-    "measure", "threshold", "message", "snippet",
-]
-
-_scans: dict[tuple[str, str], Scan] = {}
-
-
-def check(name: str, sql: str | None = None):
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE[name] = sql
-        return query
-
-    return add
-
-
-def corpus_scan(spark: SparkSession, sf_dir: str) -> Scan:
-    """The full scan of the whole corpus, staged once per session and shared by the roll-ups."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _scans:
-        _scans[key] = scan(made.corpus(spark, sf_dir))
-    return _scans[key]
-
-
-def corpus_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All projects, among them one without files per supplier."""
-    supplier = made.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"))
-    return made.corpus(spark, sf_dir).select("project").distinct().unionByName(supplier)
-
-
-PROJECTS = "projects AS (SELECT DISTINCT project FROM files UNION ALL SELECT s_name FROM supplier)"
-
-
-# ---------------------------------------------------------------- sources
-
-@check("s01_load_tree", f"""WITH {oracle.PART}
-    SELECT 'tree' AS project, project || '/' || folder || '/part_' || k || '.py' AS path,
-        md5('x = ' || k || chr(10)) AS content_md5
-    FROM (SELECT *, CASE s % 4 WHEN 0 THEN 'src' WHEN 1 THEN '_pkg' WHEN 2 THEN 'venv' ELSE '.hidden' END AS folder
-        FROM part_rows) WHERE folder IN ('src', '_pkg')""")
-def load_tree(spark, sf_dir):
-    root = files_on_disk.write_tree(files_on_disk.tree_files(spark, sf_dir))
-    return tree.load_tree(spark, root, project="tree").select("project", "path", F.md5("content").alias("content_md5"))
-
-
-S03_PATH = """CASE s % 8 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'venv/a.py' WHEN 2 THEN 'x/build/y/a.py'
-    WHEN 3 THEN '.git/a.py' WHEN 4 THEN 'x/.cache/a.py' WHEN 5 THEN '.dot.py' WHEN 6 THEN 'x/build.py'
-    ELSE 'my.venv/a.py' END"""
-
-
-@check("s03_exclude_dirs", f"""WITH {oracle.PART}
-    SELECT project, 'part_' || k || '/' || {S03_PATH} AS path FROM part_rows WHERE s % 8 IN (0, 5, 6, 7)""")
-def exclude_dirs(spark, sf_dir):
-    files = made.table(spark, sf_dir, "part").selectExpr(
-        "p_brand AS project", "p_partkey AS k", "p_size AS s"
-    ).selectExpr("project", f"concat('part_', k, '/', {S03_PATH}) AS path")
-    return paths.exclude_dirs(files)
-
-
-@check("s03_replaced_excludes", f"""WITH {oracle.PART}
-    SELECT project, 'part_' || k || '/' || {S03_PATH} AS path FROM part_rows WHERE s % 8 IN (1, 2, 5, 6, 7)""")
-def replaced_excludes(spark, sf_dir):
-    files = made.table(spark, sf_dir, "part").selectExpr(
-        "p_brand AS project", "p_partkey AS k", "p_size AS s"
-    ).selectExpr("project", f"concat('part_', k, '/', {S03_PATH}) AS path")
-    return paths.exclude_dirs(files, excludes=["src"])
-
-
-@check("s04_load_archives", f"""WITH {oracle.PART}
-    SELECT 'part_' || k || '.zip' AS project, path, md5(content) AS content_md5
-    FROM (SELECT *, UNNEST([
-        {{path: 'src/a.py', content: 'x = ' || k || chr(10)}},
-        {{path: 'src/__init__.py', content: ''}},
-        {{path: 'b/c.py', content: t || chr(10)}}], recursive := true) FROM part_rows)
-    WHERE s % 5 <> 0""")
-def load_archives(spark, sf_dir):
-    root = files_on_disk.write_archives(spark, sf_dir)
-    files, _ = archives.load_archives(spark, root)
-    return files.select("project", "path", F.md5("content").alias("content_md5"))
-
-
-@check("s05_archive_rejects", f"""WITH {oracle.PART}
-    SELECT 'part_' || k || '.zip' AS archive, 'Unsafe path in zip: ../evil.py' AS reason
-    FROM part_rows WHERE s % 5 = 0""")
-def archive_rejects(spark, sf_dir):
-    root = files_on_disk.write_archives(spark, sf_dir)
-    _, rejects = archives.load_archives(spark, root)
-    return rejects
-
-
-# Entry tables from line items: an archive per order; sizes make some orders cross the limit.
-S05_LIMIT = 150 * 1024 * 1024
-S05_NAME = "CASE WHEN {tax} >= 8 THEN 'a/../../b.py' WHEN {tax} = 7 THEN 'a/../c.py' ELSE 'd/e.py' END"
-
-
-@check("s05_entry_rejects", f"""WITH entries AS (
-        SELECT l_orderkey::VARCHAR AS archive, {S05_NAME.format(tax='round(l_tax * 100)::INT')} AS name,
-            (l_extendedprice * 400)::BIGINT AS size,
-            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS idx
-        FROM lineitem),
-    running AS (SELECT *, sum(size) OVER (PARTITION BY archive ORDER BY idx) AS total, count(*) OVER (PARTITION BY archive) AS n
-        FROM entries),
-    reasons AS (SELECT archive, idx, CASE WHEN name = 'a/../../b.py' THEN 'Unsafe path in zip: ' || name
-        WHEN total > {S05_LIMIT} THEN 'Zip expands to more than 150 MB; not unpacked.' END AS reason
-        FROM running WHERE n <= 6)
-    SELECT archive, min_by(reason, idx) AS reason FROM reasons WHERE reason IS NOT NULL GROUP BY archive
-    UNION ALL SELECT DISTINCT archive, 'Too many files in zip (max 6).' FROM running WHERE n > 6""")
-def entry_rejects(spark, sf_dir):
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"]
-    items = made.table(spark, sf_dir, "lineitem").select("l_orderkey", *order)
-    entries = numbered(items, ["l_orderkey"], order, "idx").selectExpr(
-        "cast(l_orderkey AS string) AS archive",
-        "cast(idx AS int) AS idx",
-        S05_NAME.format(tax="cast(round(l_tax * 100) AS int)") + " AS name",
-        "cast(round(l_extendedprice * 400) AS bigint) AS file_size",
-        "false AS is_dir", "false AS encrypted",
-    )
-    return archives.entry_rejects(entries, max_entries=6, max_unpacked=S05_LIMIT)
-
-
-@check("s06_decode", r"""SELECT doc_id, md5(regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5 FROM documents""")
-def decoded(spark, sf_dir):
-    raw = made.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return raw.select("doc_id", F.md5(decode(F.col("content"))).alias("text_md5"))
-
-
-@check("s08_lines", f"""WITH split AS (SELECT source AS project, doc_id::VARCHAR AS path,
-        {oracle.line_list('text')} AS parts FROM documents)
-    SELECT project, path, unnest(range(1, len(parts) + 1))::INT AS line_no, unnest(parts) AS text FROM split""")
-def document_lines(spark, sf_dir):
-    return lines(made.document_files(spark, sf_dir))
-
-
-@check("s08_line_counts", f"""SELECT source AS project, doc_id::VARCHAR AS path,
-    len({oracle.line_list('text')})::INT AS n_lines FROM documents""")
-def line_counts(spark, sf_dir):
-    return made.document_files(spark, sf_dir).select("project", "path", n_lines(F.col("content")).alias("n_lines"))
-
-
-@check("s09_files_list", f"WITH {oracle.PART}, {oracle.EVENTS}, {oracle.FILES} SELECT project, path FROM files")
-def files_list(spark, sf_dir):
-    return paths.files_list(made.corpus(spark, sf_dir))
-
-
-# ---------------------------------------------------------------- extraction
-
-def facts_of(name: str) -> Query:
-    return lambda spark, sf_dir: code.extract_facts(made.families(spark, sf_dir, name))
-
-
-def order_facts(spark, sf_dir):
-    return code.extract_facts(made.order_files(spark, sf_dir))
-
-
-def staged_order_facts(spark, sf_dir):
-    return stage(order_facts(spark, sf_dir), "facts")
-
-
-ORDER_ITEMS = """numbers AS (SELECT *, unnest(range(1, 2 + o_orderkey % 7)) AS n FROM orders),
-    items AS (SELECT o_orderpriority AS project, 'orders/order_' || o_orderkey || '.py' AS path, n,
-        (o_custkey + n) % 5 AS q, o_orderstatus AS f, n AS pos FROM numbers),
-    placed AS (SELECT *, (sum(q + 3) OVER (PARTITION BY path ORDER BY pos) - (q + 3) + 1)::INT AS lineno FROM items)"""
-
-
-@check("x01_file_facts", f"""WITH {ORDER_ITEMS}
-    SELECT project, path, sum(q + 3)::INT AS n_lines, count(*)::INT AS n_functions, 0 AS n_classes,
-        0 AS n_calls, true AS parsed FROM placed GROUP BY ALL""")
-def file_facts(spark, sf_dir):
-    return order_facts(spark, sf_dir).select(
-        "project", "path", "n_lines", F.size("functions").alias("n_functions"),
-        F.size("classes").alias("n_classes"), F.size("calls").alias("n_calls"),
-        F.col("parse_error").isNull().alias("parsed"),
-    )
-
-
-@check("x02_parse_errors", f"WITH {oracle.PART}, {oracle.ERRORS} "
-       "SELECT project, path, 'Syntax error: invalid syntax (line 1)' AS error, 1 AS line FROM errors")
-def parse_errors(spark, sf_dir):
-    return code.parse_errors(facts_of("broken")(spark, sf_dir))
-
-
-@check("x03_functions", f"""WITH {ORDER_ITEMS}
-    SELECT project, path, 'line_' || n AS name, lineno, (lineno + q + 2)::INT AS end_lineno, (q + 3)::INT AS n_lines,
-        'a' AS params FROM placed""")
-def functions(spark, sf_dir):
-    return code.functions(order_facts(spark, sf_dir)).select(
-        "project", "path", "name", "lineno", "end_lineno", "n_lines", F.array_join("params", ",").alias("params")
-    )
-
-
-@check("x04_classes", f"""WITH {oracle.PART} SELECT project, 'long/part_' || k || '.py' AS path, 'Big' AS name,
-    3 * s + 4 AS lineno, 11 * s + 4 AS end_lineno, 8 * s + 1 AS n_lines FROM part_rows""")
-def classes(spark, sf_dir):
-    return code.classes(facts_of("long")(spark, sf_dir)).select(
-        "project", "path", "name", "lineno", "end_lineno", "n_lines"
-    )
-
-
-@check("x05_import_bindings", f"""WITH {oracle.PART} SELECT project, 'imports/part_' || k || '.py' AS path,
-    unnest(['os', 'system', 'dumps', 'loads', 'xml']) AS local,
-    unnest([CASE WHEN s % 7 = 0 THEN 9 ELSE 2 END, 3, 4, 4, 5])::INT AS lineno,
-    unnest(['os', 'system', 'dumps', 'loads', 'xml.dom']) AS display FROM part_rows""")
-def import_bindings(spark, sf_dir):
-    return code.bindings(facts_of("imports")(spark, sf_dir)).select("project", "path", "local", "lineno", "display")
-
-
-@check("x06_names", f"""WITH {oracle.PART}, n AS (SELECT project, 'imports/part_' || k || '.py' AS path, unnest(
-    ['__all__'] || CASE WHEN s % 2 = 0 THEN ['print', 'system'] ELSE [] END
-    || CASE WHEN s % 3 = 0 THEN ['xml'] ELSE [] END) AS name FROM part_rows) SELECT * FROM n""")
-def names(spark, sf_dir):
-    return code.names(facts_of("imports")(spark, sf_dir))
-
-
-@check("x07_exported", f"""WITH {oracle.PART} SELECT project, 'imports/part_' || k || '.py' AS path,
-    'loads' AS name FROM part_rows WHERE s % 4 = 0""")
-def exported(spark, sf_dir):
-    return code.exported(facts_of("imports")(spark, sf_dir))
-
-
-@check("x08_import_sources", f"""WITH {oracle.EVENTS} SELECT project, path,
-    CASE v WHEN 5 THEN 'md5' ELSE 'load' END AS local, CASE v WHEN 5 THEN 'hashlib' ELSE 'pickle' END AS module
-    FROM event_rows WHERE v IN (5, 11)""")
-def import_sources(spark, sf_dir):
-    return code.import_sources(code.extract_facts(made.call_files(spark, sf_dir)))
-
-
-CALL_FACTS = (
-    ("name", "eval", None, "", "Name", None), ("attribute", "eval", "m", "", "Name", None),
-    ("attribute", "run", "subprocess", "shell=True", "Name", None), ("name", "run", None, "shell=", "Name", None),
-    ("attribute", "md5", "hashlib", "", "Name", None), ("name", "md5", None, "", "Name", None),
-    ("attribute", "loads", "pickle", "", "Name", None), ("attribute", "loads", "json", "", "Name", None),
-    ("attribute", "execute", "cur", "", "BinOp", "Add"), ("attribute", "execute", "cur", "", "JoinedStr", None),
-    ("attribute", "execute", "cur", "", "Constant", None), ("name", "load", None, "", "Name", None),
-)
-_CALL_VALUES = ", ".join(
-    "(" + ", ".join([str(v)] + ["NULL" if x is None else f"'{x}'" for x in row]) + ")"
-    for v, row in enumerate(CALL_FACTS)
-)
-
-
-@check("x09_calls", f"""WITH {oracle.EVENTS} SELECT project, path, 2 AS lineno, form, func, recv, keywords,
-    arg0_kind, arg0_op FROM event_rows JOIN (VALUES {_CALL_VALUES})
-    AS c(v, form, func, recv, keywords, arg0_kind, arg0_op) USING (v)""")
-def calls(spark, sf_dir):
-    keyword = lambda k: F.concat(k["name"], F.lit("="), F.coalesce(k["const"], F.lit("")))
-    return code.calls(code.extract_facts(made.call_files(spark, sf_dir))).select(
-        "project", "path", "lineno", "form", "func", "recv",
-        F.array_join(F.transform("keywords", keyword), ",").alias("keywords"), "arg0_kind", "arg0_op",
-    )
-
-
-@check("x10_handlers", f"""WITH {oracle.PART} SELECT project, 'handlers/part_' || k || '.py' AS path, 3 AS lineno,
-    CASE s % 6 WHEN 0 THEN NULL WHEN 2 THEN 'Tuple' WHEN 5 THEN 'Attribute' ELSE 'Name' END AS type_kind,
-    CASE s % 6 WHEN 1 THEN 'Exception' WHEN 3 THEN 'ValueError' WHEN 4 THEN 'BaseException' END AS type_name,
-    s % 4 < 2 AS only_pass FROM part_rows""")
-def handlers(spark, sf_dir):
-    return code.handlers(facts_of("handlers")(spark, sf_dir)).drop("bfs")
-
-
-@check("x11_suppression_marks", f"""WITH {oracle.PART} SELECT project, 'imports/part_' || k || '.py' AS path,
-    2 AS lineno FROM part_rows WHERE s % 5 = 0""")
-def suppression_marks(spark, sf_dir):
-    marked = F.col("line_text").contains("noqa")
-    return code.imports(facts_of("imports")(spark, sf_dir)).filter(marked).select("project", "path", "lineno")
-
-
-# ---------------------------------------------------------------- rules
-
-def rule_query(checker: str, files: Query, **thresholds) -> Query:
-    def run(spark, sf_dir):
-        rule = builtin_rule(checker)
-        facts = scan_facts(files(spark, sf_dir), [rule])
-        if rule.query is not None:
-            facts = stage(facts, "facts")
-        return scan_issues(facts, [rule], {checker: thresholds}).select(*ISSUE_FIELDS)
-
-    return run
-
-
-def family_union(*names: str) -> Query:
-    return lambda spark, sf_dir: made.families(spark, sf_dir, *names)
-
-
-for _number, _checker, _files in (
-    ("r01", "complexity", family_union("branches", "nest")),
-    ("r02", "long-function", family_union("branches", "long")),
-    ("r04", "unused-imports", family_union("imports")),
-    ("r05", "deep-nesting", family_union("nest")),
-    ("r06", "too-many-parameters", family_union("params")),
-    ("r07", "long-file", family_union("long")),
-    ("r08", "large-class", family_union("long")),
-    ("r09", "mutable-default-arg", family_union("defaults")),
-    ("r10", "broad-exception", family_union("handlers")),
-    ("r11", "dangerous-exec", made.call_files),
-    ("r12", "unsafe-subprocess", made.call_files),
-    ("r13", "weak-crypto", made.call_files),
-    ("r14", "unsafe-deserialization", made.call_files),
-    ("r15", "sql-injection-risk", made.call_files),
-    ("r16", "hardcoded-secret", family_union("secrets")),
-):
-    check(f"{_number}_{_checker.replace('-', '_')}", oracle.issues_sql([_checker]))(rule_query(_checker, _files))
-
-check("r03_duplicate_code", oracle.issues_sql(["duplicate-code"]))(
-    rule_query("duplicate-code", family_union("dups", "branches", "nest"))
-)
-
-
-@check("r01_complexity_of_functions", f"""WITH {oracle.PART}
-    SELECT project, 'nest/part_' || k || '.py' AS path, 'g' AS name, 2 + s % 7 AS score, 1 + s % 7 AS deepest FROM part_rows
-    UNION ALL SELECT project, 'branches/part_' || k || '.py', 'h', 1 + s, 1 FROM part_rows""")
-def complexity_of_functions(spark, sf_dir):
-    facts = code.extract_facts(family_union("nest", "branches")(spark, sf_dir))
-    return code.functions(facts).select(
-        "project", "path", "name",
-        tree_rules.complexity_score(F.struct("decisions")).alias("score"), F.size("nesting").alias("deepest"),
-    )
-
-
-COPIES = f"""WITH {ORDER_ITEMS}, bodies AS (SELECT *, count(*) OVER (PARTITION BY project, q, f) AS occurrences,
-    row_number() OVER (PARTITION BY project, q, f ORDER BY path, pos) AS place FROM placed WHERE q + 3 >= 5)"""
-
-
-@check("r03_duplicate_groups", COPIES + """ SELECT project, occurrences::INT AS occurrences, path AS first_path,
-    lineno AS first_line FROM bodies WHERE place = 1 AND occurrences > 1""")
-def duplicate_groups(spark, sf_dir):
-    return duplicates.duplicate_groups(staged_order_facts(spark, sf_dir)).select(
-        "project", "occurrences", F.col("first.path").alias("first_path"), F.col("first.lineno").alias("first_line")
-    )
-
-
-@check("r03_duplicate_places", COPIES + """ SELECT project, path, lineno, 'line_' || n AS name,
-    occurrences::INT AS occurrences, place = 1 AS is_first FROM bodies WHERE occurrences > 1""")
-def duplicate_places(spark, sf_dir):
-    return duplicates.duplicate_places(staged_order_facts(spark, sf_dir)).select(
-        "project", "path", "lineno", "name", "occurrences", "is_first"
-    )
-
-
-@check("r03_hot_copies", COPIES + """ SELECT project, min_by(path, place) AS path, count(*)::INT AS measure,
-    'Same function body also at: '
-    || array_to_string(list(path || ':' || lineno ORDER BY place) FILTER (place BETWEEN 2 AND 21), ', ')
-    || CASE WHEN count(*) > 21 THEN ' and ' || (count(*) - 21) || ' more places' ELSE '' END
-    || ' (' || count(*) || ' occurrences)' AS message
-    FROM bodies WHERE occurrences > 1 GROUP BY project, q, f""")
-def hot_copies(spark, sf_dir):
-    found = duplicates.duplicate_code(staged_order_facts(spark, sf_dir), named_places=20)
-    return found.select("project", "path", "measure", "message")
-
-
-@check("r07_long_documents", f"""SELECT source AS project, doc_id::VARCHAR AS path, n AS measure
-    FROM (SELECT *, len({oracle.line_list('text')})::INT AS n FROM documents) WHERE n > 20""")
-def long_documents(spark, sf_dir):
-    rule = builtin_rule("long-file")
-    facts = scan_facts(made.document_files(spark, sf_dir), [rule])
-    return file_issues(facts, [rule], {"long-file": {"threshold": 20}}).select("project", "path", "measure")
-
-
-_ASSIGNED = (
-    r"""(?i)(?:token|secret|password|api_key)\w*["'']?\s*(?::\s*[a-z_][a-z0-9_.\[\]]*\s*=|=|:)"""
-    r"""\s*[rbuf]{0,2}["'']([^"''\s]{16,})["'']"""
+from quarrylint.checks import (  # noqa: F401
+    source_checks, fact_checks, rule_checks, scan_checks, report_checks,
 )
-_SIGNED = (
-    ("aws-access-key", "AKIA[0-9A-Z]{16}"), ("github-token", "gh[pousr]_[A-Za-z0-9]{36}"),
-    ("slack-token", "xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("json-web-token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    ("private-key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-)
-
-
-@check("r16_document_secrets", f"""WITH split AS (SELECT doc_id, {oracle.line_list('text')} AS parts FROM documents),
-    all_lines AS (SELECT doc_id, unnest(range(1, len(parts) + 1))::INT AS line, unnest(parts) AS text FROM split),
-    known AS (""" + " UNION ALL ".join(
-        f"SELECT doc_id, line, text, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{pattern}'))) AS value FROM all_lines"
-        for kind, pattern in _SIGNED) + f"""),
-    assigned AS (SELECT doc_id, line, text, 'high-entropy' AS kind,
-        unnest(list_distinct(regexp_extract_all(text, '{_ASSIGNED}', 1))) AS value
-        FROM all_lines ANTI JOIN known USING (doc_id, line)),
-    hits AS (SELECT *, NULL AS bits FROM known UNION ALL
-        SELECT * FROM (SELECT *, {oracle.entropy('value')} AS bits FROM assigned) WHERE bits >= 3.0)
-    SELECT doc_id, line, instr(text, value)::INT AS "column", kind, value[1:4] || '****' AS snippet, bits::DOUBLE AS bits
-    FROM hits""")
-def document_secrets(spark, sf_dir):
-    hits = made.document_files(spark, sf_dir).select(
-        F.col("path").cast("bigint").alias("doc_id"), F.inline(secret_hits(F.col("content")))
-    )
-    return hits.select("doc_id", "line", "column", "kind", masked(F.col("value")).alias("snippet"), "bits")
-
-
-@check("r16_entropy", f"""SELECT item_id, {oracle.entropy('text')} AS bits FROM benchmark WHERE text <> ''
-    UNION ALL SELECT doc_id + 1000000, {oracle.entropy('lang')} FROM documents""")
-def text_entropy(spark, sf_dir):
-    items = made.table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", entropy(F.col("text")).alias("bits"))
-    langs = made.table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") + 1000000).alias("item_id"), entropy(F.col("lang")).alias("bits")
-    )
-    return items.unionByName(langs)
-
-
-def _fragile_check(path: str, content: str) -> list[dict]:
-    """A custom rule that flags additions and breaks on subtractions: here, on files with 30 branches."""
-    branches = content.count("x += 1")
-    if branches == 30:
-        raise ValueError("thirty")
-    if branches > 40:
-        return [{"severity": "info", "line": 1, "message": f"{branches} branches", "measure": branches}]
-    return []
-
-
-@check("r17_rule_failure", f"""WITH {oracle.PART}
-    SELECT project, 'branches/part_' || k || '.py' AS path, 'UNKNOWN' AS rule_id, 'branch-count' AS checker,
-        CASE WHEN s = 30 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN s = 30 THEN 0 ELSE 1 END AS line,
-        CASE WHEN s = 30 THEN 'Rule ''branch-count'' failed on this file: thirty' ELSE s || ' branches' END AS message
-    FROM part_rows WHERE s = 30 OR s > 40""")
-def rule_failure(spark, sf_dir):
-    rule = python_rule("branch-count", "quality", _fragile_check)
-    facts = scan_facts(made.families(spark, sf_dir, "branches"), [rule])
-    return file_issues(facts, [rule]).select("project", "path", "rule_id", "checker", "severity", "line", "message")
-
-
-# ---------------------------------------------------------------- composition
-
-@check("c01_full_scan", oracle.issues_sql())
-def full_scan(spark, sf_dir):
-    return scan(made.corpus(spark, sf_dir)).issues.select(*ISSUE_FIELDS)
-
-
-@check("c02_issue_order", oracle.issues_cte() + """SELECT project, path, checker, line, symbol,
-    row_number() OVER (PARTITION BY project ORDER BY phase, path, rule_order, bfs, ord) AS seq FROM issues""")
-def issue_order(spark, sf_dir):
-    return in_order(corpus_scan(spark, sf_dir).issues).select("project", "path", "checker", "line", "symbol", "seq")
-
-
-_SECURITY_RULES = [c for c, category in oracle.CATEGORIES.items() if category == "security"]
-_CLI_RULES = ["complexity", "long-function", "duplicate-code", "unused-imports", "hardcoded-secret"]
-
-
-@check("c03_only_security", oracle.issues_sql(_SECURITY_RULES))
-def only_security(spark, sf_dir):
-    return scan(made.corpus(spark, sf_dir), only="security").issues.select(*ISSUE_FIELDS)
-
-
-@check("c04_thresholds", oracle.issues_sql(
-    ["complexity", "long-function", "deep-nesting", "too-many-parameters", "long-file", "large-class"],
-    **{"complexity": 20, "long-function": 30, "deep-nesting": 2, "too-many-parameters": 3, "long-file": 200,
-       "large-class": 100}))
-def thresholds(spark, sf_dir):
-    limits = {"complexity": 20, "long-function": 30, "deep-nesting": 2, "too-many-parameters": 3,
-              "long-file": 200, "large-class": 100}
-    rules = choose_rules(list(limits))
-    facts = scan_facts(family_union("branches", "nest", "params", "long")(spark, sf_dir), rules)
-    given = {name: {"threshold": limit} for name, limit in limits.items()}
-    return scan_issues(facts, rules, given).select(*ISSUE_FIELDS)
-
-
-@check("c05_cli_profile", oracle.issues_sql(_CLI_RULES))
-def cli_profile(spark, sf_dir):
-    return scan(made.corpus(spark, sf_dir), profile="cli").issues.select(*ISSUE_FIELDS)
-
-
-@check("c06_custom_rules", f"""WITH {oracle.PART}
-    SELECT project, 'dups/part_' || k || '.py' AS path, 'ORG001' AS rule_id, 'short-name' AS checker,
-        'd_' || k AS symbol, 'Short function name' AS message FROM part_rows WHERE len(k) <= 2
-    UNION ALL SELECT project, min('dups/part_' || k || '.py'), 'UNKNOWN', 'crowded-project', NULL,
-        'Project has ' || count(*) || ' functions' FROM part_rows GROUP BY project""")
-def custom_rules(spark, sf_dir):
-    def short_name():
-        return F.transform(
-            F.filter("functions", lambda f: F.length(f["name"]) <= 4),
-            lambda f: finding("info", f["lineno"], "Short function name", symbol=f["name"], bfs=f["bfs"]),
-        )
-
-    def crowded(facts):
-        counted = code.functions(facts).groupBy("project").agg(F.count("*").alias("n"), F.min("path").alias("path"))
-        note = finding("info", 1, F.format_string("Project has %d functions", "n"))
-        return counted.select("project", "path", note.alias("f")).select("project", "path", "f.*")
-
-    rules = [
-        Rule("short-name", "quality", findings=short_name, parts=("functions",), rule_id="ORG001"),
-        Rule("crowded-project", "quality", query=crowded),
-    ]
-    facts = code.extract_facts(made.families(spark, sf_dir, "dups"))
-    return scan_issues(facts, rules).select("project", "path", "rule_id", "checker", "symbol", "message")
-
-
-@check("c07_explained_issues", oracle.issues_cte() + f""", {oracle.CATALOG}, named AS (
-    SELECT project, path, line, CASE WHEN severity = 'info' THEN 'house-rule' ELSE checker END AS checker, message FROM issues)
-    SELECT project, path, line, named.checker, message, coalesce(rule_id, 'UNKNOWN') AS rule_id,
-        coalesce(why, '') AS why, coalesce(fix, '') AS fix FROM named LEFT JOIN catalog USING (checker)""")
-def explained_issues(spark, sf_dir):
-    named = corpus_scan(spark, sf_dir).issues.withColumn(
-        "checker", F.when(F.col("severity") == "info", "house-rule").otherwise(F.col("checker"))
-    )
-    return explain_issues(named).select("project", "path", "line", "checker", "message", "rule_id", "why", "fix")
-
-
-@check("c07_rule_usage", oracle.issues_cte() + f""", {oracle.CATALOG}
-    SELECT catalog.checker, catalog.rule_id, count(issues.path)::INT AS n FROM catalog LEFT JOIN issues
-    ON issues.checker = catalog.checker GROUP BY ALL""")
-def rule_usage(spark, sf_dir):
-    counted = corpus_scan(spark, sf_dir).issues.groupBy("checker").agg(F.count("*").cast("int").alias("n"))
-    return rule_catalog(spark).join(counted, "checker", "left").select(
-        "checker", "rule_id", F.coalesce("n", F.lit(0)).alias("n")
-    )
-
-
-@check("c08_relative_paths", f"WITH {oracle.PART}, {oracle.ERRORS} SELECT 'tree' AS project, "
-       "project || '/' || path AS path, 1 AS line FROM errors")
-def relative_paths(spark, sf_dir):
-    files = made.families(spark, sf_dir, "broken").selectExpr("concat(project, '/', path) AS path", "content")
-    loaded = tree.load_tree(spark, files_on_disk.write_tree(files), project="tree")
-    return code.parse_errors(code.extract_facts(loaded)).select("project", "path", "line")
-
-
-@check("c09_rules_run", f"""WITH {oracle.PART}, {oracle.EVENTS}, {oracle.FILES}, {PROJECTS}
-    SELECT project, CASE WHEN project IN (SELECT s_name FROM supplier) THEN '' ELSE '{",".join(oracle.PROFILES["web"])}' END
-    AS checkers_run FROM projects""")
-def rules_run(spark, sf_dir):
-    found = report.project_report(corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir))
-    return found.filter("part = 0").select("project", F.array_join("checkers_run", ",").alias("checkers_run"))
-
-
-# ---------------------------------------------------------------- triage
-
-_TRIAGE_FIELDS = ["project", "path", "line", "checker", "severity", "message"]
-_TRIAGE = "SELECT project, path, line, checker, severity, message FROM issues "
-
-
-def triage_query(change: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: change(corpus_scan(spark, sf_dir).issues).select(*_TRIAGE_FIELDS)
-
-
-check("q01_by_category", oracle.issues_cte() + _TRIAGE + "WHERE category = 'security'")(
-    triage_query(lambda issues: triage.by_category(issues, "security")))
-check("q02_by_severity", oracle.issues_cte() + _TRIAGE + "WHERE severity = 'error'")(
-    triage_query(lambda issues: triage.by_severity(issues, "error")))
-check("q03_by_file", oracle.issues_cte() + _TRIAGE + "WHERE path = 'imports/part_11.py'")(
-    triage_query(lambda issues: triage.by_file(issues, "imports/part_11.py")))
-check("q04_search", oracle.issues_cte() + _TRIAGE + """WHERE contains(lower(message), 'md5')
-    OR contains(lower(path), 'md5') OR contains(lower(checker), 'md5')""")(
-    triage_query(lambda issues: triage.search(issues, "MD5")))
-check("q04_search_plain_text", oracle.issues_cte() + _TRIAGE + """WHERE contains(lower(message), 'part_1')
-    OR contains(lower(path), 'part_1') OR contains(lower(checker), 'part_1')""")(
-    triage_query(lambda issues: triage.search(issues, "part_1")))
-
-
-@check("q05_triage_order", oracle.issues_cte() + f"""SELECT * FROM (
-    SELECT project, path, line, checker, severity, message, row_number() OVER (PARTITION BY project
-        ORDER BY {oracle.RANK}, path, phase, rule_order, bfs, ord)::INT AS place FROM issues)""")
-def triage_order(spark, sf_dir):
-    issues = corpus_scan(spark, sf_dir).issues
-    ranked = numbered(issues, ["project"], ["severity_rank", "path", "phase", "rule_order", "bfs", "ord"], "place")
-    return ranked.select(*_TRIAGE_FIELDS, F.col("place").cast("int").alias("place"))
-
-
-@check("q05_triage_top", oracle.issues_cte() + f"""SELECT project, path, line, checker, severity, message FROM issues
-    WHERE category = 'security' ORDER BY {oracle.RANK}, path, phase, rule_order, bfs, ord, project LIMIT 100""")
-def triage_top(spark, sf_dir):
-    return triage.triage(corpus_scan(spark, sf_dir).issues, category="security", top=100).select(*_TRIAGE_FIELDS)
-
-
-@check("q06_report_order", oracle.issues_cte() + """SELECT project, path, line, checker, row_number() OVER (
-    PARTITION BY project ORDER BY CASE category WHEN 'security' THEN 0 ELSE 1 END, path, line, phase, rule_order, bfs, ord)::INT
-    AS place FROM issues""")
-def report_order(spark, sf_dir):
-    issues = corpus_scan(spark, sf_dir).issues.withColumn("section", F.when(F.col("category") == "security", 0).otherwise(1))
-    ranked = numbered(
-        issues, ["project"], ["section", "path", "line", "phase", "rule_order", "bfs", "ord"], "place"
-    )
-    return ranked.select("project", "path", "line", "checker", F.col("place").cast("int").alias("place"))
-
-
-@check("q07_parse_error_view", f"WITH {oracle.PART}, {oracle.ERRORS} "
-       "SELECT project, path, 'Syntax error: invalid syntax (line 1)' AS error, 1 AS line FROM errors")
-def parse_error_view(spark, sf_dir):
-    return corpus_scan(spark, sf_dir).parse_errors
-
-
-for _level in ("critical", "error"):
-    _limit = 0 if _level == "critical" else 1
-    check(f"q08_gate_{_level}", oracle.issues_cte() + f""", {PROJECTS}, worst AS (
-        SELECT project, min({oracle.RANK}) AS worst FROM issues GROUP BY project)
-        SELECT project, coalesce(worst <= {_limit}, false) AS failed FROM projects LEFT JOIN worst USING (project)""")(
-        lambda spark, sf_dir, level=_level: report.severity_gate(
-            corpus_projects(spark, sf_dir), corpus_scan(spark, sf_dir).issues, level))
-
-
-# ---------------------------------------------------------------- roll-ups
-
-@check("a01_summary", oracle.issues_cte() + f"SELECT project, {oracle.SUMMARY} FROM issues GROUP BY project")
-def summary(spark, sf_dir):
-    return report.summary(corpus_scan(spark, sf_dir).issues)
-
-
-@check("a02_sub_scores", oracle.issues_cte() + f", {oracle.SCORES} SELECT project, security, quality, complexity FROM sub")
-def sub_scores(spark, sf_dir):
-    return report.sub_scores(corpus_scan(spark, sf_dir).issues)
-
-
-@check("a03_overall_score", oracle.issues_cte() + f", {oracle.SCORES} SELECT project, {oracle.OVERALL} AS overall FROM sub")
-def overall_score(spark, sf_dir):
-    return report.scores(corpus_scan(spark, sf_dir).issues).select("project", "overall")
-
-
-# Scores per file rather than per project, so that all bands occur.
-@check("a04_health_band", oracle.issues_cte() + f""", {oracle.SCORES.replace('SELECT project,', "SELECT project || '/' || path AS project,")
-    .replace('GROUP BY project', 'GROUP BY ALL')}
-    SELECT project, {oracle.OVERALL} AS overall, {oracle.band(oracle.OVERALL)} AS band FROM sub""")
-def health_band(spark, sf_dir):
-    per_file = corpus_scan(spark, sf_dir).issues.withColumn("project", F.concat("project", F.lit("/"), "path"))
-    return report.scores(per_file).select("project", "overall", "band")
-
-
-@check("a05_file_breakdown", oracle.issues_cte() + """SELECT project, path, count(checker)::INT AS total,
-    count(*) FILTER (category = 'security')::INT AS security, count(*) FILTER (category = 'quality')::INT AS quality,
-    count(*) FILTER (severity = 'critical')::INT AS critical
-    FROM files LEFT JOIN issues USING (project, path) GROUP BY project, path""")
-def file_breakdown(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    return report.file_breakdown(done.facts, done.issues)
-
-
-@check("a06_coverage", f"""WITH {oracle.PART}, {oracle.EVENTS}, {oracle.FILES}, {oracle.ERRORS}
-    SELECT project, count(*)::INT AS files_scanned, count(errors.path)::INT AS files_with_errors,
-        (count(*) - count(errors.path))::INT AS files_analyzed FROM files LEFT JOIN errors USING (project, path) GROUP BY project""")
-def coverage(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    return report.coverage(done.facts, done.parse_errors)
-
-
-FLAGGED = """, flagged AS (SELECT project, path, row_number() OVER (PARTITION BY project
-    ORDER BY min({phase: phase, path: path, rule_order: rule_order, bfs: bfs, ord: ord})) AS rank
-    FROM issues GROUP BY project, path)"""
-
-
-@check("a07_flagged_files", oracle.issues_cte() + FLAGGED + " SELECT project, path, rank::INT AS rank FROM flagged WHERE rank <= 30")
-def flagged_files(spark, sf_dir):
-    return report.flagged_files(corpus_scan(spark, sf_dir).issues)
-
-
-@check("a07_flagged_sources", oracle.issues_cte() + FLAGGED + """ SELECT project, path, rank::INT AS rank,
-    left(split_part(path, '/', 1), 1) AS first_letter FROM flagged WHERE rank <= 30""")
-def flagged_sources(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    found = report.flagged_sources(done.files, done.issues)
-    # every family starts in its own way; broken files have no issue
-    starts = F.expr("""CASE WHEN path LIKE 'calls%' AND source NOT LIKE 'class %' THEN 'c'
-        WHEN source LIKE 'def h%' THEN 'b' WHEN source LIKE 'def long%' THEN 'l' WHEN source LIKE 'def d_%' THEN 'd'
-        WHEN source LIKE 'from __future__%' THEN 'i' WHEN source LIKE 'def f(a%' AND path LIKE 'defaults%' THEN 'd'
-        WHEN source LIKE 'try:%' THEN 'h' WHEN source LIKE 'def g%' THEN 'n' WHEN source LIKE 'def f(a0%' THEN 'p'
-        WHEN source LIKE 'pass%' THEN 's' END""")
-    return found.select("project", "path", "rank", starts.alias("first_letter"))
-
-
-ANNOTATED = """, marked AS (SELECT project, path, 'x = ' || k AS first, severity FROM part_rows JOIN
-    (SELECT project AS p, path, severity FROM issues) i ON i.p = project AND i.path = 'long/part_' || k || '.py')"""
-
-
-@check("a08_annotated_source", oracle.issues_cte(["long-function", "large-class", "long-file"]) + f""", {oracle.CATALOG},
-    sources AS (SELECT DISTINCT issues.project, issues.path, s FROM issues JOIN part_rows ON issues.project = part_rows.project
-        AND issues.path = 'long/part_' || k || '.py'),
-    all_lines AS (SELECT project, path, unnest(range(1, 11 * s + 6))::INT AS line_no FROM sources),
-    marks AS (SELECT project, path, line AS line_no, checker, message, fix FROM issues JOIN catalog USING (checker))
-    SELECT all_lines.project, all_lines.path, all_lines.line_no, checker, message, fix, message IS NOT NULL AS flagged
-    FROM all_lines LEFT JOIN marks USING (project, path, line_no)""")
-def annotated_source(spark, sf_dir):
-    rules = choose_rules(["long-function", "large-class", "long-file"])
-    files = made.families(spark, sf_dir, "long")
-    issues = scan_issues(scan_facts(files, rules), rules)
-    sources = report.flagged_sources(files, issues, max_files=999)
-    return report.annotated_source(sources, issues).select(
-        "project", "path", "line_no", "checker", "message", "fix", "flagged"
-    )
-
-
-@check("a08_excerpts", f"""WITH {oracle.PART}, sources AS (SELECT *, 'nest/part_' || k || '.py' AS path, 1 + s % 7 AS n
-        FROM part_rows WHERE 1 + s % 7 > 4),
-    near AS (SELECT *, unnest([4, 5, 6, 7, 8]) AS line_no FROM sources)
-    SELECT project, path, line_no::INT AS line_no, 'deep-nesting' AS checker, 6 AS line, line_no = 6 AS flagged,
-        CASE WHEN line_no <= n + 1 THEN repeat('    ', line_no - 1) || 'if x > ' || (line_no - 1) || ':'
-        WHEN line_no = n + 2 THEN repeat('    ', n + 1) || 'return x + ' || k ELSE '' END AS text
-    FROM near WHERE line_no <= n + 3""")
-def excerpts(spark, sf_dir):
-    rule = builtin_rule("deep-nesting")
-    files = made.families(spark, sf_dir, "nest")
-    issues = scan_issues(scan_facts(files, [rule]), [rule])
-    sources = report.flagged_sources(files, issues, max_files=999)
-    return report.excerpts(sources, issues, context=2).select(
-        "project", "path", "line_no", "checker", "line", "flagged", "text"
-    )
-
-
-OVERVIEW = oracle.issues_cte() + f""", {PROJECTS}, {oracle.SCORES},
-    counts AS (SELECT project, {oracle.SUMMARY} FROM issues GROUP BY project),
-    covered AS (SELECT project, count(*)::INT AS files_scanned, count(errors.path)::INT AS files_with_errors
-        FROM files LEFT JOIN errors USING (project, path) GROUP BY project),
-    overview AS (SELECT project, coalesce(files_scanned, 0)::INT AS files_scanned,
-        coalesce(files_with_errors, 0)::INT AS files_with_errors,
-        (coalesce(files_scanned, 0) - coalesce(files_with_errors, 0))::INT AS files_analyzed,
-        coalesce(total, 0) AS total, coalesce(counts.quality, 0) AS quality, coalesce(counts.security, 0) AS security,
-        coalesce(critical, 0) AS critical, coalesce(error, 0) AS error, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info,
-        coalesce(sub.security, 100) AS score_security, coalesce(sub.quality, 100) AS score_quality,
-        coalesce(sub.complexity, 100) AS score_complexity
-        FROM projects LEFT JOIN covered USING (project) LEFT JOIN counts USING (project) LEFT JOIN sub USING (project)),
-    whole AS (SELECT *, round((score_security + score_quality + score_complexity) / 3.0)::INT AS score_overall FROM overview)"""
-
-
-@check("a09_project_overview", OVERVIEW + f""" SELECT *, {oracle.band('score_overall')} AS band,
-    CASE WHEN files_scanned = 0 THEN '{report.NO_FILES_NOTE}' END AS note FROM whole""")
-def project_overview(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    return report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
-
-
-@check("a10_project_report", OVERVIEW + f""", flagged AS (SELECT project, least(30, count(DISTINCT path))::INT AS n_sources
-        FROM issues GROUP BY project)
-    SELECT project, total, score_overall AS overall, files_scanned, files_analyzed, total AS n_issues,
-        files_with_errors AS n_errors, files_scanned AS n_files, coalesce(n_sources, 0) AS n_sources,
-        greatest(1, ceil(greatest(total, files_scanned) / 50.0))::INT AS parts
-    FROM whole LEFT JOIN flagged USING (project)""")
-def project_report(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    parts = report.project_report(done, corpus_projects(spark, sf_dir), part_rows=50)
-    lists = {"n_issues": "issues", "n_errors": "parse_errors", "n_files": "files_list"}
-    return parts.groupBy("project").agg(
-        F.max("summary.total").alias("total"), F.max("score.overall").alias("overall"),
-        F.max("files_scanned").alias("files_scanned"), F.max("files_analyzed").alias("files_analyzed"),
-        *[F.sum(F.size(c)).cast("int").alias(name) for name, c in lists.items()],
-        F.sum(F.when(F.col("part") == 0, F.size("sources")).otherwise(0)).cast("int").alias("n_sources"),
-        F.max("parts").alias("parts"),
-    )
-
-
-@check("a10_report_issues", oracle.issues_cte() + f""", {oracle.CATALOG}, ranked AS (SELECT *, row_number() OVER (
-        PARTITION BY project ORDER BY phase, path, rule_order, bfs, ord) - 1 AS place FROM issues)
-    SELECT project, (place // 50)::INT AS part, (place % 50)::INT AS pos, ranked.rule_id, path AS file, line, message, why, fix
-    FROM ranked JOIN catalog USING (checker)""")
-def report_issues(spark, sf_dir):
-    parts = report.project_report(corpus_scan(spark, sf_dir), part_rows=50)
-    return parts.select("project", "part", F.posexplode("issues").alias("pos", "i")).select(
-        "project", "part", "pos", "i.rule_id", "i.file", "i.line", "i.message", "i.why", "i.fix"
-    )
-
-
-@check("a11_failed_scans", f"""WITH {oracle.PART} SELECT 'part_' || k || '.zip' AS project, 'failed' AS status,
-    'Unsafe path in zip: ../evil.py' AS error, 0 AS files_scanned, '' AS files_list FROM part_rows WHERE s % 5 = 0""")
-def failed_scans(spark, sf_dir):
-    root = files_on_disk.write_archives(spark, sf_dir)
-    files, rejects = archives.load_archives(spark, root)
-    return archives.failed_scans(rejects, files).withColumn("files_list", F.array_join("files_list", ",")).drop("part")
-
-
-# ---------------------------------------------------------------- sinks
-
-@check("k01_json_reports", OVERVIEW + """, firsts AS (SELECT project, min_by(path || ':' || message,
-        {phase: phase, path: path, rule_order: rule_order, bfs: bfs, ord: ord}) AS first_issue FROM issues GROUP BY project)
-    SELECT project, total::VARCHAR AS total, critical::VARCHAR AS critical, total AS n_issues, files_with_errors AS n_errors,
-        first_issue FROM whole LEFT JOIN firsts USING (project)""")
-def json_reports(spark, sf_dir):
-    whole = report.project_report(corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir), part_rows=100_000)
-    documents = report.json_reports(whole)
-    field = lambda path: F.get_json_object("document", path)
-    return documents.select(
-        "project", field("$.summary.total").alias("total"), field("$.summary.critical").alias("critical"),
-        F.json_array_length(field("$.issues")).alias("n_issues"),
-        F.json_array_length(field("$.parse_errors")).alias("n_errors"),
-        F.concat(field("$.issues[0].file"), F.lit(":"), field("$.issues[0].message")).alias("first_issue"),
-    )
-
-
-@check("k02_text_report", OVERVIEW + """,
-    entries AS (SELECT project, CASE category WHEN 'security' THEN 0 ELSE 1 END AS section, 1 AS kind, path, line,
-        phase, rule_order, bfs, ord,
-        '  ' || path || ':' || line || '  [' || upper(severity) || '] (' || checker || ') ' || message AS text FROM issues
-        UNION ALL SELECT project, 2, 1, path, 0, 0, 0, 0, 0, '  ' || path || ': Syntax error: invalid syntax (line 1)' FROM errors),
-    shown AS (SELECT project, unnest([0, 1, 2, 3]) AS section, unnest(['SECURITY', 'CODE QUALITY', 'PARSE ERRORS', 'SUMMARY']) AS title,
-        unnest([security > 0, quality > 0, files_with_errors > 0, true]) AS wanted FROM whole),
-    all_lines AS (SELECT * FROM entries
-        UNION ALL SELECT project, section, 0, '', 0, 0, 0, 0, 0, title FROM shown WHERE wanted
-        UNION ALL SELECT project, section, 2, '', 0, 0, 0, 0, 0, '' FROM shown WHERE wanted AND section < 3
-        UNION ALL SELECT project, 3, 1, '', 0, 0, 0, 0, 0, '  ' || total || ' issues (' || security || ' security, ' || quality
-            || ' quality); ' || files_with_errors || ' file(s) failed to parse.' FROM whole
-        UNION ALL SELECT project, 3, 2, '', 0, 0, 0, 0, 0, '  ' || critical || ' CRITICAL findings: review these first.'
-            FROM whole WHERE critical > 0)
-    SELECT project, text, row_number() OVER (PARTITION BY project
-        ORDER BY section, kind, path, line, phase, rule_order, bfs, ord)::INT AS line_no FROM all_lines""")
-def text_report(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    overview = report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
-    rows = report.text_report(done.issues, done.parse_errors, overview)
-    placed = numbered(rows, ["project"], report.TEXT_ORDER[1:], "line_no")
-    return placed.select("project", "text", F.col("line_no").cast("int").alias("line_no"))
-
-
-HISTORY = OVERVIEW + """, runs AS (SELECT project, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * files_scanned AS scanned_at,
-        score_overall AS overall, total, security, quality FROM whole)"""
-
-
-def _history(spark, sf_dir) -> DataFrame:
-    done = corpus_scan(spark, sf_dir)
-    overview = report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
-    scanned_at = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("files_scanned"))  # from 2024-01-01 UTC on
-    rows = history.history_rows(overview, scanned_at)
-    target = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-    history.append_history(rows, target)
-    return history.read_history(spark, target)
-
-
-@check("k03_scan_history", HISTORY + """ SELECT project, epoch(scanned_at)::BIGINT AS scanned_at, overall, total,
-    security, quality FROM runs ORDER BY scanned_at DESC, project LIMIT 20""")
-def scan_history(spark, sf_dir):
-    return history.newest(_history(spark, sf_dir)).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
-
+from quarrylint.checks.base import ORACLE, QUERIES
 
-@check("k04_history_view", HISTORY + """ SELECT project, epoch(scanned_at)::BIGINT AS scanned_at, overall || '/100' AS score,
-    total || CASE WHEN total = 1 THEN ' issue (' ELSE ' issues (' END || security || ' security, ' || quality || ' quality)' AS counts
-    FROM runs ORDER BY scanned_at DESC, project LIMIT 20""")
-def history_view(spark, sf_dir):
-    return history.history_view(_history(spark, sf_dir)).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
+__all__ = ["ORACLE", "QUERIES"]

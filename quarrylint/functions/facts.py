@@ -85,6 +85,8 @@ _WEIGHT = {
     ast.Match: lambda n: len(n.cases),
 }
 
+_BRANCHING = _NESTING | _WEIGHT.keys()
+
 
 def _kind(node: ast.AST | None) -> str | None:
     return None if node is None else type(node).__name__
@@ -142,6 +144,22 @@ def _spell(node: ast.AST) -> tuple[list[ast.AST], str]:
     return children, ",".join(line)
 
 
+def _branch(node: ast.AST, depth: int, owners: tuple) -> int:
+    """Tell all enclosing functions about a decision or a nesting node; gives the depth below it."""
+    kind = type(node)
+    if kind in _WEIGHT:
+        weight, name = _WEIGHT[kind](node), kind.__name__
+        for function, _ in owners:
+            function["decisions"][name] = function["decisions"].get(name, 0) + weight
+    if kind not in _NESTING:
+        return depth
+    for function, base in owners:
+        seen = function["nesting"]
+        if depth + 1 - base > len(seen):  # depth grows by one at most, so this is the first such node
+            seen.append({"depth": depth + 1 - base, "lineno": node.lineno})
+    return depth + 1
+
+
 def _has_docstring(node) -> bool:
     head = node.body[0]
     return (
@@ -179,7 +197,7 @@ class _FileFacts:
             self.failures.setdefault(part, f"{type(error).__name__}: {error}")
 
     def _walk(self, tree) -> None:
-        collectors, weights = self._COLLECTORS, _WEIGHT
+        collectors = self._COLLECTORS
         spelled: list[str] = []
         todo = [(tree, 0, 0, ())]
         place = 0
@@ -203,19 +221,8 @@ class _FileFacts:
             collector = collectors.get(kind)
             if collector is not None:
                 self._guard(collector[0], collector[1], bfs, node)
-            if owners:
-                weigh = weights.get(kind)
-                if weigh is not None:
-                    weight, name = weigh(node), kind.__name__
-                    for function, _ in owners:
-                        total = function["decisions"]
-                        total[name] = total.get(name, 0) + weight
-                if kind in _NESTING:
-                    depth += 1
-                    for function, base in owners:
-                        seen = function["nesting"]
-                        if depth - base > len(seen):
-                            seen.append({"depth": depth - base, "lineno": node.lineno})
+            if owners and kind in _BRANCHING:
+                depth = _branch(node, depth, owners)
             if owners:
                 children, line = _spell(node)
                 spelled.append(line)

@@ -13,7 +13,7 @@ from quarrylint.functions.facts import extract_facts, parse_errors
 from quarrylint.functions.staging import numbered, stage
 from quarrylint.functions.text import n_lines
 from quarrylint.operators.catalog import severity_rank
-from quarrylint.operators.findings import ISSUE_COLUMNS, ISSUE_ORDER, finding, no_findings
+from quarrylint.operators.findings import ISSUE_COLUMNS, ISSUE_ORDER, finding
 from quarrylint.operators.registry import Rule, choose_rules
 from quarrylint.operators.secrets import HIT_DDL, secret_hits
 
@@ -52,9 +52,6 @@ def scan_facts(
     return columns.withColumn("n_lines", n_lines(text)).drop("content")
 
 
-
-
-
 def _custom_column(rule: Rule) -> str:
     return f"findings of {rule.checker}"
 
@@ -71,6 +68,10 @@ def _findings(rule: Rule, thresholds: Mapping[str, object]) -> Column:
     return F.when(F.size(broken) > 0, F.array(finding("warning", 0, text))).otherwise(found)
 
 
+def _limits(rule: Rule, thresholds: Thresholds | None) -> Mapping[str, object]:
+    return (thresholds or {}).get(rule.checker, {})
+
+
 def _marked(rule: Rule, order: int, found: Column) -> Column:
     mark = F.struct(
         F.lit(rule.rule_id).alias("rule_id"),
@@ -81,10 +82,10 @@ def _marked(rule: Rule, order: int, found: Column) -> Column:
     return F.transform(found, lambda f: F.struct(mark.alias("rule"), f.alias("found")))
 
 
-def file_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = {}) -> DataFrame:
+def file_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None) -> DataFrame:
     """Issues of all rules over single files: one expression and one explode over the facts."""
     per_rule = [
-        _marked(rule, order, _findings(rule, thresholds.get(rule.checker, {})))
+        _marked(rule, order, _findings(rule, _limits(rule, thresholds)))
         for order, rule in enumerate(rules)
         if rule.query is None
     ]
@@ -94,12 +95,12 @@ def file_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds
     return _issue_columns(issues, F.lit(0))
 
 
-def all_files_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = {}) -> list[DataFrame]:
+def all_files_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None) -> list[DataFrame]:
     """Issues of the rules that compare files; they come after all others, in rule order."""
     found = []
     for order, rule in enumerate(rules):
         if rule.query is not None:
-            rows = rule.query(facts, **thresholds.get(rule.checker, {})).withColumns({
+            rows = rule.query(facts, **_limits(rule, thresholds)).withColumns({
                 "rule_id": F.lit(rule.rule_id),
                 "checker": F.lit(rule.checker),
                 "category": F.lit(rule.category),
@@ -115,7 +116,7 @@ def _issue_columns(rows: DataFrame, phase: Column) -> DataFrame:
     return ranked.select(*ISSUE_COLUMNS, *order)
 
 
-def scan_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = {}) -> DataFrame:
+def scan_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None) -> DataFrame:
     parts = all_files_issues(facts, rules, thresholds)
     if any(rule.query is None for rule in rules):
         parts.insert(0, file_issues(facts, rules, thresholds))
@@ -126,7 +127,7 @@ def scan(
     files: DataFrame,
     profile: str | Iterable[str] = "web",
     only: str | None = None,
-    thresholds: Thresholds = {},
+    thresholds: Thresholds | None = None,
     extra_rules: Sequence[Rule] = (),
     folder: str | None = None,
     partitions: int | None = None,
