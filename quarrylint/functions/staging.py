@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,22 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _local_folders:
-        _local_folders.append(tempfile.TemporaryDirectory(prefix="quarrylint_"))
-    return _local_folders[0].name
+    """The folder all executors see: ``spark.checkpoint.dir``, else the session's warehouse folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
 
 
 def work_partitions(spark: SparkSession) -> int:
