@@ -151,9 +151,14 @@ def _regrouped(rows: DataFrame, collided: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """``docs`` without the rows that repeat a text, all columns as they were."""
-    done = deduplicate(docs, doc_id, text, folder)
-    kept = done.rows.where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
-    joined = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    place = Window.partitionBy(doc_id, "_sha").orderBy(F.lit(1))
-    return joined.withColumn("_place", F.row_number().over(place)).where("_place = 1").select(docs.columns)
+    kept = deduplicate(docs, doc_id, text, folder).rows.where("kept").select("id", "digest")
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.col(doc_id).alias("own"), F.sha2(normalised(F.col(text)), 256).alias("sha")
+    )
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest"))
+    place = Window.partitionBy("own", "sha").orderBy(F.lit(1))
+    return (
+        rows.join(kept, same, "left_semi")
+        .withColumn("place", F.row_number().over(place))
+        .where("place = 1").select("doc.*")
+    )

@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import exact_dedup
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH rows AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+        FROM documents
+    ), keyed AS (
+        SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM rows
+    ), shared AS (
+        SELECT key, min(doc_id) AS holder FROM keyed WHERE length(key) >= 10
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE holder <> doc_id) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                           FILTER (WHERE holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+    FROM keyed LEFT JOIN shared USING (key) GROUP BY doc_id
+    """,
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
@@ -28,3 +54,37 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+@query(
+    "op7_chat_collapse",
+    r"""
+    WITH told AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, count(*) AS n_turns,
+               list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS turns,
+               string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS chat
+        FROM told GROUP BY conv_id
+    ), proper AS (
+        SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM convs)
+    ), whole AS (
+        SELECT turns, min(conv_id) AS conv_id, count(*) AS copies, any_value(n_turns) AS n_turns,
+               any_value(chat) AS chat
+        FROM convs GROUP BY turns
+    )
+    SELECT conv_id, n_turns, copies, chat FROM whole ANTI JOIN proper USING (turns)
+    """,
+)
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op9_temperature_mixing")
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select(
+        "doc.doc_id", "doc.source", "tokens", "block", "epoch", F.round("weight", 6).alias("weight"),
+        F.round("at", 6).alias("at"),
+    )
