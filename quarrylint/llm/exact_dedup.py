@@ -22,8 +22,12 @@ from pyspark.sql.window import Window
 
 from quarrylint.functions.staging import shared_folder, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; files take the room of their content, as each partition of the state has its own.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -52,8 +56,9 @@ def consume(stream: DataFrame, checkpoint: str) -> DataFrame:
     Called again with the same checkpoint, only new rows are read: the state goes on from there.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         (
             keyed_state(stream)
@@ -65,10 +70,11 @@ def consume(stream: DataFrame, checkpoint: str) -> DataFrame:
             .awaitTermination()
         )
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     state = spark.read.format("statestore").load(checkpoint)
     # The value holds the aggregation buffers in the order of the aggregates.
     first, arrived = (F.col("value")[name] for name in state.schema["value"].dataType.names)
