@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, robust_outliers
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+@query("op1_robust_outliers")
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.quality(documents(spark, sf_dir))
+
+
 @query(
     "op2_line_dedup",
     r"""
