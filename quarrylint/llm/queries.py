@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, robust_outliers
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, packing, robust_outliers
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -42,6 +43,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
