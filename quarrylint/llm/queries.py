@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, packing, robust_outliers
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, packing, robust_outliers, toxicity
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -48,6 +48,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_toxic_segments")
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = model.scored(docs)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("segments").alias("n_segments"),
+    )
+
+
 @query(
     "op6_exact_dedup",
     r"""
