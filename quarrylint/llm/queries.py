@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, packing, robust_outliers, toxicity
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, near_dedup, packing, robust_outliers, toxicity
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -111,3 +111,9 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "doc.source", "tokens", "block", "epoch", F.round("weight", 6).alias("weight"),
         F.round("at", 6).alias("at"),
     )
+
+
+@query("op10_near_dedup")
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
