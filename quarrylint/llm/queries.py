@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, near_dedup, packing, robust_outliers, toxicity
+from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, near_dedup, packing, robust_outliers, suffix_dedup, toxicity
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -60,6 +60,12 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
