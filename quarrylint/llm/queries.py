@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, line_dedup, mixing, near_dedup, packing, robust_outliers, suffix_dedup, toxicity
+from quarrylint.llm import chat_collapse, exact_dedup, katz, line_dedup, mixing, near_dedup, packing, robust_outliers, suffix_dedup, toxicity
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -110,6 +110,15 @@ def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query("op8_katz_scores")
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    scored = katz.katz_scores(documents(spark, sf_dir), ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op9_temperature_mixing")
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
