@@ -8,18 +8,43 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylint.functions.staging import shared_folder
-from quarrylint.llm import exact_dedup
+from quarrylint.llm import exact_dedup, mixing, near_dedup, packing, robust_outliers
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the robust estimates reject go."""
+    return robust_outliers.kept_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest identifier stays."""
     return exact_dedup.kept_documents(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest identifier stays."""
+    return near_dedup.kept_documents(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources are repeated as the mix asks for."""
+    return mixing.mix(docs).select("doc.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality rules", quality),
     ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing to target weights", mixed),
+    ("best-fit packing", packed),
 ]
 
 #: Robust covariance estimates are iterative; SQL cannot express them.
