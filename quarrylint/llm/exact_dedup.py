@@ -3,8 +3,7 @@
 Documents arrive as narrow rows (digest of the normalised text, identifier, locator). A streaming
 aggregation keyed by the digest keeps, on disk (RocksDB) and without a watermark, the smallest
 identifier seen, its content locator and the number of arrivals. Equal digests are only hits:
-the full bytes of every hit are compared with those of the row that stays, and digests under which
-different texts meet are grouped anew by the text itself.
+the full bytes of all hits of a digest are compared, and digests under which different texts meet are grouped anew by the text itself.
 
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one space. A null text
 is an empty text. A null identifier sorts after all others. Of rows with equal text and equal
@@ -96,18 +95,21 @@ class Deduplicated:
 
 
 def different_bytes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts of all groups whose digest stands for different bytes: id, digest, content."""
-    hits = rows.where("group_size > 1").select("id", "digest", "first").distinct()
+    """Texts of all groups whose digest stands for different bytes: id, digest, content.
+
+    All contents of a group are equal if its smallest and largest are, byte by byte.
+    """
+    hits = rows.where("group_size > 1").select("id", "digest").distinct()
     content = normalised(F.col(text))
     texts = docs.select(F.col(doc_id).alias("own"), content.alias("content"), F.sha2(content, 256).alias("sha"))
     hit_texts = texts.join(
         hits, F.col("own").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest"))
-    ).select("id", "digest", "content", "first")
-    keepers = hit_texts.where("first").select("digest", F.col("content").alias("kept_content")).dropDuplicates(["digest"])
+    ).select("id", "digest", "content")
     unequal = (
-        hit_texts.join(keepers, "digest").where(F.col("content") != F.col("kept_content")).select("digest").distinct()
+        hit_texts.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+        .where("low <> high").select("digest")
     )
-    return hit_texts.join(unequal, "digest").select("id", "digest", "content")
+    return hit_texts.join(unequal, "digest")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> Deduplicated:
@@ -122,15 +124,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
         joined.select(
             "id", "digest", "keep_id", "group_size",
             (F.col("row") == F.col("keep_row")).alias("kept"),
-            F.col("id").eqNullSafe(F.col("keep_id")).alias("first"),
         ),
         "rows", base,
     )
     collided = stage(different_bytes(docs, rows, doc_id, text), "collided", base)
-    plain = rows.select("id", "digest", "keep_id", "group_size", "kept")
     if collided.isEmpty():
-        return Deduplicated(plain, state)
-    return Deduplicated(_regrouped(plain, collided), state)
+        return Deduplicated(rows, state)
+    return Deduplicated(_regrouped(rows, collided), state)
 
 
 def _state_of(spark: SparkSession, arrived: DataFrame, files: list[str], base: str) -> DataFrame:

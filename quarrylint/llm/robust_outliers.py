@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylint.functions.staging import stage
@@ -42,9 +43,11 @@ STEPS = 4
 REWEIGHT = 0.975
 CUTOFF = 0.9999
 LEAST_ROWS = 100
+#: Estimates of up to so many groups (some 250 bytes each) are sent to every task; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 BINS_PER_OCTAVE = 32
 NOTHING = "\u0000"
-STATS = ", ".join(f"{name} bigint" for name in (*COUNTS, "n_lines", "n_capitals"))
+STATS = T.StructType([T.StructField(name, T.LongType()) for name in (*COUNTS, "n_lines", "n_capitals")])
 
 
 def chi_square_cdf(x: float, df: int) -> float:
@@ -74,7 +77,7 @@ def consistency(share: float) -> float:
     return share / chi_square_cdf(chi_square_quantile(share, P), P + 2)
 
 
-@F.arrow_udf(f"struct<{STATS.replace(' bigint', ': bigint')}>")
+@F.arrow_udf(STATS)
 def text_stats(contents: pa.Array) -> pa.Array:
     rows = []
     for content in contents:
@@ -82,7 +85,7 @@ def text_stats(contents: pa.Array) -> pa.Array:
         capitals = sum(map(content.count, map(bytes, zip(range(65, 91)))))
         rows.append((*text_counts(content), content.count(b"\n") + 1, capitals))
     columns = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS) + 2).T
-    return pa.StructArray.from_arrays(list(map(pa.array, columns)), [*COUNTS, "n_lines", "n_capitals"])
+    return pa.StructArray.from_arrays(list(map(pa.array, columns)), STATS.names)
 
 
 def with_stats(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -105,6 +108,11 @@ def with_stats(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     return rows.select("*", *(vector[name].alias(f"x{k}") for k, name in enumerate(NAMES)))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Join to one row per group; ``few`` says that there are at most BROADCAST_GROUPS of them."""
+    return rows.join(F.broadcast(groups) if few else groups, keys)
+
+
 def distance(x: list[Column]) -> Column:
     """Squared length of whiten · (x - mean); ``whiten`` is a lower triangle, row by row."""
     centred = [x[k] - F.col("mean")[k] for k in range(P)]
@@ -161,10 +169,11 @@ def _estimated(factor: float, correlation: bool = False):
     return estimates
 
 
-def starts(rows: DataFrame, folder: str | None) -> DataFrame:
+def starts(rows: DataFrame, folder: str | None) -> tuple[DataFrame, bool]:
     """Two first estimates per group: medians and quartile ranges, without and with a correlation.
 
     The correlation is that of tanh of the standardised rows, which no outlier moves far.
+    Also returned: whether groups are few.
     """
     quartiles = rows.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"),
@@ -178,6 +187,7 @@ def starts(rows: DataFrame, folder: str | None) -> DataFrame:
             F.greatest((F.col(f"q{k}")[2] - F.col(f"q{k}")[0]) / 1.349, F.lit(floor[k])) for k in range(P)
         )).alias("scale"),
     ), "mcd-quartiles", folder)
+    few = robust.count() <= BROADCAST_GROUPS
     plain = robust.select(
         "lang", "source", F.lit(0).alias("start"), "n", F.col("middle").alias("mean"),
         F.flatten(F.array(*(
@@ -186,20 +196,20 @@ def starts(rows: DataFrame, folder: str | None) -> DataFrame:
         F.lit(0.0).alias("logdet"),
     )
     standard = [F.tanh((F.col(f"x{k}") - F.col("middle")[k]) / F.col("scale")[k]) for k in range(P)]
-    joined = rows.join(robust.drop("n"), ["lang", "source"]).withColumn("start", F.lit(1))
+    joined = with_groups(rows, robust.drop("n"), ["lang", "source"], few).withColumn("start", F.lit(1))
     correlated = (
         moments(joined, standard).join(robust.drop("n"), ["lang", "source"]).mapInPandas(_estimated(1.0, True), ESTIMATE)
     )
-    return plain.unionByName(correlated)
+    return plain.unionByName(correlated), few
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Moments of the SUBSET share of each group's rows nearest to its estimate.
 
     The share is cut at the edge of a bin of distances, 1/BINS_PER_OCTAVE of an octave wide.
     """
     x = [F.col(f"x{k}") for k in range(P)]
-    near = rows.join(estimates.drop("n", "logdet"), ["lang", "source"]).withColumn(
+    near = with_groups(rows, estimates.drop("n", "logdet"), ["lang", "source"], few).withColumn(
         "bin", F.floor(F.log2(distance(x) + F.lit(1e-9)) * BINS_PER_OCTAVE).cast("int")
     )
     group = ["lang", "source", "start"]
@@ -211,7 +221,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         .where(F.col("reached") >= F.col("all") * SUBSET)
         .groupBy(*group).agg(F.min("bin").alias("edge"))
     )
-    return moments(near.join(edge, group).where("bin <= edge"), x)
+    return moments(with_groups(near, edge, group, few).where("bin <= edge"), x)
 
 
 def mcd_estimates(rows: DataFrame, folder: str | None = None) -> DataFrame:
@@ -222,14 +232,15 @@ def mcd_estimates(rows: DataFrame, folder: str | None = None) -> DataFrame:
     x = [F.col(f"x{k}") for k in range(P)]
     levels = F.explode(F.array("source", F.lit(NOTHING + "all")))
     both = rows.select("lang", levels.alias("source"), *x)
-    now = stage(starts(both, folder), "mcd-start", folder)
+    first, few = starts(both, folder)
+    now = stage(first, "mcd-start", folder)
     for _ in range(STEPS):
         now = stage(
-            _concentrated(both, now).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
+            _concentrated(both, now, few).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
         )
     best = now.groupBy("lang", "source").agg(F.min_by(F.struct("mean", "whiten"), F.struct("logdet", "start")).alias("e"))
     raw = best.select("lang", "source", "e.*")
-    near = both.join(raw, ["lang", "source"]).where(distance(x) <= F.lit(chi_square_quantile(REWEIGHT, P)))
+    near = with_groups(both, raw, ["lang", "source"], few).where(distance(x) <= F.lit(chi_square_quantile(REWEIGHT, P)))
     final = moments(near.withColumn("start", F.lit(0)), x).mapInPandas(_estimated(consistency(REWEIGHT)), ESTIMATE)
     sizes = both.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
     return stage(final.join(sizes, ["lang", "source"]).select("lang", "source", "rows", "mean", "whiten"), "mcd", folder)
@@ -248,8 +259,9 @@ def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     )
     base_failed = (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
     away = distance([F.col(f"x{k}") for k in range(P)])
+    few = estimates.count() <= BROADCAST_GROUPS
     return (
-        rows.join(groups, ["lang", "source"], "left")
+        rows.join(F.broadcast(groups) if few else groups, ["lang", "source"], "left")
         .withColumn("distance", F.when(F.col("s.n_words") > 0, F.sqrt(away)))
         .withColumn("base_failed", base_failed)
         .withColumn(
