@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +114,16 @@ def find_runs(length: int, gram: int):
 def order_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function over runs sorted by digit, run, id, tag, start: repeats, and runs to order further.
 
-    Only the first run of the digit at hand is held back, until another one turns up.
+    Runs that were no first ones in their batch are repeats and pass through. Of the others only the
+    first run of the digit at hand is held back, until another one turns up.
     """
     digit = run = place = None  # of the last row
     held: tuple | None = None
-    for batch in batches:
+    names = ["digit", "id", "tag", "start", "n"]
+    for whole in batches:
+        known = whole.filter(pc.invert(whole["first"])).select(names)
+        yield known.append_column("repeat", pa.array(np.ones(known.num_rows, dtype=bool)))
+        batch = whole.filter(whole["first"])
         if not batch.num_rows:
             continue
         d, r, i, t, s, n = (batch[k].to_numpy(zero_copy_only=False) for k in ("digit", "run", "id", "tag", "start", "n"))
@@ -147,7 +153,7 @@ def order_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array(a, kind) for a, kind in zip(columns, types)] + [pa.array(flags)],
-            names=["digit", "id", "tag", "start", "n", "repeat"],
+            names=[*names, "repeat"],
         )
         digit, run, place = d[-1], r[-1], tuple(at[:, -1])
 
@@ -182,7 +188,7 @@ def cut_stretches(length: int):
 def _strings(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in the run, two hashes) of all strings of a batch of stretches."""
     stretches = [stretch.as_py() for stretch in batch["stretch"]]
-    sizes = np.array([len(stretch) for stretch in stretches])
+    sizes = np.array([len(stretch) for stretch in stretches], dtype=np.int64)
     counts = sizes - length + 1
     rows = np.repeat(np.arange(len(sizes)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -321,9 +327,10 @@ def remove_repeats(
         content.cast("binary").alias("content"),
     )
     runs = texts.mapInArrow(find_runs(length, gram), RUNS)
-    local = _covered(runs.where("NOT first"), length)
+    # What is known to be a repeat needs no company: such runs are dealt evenly.
+    dealt = F.when(F.col("first"), F.col("digit")).otherwise(F.xxhash64("id", "start"))
     ordered = stage(
-        runs.where("first").drop("first").repartition("digit")
+        runs.repartition(dealt)
         .sortWithinPartitions("digit", "run", "id", "tag", "start").mapInArrow(order_runs, KINDS), "runs", folder,
     )
     open_runs = ordered.where("NOT repeat").drop("repeat")
@@ -336,7 +343,6 @@ def remove_repeats(
     small = stretches.join(large, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit", "id", "tag", "start")
     spans = (
         _covered(ordered.where("repeat"), length)
-        .unionByName(local)
         .unionByName(small.mapInArrow(order_strings(length), SPANS))
         .unionByName(_hot_spans(stretches.join(large, "digit", "left_semi"), length))
     )
