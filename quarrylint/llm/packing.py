@@ -113,14 +113,17 @@ class Lengths:
 
     def best_pair(self, limit: int, without: int) -> tuple[int, int] | None:
         """(a, b), a >= b, of the largest sum up to ``limit``; of equal sums that with the largest a."""
-        best, low, high = None, 0, bisect.bisect_right(self.sizes, limit) - 1
+        sizes = self.sizes
+        if self.counts[without] == 1:
+            sizes = [size for size in sizes if size != without]
+        best, low, high = None, 0, bisect.bisect_right(sizes, limit) - 1
         while high >= low:
-            a, b = self.sizes[high], self.sizes[low]
+            a, b = sizes[high], sizes[low]
             if a + b > limit:
                 high -= 1
                 continue
-            need = (2 if a == b else 1) + (a == without)
-            if self.counts[a] >= need and self.counts[b] >= 1 + (b == without) and (best is None or a + b > sum(best)):
+            two = a != b or self.counts[a] >= 2 + (a == without)
+            if two and (best is None or a + b > sum(best)):
                 best = (a, b)
             low += 1
         return best
