@@ -7,8 +7,8 @@
 3. Candidates form stars: in every bucket each node is paired with the smallest one only, so there are
    no more pairs than rows. Pairs are confirmed on the full sets, and links joined to components.
 4. Where a bucket still holds several components, the nodes outside its centre's component are paired
-   with its nodes of other components, ``PIVOTS`` of them at a time, until every such pair is decided;
-   what stars may have missed is so decided, while pairs inside a component are never made.
+   with its nodes of other components, ``PIVOTS`` of them at a time, until every such pair is decided.
+   Pairs inside a component are never made, nor those that the distances from the centre rule out.
 
 A shingle is ``SIZE`` words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer words has its
 whole word sequence as the only one. Null or wordless texts have no shingle and no link. A null
@@ -35,7 +35,7 @@ SIZE = 5
 SLOTS = 128
 BAND = 4
 BANDS = SLOTS // BAND
-PIVOTS = 64
+PIVOTS = 512
 REMEMBERED = 500_000
 LAST = (1 << 63) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -131,21 +131,24 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def confirmed(percent: int):
-    """mapInArrow function: (u, v, left, right) to the pairs whose sets are similar enough."""
+def compared(percent: int):
+    """mapInArrow function: (u, v, left, right) to the distance of the sets and whether it is a link."""
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar = []
+            shared, union = [], []
             for left, right in zip(batch["left"], batch["right"]):
                 a, b = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = int(np.count_nonzero(b[at] == a))
-                similar.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            mask = pa.array(similar, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
+                shared.append(int(np.count_nonzero(b[at] == a)))
+                union.append(len(a) + len(b) - shared[-1])
+            shared, union = np.array(shared, dtype=np.int64), np.array(union, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["u"], batch["v"], pa.array(1 - shared / union), pa.array(100 * shared >= percent * union)],
+                names=["u", "v", "distance", "link"],
+            )
 
-    return links
+    return compare
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
@@ -157,11 +160,13 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs`` (u, v), each pair's sets brought to the place of its first node."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v, distance, link of ``pairs``, each pair's sets brought to the place of its first node."""
     right = pairs.join(sets.withColumnsRenamed({"node": "v", "shingles": "right"}), "v")
     both = right.join(sets.withColumnsRenamed({"node": "u", "shingles": "left"}), "u")
-    return both.select("u", "v", "left", "right").mapInArrow(confirmed(percent), "u bigint, v bigint")
+    return both.select("u", "v", "left", "right").mapInArrow(
+        compared(percent), "u bigint, v bigint, distance double, link boolean"
+    )
 
 
 def _of_like_size(percent: int) -> Column:
@@ -202,14 +207,19 @@ def near_duplicates(
                 F.col("node").alias("v"), F.col("size").alias("v_size"))
         .where(_of_like_size(percent)).select("u", "v").distinct()
     )
-    links = stage(_confirm(star, sets, percent), "near-links", folder)
+    stars = stage(_compared(star, sets, percent), "near-stars", folder)
+    links = stars.where("link").select("u", "v")
     joined = components(links, folder)
-    outside = stage(_outside(buckets, joined), "near-outside", folder)
+    outside = _outside(buckets, joined)
+    outside = stage(_with_distance(outside, stars), "near-outside", folder)
     most = outside.agg(F.max("place")).first()[0]
     for part in range(0 if most is None else most // PIVOTS + 1):
-        pairs = _undecided(buckets, outside.where(F.floor(F.col("place") / PIVOTS) == part), joined, percent)
-        links = links.unionByName(stage(_confirm(pairs, sets, percent), "near-links", folder))
-        joined = components(links, folder)
+        pivots = outside.where(F.floor(F.col("place") / PIVOTS) == part)
+        pairs = _undecided(_with_distance(buckets, stars), pivots, joined, percent)
+        found = stage(_compared(pairs, sets, percent).where("link").select("u", "v"), "near-links", folder)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            joined = components(links, folder)
 
     placed = noded.join(joined, "node", "left").select(
         "row", F.coalesce("component", "node").alias("component"), "id"
@@ -227,23 +237,48 @@ def _labelled(rows: DataFrame, joined: DataFrame, node: str, label: str) -> Data
     return rows.join(labels, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+def _with_distance(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """``rows`` of buckets with bounds, ``low`` and ``high``, of the distance from node to centre."""
+    known = stars.select(F.col("u").alias("centre"), F.col("v").alias("node"), "distance")
+    itself = F.col("node") == F.col("centre")
+    sizes = 1 - F.least("size", "centre_size") / F.greatest("size", "centre_size")
+    return rows.join(known, ["centre", "node"], "left").select(
+        *rows.columns,
+        F.when(itself, 0.0).otherwise(F.coalesce("distance", sizes)).alias("low"),
+        F.when(itself, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("high"),
+    )
+
+
 def _outside(buckets: DataFrame, joined: DataFrame) -> DataFrame:
-    """key, u, u_size, place: nodes of a bucket that its stars left outside its centre's component."""
+    """Rows of nodes that the stars left outside the component of their bucket's centre, with their place."""
     told = _labelled(_labelled(buckets, joined, "node", "label"), joined, "centre", "centre_label")
     place = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    return told.where("label <> centre_label").select(
-        "key", F.col("node").alias("u"), F.col("size").alias("u_size"), place.alias("place")
-    )
+    return told.where("label <> centre_label").select(*buckets.columns, place.alias("place"))
 
 
 def _undecided(buckets: DataFrame, pivots: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of pivots and the nodes of their buckets that are in other components by now."""
-    others = buckets.join(pivots.select("key").distinct(), "key", "left_semi").select(
-        "key", F.col("node").alias("v"), F.col("size").alias("v_size"), "centre"
+    """Pairs (u, v) of pivots and the nodes of their buckets that are in other components by now.
+
+    Jaccard distance is a metric: two nodes whose distances from the centre differ by more than the
+    distance of a link cannot be linked, so most pairs need not be made.
+    """
+    pivots = _labelled(pivots, joined, "node", "label").select(
+        "key", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("label").alias("u_label"),
+        F.col("low").alias("u_low"), F.col("high").alias("u_high"),
+    )
+    others = _labelled(
+        buckets.join(pivots.select("key").distinct(), "key", "left_semi").where("node <> centre"), joined, "node", "label"
+    ).select(
+        F.col("key").alias("k"), F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("label").alias("v_label"),
+        F.col("low").alias("v_low"), F.col("high").alias("v_high"),
+    )
+    reach = F.lit(1 - percent / 100 + 1e-9)
+    possible = (
+        (F.col("key") == F.col("k")) & (F.col("u_label") != F.col("v_label")) & _of_like_size(percent)
+        & (F.col("u_low") - F.col("v_high") <= reach) & (F.col("v_low") - F.col("u_high") <= reach)
     )
-    pairs = _labelled(pivots, joined, "u", "u_label").join(_labelled(others, joined, "v", "v_label"), "key")
     return (
-        pairs.where("u_label <> v_label AND v <> centre").where(_of_like_size(percent))
+        pivots.join(others, possible)
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     )
 
