@@ -63,7 +63,7 @@ FLAGGED = """, flagged AS (SELECT project, path, row_number() OVER (PARTITION BY
     FROM issues GROUP BY project, path)"""
 
 
-@check("a07_flagged_files", oracle.issues_cte() + FLAGGED + " SELECT project, path, rank::INT AS rank FROM flagged WHERE rank <= 30")
+@check("a07_flagged_files", oracle.issues_cte() + FLAGGED + " SELECT project, path, rank::INT AS rank FROM flagged")
 def flagged_files(spark, sf_dir):
     return report.flagged_files(corpus_scan(spark, sf_dir).issues)
 
@@ -72,7 +72,7 @@ def flagged_files(spark, sf_dir):
     left(split_part(path, '/', 1), 1) AS first_letter FROM flagged WHERE rank <= 30""")
 def flagged_sources(spark, sf_dir):
     done = corpus_scan(spark, sf_dir)
-    found = report.flagged_sources(done.files, done.issues)
+    found = report.flagged_sources(done.files, done.issues, max_files=30)
     # every family starts in its own way; broken files have no issue
     starts = F.expr("""CASE WHEN path LIKE 'calls%' AND source NOT LIKE 'class %' THEN 'c'
         WHEN source LIKE 'def h%' THEN 'b' WHEN source LIKE 'def long%' THEN 'l' WHEN source LIKE 'def d_%' THEN 'd'
@@ -97,7 +97,7 @@ def annotated_source(spark, sf_dir):
     rules = choose_rules(["long-function", "large-class", "long-file"])
     files = made.families(spark, sf_dir, "long")
     issues = scan_issues(scan_facts(files, rules), rules)
-    sources = report.flagged_sources(files, issues, max_files=999)
+    sources = report.flagged_sources(files, issues)
     return report.annotated_source(sources, issues).select(
         "project", "path", "line_no", "checker", "message", "fix", "flagged"
     )
@@ -114,7 +114,7 @@ def excerpts(spark, sf_dir):
     rule = builtin_rule("deep-nesting")
     files = made.families(spark, sf_dir, "nest")
     issues = scan_issues(scan_facts(files, [rule]), [rule])
-    sources = report.flagged_sources(files, issues, max_files=999)
+    sources = report.flagged_sources(files, issues)
     return report.excerpts(sources, issues, context=2).select(
         "project", "path", "line_no", "checker", "line", "flagged", "text"
     )
@@ -186,14 +186,17 @@ def failed_scans(spark, sf_dir):
     SELECT project, total::VARCHAR AS total, critical::VARCHAR AS critical, total AS n_issues, files_with_errors AS n_errors,
         first_issue FROM whole LEFT JOIN firsts USING (project)""")
 def json_reports(spark, sf_dir):
-    whole = report.project_report(corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir), part_rows=100_000)
+    whole = report.project_report(corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir), part_rows=50)
     documents = report.json_reports(whole)
     field = lambda path: F.get_json_object("document", path)
-    return documents.select(
-        "project", field("$.summary.total").alias("total"), field("$.summary.critical").alias("critical"),
-        F.json_array_length(field("$.issues")).alias("n_issues"),
-        F.json_array_length(field("$.parse_errors")).alias("n_errors"),
-        F.concat(field("$.issues[0].file"), F.lit(":"), field("$.issues[0].message")).alias("first_issue"),
+    first = F.concat(field("$.issues[0].file"), F.lit(":"), field("$.issues[0].message"))
+    # Every part has the summary; lists go on from part to part.
+    return documents.groupBy(
+        "project", field("$.summary.total").alias("total"), field("$.summary.critical").alias("critical")
+    ).agg(
+        F.sum(F.json_array_length(field("$.issues"))).cast("int").alias("n_issues"),
+        F.sum(F.json_array_length(field("$.parse_errors"))).cast("int").alias("n_errors"),
+        F.max(F.when(F.col("part") == 0, first)).alias("first_issue"),
     )
 
 

@@ -13,7 +13,7 @@ from quarrylint.functions.staging import stage
 from quarrylint.functions.text import entropy
 from quarrylint.operators import duplicates, tree_rules
 from quarrylint.operators.registry import builtin_rule, python_rule
-from quarrylint.operators.secrets import masked, secret_hits
+from quarrylint.operators.secrets import secret_hits
 from quarrylint.plans.scan import file_issues, scan_facts, scan_issues
 
 
@@ -87,15 +87,21 @@ def duplicate_places(spark, sf_dir):
     )
 
 
-@check("r03_hot_copies", COPIES + """ SELECT project, min_by(path, place) AS path, count(*)::INT AS measure,
-    'Same function body also at: '
-    || array_to_string(list(path || ':' || lineno ORDER BY place) FILTER (place BETWEEN 2 AND 21), ', ')
-    || CASE WHEN count(*) > 21 THEN ' and ' || (count(*) - 21) || ' more places' ELSE '' END
-    || ' (' || count(*) || ' occurrences)' AS message
-    FROM bodies WHERE occurrences > 1 GROUP BY project, q, f""")
+@check("r03_hot_copies", COPIES + """, firsts AS (SELECT project, q, f, path, count(*) OVER (PARTITION BY project, q, f)::INT AS measure,
+        place FROM bodies WHERE occurrences > 1)
+    SELECT firsts.project, firsts.path, measure, 'One body, ' || measure || ' functions; this is the first of them' AS message,
+        bodies.path AS other_path, bodies.lineno AS other_line
+    FROM firsts JOIN bodies USING (project, q, f) WHERE firsts.place = 1 AND bodies.place > 1""")
 def hot_copies(spark, sf_dir):
-    found = duplicates.duplicate_code(staged_order_facts(spark, sf_dir), named_places=20)
-    return found.select("project", "path", "measure", "message")
+    """Every issue with all other places of its body, found through its first place."""
+    facts = staged_order_facts(spark, sf_dir)
+    places = duplicates.duplicate_places(facts).filter("NOT is_first").select(
+        "project", F.col("first_path").alias("path"), F.col("first_line").alias("line"),
+        F.col("path").alias("other_path"), F.col("lineno").alias("other_line"),
+    )
+    return duplicates.duplicate_code(facts).join(places, ["project", "path", "line"]).select(
+        "project", "path", "measure", "message", "other_path", "other_line"
+    )
 
 
 @check("r07_long_documents", f"""SELECT source AS project, doc_id::VARCHAR AS path, n AS measure
@@ -134,7 +140,7 @@ def document_secrets(spark, sf_dir):
     hits = made.document_files(spark, sf_dir).select(
         F.col("path").cast("bigint").alias("doc_id"), F.inline(secret_hits(F.col("content")))
     )
-    return hits.select("doc_id", "line", "column", "kind", masked(F.col("value")).alias("snippet"), "bits")
+    return hits.select("doc_id", "line", "column", "kind", F.col("shown").alias("snippet"), "bits")
 
 
 @check("r16_entropy", f"""SELECT item_id, {oracle.entropy('text')} AS bits FROM benchmark WHERE text <> ''

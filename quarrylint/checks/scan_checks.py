@@ -148,9 +148,15 @@ check("q04_search_plain_text", oracle.issues_cte() + _TRIAGE + """WHERE contains
     SELECT project, path, line, checker, severity, message, row_number() OVER (PARTITION BY project
         ORDER BY {oracle.RANK}, path, phase, rule_order, bfs, ord)::INT AS place FROM issues)""")
 def triage_order(spark, sf_dir):
-    issues = corpus_scan(spark, sf_dir).issues
-    ranked = numbered(issues, ["project"], ["severity_rank", "path", "phase", "rule_order", "bfs", "ord"], "place")
-    return ranked.select(*_TRIAGE_FIELDS, F.col("place").cast("int").alias("place"))
+    return _placed(corpus_scan(spark, sf_dir).issues, triage.triage_order()).select(*_TRIAGE_FIELDS, "place")
+
+
+def _placed(issues: DataFrame, order: list) -> DataFrame:
+    """Issues with their place in their project under ``order``, as the operator gives it."""
+    keys = [c.alias(f"key_{i}") for i, c in enumerate(order)]
+    ranked = numbered(issues.select("*", *keys), ["project"], [f"key_{i}" for i in range(len(order))], "place")
+    return ranked.withColumn("place", F.col("place").cast("int"))
+
 
 
 @check("q05_triage_top", oracle.issues_cte() + f"""SELECT project, path, line, checker, severity, message FROM issues
@@ -163,11 +169,9 @@ def triage_top(spark, sf_dir):
     PARTITION BY project ORDER BY CASE category WHEN 'security' THEN 0 ELSE 1 END, path, line, phase, rule_order, bfs, ord)::INT
     AS place FROM issues""")
 def report_order(spark, sf_dir):
-    issues = corpus_scan(spark, sf_dir).issues.withColumn("section", F.when(F.col("category") == "security", 0).otherwise(1))
-    ranked = numbered(
-        issues, ["project"], ["section", "path", "line", "phase", "rule_order", "bfs", "ord"], "place"
+    return _placed(corpus_scan(spark, sf_dir).issues, report.report_order()).select(
+        "project", "path", "line", "checker", "place"
     )
-    return ranked.select("project", "path", "line", "checker", F.col("place").cast("int").alias("place"))
 
 
 @check("q07_parse_error_view", f"WITH {oracle.PART}, {oracle.ERRORS} "

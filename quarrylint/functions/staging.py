@@ -36,8 +36,14 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of staged tables, on whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(
-    df: DataFrame, within: Sequence[str], order: Sequence[str], name: str = "seq"
+    df: DataFrame, within: Sequence[str], order: Sequence[str], name: str = "seq", folder: str | None = None
 ) -> DataFrame:
     """Exact ``row_number()`` of ``order`` inside each ``within`` group, for groups of any size.
 
@@ -52,7 +58,7 @@ def numbered(
         .sortWithinPartitions(*keys, *order)
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    ranged = stage(ranged, "numbered").withColumn("_slot", F.shiftright("_place", 33))
+    ranged = stage(ranged, "numbered", folder).withColumn("_slot", F.shiftright("_place", 33))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_slot")

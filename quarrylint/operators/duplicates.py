@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrylint.functions.facts import bodies
 from quarrylint.functions.staging import join_groups, stage
 
-# A message names at most this many other places; duplicate_places always has all of them.
-NAMED_PLACES = 500
-
 _GROUP = ["project", "digest"]
 
 
@@ -34,57 +30,38 @@ def duplicate_groups(facts: DataFrame, min_lines: int = 5) -> DataFrame:
     )
 
 
-def duplicate_places(facts: DataFrame, min_lines: int = 5) -> DataFrame:
-    """Every place of every duplicated body, one row each.
+def duplicate_places(facts: DataFrame, min_lines: int = 5, folder: str | None = None) -> DataFrame:
+    """Every place of every duplicated body, one row each, with the first place of its body.
 
+    ``first_path`` and ``first_line`` are those of the issue that ``duplicate_code`` gives for the body.
     The groups are staged, since the join below reads them more than once.
     """
-    groups = stage(duplicate_groups(facts, min_lines), "duplicate_groups")
+    groups = stage(duplicate_groups(facts, min_lines), "duplicate_groups", folder)
     return join_groups(function_bodies(facts, min_lines), groups, _GROUP, "occurrences").select(
         "project",
         F.lower(F.hex("digest")).alias("digest"),
         "occurrences", "path", "bfs", "lineno", "name",
+        F.col("first.path").alias("first_path"), F.col("first.lineno").alias("first_line"),
         (F.struct("path", "bfs") == F.struct("first.path", "first.bfs")).alias("is_first"),
     )
 
 
-def duplicate_code(facts: DataFrame, min_lines: int = 5, named_places: int = NAMED_PLACES) -> DataFrame:
-    """One finding per duplicated body, at its first place; the message names the others.
+def duplicate_code(facts: DataFrame, min_lines: int = 5) -> DataFrame:
+    """One finding per duplicated body, at its first place, with the number of places.
 
-    A body with more than ``named_places`` other places gives the number of the rest, and
-    ``duplicate_places`` holds them all. The rank filter is pushed below the shuffle by Spark
-    (window group limit), so a hot group leaves each map task with that many rows at most.
+    All places, however many, are the rows of ``duplicate_places``: no list of them is gathered in a
+    message, so a body that stands everywhere costs no more than one that stands twice.
     """
-    ordered = Window.partitionBy("project", "digest").orderBy("path", "bfs")
-    # Spark drops surplus rows map side only for limits up to windowGroupLimitThreshold (1000).
-    named = (
-        duplicate_places(facts, min_lines)
-        .withColumn("rank", F.row_number().over(ordered))
-        .filter(F.col("rank") <= named_places + 1)
-    )
-    place = F.struct("rank", "path", "bfs", "lineno", "name")
-    groups = named.groupBy("project", "digest").agg(
-        F.max("occurrences").alias("measure"), F.array_sort(F.collect_list(place)).alias("places")
-    )
-    others = F.transform(
-        F.slice("places", 2, named_places),
-        lambda p: F.concat(p["path"], F.lit(":"), p["lineno"].cast("string")),
-    )
-    rest = F.col("measure") - 1 - F.size(others)
-    more = F.when(rest > 0, F.format_string(" and %d more places", rest)).otherwise("")
-    return groups.withColumn("first", F.col("places")[0]).select(
+    return duplicate_groups(facts, min_lines).select(
         "project",
         F.col("first.path").alias("path"),
         F.lit("warning").alias("severity"),
         F.col("first.lineno").alias("line"),
         F.lit(0).alias("column"),
         F.col("first.name").alias("symbol"),
-        "measure",
+        F.col("occurrences").alias("measure"),
         F.lit(min_lines).alias("threshold"),
-        F.concat(
-            F.lit("Same function body also at: "), F.array_join(others, ", "), more,
-            F.format_string(" (%d occurrences)", "measure"),
-        ).alias("message"),
+        F.format_string("One body, %d functions; this is the first of them", "occurrences").alias("message"),
         F.lit("").alias("snippet"),
         F.col("first.bfs").alias("bfs"),
         F.lit(0).alias("ord"),

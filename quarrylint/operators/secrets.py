@@ -28,7 +28,7 @@ ASSIGNMENT = (
     r"\s*[rbuf]{0,2}[\"']([^\"'\s]{" + str(MIN_LENGTH) + r",})[\"']"
 )
 
-HIT_DDL = "array<struct<line:int,column:int,kind:string,value:string,bits:double>>"
+HIT_DDL = "array<struct<line:int,column:int,kind:string,shown:string,bits:double>>"
 
 
 def _may_hold_secret(text: Column, signatures) -> Column:
@@ -45,7 +45,7 @@ def _line_hits(line: Column, number: Column, signatures, min_entropy: float) ->
             number.alias("line"),
             F.instr(line, value).alias("column"),
             F.lit(kind).alias("kind"),
-            value.alias("value"),
+            masked(value).alias("shown"),
             bits.cast("double").alias("bits"),
         )
 
@@ -61,7 +61,7 @@ def _line_hits(line: Column, number: Column, signatures, min_entropy: float) ->
 
 
 def secret_hits(text: Column, signatures=SIGNATURES, min_entropy: float = MIN_ENTROPY) -> Column:
-    """All secrets of a text as array<struct<line, column, kind, value, bits>>.
+    """All secrets of a text as array<struct<line, column, kind, shown, bits>>; no value leaves in full.
 
     On a line with a token of a known format only such tokens count; otherwise quoted values of
     suspicious names count if they are random enough. Equal values on one line count once.

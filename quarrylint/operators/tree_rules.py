@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylint.functions.facts import binding_imports
 from quarrylint.operators.findings import finding, no_findings
-from quarrylint.operators.secrets import masked
+
 
 # The names the rules look for, and the default marks of a line left alone.
 SHELL_CALLS = ("run", "call", "check_call", "check_output", "Popen")
@@ -233,6 +233,6 @@ def hardcoded_secret() -> Column:
         "secret_hits",
         lambda h, i: finding(
             "critical", h["line"], F.concat(F.lit("Possible secret in code: "), h["kind"]),
-            bfs=h["line"], ord=i, column=h["column"], symbol=h["kind"], snippet=masked(h["value"]),
+            bfs=h["line"], ord=i, column=h["column"], symbol=h["kind"], snippet=h["shown"],
         ),
     )

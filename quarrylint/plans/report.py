@@ -141,8 +141,8 @@ def file_breakdown(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def breakdown_order() -> list[Column]:
-    """Most issues first; equal counts stay in path order."""
-    return [F.desc("total"), F.asc("path")]
+    """Per project, most issues first; equal counts stay in path order."""
+    return [F.asc("project"), F.desc("total"), F.asc("path")]
 
 
 def severity_gate(projects: DataFrame, issues: DataFrame, fail_on: str) -> DataFrame:
@@ -154,13 +154,17 @@ def severity_gate(projects: DataFrame, issues: DataFrame, fail_on: str) -> DataF
     )
 
 
-def flagged_files(issues: DataFrame, max_files: int = MAX_SOURCES) -> DataFrame:
-    """The first files with an issue per project, in issue order, with their rank.
+def flagged_files(issues: DataFrame, max_files: int | None = None, folder: str | None = None) -> DataFrame:
+    """The files with an issue per project, in issue order, with their rank; the first ``max_files`` if given.
 
-    The rank limit is applied map side (window group limit), so a project of any size sends
-    at most ``max_files`` rows per task to the shuffle.
+    A limit is applied map side where it is small (window group limit). Without one, ranks come from
+    sorted partitions, so no task holds a project.
     """
     first = issues.groupBy("project", "path").agg(F.min(F.struct(*ISSUE_ORDER)).alias("first"))
+    if max_files is None:
+        return numbered(first, ["project"], ["first", "path"], "rank", folder).select(
+            "project", "path", F.col("rank").cast("int").alias("rank")
+        )
     by_first = Window.partitionBy("project").orderBy("first", "path")
     return (
         first.withColumn("rank", F.row_number().over(by_first))
@@ -170,13 +174,13 @@ def flagged_files(issues: DataFrame, max_files: int = MAX_SOURCES) -> DataFrame:
 
 
 def flagged_sources(
-    files: DataFrame, issues: DataFrame, max_files: int = MAX_SOURCES, max_chars: int = MAX_SOURCE_CHARS
+    files: DataFrame, issues: DataFrame, max_files: int | None = None, max_chars: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Text of the flagged files, each cut to ``max_chars`` characters before any shuffle."""
-    cut = files.filter("content IS NOT NULL").select(
-        "project", "path", F.substring("content", 1, max_chars).alias("source")
-    )
-    return cut.join(flagged_files(issues, max_files), ["project", "path"])
+    """Text of the flagged files, each cut to ``max_chars`` characters, if given, before any shuffle."""
+    text = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
+    cut = files.filter("content IS NOT NULL").select("project", "path", text.alias("source"))
+    return cut.join(flagged_files(issues, max_files, folder), ["project", "path"])
 
 
 def annotated_source(sources: DataFrame, issues: DataFrame) -> DataFrame:
@@ -214,18 +218,22 @@ def _error_text() -> Column:
     return F.concat("path", F.lit(": "), "error")
 
 
-def project_report(scan: Scan, projects: DataFrame | None = None, part_rows: int = 5000) -> DataFrame:
+def project_report(
+    scan: Scan, projects: DataFrame | None = None, part_rows: int = 5000,
+    max_sources: int | None = MAX_SOURCES, max_chars: int | None = MAX_SOURCE_CHARS,
+) -> DataFrame:
     """The full nested report: summary, score, coverage, issues, errors, file list, sources.
 
     A project is one row, part 0, unless one of its lists is longer than ``part_rows``: then the
     lists go on in parts 1, 2, …, so no row and no task ever holds an unbounded project. Part 0
-    has the counts, scores, sources and the number of parts.
+    has the sources; every part has the counts, scores, summary and the number of parts. How many
+    sources, and how much of each, are arguments; None stands for all.
     """
     # The staged facts list the files; the source table is read for the flagged texts only.
     projects = scan.facts.select("project").distinct() if projects is None else projects
     head = project_overview(projects, scan.issues, scan.facts, scan.parse_errors)
     sources = (
-        flagged_sources(scan.files, scan.issues)
+        flagged_sources(scan.files, scan.issues, max_sources, max_chars, scan.folder)
         .groupBy("project")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "source")))).alias("sources"))
     )
@@ -233,7 +241,6 @@ def project_report(scan: Scan, projects: DataFrame | None = None, part_rows: int
     rules = F.array(*[F.lit(rule) for rule in scan.rules])
     head = head.join(sources, "project", "left").select(
         "project",
-        F.lit(0).alias("part"),
         F.greatest(F.lit(1), F.ceil(longest / part_rows)).cast("int").alias("parts"),
         F.struct(*SUMMARY_COLUMNS).alias("summary"),
         F.struct(*[F.col(f"score_{c}").alias(c) for c in SCORE_COLUMNS]).alias("score"),
@@ -244,8 +251,10 @@ def project_report(scan: Scan, projects: DataFrame | None = None, part_rows: int
     )
     lists = _report_lists(scan, part_rows)
     # Everything meets on (project, part), so the parts of a huge project stay spread out.
-    keys = head.select("project", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    whole = keys.join(head, ["project", "part"], "left").join(lists, ["project", "part"], "left")
+    parts = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = parts.withColumn("sources", F.when(F.col("part") == 0, F.col("sources")).otherwise(F.map_filter("sources", lambda k, v: F.lit(False))))
+    columns = ["project", "part", *(c for c in head.columns if c != "project")]
+    whole = parts.select(*columns).join(lists, ["project", "part"], "left")
     kinds = {f.name: f.dataType for f in lists.schema if f.name not in ("project", "part")}
     return whole.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in kinds.items()})
 
@@ -269,7 +278,7 @@ def _report_lists(scan: Scan, part_rows: int) -> DataFrame:
     items = issues.unionByName(plain(scan.parse_errors, "parse_errors", _error_text())).unionByName(
         plain(scan.facts, "files_list", F.lit(None))
     )
-    ranked = numbered(items, ["project", "section"], ISSUE_ORDER)
+    ranked = numbered(items, ["project", "section"], ISSUE_ORDER, folder=scan.folder)
     part = F.floor((F.col("seq") - 1) / part_rows).cast("int")
     # At most part_rows rows of each section meet in one group.
     of = lambda section, value: F.transform(
@@ -297,9 +306,9 @@ def json_reports(report: DataFrame) -> DataFrame:
 
 
 def report_order() -> list[Column]:
-    """Security before quality, then file and line, equal ones in scan order."""
+    """Per project, security before quality, then file and line, equal ones in scan order."""
     rest = [F.col(c) for c in ISSUE_ORDER if c != "path"]
-    return [F.when(_security(), 0).otherwise(1), F.col("path"), F.col("line"), *rest]
+    return [F.col("project"), F.when(_security(), 0).otherwise(1), F.col("path"), F.col("line"), *rest]
 
 
 TEXT_ORDER = ("project", "section", "kind", "path", "line", "phase", "rule_order", "bfs", "ord")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylint.functions.facts import extract_facts, parse_errors
-from quarrylint.functions.staging import numbered, stage
+from quarrylint.functions.staging import numbered, remove, shared_folder, stage
 from quarrylint.functions.text import n_lines
 from quarrylint.operators.catalog import severity_rank
+from quarrylint.operators.duplicates import duplicate_places
 from quarrylint.operators.findings import ISSUE_COLUMNS, ISSUE_ORDER, finding
 from quarrylint.operators.registry import Rule, choose_rules
 from quarrylint.operators.secrets import HIT_DDL, secret_hits
@@ -29,6 +31,16 @@ class Scan:
     issues: DataFrame
     parse_errors: DataFrame
     rules: tuple[str, ...]
+    folder: str | None = None
+
+    def duplicate_places(self, min_lines: int = 5) -> DataFrame:
+        """All places of every duplicated body; see ``duplicates.duplicate_places``."""
+        return duplicate_places(self.facts, min_lines, self.folder)
+
+    def drop(self) -> None:
+        """Delete what this scan and the reports on it have staged; its tables cannot be read any more."""
+        if self.folder is not None:
+            remove(self.facts.sparkSession, self.folder)
 
 
 def scan_facts(
@@ -137,17 +149,19 @@ def scan(
 
     ``thresholds`` maps rule names to keyword arguments, as ``{"complexity": {"threshold": 15}}``.
     Facts and issues are staged as Parquet below ``folder`` (by default the folder named in
-    spark.checkpoint.dir), so files are parsed once for rules, duplicates and reports. Give
+    spark.checkpoint.dir, else the warehouse) in a folder of the scan's own, so files are parsed once for rules, duplicates and reports. Give
     ``partitions`` where ``files`` has too few of them to keep the cores busy. Syntax errors are
     reported whatever the rules; with ``parse=False`` they are not, if no rule needs a tree.
     """
     rules = choose_rules(profile, only, extra_rules)
     if not rules:
         raise ValueError("no rules chosen")
+    spark = files.sparkSession
+    folder = f"{folder or shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     facts = stage(scan_facts(files, rules, partitions, parse), "facts", folder)
     issues = stage(scan_issues(facts, rules, thresholds), "issues", folder)
     errors = parse_errors(facts if "parse_error" in facts.columns else _unparsed(facts))
-    return Scan(files, facts, issues, errors, tuple(rule.checker for rule in rules))
+    return Scan(files, facts, issues, errors, tuple(rule.checker for rule in rules), folder)
 
 
 def _unparsed(facts: DataFrame) -> DataFrame:
@@ -157,6 +171,6 @@ def _unparsed(facts: DataFrame) -> DataFrame:
     })
 
 
-def in_order(issues: DataFrame) -> DataFrame:
+def in_order(issues: DataFrame, folder: str | None = None) -> DataFrame:
     """Issues with ``seq``: by file, rule and place in the tree, rules over all files last."""
-    return numbered(issues, ["project"], ISSUE_ORDER)
+    return numbered(issues, ["project"], ISSUE_ORDER, folder=folder)

@@ -34,9 +34,9 @@ def search(issues: DataFrame, text: str) -> DataFrame:
 
 
 def triage_order(collation: str | None = None) -> list[Column]:
-    """Worst severity first, then path, then scan order; ``collation`` as ``UNICODE`` for locale order."""
+    """Worst severity first, then path, scan order and project; ``collation`` as ``UNICODE`` for locale order."""
     path = F.collate("path", collation) if collation else F.col("path")
-    return [F.col("severity_rank"), path, *[F.col(c) for c in ISSUE_ORDER]]
+    return [F.col("severity_rank"), path, *[F.col(c) for c in ISSUE_ORDER if c != "path"], F.col("project"), F.col("path")]
 
 
 def triage(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -59,7 +60,7 @@ def _list_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row = dict.fromkeys(_ENTRY_TYPES)
             row.update(archive=archive, is_zip=True)
             try:
-                with zipfile.ZipFile(location) as packed:
+                with zipfile.ZipFile(os.fsdecode(location)) as packed:
                     members = packed.infolist()
             except Exception:
                 yield _batch([{**row, "is_zip": False}], _ENTRY_TYPES)
@@ -163,7 +164,7 @@ def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive, location in zip(*(batch.column(c).to_pylist() for c in ("archive", "location"))):
             rows, held = [], 0
-            with zipfile.ZipFile(location) as packed:
+            with zipfile.ZipFile(os.fsdecode(location)) as packed:
                 members = {}
                 for member in packed.infolist():
                     if not member.is_dir() and member.filename.endswith(".py"):
@@ -174,7 +175,7 @@ def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     try:
                         row["content"] = packed.read(member)
                     except Exception as error:
-                        row["read_error"] = f"Could not read file: {error}"
+                        row["read_error"] = f"Not readable: {error}"
                     rows.append(row)
                     held += len(row["content"] or b"")
                     if held >= _BATCH_BYTES:

@@ -20,8 +20,8 @@ from quarrylint.functions.staging import work_partitions
 from quarrylint.functions.text import decode
 from quarrylint.sources.paths import DEFAULT_EXCLUDES
 
-LISTING_DDL = "path STRING, location STRING, length BIGINT, read_error STRING"
-MAX_FILE_BYTES = 200 * 1024 * 1024  # fixed value: the limit of a whole unpacked project
+# Names are bytes on disk, so locations are, too.
+LISTING_DDL = "path STRING, location BINARY, length BIGINT, read_error STRING"
 _BATCH_BYTES = 32 * 1024 * 1024
 _FILES_PER_SHARD = 20_000
 
@@ -68,7 +68,11 @@ class FileListingReader(DataSourceReader):
             below = []
             for directory in level:
                 own = 0
-                for entry in _scan(directory):
+                try:
+                    entries = _scan(directory)
+                except OSError:
+                    entries, own = [], 1  # read() meets the error again and reports it
+                for entry in entries:
                     if not entry.is_dir(follow_symlinks=False):
                         own += 1
                     elif self._wanted_dir(entry.name):
@@ -87,7 +91,13 @@ class FileListingReader(DataSourceReader):
                 continue
             todo = [directory]
             while todo:
-                for entry in _scan(todo.pop()):
+                now = todo.pop()
+                try:
+                    entries = _scan(now)
+                except OSError as error:
+                    yield self._error(now, os.path.relpath(now, self.root), error)
+                    continue
+                for entry in entries:
                     if entry.is_dir():
                         if deep and not entry.is_symlink() and self._wanted_dir(entry.name):
                             todo.append(entry.path)
@@ -97,22 +107,22 @@ class FileListingReader(DataSourceReader):
 
     def _row(self, location: str, path: str) -> tuple:
         try:
-            return (_clean(path), location, os.stat(location).st_size, None)
+            return (_clean(path), os.fsencode(location), os.stat(location).st_size, None)
         except OSError as error:
-            return (_clean(path), location, None, f"Could not read file: {error}")
+            return self._error(location, path, error)
+
+    def _error(self, location: str, path: str, error: OSError) -> tuple:
+        return (_clean(path), os.fsencode(location), None, f"Not readable: {error.strerror or error}")
 
 
 def _clean(name: str) -> str:
-    """File names with bytes that are no UTF-8 get replacement characters."""
-    return os.fsencode(name).decode("utf-8", "replace")
+    """Bytes of a name that are no UTF-8 are spelled out, so different names stay different."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
 
 
 def _scan(directory: str) -> list:
-    try:
-        with os.scandir(directory) as entries:
-            return list(entries)
-    except OSError:
-        return []  # a directory that cannot be listed holds no files for us
+    with os.scandir(directory) as entries:
+        return list(entries)
 
 
 def list_tree(
@@ -128,21 +138,21 @@ def list_tree(
     )
 
 
-def _read_bytes(max_bytes: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_bytes(max_bytes: int | None, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         rows, held = [], 0
         for row in batch.to_pylist():
             content = None
             if row["read_error"] is None:
-                if row["length"] > max_bytes:
-                    row["read_error"] = f"Could not read file: larger than {max_bytes} bytes"
+                if max_bytes is not None and row["length"] > max_bytes:
+                    row["read_error"] = f"Not read: larger than {max_bytes} bytes"
                 else:
                     try:
                         with open(row["location"], "rb") as handle:
                             content = handle.read()
                     except OSError as error:
-                        row["read_error"] = f"Could not read file: {error}"
+                        row["read_error"] = f"Not readable: {error.strerror or error}"
             rows.append({**row, "content": content})
             held += len(content or b"")
             if held >= _BATCH_BYTES:
@@ -153,7 +163,7 @@ def _read_bytes(max_bytes: int, batches: Iterable[pa.RecordBatch]) -> Iterator[p
 
 
 def _bytes_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"length": pa.int64(), "content": pa.binary()}
+    kinds = {"location": pa.binary(), "length": pa.int64(), "content": pa.binary()}
     columns = [*names, "content"]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[c] for r in rows], type=kinds.get(c, pa.string())) for c in columns],
@@ -161,7 +171,7 @@ def _bytes_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     )
 
 
-def read_bytes(listing: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_bytes(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add the bytes of each listed file; listing rows are spread first so that no task holds a tree."""
     spread = listing.repartition(work_partitions(listing.sparkSession), F.xxhash64("location"))
     return spread.mapInArrow(
@@ -176,9 +186,13 @@ def load_tree(
     excludes: Iterable[str] | None = None,
     extra_excludes: Iterable[str] = (),
     project: str | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """``files`` (project, path, content, read_error) of one tree; paths are relative to its root."""
+    """``files`` (project, path, content, read_error) of one tree; paths are relative to its root.
+
+    A folder that cannot be listed, the root among them, is a row with a read error. Files of any size
+    are read unless ``max_bytes`` is given.
+    """
     names = [*(excludes or DEFAULT_EXCLUDES), *extra_excludes]
     listing = list_tree(spark, root, ".py", names)
     name = project or os.path.basename(os.path.abspath(root))

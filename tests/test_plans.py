@@ -1,3 +1,4 @@
+import os
 import re
 from datetime import datetime
 
@@ -69,20 +70,31 @@ def test_semi_join_spread_equals_plain_semi_join(spark):
 
 def test_hot_copies_are_counted_whole(spark, files_of):
     body = "def f{i}(a):\n    x = a\n    y = x\n    z = y\n    return z\n"
-    done = scan(files_of({f"m{i:03}.py": body.format(i=i) for i in range(120)}), profile=["duplicate-code"])
-    found = duplicates.duplicate_code(done.facts, named_places=3).collect()
-    assert len(found) == 1 and found[0].measure == 120
-    assert found[0].message == (
-        "Same function body also at: m001.py:1, m002.py:1, m003.py:1 and 116 more places (120 occurrences)"
-    )
-    places = duplicates.duplicate_places(done.facts)
-    assert places.count() == 120 and places.filter("is_first").select("path").first()[0] == "m000.py"
+    done = scan(files_of({f"m{i:03}.py": body.format(i=i) for i in range(620)}), profile=["duplicate-code"])
+    found = duplicates.duplicate_code(done.facts).collect()
+    assert len(found) == 1 and found[0].measure == 620
+    places = done.duplicate_places().filter(F.col("first_path") == found[0].path).filter(F.col("first_line") == found[0].line)
+    assert places.count() == 620 and places.filter("is_first").select("path").first()[0] == "m000.py"
+
+
+def test_no_staged_column_holds_a_secret(files_of):
+    key = "AKIA" + "Q" * 16
+    done = scan(files_of({"a.py": f"k = '{key}'\ncall(token='{key}')\n"}), profile=["hardcoded-secret"])
+    assert [r.snippet for r in done.issues.collect()] == ["AKIA****", "AKIA****"]
+    facts = done.facts.select(F.to_json(F.struct("secret_hits")).alias("all")).collect()
+    assert key not in facts[0]["all"]
 
 
-def test_named_places_are_limited_before_the_shuffle(spark, files_of):
-    done = scan(files_of(SAMPLE), profile=["duplicate-code"])
-    plan = duplicates.duplicate_code(done.facts)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_only_the_given_folder_is_written(spark, files_of, tmp_path):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) if os.path.isdir(spark.conf.get("spark.checkpoint.dir")) else set()
+    done = scan(files_of(SAMPLE), folder=str(tmp_path))
+    report.project_report(done).count()
+    in_order(done.issues, done.folder).count()
+    done.duplicate_places().count()
+    now = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) if os.path.isdir(spark.conf.get("spark.checkpoint.dir")) else set()
+    assert now == before and os.listdir(tmp_path)
+    done.drop()
+    assert not os.path.isdir(f"{tmp_path}/{os.path.basename(done.folder)}")
 
 
 def test_thresholds_need_no_new_parse(files_of):
@@ -205,6 +217,7 @@ def test_report_in_parts_is_whole(files_of):
     assert len(whole) == 1 and whole[0].parts == 1
     parts = report.project_report(done, part_rows=7).orderBy("part").collect()
     assert len(parts) == parts[0].parts == 7
+    assert {(p.summary, p.score, p.files_scanned) for p in parts} == {(whole[0].summary, whole[0].score, 30)}
     for name in ("issues", "files_list", "parse_errors"):
         assert [x for p in parts for x in p[name]] == list(whole[0][name])
     assert whole[0].files_list == sorted(contents) and len(whole[0].issues) == sum(i % 4 for i in range(30))
@@ -215,7 +228,7 @@ def test_sources_are_cut_in_characters(files_of):
     files = files_of({f"f{i:02}.py": "eval(é)\n" * 3 for i in range(40)})
     done = scan(files)
     rows = report.flagged_sources(done.files, done.issues, max_chars=10).orderBy("rank").collect()
-    assert [r.path for r in rows] == [f"f{i:02}.py" for i in range(30)]
+    assert [r.path for r in rows] == [f"f{i:02}.py" for i in range(40)]
     assert rows[0].source == "eval(é)\nev"
 
 

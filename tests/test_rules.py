@@ -197,7 +197,7 @@ def test_duplicate_other_name_and_docstring(files_of):
         "c.py": COPY.format(name="h", doc="'three'", end=" + 2"),
         "d.py": "\n\n" + COPY.format(name="i", doc="pass", end=""),
     }))
-    assert rows == [("a.py", 2, "f", 2, "Same function body also at: b.py:1 (2 occurrences)")]
+    assert rows == [("a.py", 2, "f", 2, "One body, 2 functions; this is the first of them")]
 
 
 def test_duplicate_boundaries(files_of):
@@ -213,7 +213,7 @@ def test_duplicate_nested_pair_and_order(files_of):
     outer = "def o(a):\n    def i(b):\n        x = b\n        y = x\n        z = y\n        return z\n    return i\n"
     rows = duplicates(files_of({"a.py": outer, "b.py": outer, "c/a.py": outer}))
     assert [(r[0], r[1], r[2], r[3]) for r in rows] == [("a.py", 1, "o", 3), ("a.py", 2, "i", 3)]
-    assert rows[0][4] == "Same function body also at: b.py:1, c/a.py:1 (3 occurrences)"
+    assert rows[0][4] == "One body, 3 functions; this is the first of them"
 
 
 def test_duplicates_stay_within_a_project(spark, files_of):

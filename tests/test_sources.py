@@ -34,7 +34,7 @@ def test_tree(spark, project):
     rows = {r.path: r for r in tree.load_tree(spark, str(project), project="p").collect()}
     assert set(rows) == KEPT
     assert rows["bad.py"].content == "x = '\ufffd'\ny = 1\n"
-    assert rows["dangling.py"].content is None and rows["dangling.py"].read_error.startswith("Could not read file")
+    assert rows["dangling.py"].content is None and rows["dangling.py"].read_error.startswith("Not readable")
     assert rows["a.py"].project == "p"
 
 
@@ -48,7 +48,16 @@ def test_given_excludes_replace_the_defaults(spark, project):
 def test_single_file(spark, project):
     assert [r.path for r in tree.load_tree(spark, str(project / "a.py")).collect()] == ["a.py"]
     assert tree.load_tree(spark, str(project / "notes.txt")).count() == 0
-    assert tree.load_tree(spark, str(project / "nothing")).count() == 0
+    lost = tree.load_tree(spark, str(project / "nothing")).collect()
+    assert [(r.content, r.read_error) for r in lost] == [(None, "Not readable: No such file or directory")]
+
+
+def test_names_that_are_no_utf_8(spark, tmp_path):
+    for name in (b"a\xff.py", b"a\xfe.py"):
+        with open(os.path.join(os.fsencode(tmp_path), name), "wb") as handle:
+            handle.write(b"x = 1\n")
+    found = tree.load_tree(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.content) for r in found) == [("a\\xfe.py", "x = 1\n"), ("a\\xff.py", "x = 1\n")]
 
 
 def test_many_files_in_one_directory_are_shared_out(spark, tmp_path, monkeypatch):
@@ -70,7 +79,7 @@ def test_too_large_file_is_an_error_row(spark, project):
 def test_read_errors_show_up_and_run_no_rules(spark, project):
     done = scan(tree.load_tree(spark, str(project)))
     errors = {r.path: r.error for r in done.parse_errors.collect()}
-    assert set(errors) == {"dangling.py"} and errors["dangling.py"].startswith("Could not read file")
+    assert set(errors) == {"dangling.py"} and errors["dangling.py"].startswith("Not readable")
     assert done.issues.count() == 0
 
 
