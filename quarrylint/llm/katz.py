@@ -1,6 +1,6 @@
 """Language-model scoring: a bigram model with Katz backoff, learned from all texts that may be learned from.
 
-Texts are kept as *parts*: one row holds some millions of tokens as numbers into the part's own word list.
+Texts are kept as *parts*: one row holds about a million tokens as numbers into the part's own word list.
 Counts are gathered and looked up in one exchange per order: each part sends its distinct n-grams with
 their counts to the buckets of their histories, which add them up and send the totals back to the parts.
 So an n-gram crosses the network once per part, however often it occurs, and no table is broadcast.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quarrylint.functions.staging import stage
 
 TOP = 5
-PART_TOKENS = 4_000_000
+PART_TOKENS = 1_000_000
 REMEMBERED = 1_000_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
@@ -185,18 +185,24 @@ def _rows(table: list[dict], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(table, schema=schema)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as each of them is large."""
+    for batch in batches:
+        for place in range(batch.num_rows):
+            yield batch.slice(place, 1).to_pylist()[0]
+
+
 def ask_words(buckets: int):
     """mapInArrow function: parts to what they ask of each bucket about single words."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = Part.of(row)
-                counts, edges = part.word_counts(), np.searchsorted(_high(part.words, buckets), np.arange(buckets + 1))
-                yield _rows([
-                    {"bucket": b, "part": row["part"], "histories": part.words[low:high].tobytes(), "counts": _pack(counts[low:high])}
-                    for b, (low, high) in enumerate(zip(edges[:-1], edges[1:])) if high > low
-                ], ASKED)
+        for row in _each(batches):
+            part = Part.of(row)
+            counts, edges = part.word_counts(), np.searchsorted(_high(part.words, buckets), np.arange(buckets + 1))
+            yield _rows([
+                {"bucket": b, "part": row["part"], "histories": part.words[low:high].tobytes(), "counts": _pack(counts[low:high])}
+                for b, (low, high) in enumerate(zip(edges[:-1], edges[1:])) if high > low
+            ], ASKED)
 
     return ask
 
@@ -268,23 +274,22 @@ def ask_pairs(total: int, buckets: int):
     """mapInArrow function: parts with ``known`` to what they ask of each bucket about pairs."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                part, known = Part.of(row), _known(row)
-                pairs, keys = Pairs.of(part, known, total, buckets), np.append(part.words, START)
-                group_edges = np.searchsorted(pairs.group_bucket, np.arange(buckets + 1))
-                edges = np.searchsorted(pairs.group, group_edges)
-                followers = np.bincount(pairs.group, minlength=len(pairs.group_bucket))
-                for b in range(buckets):
-                    groups, own = slice(*group_edges[b : b + 2]), slice(*edges[b : b + 2])
-                    if groups.start == groups.stop:
-                        continue
-                    word = pairs.word[own]
-                    yield _rows([{
-                        "bucket": b, "part": row["part"], "histories": keys[pairs.group_history[groups]].tobytes(),
-                        "followers": _pack(followers[groups].astype(np.uint32)), "words": part.words[word].tobytes(),
-                        "known": _pack(known[word].astype(np.uint32)), "counts": _pack(pairs.counts[own].astype(np.uint32)),
-                    }], ASKED)
+        for row in _each(batches):
+            part, known = Part.of(row), _known(row)
+            pairs, keys = Pairs.of(part, known, total, buckets), np.append(part.words, START)
+            group_edges = np.searchsorted(pairs.group_bucket, np.arange(buckets + 1))
+            edges = np.searchsorted(pairs.group, group_edges)
+            followers = np.bincount(pairs.group, minlength=len(pairs.group_bucket))
+            for b in range(buckets):
+                groups, own = slice(*group_edges[b : b + 2]), slice(*edges[b : b + 2])
+                if groups.start == groups.stop:
+                    continue
+                word = pairs.word[own]
+                yield _rows([{
+                    "bucket": b, "part": row["part"], "histories": keys[pairs.group_history[groups]].tobytes(),
+                    "followers": _pack(followers[groups].astype(np.uint32)), "words": part.words[word].tobytes(),
+                    "known": _pack(known[word].astype(np.uint32)), "counts": _pack(pairs.counts[own].astype(np.uint32)),
+                }], ASKED)
 
     return ask
 
@@ -381,9 +386,8 @@ def score_parts(words: Words, pairs_discounts: Discounts, buckets: int):
         )
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield score(row)
+        for row in _each(batches):
+            yield score(row)
 
     return scores
 
