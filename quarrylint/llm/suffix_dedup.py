@@ -218,7 +218,8 @@ def _spans(rows: np.ndarray, inside: np.ndarray, batch: pa.RecordBatch, length:
 
 
 SPANS = "id bigint, tag int, start int, stop int"
-PARTS = 10_000
+PARTS = 4_000
+CHUNK_ROWS = 1_000
 
 
 def order_strings(length: int):
@@ -279,7 +280,7 @@ def hash_strings(length: int):
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (id, content, spans) to counts, removed spans and the bytes that are left."""
-    for batch in batches:
+    for batch in (whole.slice(low, CHUNK_ROWS) for whole in batches for low in range(0, whole.num_rows, CHUNK_ROWS)):
         table = []
         for content, spans in zip(batch["content"], batch["spans"]):
             content = content.as_py()
