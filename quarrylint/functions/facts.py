@@ -177,8 +177,12 @@ class _FileFacts:
     are equal if and only if the bodies are, whatever their layout; only a digest is kept.
     """
 
-    def __init__(self, tree: ast.AST, lines: list[str]):
+    def __init__(self, tree: ast.AST, lines: list[str], parts: frozenset[str]):
         self.lines = lines
+        self.wanted = parts
+        if "bodies" in parts:
+            parts = parts | {"functions"}
+        self.collectors = {kind: step for kind, step in self._COLLECTORS.items() if step[0] in parts}
         self.out = {
             part: []
             for part in ("functions", "bodies", "classes", "imports", "exported", "calls", "handlers")
@@ -197,7 +201,9 @@ class _FileFacts:
             self.failures.setdefault(part, f"{type(error).__name__}: {error}")
 
     def _walk(self, tree) -> None:
-        collectors = self._COLLECTORS
+        collectors = self.collectors
+        spell, name = "bodies" in self.wanted, "names" in self.wanted
+        by_function = ast.FunctionDef in collectors
         spelled: list[str] = []
         todo = [(tree, 0, 0, ())]
         place = 0
@@ -208,12 +214,13 @@ class _FileFacts:
                 continue
             kind = type(node)
             if kind is ast.Name:  # the two most frequent nodes, both without children
-                self.names.add(node.id)
-                if owners:
+                if name:
+                    self.names.add(node.id)
+                if spell and owners:
                     spelled.append(node.id)
                 continue
             if kind is ast.Constant:
-                if owners:
+                if spell and owners:
                     spelled.append(f"={_atom(node.value)}{node.kind or ''}")
                 continue
             place += 1
@@ -223,12 +230,12 @@ class _FileFacts:
                 self._guard(collector[0], collector[1], bfs, node)
             if owners and kind in _BRANCHING:
                 depth = _branch(node, depth, owners)
-            if owners:
+            if spell and owners:
                 children, line = _spell(node)
                 spelled.append(line)
             else:
                 children = _children(node)
-            if kind is not ast.FunctionDef and kind is not ast.AsyncFunctionDef:
+            if not by_function or kind is not ast.FunctionDef and kind is not ast.AsyncFunctionDef:
                 todo += [(child, level + 1, depth, owners) for child in reversed(children)]
                 continue
             fact = self.out["functions"][-1]
@@ -339,8 +346,8 @@ class _FileFacts:
 _TREE_PARTS = ("functions", "bodies", "classes", "imports", "names", "exported", "calls", "handlers")
 
 
-def file_facts(content: str | None) -> dict:
-    """Facts of one file as a plain row; every failure is data, none is raised."""
+def file_facts(content: str | None, parts: frozenset[str] = frozenset(_TREE_PARTS)) -> dict:
+    """Facts of one file as a plain row; every failure is data, none is raised. Only ``parts`` are gathered."""
     row = {column: [] for column in _ARROW}
     row.update(n_lines=None, parse_error=None, error_line=None)
     if content is None:
@@ -357,10 +364,10 @@ def file_facts(content: str | None) -> dict:
         row["parse_error"] = f"{type(error).__name__}: {_text(str(error))}"
         return row
     try:
-        facts = _FileFacts(tree, lines)
+        facts = _FileFacts(tree, lines, parts)
     except Exception as error:
         text = f"{type(error).__name__}: {_text(str(error))}"
-        row["failures"] = [{"part": part, "error": text} for part in _TREE_PARTS]
+        row["failures"] = [{"part": part, "error": text} for part in _TREE_PARTS if part in parts]
         return row
     row.update(facts.out)
     row["names"] = sorted(facts.names)
@@ -370,36 +377,42 @@ def file_facts(content: str | None) -> dict:
     return row
 
 
-def _extract(rows_per_batch: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(rows_per_batch: int, parts: frozenset[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")  # invalid escapes in scanned code are not our warnings
     gc.disable()  # syntax trees hold no cycles
+    gathered = {c: t for c, t in _ARROW.items() if c in parts or c not in _TREE_PARTS}
     try:
         for batch in batches:
             kept = [name for name in batch.schema.names if name != "content"]
             for start in range(0, batch.num_rows, rows_per_batch):
                 part = batch.slice(start, rows_per_batch)
-                rows = [file_facts(text) for text in part.column("content").to_pylist()]
+                rows = [file_facts(text, parts) for text in part.column("content").to_pylist()]
                 arrays = [part.column(name) for name in kept]
-                arrays += [pa.array([r[c] for r in rows], type=t) for c, t in _ARROW.items()]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *_ARROW])
+                arrays += [pa.array([r[c] for r in rows], type=t) for c, t in gathered.items()]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *gathered])
     finally:
         gc.enable()
 
 
-def extract_facts(files: DataFrame, partitions: int | None = None, rows_per_batch: int = 256) -> DataFrame:
+def extract_facts(
+    files: DataFrame, partitions: int | None = None, rows_per_batch: int = 256, parts: Iterable[str] | None = None
+) -> DataFrame:
     """``files`` (project, path, content, …) to one row of facts per file.
 
     Parsing keeps the partitions of ``files``, so no text is shuffled. Give ``partitions`` only
     where the table has too few of them to keep the cores busy.
 
     All other columns pass through; ``content`` is dropped, so text never crosses back from
-    Python. A null content (unreadable file) gives a row without facts.
+    Python. A null content (unreadable file) gives a row without facts. With ``parts`` only those
+    columns of the tree are gathered and returned.
     """
+    wanted = frozenset(_TREE_PARTS if parts is None else parts)
     kept = [f for f in files.schema.fields if f.name != "content"]
-    schema = T.StructType([*kept, *T._parse_datatype_string(FACTS_DDL).fields])
+    found = T._parse_datatype_string(FACTS_DDL).fields
+    schema = T.StructType([*kept, *(f for f in found if f.name in wanted or f.name not in _TREE_PARTS)])
     if partitions is not None:
         files = files.repartition(partitions, "project", "path")
-    return files.mapInArrow(lambda batches: _extract(rows_per_batch, batches), schema)
+    return files.mapInArrow(lambda batches: _extract(rows_per_batch, wanted, batches), schema)
 
 
 def functions(facts: DataFrame) -> DataFrame:

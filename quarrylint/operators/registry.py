@@ -22,7 +22,8 @@ class Rule:
 
     ``findings(**thresholds)`` returns an array of findings as a Column over file facts.
     ``query(facts, **thresholds)`` returns a DataFrame of findings with project and path.
-    ``parts`` names the fact columns a file rule reads; it fails, as data, if one is missing.
+    ``parts`` names the fact columns a rule reads; a file rule fails, as data, if one is missing. Only
+    columns that some rule names are gathered; a tree rule that names none may read all of them.
     ``reads_text`` marks a rule that reads ``content`` and so has to run before extraction.
     """
 
@@ -62,7 +63,7 @@ def builtin_rule(checker: str) -> Rule:
         category=CATEGORIES[checker],
         findings=findings,
         query=duplicate_code if checker == "duplicate-code" else None,
-        parts=parts,
+        parts=("bodies",) if checker == "duplicate-code" else parts,
         needs_tree=NEEDS_TREE[checker],
         rule_id=RULE_IDS[checker],
     )

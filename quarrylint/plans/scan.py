@@ -60,10 +60,18 @@ def scan_facts(
         if rule.reads_text:
             columns = columns.withColumn(_custom_column(rule), rule.findings())
     if parse or any(rule.needs_tree for rule in rules):
-        return extract_facts(columns)
+        return extract_facts(columns, parts=_parts(rules))
     return columns.withColumn("n_lines", n_lines(text)).drop("content")
 
 
+def _parts(rules: Sequence[Rule]) -> set[str] | None:
+    """The tree parts that ``rules`` read; None, for all, if a rule with a tree does not name its own."""
+    trees = [rule for rule in rules if rule.needs_tree and not rule.reads_text]
+    if any(not rule.parts for rule in trees):
+        return None
+    return {part for rule in trees for part in rule.parts}
+
+
 def _custom_column(rule: Rule) -> str:
     return f"findings of {rule.checker}"
 
