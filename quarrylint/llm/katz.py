@@ -39,7 +39,7 @@ from quarrylint.functions.staging import stage
 
 TOP = 5
 PART_TOKENS = 1_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
 PARTS = "part bigint, ids array<bigint>, learned binary, sizes binary, words binary, tokens binary"
