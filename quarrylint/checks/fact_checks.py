@@ -41,7 +41,7 @@ def file_facts(spark, sf_dir):
 
 
 @check("x02_parse_errors", f"WITH {oracle.PART}, {oracle.ERRORS} "
-       "SELECT project, path, 'Syntax error: invalid syntax (line 1)' AS error, 1 AS line FROM errors")
+       "SELECT project, path, 'Cannot be parsed: invalid syntax, line 1' AS error, 1 AS line FROM errors")
 def parse_errors(spark, sf_dir):
     return code.parse_errors(facts_of("broken")(spark, sf_dir))
 

@@ -28,7 +28,7 @@ def complexity(t=10):
         "complexity", f"1 + s > {t}", folder="branches",
         severity=f"CASE WHEN 1 + s > {2 * t} THEN 'error' ELSE 'warning' END", line="1", symbol="'h'",
         measure="1 + s", threshold=t,
-        message=f"'Function ''h'' has cyclomatic complexity ' || (1 + s) || ', limit {t}'")]
+        message=f"'h has ' || (1 + s) || ' paths through it (McCabe), limit {t}'")]
 
 
 def long_function(t=50):

@@ -173,7 +173,7 @@ def report_issues(spark, sf_dir):
 
 
 @check("a11_failed_scans", f"""WITH {oracle.PART} SELECT 'part_' || k || '.zip' AS project, 'failed' AS status,
-    'Unsafe path in zip: ../evil.py' AS error, 0 AS files_scanned, '' AS files_list FROM part_rows WHERE s % 5 = 0""")
+    'Entry leaves the archive root: ../evil.py' AS error, 0 AS files_scanned, '' AS files_list FROM part_rows WHERE s % 5 = 0""")
 def failed_scans(spark, sf_dir):
     root = files_on_disk.write_archives(spark, sf_dir)
     files, rejects = archives.load_archives(spark, root)
@@ -204,7 +204,7 @@ def json_reports(spark, sf_dir):
     entries AS (SELECT project, CASE category WHEN 'security' THEN 0 ELSE 1 END AS section, 1 AS kind, path, line,
         phase, rule_order, bfs, ord,
         '  ' || path || ':' || line || '  [' || upper(severity) || '] (' || checker || ') ' || message AS text FROM issues
-        UNION ALL SELECT project, 2, 1, path, 0, 0, 0, 0, 0, '  ' || path || ': Syntax error: invalid syntax (line 1)' FROM errors),
+        UNION ALL SELECT project, 2, 1, path, 0, 0, 0, 0, 0, '  ' || path || ': Cannot be parsed: invalid syntax, line 1' FROM errors),
     shown AS (SELECT project, unnest([0, 1, 2, 3]) AS section, unnest(['SECURITY', 'CODE QUALITY', 'PARSE ERRORS', 'SUMMARY']) AS title,
         unnest([security > 0, quality > 0, files_with_errors > 0, true]) AS wanted FROM whole),
     all_lines AS (SELECT * FROM entries

@@ -175,7 +175,7 @@ def report_order(spark, sf_dir):
 
 
 @check("q07_parse_error_view", f"WITH {oracle.PART}, {oracle.ERRORS} "
-       "SELECT project, path, 'Syntax error: invalid syntax (line 1)' AS error, 1 AS line FROM errors")
+       "SELECT project, path, 'Cannot be parsed: invalid syntax, line 1' AS error, 1 AS line FROM errors")
 def parse_error_view(spark, sf_dir):
     return corpus_scan(spark, sf_dir).parse_errors
 

@@ -59,7 +59,7 @@ def load_archives(spark, sf_dir):
 
 
 @check("s05_archive_rejects", f"""WITH {oracle.PART}
-    SELECT 'part_' || k || '.zip' AS archive, 'Unsafe path in zip: ../evil.py' AS reason
+    SELECT 'part_' || k || '.zip' AS archive, 'Entry leaves the archive root: ../evil.py' AS reason
     FROM part_rows WHERE s % 5 = 0""")
 def archive_rejects(spark, sf_dir):
     root = files_on_disk.write_archives(spark, sf_dir)
@@ -79,11 +79,11 @@ S05_NAME = "CASE WHEN {tax} >= 8 THEN 'a/../../b.py' WHEN {tax} = 7 THEN 'a/../c
         FROM lineitem),
     running AS (SELECT *, sum(size) OVER (PARTITION BY archive ORDER BY idx) AS total, count(*) OVER (PARTITION BY archive) AS n
         FROM entries),
-    reasons AS (SELECT archive, idx, CASE WHEN name = 'a/../../b.py' THEN 'Unsafe path in zip: ' || name
-        WHEN total > {S05_LIMIT} THEN 'Zip expands to more than 150 MB; not unpacked.' END AS reason
+    reasons AS (SELECT archive, idx, CASE WHEN name = 'a/../../b.py' THEN 'Entry leaves the archive root: ' || name
+        WHEN total > {S05_LIMIT} THEN 'Archive unpacks to over 150 MB' END AS reason
         FROM running WHERE n <= 6)
     SELECT archive, min_by(reason, idx) AS reason FROM reasons WHERE reason IS NOT NULL GROUP BY archive
-    UNION ALL SELECT DISTINCT archive, 'Too many files in zip (max 6).' FROM running WHERE n > 6""")
+    UNION ALL SELECT DISTINCT archive, 'Archive has more than 6 entries' FROM running WHERE n > 6""")
 def entry_rejects(spark, sf_dir):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"]
     items = made.table(spark, sf_dir, "lineitem").select("l_orderkey", *order)

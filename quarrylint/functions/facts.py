@@ -357,7 +357,7 @@ def file_facts(content: str | None, parts: frozenset[str] = frozenset(_TREE_PART
     try:
         tree = ast.parse(content)
     except SyntaxError as error:
-        row["parse_error"] = _text(f"Syntax error: {error.msg} (line {error.lineno})")
+        row["parse_error"] = _text(f"Cannot be parsed: {error.msg}, line {error.lineno}")
         row["error_line"] = error.lineno
         return row
     except Exception as error:  # recursion or memory limits of the parser

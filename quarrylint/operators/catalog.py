@@ -13,8 +13,8 @@ PENALTIES = {"critical": 20, "error": 10, "warning": 5, "info": 2}
 # (rule_id, checker, category, needs_tree, why, fix)
 RULES = (
     ("QUAL001", "complexity", "quality", True,
-     "Each branch adds a path that must be understood and tested.",
-     "Move groups of branches into named helpers or return early."),
+     "The more ways through a function, the more cases a change can break unseen.",
+     "Look for decisions that belong together and give each group a function."),
     ("QUAL002", "long-function", "quality", True,
      "A long function tends to mix several tasks.",
      "Cut it into steps, one function per step."),
@@ -25,8 +25,8 @@ RULES = (
      "An import nobody uses is noise and hides dead code.",
      "Delete it, or mark the line with noqa if it is meant to stay."),
     ("QUAL005", "deep-nesting", "quality", True,
-     "The reader has to keep every open level in mind.",
-     "Return or continue early, or move inner blocks into functions."),
+     "What a line does depends on all conditions around it, and here there are many.",
+     "Turn outer conditions around so that the main path stays at the left."),
     ("QUAL006", "too-many-parameters", "quality", True,
      "Long parameter lists are easy to call wrongly.",
      "Group related values in an object or split the function."),
@@ -37,14 +37,14 @@ RULES = (
      "A large class has more than one responsibility.",
      "Move related methods into classes of their own."),
     ("QUAL009", "mutable-default-arg", "quality", True,
-     "The default is built once and shared by all calls.",
-     "Default to None and build the object in the body."),
+     "All calls without the argument work on one and the same object.",
+     "Make the object inside the function when the argument is missing."),
     ("QUAL010", "broad-exception", "quality", True,
      "Catching everything hides errors nobody thought of.",
      "Name the exceptions that are expected and handle them."),
     ("SEC001", "hardcoded-secret", "security", False,
-     "A credential in code is open to everyone who can read the repository or its history.",
-     "Read it from the environment or a secret store, and replace the leaked one."),
+     "Whoever gets a copy of the sources gets the key as well, also from old commits.",
+     "Withdraw the key, issue a new one and hand it to the program when it starts."),
     ("SEC002", "dangerous-exec", "security", True,
      "Evaluating text as code runs whatever the text says.",
      "Use a literal parser or a table of allowed operations."),

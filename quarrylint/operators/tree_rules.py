@@ -48,7 +48,7 @@ def complexity(threshold: int = 10) -> Column:
         F.filter(scored, lambda s: s["score"] > threshold),
         lambda s: finding(
             _above(s["score"], threshold), s["f"]["lineno"],
-            _text(f"Function '%s' has cyclomatic complexity %d, limit {threshold}", s["f"]["name"], s["score"]),
+            _text(f"%s has %d paths through it (McCabe), limit {threshold}", s["f"]["name"], s["score"]),
             bfs=s["f"]["bfs"], symbol=s["f"]["name"], measure=s["score"], threshold=threshold,
         ),
     )

@@ -16,7 +16,7 @@ MAX_SOURCES = 30
 MAX_SOURCE_CHARS = 60_000
 BANDS = ((85, "Great health"), (60, "Needs attention"), (0, "At risk"))
 
-NO_FILES_NOTE = "No .py files were found in this project."
+NO_FILES_NOTE = "Nothing to scan: the project has no Python files."
 SUMMARY_COLUMNS = ("total", "quality", "security", "critical", "error", "warning", "info")
 SCORE_COLUMNS = ("overall", "security", "quality", "complexity")
 

@@ -84,7 +84,7 @@ def turned_away(max_upload: int = MAX_UPLOAD_BYTES) -> Column:
     megabytes = max_upload // (1024 * 1024)
     return (
         F.when(~F.lower("archive").endswith(".zip"), F.lit("Not a .zip file."))
-        .when(F.col("length") > max_upload, F.lit(f"Upload too large (max {megabytes} MB)."))
+        .when(F.col("length") > max_upload, F.lit(f"Archive is over {megabytes} MB"))
         .when(F.col("read_error").isNotNull(), F.col("read_error"))
     )
 
@@ -121,14 +121,14 @@ def entry_rejects(
     """
     counts = entries.groupBy("archive").agg(F.count("*").alias("n"))
     crowded = counts.filter(F.col("n") > max_entries).select(
-        "archive", F.lit(f"Too many files in zip (max {max_entries}).").alias("reason")
+        "archive", F.lit(f"Archive has more than {max_entries} entries").alias("reason")
     )
     # What is left per archive is at most max_entries rows, so a window per archive is small.
     bounded = entries.join(crowded.select("archive"), "archive", "left_anti")
     so_far = Window.partitionBy("archive").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    limit = f"Zip expands to more than {max_unpacked // (1024 * 1024)} MB; not unpacked."
+    limit = f"Archive unpacks to over {max_unpacked // (1024 * 1024)} MB"
     reason = (
-        F.when(leaves_root(F.col("name")), F.concat(F.lit("Unsafe path in zip: "), "name"))
+        F.when(leaves_root(F.col("name")), F.concat(F.lit("Entry leaves the archive root: "), "name"))
         .when(F.sum("file_size").over(so_far) > max_unpacked, F.lit(limit))
         .when(F.col("encrypted"), F.concat(F.lit("Encrypted entry in zip: "), "name"))
     )
@@ -154,7 +154,7 @@ def archive_rejects(
         "archive", turned_away(max_upload).alias("reason")
     ).filter(F.col("reason").isNotNull())
     broken = entries.filter(~F.col("is_zip")).select(
-        "archive", F.lit("Not a valid zip file.").alias("reason")
+        "archive", F.lit("Archive cannot be opened as zip").alias("reason")
     )
     inside = entry_rejects(entries.filter("is_zip"), max_entries, max_unpacked)
     return outside.unionByName(broken).unionByName(inside)
