@@ -41,7 +41,7 @@ def list_archives(spark: SparkSession, root: str) -> DataFrame:
     Too large files and files with another suffix are listed, so that they can be rejected with
     a reason. Contents stay on disk until the guards have passed and never go through a shuffle.
     """
-    return list_tree(spark, root, suffix="", excludes=()).withColumnRenamed("path", "archive")
+    return list_tree(spark, root, suffix="", excludes=(), hidden=True).withColumnRenamed("path", "archive")
 
 
 def _batch(rows: list[dict], types: dict) -> pa.RecordBatch:
@@ -199,16 +199,22 @@ def unpack(archives: DataFrame, rejects: DataFrame, excludes: Iterable[str] | No
 
 
 def load_archives(
-    spark: SparkSession, root: str, excludes: Iterable[str] | None = None
+    spark: SparkSession,
+    root: str,
+    excludes: Iterable[str] | None = None,
+    max_upload: int = MAX_UPLOAD_BYTES,
+    max_entries: int = MAX_ENTRIES,
+    max_unpacked: int = MAX_UNPACKED_BYTES,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(files, rejects) of all archives below ``root``; the archive's path is the project.
 
     Listing, entry tables and rejects are staged: each archive is opened once for its directory
     and, if it passed the guards, once more for its contents.
     """
-    listed = stage(list_archives(spark, root), "archives")
-    entries = stage(archive_entries(listed), "archive_entries")
-    rejects = stage(archive_rejects(listed, entries), "archive_rejects")
+    listed = stage(list_archives(spark, root), "archives", folder)
+    entries = stage(archive_entries(listed, max_upload), "archive_entries", folder)
+    rejects = stage(archive_rejects(listed, entries, max_upload, max_entries, max_unpacked), "archive_rejects", folder)
     return unpack(listed, rejects, excludes), rejects
 
 

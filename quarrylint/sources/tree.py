@@ -31,7 +31,7 @@ class _Work(InputPartition):
 
 
 class FileListing(DataSource):
-    """Options: path, suffix, excludes (names joined by ``/``), slices."""
+    """Options: path, suffix, excludes (names joined by ``/``), hidden (whether to enter hidden folders), slices."""
 
     @classmethod
     def name(cls) -> str:
@@ -49,10 +49,11 @@ class FileListingReader(DataSourceReader):
         self.root = os.path.abspath(options["path"])
         self.suffix = options.get("suffix", ".py")
         self.excludes = frozenset(options["excludes"].split("/")) if options.get("excludes") else frozenset()
+        self.hidden = options.get("hidden", "false") == "true"
         self.slices = int(options.get("slices", "64"))
 
     def _wanted_dir(self, name: str) -> bool:
-        return name not in self.excludes and not name.startswith(".")
+        return name not in self.excludes and (self.hidden or not name.startswith("."))
 
     def partitions(self) -> list[InputPartition]:
         """Open directories level by level until there are enough of them, never below that.
@@ -126,14 +127,15 @@ def _scan(directory: str) -> list:
 
 
 def list_tree(
-    spark: SparkSession, root: str, suffix: str = ".py", excludes: Iterable[str] = DEFAULT_EXCLUDES
+    spark: SparkSession, root: str, suffix: str = ".py", excludes: Iterable[str] = DEFAULT_EXCLUDES,
+    hidden: bool = False,
 ) -> DataFrame:
     """Paths below ``root`` (or ``root`` itself, if it is a file) with their sizes."""
     spark.dataSource.register(FileListing)
     slices = 2 * spark.sparkContext.defaultParallelism
     return (
         spark.read.format("quarrylint_listing")
-        .options(path=root, suffix=suffix, excludes="/".join(excludes), slices=str(slices))
+        .options(path=root, suffix=suffix, excludes="/".join(excludes), hidden=str(hidden).lower(), slices=str(slices))
         .load()
     )
 

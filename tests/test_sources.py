@@ -179,3 +179,12 @@ def test_lines_like_python(spark):
     for row in df.select("i", n_lines(F.col("t")).alias("n"), split_lines(F.col("t")).alias("l")).collect():
         wanted = texts[row.i].splitlines()
         assert row.l == wanted and row.n == len(wanted), repr(texts[row.i])
+
+
+def test_archive_limits_are_arguments_and_hidden_folders_are_listed(spark, tmp_path):
+    (tmp_path / ".hidden").mkdir()
+    make_zip(tmp_path / ".hidden" / "in.zip", [("a.py", "x"), ("b.py", "y")])
+    make_zip(tmp_path / "one.zip", [("a.py", "x")])
+    files, rejects = archives.load_archives(spark, str(tmp_path), max_entries=1)
+    assert [(r.archive, r.reason) for r in rejects.collect()] == [(".hidden/in.zip", "Archive has more than 1 entries")]
+    assert [r.project for r in files.collect()] == ["one.zip"]
