@@ -36,7 +36,7 @@ SLOTS = 128
 BAND = 4
 BANDS = SLOTS // BAND
 PIVOTS = 512
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 LAST = (1 << 63) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
@@ -193,6 +193,7 @@ def near_duplicates(
         F.min(F.struct("node", "size")).alias("c"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
     buckets = stage(members.join(centres, "key"), "near-buckets", folder)
+    shared_keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))
 
     inside = buckets.select("node").distinct()
     texts = docs.select(*_keyed(docs, doc_id, text))
@@ -215,7 +216,7 @@ def near_duplicates(
     most = outside.agg(F.max("place")).first()[0]
     for part in range(0 if most is None else most // PIVOTS + 1):
         pivots = outside.where(F.floor(F.col("place") / PIVOTS) == part)
-        pairs = _undecided(_with_distance(buckets, stars), pivots, joined, percent)
+        pairs = _undecided(_with_distance(buckets, stars), pivots, joined, shared_keys, percent)
         found = stage(_compared(pairs, sets, percent).where("link").select("u", "v"), "near-links", folder)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -256,26 +257,30 @@ def _outside(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     return told.where("label <> centre_label").select(*buckets.columns, place.alias("place"))
 
 
-def _undecided(buckets: DataFrame, pivots: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def _undecided(
+    buckets: DataFrame, pivots: DataFrame, joined: DataFrame, shared_keys: DataFrame, percent: int
+) -> DataFrame:
     """Pairs (u, v) of pivots and the nodes of their buckets that are in other components by now.
 
     Jaccard distance is a metric: two nodes whose distances from the centre differ by more than the
-    distance of a link cannot be linked, so most pairs need not be made.
+    distance of a link cannot be linked, so most pairs need not be made. A pair that shares several
+    buckets is made in that of the smallest key.
     """
-    pivots = _labelled(pivots, joined, "node", "label").select(
+    pivots = _labelled(pivots, joined, "node", "label").join(shared_keys, "node").select(
         "key", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("label").alias("u_label"),
-        F.col("low").alias("u_low"), F.col("high").alias("u_high"),
+        F.col("low").alias("u_low"), F.col("high").alias("u_high"), F.col("keys").alias("u_keys"),
     )
     others = _labelled(
         buckets.join(pivots.select("key").distinct(), "key", "left_semi").where("node <> centre"), joined, "node", "label"
-    ).select(
+    ).join(shared_keys, "node").select(
         F.col("key").alias("k"), F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("label").alias("v_label"),
-        F.col("low").alias("v_low"), F.col("high").alias("v_high"),
+        F.col("low").alias("v_low"), F.col("high").alias("v_high"), F.col("keys").alias("v_keys"),
     )
     reach = F.lit(1 - percent / 100 + 1e-9)
     possible = (
         (F.col("key") == F.col("k")) & (F.col("u_label") != F.col("v_label")) & _of_like_size(percent)
         & (F.col("u_low") - F.col("v_high") <= reach) & (F.col("v_low") - F.col("u_high") <= reach)
+        & (F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys")))
     )
     return (
         pivots.join(others, possible)
