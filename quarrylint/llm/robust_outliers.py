@@ -88,6 +88,10 @@ def text_stats(contents: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(list(map(pa.array, columns)), STATS.names)
 
 
+# Else Spark would evaluate it once more for each filter and expression that reads its result.
+text_stats = text_stats.asNondeterministic()
+
+
 def with_stats(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """Each row as ``doc``, with lang, source, stats and the vector x0, x1, …"""
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -289,5 +293,6 @@ def kept_documents(
 ) -> DataFrame:
     """``docs`` without rejected rows. The statistics are made again in the last pass: no text is moved."""
     rows = with_stats(docs, text, lang, source)
-    narrow = stage(rows.where("s.n_words > 0").select("lang", "source", *(f"x{k}" for k in range(P))), "quality", folder)
+    narrow = rows.select("lang", "source", F.col("s.n_words").alias("n_words"), *(f"x{k}" for k in range(P)))
+    narrow = stage(narrow, "quality", folder).where("n_words > 0")
     return judged(rows, mcd_estimates(narrow, folder)).where("kept").select("doc.*")
