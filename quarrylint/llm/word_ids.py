@@ -35,7 +35,7 @@ class _Words(dict):
 class WordIds:
     """Ids as bytes of unsigned 32-bit little-endian numbers; at most ``room`` words are remembered."""
 
-    def __init__(self, file: str, room: int = 1_000_000):
+    def __init__(self, file: str, room: int = 300_000):
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.room = room
