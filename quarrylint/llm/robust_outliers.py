@@ -1,12 +1,13 @@
 """Quality rules by robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics (word length, symbols, capitals, repeated lines,
-repeated words). Per language and source, and per language, a minimum-covariance-determinant
-estimate is made: two deterministic starts, then concentration steps, each of which keeps the
+repeated words). Per language and source, per language, and over all languages, a
+minimum-covariance-determinant estimate is made: two deterministic starts, then concentration steps, each of which keeps the
 ``SUBSET`` share of rows that lie nearest to the last estimate; the start with the smaller
 determinant is taken and reweighted once. Rows beyond ``CUTOFF`` of the chi-square distribution of
 the squared Mahalanobis distance are rejected. Sources with fewer than ``LEAST_ROWS`` rows in a
-language are judged by the estimate of the language, languages with fewer by no estimate at all.
+language are judged by the estimate of the language, languages with fewer by the estimate over all
+languages, however few rows that has: every text with words gets a distance.
 
 All steps are aggregates with a map-side part over a narrow staged table, so a source or language of
 any size is folded where it lies; only estimates, one row per group, are brought together.
@@ -45,8 +46,11 @@ CUTOFF = 0.9999
 LEAST_ROWS = 100
 #: Estimates of up to so many groups (some 250 bytes each) are sent to every task; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
+#: Beyond that, the estimates of so many of the largest groups are still broadcast, so that no task gets all their rows.
+HEAVY_GROUPS = 1000
 BINS_PER_OCTAVE = 32
 NOTHING = "\u0000"
+ALL = NOTHING + "all"
 STATS = T.StructType([T.StructField(name, T.LongType()) for name in (*COUNTS, "n_lines", "n_capitals")])
 
 
@@ -113,8 +117,18 @@ def with_stats(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """Join to one row per group; ``few`` says that there are at most BROADCAST_GROUPS of them."""
-    return rows.join(F.broadcast(groups) if few else groups, keys)
+    """Join to the rows of ``groups``, without their ``n``; ``few``: there are at most BROADCAST_GROUPS groups.
+
+    Else the HEAVY_GROUPS with the largest ``n`` are broadcast and the others joined by shuffle.
+    """
+    plain = groups.drop("n")
+    if few:
+        return rows.join(F.broadcast(plain), keys)
+    sizes = groups.groupBy(*keys).agg(F.max("n").alias("n"))
+    heavy = F.broadcast(sizes.orderBy(F.desc("n"), *keys).limit(HEAVY_GROUPS).select(*keys))
+    large = rows.join(F.broadcast(plain.join(heavy, keys, "left_semi")), keys)
+    small = rows.join(heavy, keys, "left_anti").join(plain.join(heavy, keys, "left_anti"), keys)
+    return large.unionByName(small)
 
 
 def distance(x: list[Column]) -> Column:
@@ -200,7 +214,7 @@ def starts(rows: DataFrame, folder: str | None) -> tuple[DataFrame, bool]:
         F.lit(0.0).alias("logdet"),
     )
     standard = [F.tanh((F.col(f"x{k}") - F.col("middle")[k]) / F.col("scale")[k]) for k in range(P)]
-    joined = with_groups(rows, robust.drop("n"), ["lang", "source"], few).withColumn("start", F.lit(1))
+    joined = with_groups(rows, robust, ["lang", "source"], few).withColumn("start", F.lit(1))
     correlated = (
         moments(joined, standard).join(robust.drop("n"), ["lang", "source"]).mapInPandas(_estimated(1.0, True), ESTIMATE)
     )
@@ -213,7 +227,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame
     The share is cut at the edge of a bin of distances, 1/BINS_PER_OCTAVE of an octave wide.
     """
     x = [F.col(f"x{k}") for k in range(P)]
-    near = with_groups(rows, estimates.drop("n", "logdet"), ["lang", "source"], few).withColumn(
+    near = with_groups(rows, estimates.drop("logdet"), ["lang", "source"], few).withColumn(
         "bin", F.floor(F.log2(distance(x) + F.lit(1e-9)) * BINS_PER_OCTAVE).cast("int")
     )
     group = ["lang", "source", "start"]
@@ -223,42 +237,48 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame
     edge = (
         counts.select(*group, "bin", F.sum("n").over(upto).alias("reached"), F.sum("n").over(whole).alias("all"))
         .where(F.col("reached") >= F.col("all") * SUBSET)
-        .groupBy(*group).agg(F.min("bin").alias("edge"))
+        .groupBy(*group).agg(F.min("bin").alias("edge"), F.max("all").alias("n"))
     )
     return moments(with_groups(near, edge, group, few).where("bin <= edge"), x)
 
 
 def mcd_estimates(rows: DataFrame, folder: str | None = None) -> DataFrame:
-    """lang, source, n, mean, whiten, used; ``source`` is null for the estimate of a whole language.
+    """lang, source, rows, mean, whiten; ``source`` is ALL for a whole language, both are for all languages.
 
     ``rows`` is a staged table of lang, source and x0, x1, …
     """
     x = [F.col(f"x{k}") for k in range(P)]
-    levels = F.explode(F.array("source", F.lit(NOTHING + "all")))
-    both = rows.select("lang", levels.alias("source"), *x)
-    first, few = starts(both, folder)
+    every = F.lit(ALL)
+    levels = F.array(
+        F.struct(F.col("lang").alias("lang"), F.col("source").alias("source")),
+        F.struct(F.col("lang").alias("lang"), every.alias("source")),
+        F.struct(every.alias("lang"), every.alias("source")),
+    )
+    spread = rows.select(F.explode(levels).alias("level"), *x).select("level.*", *x)
+    first, few = starts(spread, folder)
     now = stage(first, "mcd-start", folder)
     for _ in range(STEPS):
         now = stage(
-            _concentrated(both, now, few).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
+            _concentrated(spread, now, few).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
         )
-    best = now.groupBy("lang", "source").agg(F.min_by(F.struct("mean", "whiten"), F.struct("logdet", "start")).alias("e"))
+    best = now.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "whiten"), F.struct("logdet", "start")).alias("e"))
     raw = best.select("lang", "source", "e.*")
-    near = with_groups(both, raw, ["lang", "source"], few).where(distance(x) <= F.lit(chi_square_quantile(REWEIGHT, P)))
+    near = with_groups(spread, raw, ["lang", "source"], few).where(distance(x) <= F.lit(chi_square_quantile(REWEIGHT, P)))
     final = moments(near.withColumn("start", F.lit(0)), x).mapInPandas(_estimated(consistency(REWEIGHT)), ESTIMATE)
-    sizes = both.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = spread.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
     return stage(final.join(sizes, ["lang", "source"]).select("lang", "source", "rows", "mean", "whiten"), "mcd", folder)
 
 
 def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` (lang, source, x0, …, s and more) with ``distance``, ``base_failed`` and ``kept``."""
-    own = estimates.where(F.col("source") != NOTHING + "all").where(F.col("rows") >= LEAST_ROWS)
-    wide = estimates.where(F.col("source") == NOTHING + "all").where(F.col("rows") >= LEAST_ROWS)
+    of_language, of_source = F.col("lang") != ALL, F.col("source") != ALL
+    own = F.when(F.col("rows") >= LEAST_ROWS, F.struct("mean", "whiten"))
+    wide = estimates.where(of_language & ~of_source).select("lang", own.alias("wide"))
+    every = estimates.where(~of_language).select(F.struct("mean", "whiten").alias("every"))
     groups = (
-        estimates.where(F.col("source") != NOTHING + "all").select("lang", "source")
-        .join(own.select("lang", "source", F.struct("mean", "whiten").alias("own")), ["lang", "source"], "left")
-        .join(wide.select("lang", F.struct("mean", "whiten").alias("wide")), "lang", "left")
-        .select("lang", "source", F.coalesce("own", "wide").alias("e")).where("e IS NOT NULL")
+        estimates.where(of_source).select("lang", "source", own.alias("own"))
+        .join(wide, "lang", "left").join(F.broadcast(every), how="left")
+        .select("lang", "source", F.coalesce("own", "wide", "every").alias("e"))
         .select("lang", "source", "e.*")
     )
     base_failed = (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))

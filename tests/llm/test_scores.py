@@ -94,6 +94,39 @@ def test_estimates_against_brute_force(spark):
         assert row.kept == (row.n >= (90 if row.source == "a" else 30))
 
 
+VECTOR_DDL = "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double, "
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_small_groups_are_judged_by_a_wider_estimate(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(robust_outliers, "BROADCAST_GROUPS", 0)
+        monkeypatch.setattr(robust_outliers, "HEAVY_GROUPS", 2)
+    draw = np.random.default_rng(2)
+    groups = [("big", "a", 400), ("big", "b", 99), ("one", "a", 1), ("twenty", "a", 20), ("last", "a", 99)]
+    rows, vectors = [], collections.defaultdict(list)
+    for lang, source, size in groups:
+        x = draw.normal(1, [0.1, 0.02, 0.03, 0.2, 0.2], size=(size, 5))
+        x[0] += 3
+        for level in {(lang, source), (lang,), ()}:
+            vectors[level].append(x)
+        rows += [(lang, source, *map(float, row), (100, 0), n) for n, row in enumerate(x)]
+    frame = spark.createDataFrame(rows, VECTOR_DDL + "s struct<n_words: bigint, n_repeat_words: bigint>, n int")
+    found = robust_outliers.judged(frame, robust_outliers.mcd_estimates(frame)).collect()
+    assert len(found) == len(rows)
+    level = {("big", "a"): ("big", "a"), ("big", "b"): ("big",)}
+    for row in found:
+        mean, covariance = plain_mcd(np.concatenate(vectors[level.get((row.lang, row.source), ())]))
+        x = np.array([row[f"x{k}"] for k in range(5)]) - mean
+        assert row.distance == pytest.approx(math.sqrt(x @ np.linalg.inv(covariance) @ x), rel=0.05, abs=0.1)
+        assert row.kept == (row.n > 0)
+
+
+def test_every_text_with_words_has_a_distance(docs):
+    found = robust_outliers.quality(docs).collect()
+    assert all((r.distance is None) == (r.n_words == 0) for r in found)
+
+
 def test_chi_square():
     assert robust_outliers.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert robust_outliers.consistency(0.999999) == pytest.approx(1, abs=1e-3)
