@@ -3,8 +3,8 @@
 Each text becomes a vector of transformed statistics (word length, symbols, capitals, repeated lines,
 repeated words). Per language and source, per language, and over all languages, a
 minimum-covariance-determinant estimate is made: two deterministic starts, then concentration steps, each of which keeps the
-``SUBSET`` share of rows that lie nearest to the last estimate; the start with the smaller
-determinant is taken and reweighted once. Rows beyond ``CUTOFF`` of the chi-square distribution of
+``SUBSET`` share of rows that lie nearest to the last estimate, until the determinant falls no more;
+the smallest determinant of both starts is taken and reweighted once. Rows beyond ``CUTOFF`` of the chi-square distribution of
 the squared Mahalanobis distance are rejected. Sources with fewer than ``LEAST_ROWS`` rows in a
 language are judged by the estimate of the language, languages with fewer by the estimate over all
 languages, however few rows that has: every text with words gets a distance.
@@ -13,12 +13,13 @@ All steps are aggregates with a map-side part over a narrow staged table, so a s
 any size is folded where it lies; only estimates, one row per group, are brought together.
 
 A null text has no words. Null languages and sources are groups of their own. Texts without words
-take no part in estimates. Repeated rows count as often as they stand. Empty tables give empty
+and those that the base rule rejects take no part in estimates. Repeated rows count as often as they stand. Empty tables give empty
 results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,7 +41,9 @@ NAMES = tuple(FLOORS)
 P = len(NAMES)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 SUBSET = 0.75
+#: So many steps are taken in any case; further ones while the log of a group's determinant falls by SETTLED or more.
 STEPS = 4
+SETTLED = 1e-3
 REWEIGHT = 0.975
 CUTOFF = 0.9999
 LEAST_ROWS = 100
@@ -242,10 +245,37 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame
     return moments(with_groups(near, edge, group, few).where("bin <= edge"), x)
 
 
+def base_failed() -> Column:
+    return (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
+
+
+def settled_estimates(rows: DataFrame, first: DataFrame, few: bool, folder: str | None) -> DataFrame:
+    """Per group, the estimate of the smallest determinant that the steps from ``first`` came to.
+
+    A group takes steps as long as its determinant falls; only such groups take part in a step.
+    """
+    group = ["lang", "source", "start"]
+    falling, steps, before = first, [], None
+    while len(steps) < STEPS or falling.take(1):
+        now = stage(
+            _concentrated(rows, falling, few).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
+        )
+        steps.append(now)
+        falling = now
+        if before is not None and len(steps) >= STEPS:
+            falls = now.join(before, group).where(F.col("logdet") <= F.col("before") - SETTLED)
+            falling = stage(falls.drop("before"), "mcd-falling", folder)
+        before = now.select(*group, F.col("logdet").alias("before"))
+    every = functools.reduce(DataFrame.unionByName, steps)
+    best = F.min_by(F.struct("n", "mean", "whiten"), F.struct("logdet", "start"))
+    return every.groupBy("lang", "source").agg(best.alias("e")).select("lang", "source", "e.*")
+
+
 def mcd_estimates(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """lang, source, rows, mean, whiten; ``source`` is ALL for a whole language, both are for all languages.
 
-    ``rows`` is a staged table of lang, source and x0, x1, …
+    ``rows`` is a staged table of lang, source, s and x0, x1, … with all texts that have words. Groups of
+    which the base rule rejects all have 0 rows and no mean.
     """
     x = [F.col(f"x{k}") for k in range(P)]
     every = F.lit(ALL)
@@ -254,19 +284,15 @@ def mcd_estimates(rows: DataFrame, folder: str | None = None) -> DataFrame:
         F.struct(F.col("lang").alias("lang"), every.alias("source")),
         F.struct(every.alias("lang"), every.alias("source")),
     )
-    spread = rows.select(F.explode(levels).alias("level"), *x).select("level.*", *x)
+    leveled = rows.select(F.explode(levels).alias("level"), base_failed().alias("failed"), *x)
+    leveled = leveled.select("level.*", "failed", *x)
+    spread = leveled.where("NOT failed").drop("failed")
     first, few = starts(spread, folder)
-    now = stage(first, "mcd-start", folder)
-    for _ in range(STEPS):
-        now = stage(
-            _concentrated(spread, now, few).mapInPandas(_estimated(consistency(SUBSET)), ESTIMATE), "mcd-step", folder
-        )
-    best = now.groupBy("lang", "source").agg(F.min_by(F.struct("n", "mean", "whiten"), F.struct("logdet", "start")).alias("e"))
-    raw = best.select("lang", "source", "e.*")
+    raw = stage(settled_estimates(spread, stage(first, "mcd-start", folder), few, folder), "mcd-settled", folder)
     near = with_groups(spread, raw, ["lang", "source"], few).where(distance(x) <= F.lit(chi_square_quantile(REWEIGHT, P)))
     final = moments(near.withColumn("start", F.lit(0)), x).mapInPandas(_estimated(consistency(REWEIGHT)), ESTIMATE)
-    sizes = spread.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
-    return stage(final.join(sizes, ["lang", "source"]).select("lang", "source", "rows", "mean", "whiten"), "mcd", folder)
+    sizes = leveled.groupBy("lang", "source").agg(F.count_if(~F.col("failed")).alias("rows"))
+    return stage(final.join(sizes, ["lang", "source"], "right").select("lang", "source", "rows", "mean", "whiten"), "mcd", folder)
 
 
 def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -281,13 +307,12 @@ def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         .select("lang", "source", F.coalesce("own", "wide", "every").alias("e"))
         .select("lang", "source", "e.*")
     )
-    base_failed = (F.col("s.n_words") < 50) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
     away = distance([F.col(f"x{k}") for k in range(P)])
     few = estimates.count() <= BROADCAST_GROUPS
     return (
         rows.join(F.broadcast(groups) if few else groups, ["lang", "source"], "left")
         .withColumn("distance", F.when(F.col("s.n_words") > 0, F.sqrt(away)))
-        .withColumn("base_failed", base_failed)
+        .withColumn("base_failed", base_failed())
         .withColumn(
             "kept",
             ~F.col("base_failed")
@@ -313,6 +338,7 @@ def kept_documents(
 ) -> DataFrame:
     """``docs`` without rejected rows. The statistics are made again in the last pass: no text is moved."""
     rows = with_stats(docs, text, lang, source)
-    narrow = rows.select("lang", "source", F.col("s.n_words").alias("n_words"), *(f"x{k}" for k in range(P)))
-    narrow = stage(narrow, "quality", folder).where("n_words > 0")
+    used = F.struct("s.n_words", "s.n_repeat_words").alias("s")
+    narrow = rows.select("lang", "source", used, *(f"x{k}" for k in range(P)))
+    narrow = stage(narrow, "quality", folder).where("s.n_words > 0")
     return judged(rows, mcd_estimates(narrow, folder)).where("kept").select("doc.*")

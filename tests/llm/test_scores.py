@@ -122,6 +122,43 @@ def test_small_groups_are_judged_by_a_wider_estimate(spark, monkeypatch, few):
         assert row.kept == (row.n > 0)
 
 
+def test_rows_that_the_base_rule_rejects_do_not_widen_estimates(spark):
+    draw = np.random.default_rng(3)
+    good = draw.normal(1, [0.1, 0.02, 0.03, 0.2, 0.2], size=(300, 5))
+    good[0] += 1
+    junk = draw.normal(2, [0.5, 0.5, 0.5, 0.5, 0.5], size=(300, 5))
+    rows = [("l", "a", *map(float, x), (100, 0), n) for n, x in enumerate(good)]
+    rows += [("l", "a", *map(float, x), (100, 90), 300 + n) for n, x in enumerate(junk)]
+    rows += [("l", "junk", *map(float, x), (10, 0), 600 + n) for n, x in enumerate(junk)]
+    frame = spark.createDataFrame(rows, VECTOR_DDL + "s struct<n_words: bigint, n_repeat_words: bigint>, n int")
+    found = robust_outliers.judged(frame, robust_outliers.mcd_estimates(frame)).collect()
+    mean, covariance = plain_mcd(good)
+    for row in found:
+        x = np.array([row[f"x{k}"] for k in range(5)]) - mean
+        assert row.distance == pytest.approx(math.sqrt(x @ np.linalg.inv(covariance) @ x), rel=0.05, abs=0.1)
+        assert row.kept == (0 < row.n < 300)
+
+
+def test_steps_go_on_until_the_determinant_settles(spark, monkeypatch):
+    # A quarter and more lies off by little, so that steps move the estimate slowly.
+    draw = np.random.default_rng(4)
+    x = draw.normal(1, 0.1, size=(600, 5))
+    x[:200] += np.linspace(0, 1, 200)[:, None]
+    frame = spark.createDataFrame(
+        [("l", "a", *map(float, row), (100, 0)) for row in x],
+        VECTOR_DDL + "s struct<n_words: bigint, n_repeat_words: bigint>",
+    )
+    taken = []
+    step = robust_outliers._concentrated
+    monkeypatch.setattr(robust_outliers, "_concentrated", lambda *a: taken.append(1) or step(*a))
+    monkeypatch.setattr(robust_outliers, "STEPS", 1)
+    few = robust_outliers.mcd_estimates(frame).where("rows = 600").first()
+    assert len(taken) > 1
+    monkeypatch.setattr(robust_outliers, "STEPS", 12)
+    many = robust_outliers.mcd_estimates(frame).where("rows = 600").first()
+    assert few.mean == pytest.approx(many.mean, abs=0.01)
+
+
 def test_every_text_with_words_has_a_distance(docs):
     found = robust_outliers.quality(docs).collect()
     assert all((r.distance is None) == (r.n_words == 0) for r in found)
