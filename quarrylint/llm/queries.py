@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylint.llm import chat_collapse, exact_dedup, katz, line_dedup, mixing, near_dedup, packing, robust_outliers, suffix_dedup, toxicity
+from quarrylint.llm import (
+    chat_collapse, exact_dedup, katz, line_dedup, mixing, near_dedup, packing, phrases, robust_outliers, spelling,
+    suffix_dedup, toxicity, vector_tree,
+)
 from quarrylint.llm.base import ORACLE, QUERIES, documents, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -132,3 +135,120 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256))::BIGINT AS i)
+    ), runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[a-zÀ-ÿ]+')) AS run
+        FROM documents
+    ), counted AS (
+        SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS bytes FROM runs GROUP BY id, run
+    ), behind AS (  -- what a byte adds to the crc with so many bytes after it
+        SELECT 0 AS after, i AS byte, v FROM crc_table
+        UNION ALL SELECT after + 1, byte, xor(b.v >> 8, c.v) FROM behind b JOIN crc_table c ON c.i = b.v & 255
+        WHERE after < (SELECT max(strlen(bytes)) // 2 FROM counted)
+    ), starts AS (
+        SELECT 0 AS size, 4294967295::BIGINT AS v
+        UNION ALL SELECT size + 1, xor(s.v >> 8, c.v) FROM starts s JOIN crc_table c ON c.i = s.v & 255
+        WHERE size < (SELECT max(strlen(bytes)) // 2 FROM counted)
+    ), bytes AS (
+        SELECT id, run, strlen(bytes) // 2 - 1 - k AS after, ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT AS byte
+        FROM (SELECT id, run, bytes, unnest(range(strlen(bytes) // 2)) AS k FROM counted)
+    ), mixed AS (
+        SELECT id, run, bit_xor(v) AS v FROM bytes JOIN behind USING (after, byte) GROUP BY id, run
+    ), hashed AS (
+        SELECT run, n, xor(xor(mixed.v, starts.v), 4294967295) AS h
+        FROM counted JOIN mixed USING (id, run) JOIN starts ON starts.size = strlen(bytes) // 2
+    ), words AS (
+        SELECT word, sum(m)::BIGINT AS n
+        FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                     ELSE run END AS word, n AS m FROM hashed)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3
+    ), shorter AS (
+        SELECT word, n, length(word) AS size, k, substr(word, 1, k) || substr(word, k + 2) AS rest
+        FROM (SELECT *, unnest(range(length(word))) AS k FROM words)
+    ), met AS (
+        SELECT a.word, a.n, b.word AS near, b.n AS near_n
+        FROM shorter a JOIN shorter b ON a.size = b.size AND a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT word, n, count(*) AS n_near, max(near_n) AS most,
+               arg_min(near, struct_pack(less := -near_n, near := near)) AS near
+        FROM met GROUP BY word, n
+    ), formed AS (
+        SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * words.n THEN near END AS form,
+               CASE WHEN most >= 2 * words.n THEN most END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ), steps AS (
+        SELECT word, form AS ending FROM formed WHERE form IS NOT NULL
+        UNION SELECT steps.word, formed.form FROM steps JOIN formed ON steps.ending = formed.word WHERE formed.form IS NOT NULL
+    ), ends AS (
+        SELECT steps.word, steps.ending FROM steps JOIN formed ON steps.ending = formed.word WHERE formed.form IS NULL
+    )
+    SELECT formed.word, form, coalesce(ends.ending, formed.word) AS root, n, n_near, form_n
+    FROM formed LEFT JOIN ends USING (word)
+    """,
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), mutate_every=97))
+
+
+@query(
+    "op12_phrase_mining",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?
+-
+]')) AS piece
+        FROM documents
+    ), worded AS (
+        SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM pieces
+    ), found AS (
+        SELECT lang, size, words[place : place + size - 1] AS words
+        FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS place
+              FROM (SELECT lang, words, unnest(range(1, 6)) AS size FROM worded))
+    ), counts AS (
+        SELECT lang, size, words, count(*)::HUGEINT AS f FROM found GROUP BY ALL HAVING count(*) >= 100
+    ), totals AS (
+        SELECT lang, sum(len(words))::HUGEINT AS n FROM worded GROUP BY lang
+    ), cuts AS (
+        SELECT c.lang, c.words, c.f AS a, k, l.f AS l, r.f AS r, n, 1000 * c.f * n // (l.f * r.f) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+        JOIN counts l ON l.lang = c.lang AND l.words = c.words[1 : k]
+        JOIN counts r ON r.lang = c.lang AND r.words = c.words[k + 1 : c.size]
+        JOIN totals t ON t.lang = c.lang
+    ), lowest AS (
+        SELECT lang, words, a, n, unnest(arg_min(struct_pack(l, r, score), struct_pack(score, k))) FROM cuts
+        GROUP BY lang, words, a, n
+    ), held AS (
+        SELECT lang, words[from_ : from_ + len_ - 1] AS words, max(f) AS longer
+        FROM (SELECT lang, size, words, f, len_, unnest(range(1, size - len_ + 2)) AS from_
+              FROM (SELECT *, unnest(range(2, size)) AS len_ FROM counts WHERE size > 2))
+        GROUP BY ALL
+    ), ranked AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+               array_to_string(words, ' ') AS phrase, a, l, r, n, score
+        FROM lowest LEFT JOIN held USING (lang, words) WHERE longer IS NULL OR 100 * longer < 100 * a
+    )
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked WHERE rank <= 2000
+    """,
+)
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(documents(spark, sf_dir))
+
+
+@query("op13_vector_tree")
+def op13_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
