@@ -6,13 +6,14 @@
 2. Documents with equal sets are one node. Nodes with an equal key share a bucket.
 3. Candidates form stars: in every bucket each node is paired with the smallest one only, so there are
    no more pairs than rows. Pairs are confirmed on the full sets, and links joined to components.
-4. Where a bucket still holds several components, the nodes outside its centre's component are paired
-   with its nodes of other components, ``PIVOTS`` of them at a time, until every such pair is decided.
-   Pairs inside a component are never made, nor those that the distances from the centre rule out.
+4. Where a star leaves nodes of a bucket outside the component of its centre, the sets of these nodes meet
+   all sets of the bucket in units: a block of the ones and a block of the others, of bounded size
+   each. A unit compares full sets inside its task and returns the links that join components, fewer than
+   it has nodes, so no pair is ever a row. Links between components contract them.
 
 A shingle is ``SIZE`` words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer words has its
 whole word sequence as the only one. Null or wordless texts have no shingle and no link. A null
-identifier counts as the largest. Repeated rows are linked as equal. Empty tables give empty results;
+identifier counts as the largest and stays null in results. Repeated rows are linked as equal. Empty tables give empty results;
 other columns are ignored.
 """
 
@@ -26,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrylint.functions.staging import stage
 from quarrylint.llm.components import components
@@ -35,7 +35,7 @@ SIZE = 5
 SLOTS = 128
 BAND = 4
 BANDS = SLOTS // BAND
-PIVOTS = 512
+BLOCK = 200_000
 REMEMBERED = 200_000
 LAST = (1 << 63) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -132,25 +132,82 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(percent: int):
-    """mapInArrow function: (u, v, left, right) to the distance of the sets and whether it is a link."""
+    """mapInArrow function: (u, v, left, right) to the pairs that are links."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, union = [], []
+            links = []
             for left, right in zip(batch["left"], batch["right"]):
                 a, b = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared.append(int(np.count_nonzero(b[at] == a)))
-                union.append(len(a) + len(b) - shared[-1])
-            shared, union = np.array(shared, dtype=np.int64), np.array(union, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["u"], batch["v"], pa.array(1 - shared / union), pa.array(100 * shared >= percent * union)],
-                names=["u", "v", "distance", "link"],
-            )
+                shared = int(np.count_nonzero(b[at] == a))
+                links.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            taken = pa.array(np.flatnonzero(links))
+            yield pa.RecordBatch.from_arrays([batch["u"].take(taken), batch["v"].take(taken)], names=["u", "v"])
 
     return compare
 
 
+class Labels(dict):
+    """Components of labels within a unit."""
+
+    def of(self, label: int) -> int:
+        while self.setdefault(label, label) != label:
+            label = self[label]
+        return label
+
+
+def links_of_unit(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels of a unit that links join; sides are (labels, sets), one pair for each joining."""
+    (u_labels, u_sets), (v_labels, v_sets) = left, right
+    u_sizes, v_sizes = (np.array([len(each) for each in sets]) for sets in (u_sets, v_sets))
+    _, places = np.unique(np.concatenate([*u_sets, *v_sets]), return_inverse=True)
+    edges = np.cumsum(u_sizes)
+    others, marks = places[edges[-1] :], np.zeros(places.max() + 1, dtype=bool)
+    starts = np.cumsum(v_sizes) - v_sizes
+    joined, found = Labels(), []
+    for u, label in enumerate(u_labels.tolist()):
+        own = places[edges[u] - u_sizes[u] : edges[u]]
+        marks[own] = True
+        shared = np.add.reduceat(marks[others], starts, dtype=np.int64)
+        marks[own] = False
+        linked = (100 * shared >= percent * (u_sizes[u] + v_sizes - shared)) & (v_labels != label)
+        for other in np.unique(v_labels[linked]).tolist():
+            one, two = joined.of(label), joined.of(other)
+            if one != two:
+                joined[one] = two
+                found.append((label, other))
+    return found
+
+
+def unit_links(percent: int):
+    """mapInArrow function over rows (key, a, b, side, label, shingles) sorted by unit and side: links of labels."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sides = None, ([], [])
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1]:
+                left, right = (
+                    (np.array([label for label, _ in side]), [each for _, each in side]) for side in sides
+                )
+                pairs = links_of_unit(left, right, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pair[k] for pair in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"]
+                )
+
+        for batch in batches:
+            columns = [batch[name].to_numpy(zero_copy_only=False) for name in ("key", "a", "b", "side", "label")]
+            for row, (key, a, b, side, label) in enumerate(zip(*(column.tolist() for column in columns))):
+                if (key, a, b) != unit:
+                    yield from found()
+                    unit, sides = (key, a, b), ([], [])
+                sides[side].append((label, np.frombuffer(batch["shingles"][row].as_py(), dtype=np.uint64)))
+        yield from found()
+
+    return links
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
     content = F.coalesce(F.col(text), F.lit(""))
     return [
@@ -160,13 +217,11 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v, distance, link of ``pairs``, each pair's sets brought to the place of its first node."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs``, each pair's sets brought to the place of its first node."""
     right = pairs.join(sets.withColumnsRenamed({"node": "v", "shingles": "right"}), "v")
     both = right.join(sets.withColumnsRenamed({"node": "u", "shingles": "left"}), "u")
-    return both.select("u", "v", "left", "right").mapInArrow(
-        compared(percent), "u bigint, v bigint, distance double, link boolean"
-    )
+    return both.select("u", "v", "left", "right").mapInArrow(compared(percent), "u bigint, v bigint")
 
 
 def _of_like_size(percent: int) -> Column:
@@ -174,30 +229,24 @@ def _of_like_size(percent: int) -> Column:
     return 100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, folder: str | None = None
-) -> DataFrame:
-    """id (null as the largest number), body, n_shingles, component_id, kept per document.
-
-    ``body`` is the hash of the text, with which a row can be found again if identifiers repeat.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, percent: int, folder: str | None) -> DataFrame:
+    """id, body, n_shingles, component_id, kept per document, null identifiers as LAST."""
     sketched = docs.select(*_keyed(docs, doc_id, text)).mapInArrow(sketches, SKETCH)
     rows = stage(sketched.withColumn("row", F.monotonically_increasing_id()), "near-rows", folder)
     worded = rows.where("n_shingles > 0")
     sets_of = worded.groupBy("hi", "lo").agg(F.min("row").alias("node"))
-    noded = worded.join(sets_of, ["hi", "lo"])
-    nodes = stage(noded.where("row = node").select("node", "id", "body", "n_shingles", "keys"), "near-nodes", folder)
+    noded = stage(worded.select("row", "id", "hi", "lo").join(sets_of, ["hi", "lo"]).select("row", "id", "node"), "near-nodes", folder)
+    nodes = rows.join(noded.where("row = node").select("row"), "row", "left_semi")
 
-    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    members = nodes.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     centres = members.groupBy("key").agg(
         F.min(F.struct("node", "size")).alias("c"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
     buckets = stage(members.join(centres, "key"), "near-buckets", folder)
-    shared_keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))
 
     inside = buckets.select("node").distinct()
+    wanted = rows.select("id", "body", F.col("row").alias("node")).join(inside, "node")
     texts = docs.select(*_keyed(docs, doc_id, text))
-    wanted = nodes.join(inside, "node").select("id", "body", "node")
     sets = stage(
         texts.join(wanted, ["id", "body"]).dropDuplicates(["node"]).select("node", "content")
         .mapInArrow(full_sets, "node bigint, shingles binary"), "near-sets", folder,
@@ -208,83 +257,64 @@ def near_duplicates(
                 F.col("node").alias("v"), F.col("size").alias("v_size"))
         .where(_of_like_size(percent)).select("u", "v").distinct()
     )
-    stars = stage(_compared(star, sets, percent), "near-stars", folder)
-    links = stars.where("link").select("u", "v")
-    joined = components(links, folder)
-    outside = _outside(buckets, joined)
-    outside = stage(_with_distance(outside, stars), "near-outside", folder)
-    most = outside.agg(F.max("place")).first()[0]
-    for part in range(0 if most is None else most // PIVOTS + 1):
-        pivots = outside.where(F.floor(F.col("place") / PIVOTS) == part)
-        pairs = _undecided(_with_distance(buckets, stars), pivots, joined, shared_keys, percent)
-        found = stage(_compared(pairs, sets, percent).where("link").select("u", "v"), "near-links", folder)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            joined = components(links, folder)
-
-    placed = noded.join(joined, "node", "left").select(
-        "row", F.coalesce("component", "node").alias("component"), "id"
-    )
-    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = placed.join(smallest, "component").select("row", "component_id")
+    joined = components(stage(_linked(star, sets, percent), "near-stars", folder), folder)
+    more = stage(_left_open(buckets, joined, sets, percent, folder), "near-links", folder)
+    placed = noded.join(joined, "node", "left").select("row", "id", F.coalesce("component", "node").alias("label"))
+    if not more.isEmpty():
+        contracted = components(more, folder).withColumnsRenamed({"node": "label"})
+        placed = placed.join(contracted, "label", "left").select("row", "id", F.coalesce("component", "label").alias("label"))
+    smallest = placed.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = placed.join(smallest, "label").select("row", "component_id")
+    own = F.coalesce("component_id", "id")
     return rows.join(named, "row", "left").select(
-        "id", "body", "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
+        "id", "body", "n_shingles", own.alias("component_id"), (own == F.col("id")).alias("kept")
     )
 
 
-def _labelled(rows: DataFrame, joined: DataFrame, node: str, label: str) -> DataFrame:
-    labels = joined.select(F.col("node").alias(node), F.col("component").alias(label))
-    return rows.join(labels, node, "left").withColumn(label, F.coalesce(label, node))
-
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, folder: str | None = None
+) -> DataFrame:
+    """id, body, n_shingles, component_id, kept per document.
 
-def _with_distance(rows: DataFrame, stars: DataFrame) -> DataFrame:
-    """``rows`` of buckets with bounds, ``low`` and ``high``, of the distance from node to centre."""
-    known = stars.select(F.col("u").alias("centre"), F.col("v").alias("node"), "distance")
-    itself = F.col("node") == F.col("centre")
-    sizes = 1 - F.least("size", "centre_size") / F.greatest("size", "centre_size")
-    return rows.join(known, ["centre", "node"], "left").select(
-        *rows.columns,
-        F.when(itself, 0.0).otherwise(F.coalesce("distance", sizes)).alias("low"),
-        F.when(itself, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("high"),
-    )
+    ``body`` is the hash of the text, with which a row can be found again if identifiers repeat.
+    """
+    known = lambda name: F.when(F.col(name) != LAST, F.col(name)).alias(name)
+    found = _classes(docs, doc_id, text, percent, folder)
+    return found.select(known("id"), "body", "n_shingles", known("component_id"), "kept")
 
 
-def _outside(buckets: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of nodes that the stars left outside the component of their bucket's centre, with their place."""
-    told = _labelled(_labelled(buckets, joined, "node", "label"), joined, "centre", "centre_label")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    return told.where("label <> centre_label").select(*buckets.columns, place.alias("place"))
+def _labelled(rows: DataFrame, joined: DataFrame, node: str, label: str) -> DataFrame:
+    labels = joined.select(F.col("node").alias(node), F.col("component").alias(label))
+    return rows.join(labels, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _undecided(
-    buckets: DataFrame, pivots: DataFrame, joined: DataFrame, shared_keys: DataFrame, percent: int
-) -> DataFrame:
-    """Pairs (u, v) of pivots and the nodes of their buckets that are in other components by now.
+def _left_open(buckets: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, folder: str | None) -> DataFrame:
+    """Links (u, v) of labels that the stars have not found.
 
-    Jaccard distance is a metric: two nodes whose distances from the centre differ by more than the
-    distance of a link cannot be linked, so most pairs need not be made. A pair that shares several
-    buckets is made in that of the smallest key.
+    Both sides of a bucket are cut into blocks of about ``BLOCK`` shingles by a hash of the node, so
+    a unit is bounded; a node is sent once for each block of the other side.
     """
-    pivots = _labelled(pivots, joined, "node", "label").join(shared_keys, "node").select(
-        "key", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("label").alias("u_label"),
-        F.col("low").alias("u_low"), F.col("high").alias("u_high"), F.col("keys").alias("u_keys"),
-    )
-    others = _labelled(
-        buckets.join(pivots.select("key").distinct(), "key", "left_semi").where("node <> centre"), joined, "node", "label"
-    ).join(shared_keys, "node").select(
-        F.col("key").alias("k"), F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("label").alias("v_label"),
-        F.col("low").alias("v_low"), F.col("high").alias("v_high"), F.col("keys").alias("v_keys"),
+    told = _labelled(_labelled(buckets.where("node <> centre"), joined, "node", "label"), joined, "centre", "centre_label")
+    told = stage(
+        told.select("key", "node", "size", "label", (F.col("label") != F.col("centre_label")).alias("outside")),
+        "near-labels", folder,
     )
-    reach = F.lit(1 - percent / 100 + 1e-9)
-    possible = (
-        (F.col("key") == F.col("k")) & (F.col("u_label") != F.col("v_label")) & _of_like_size(percent)
-        & (F.col("u_low") - F.col("v_high") <= reach) & (F.col("v_low") - F.col("u_high") <= reach)
-        & (F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys")))
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    sizes = told.groupBy("key").agg(
+        blocks(F.sum(F.when(F.col("outside"), F.col("size")))).alias("a_blocks"), blocks(F.sum("size")).alias("b_blocks"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).where("a_blocks IS NOT NULL AND low <> high").drop("low", "high")
+    rows = told.join(sizes, "key")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = rows.where("outside").select(
+        "key", own("a_blocks").alias("a"), each("b_blocks").alias("b"), F.lit(0).alias("side"), "node", "label"
     )
+    right = rows.select("key", each("a_blocks").alias("a"), own("b_blocks").alias("b"), F.lit(1).alias("side"), "node", "label")
+    units = left.unionByName(right).join(sets, "node").drop("node")
     return (
-        pivots.join(others, possible)
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+        .mapInArrow(unit_links(percent), "u bigint, v bigint").distinct()
     )
 
 
@@ -292,6 +322,6 @@ def kept_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, folder: str | None = None
 ) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
-    kept = near_duplicates(docs, doc_id, text, percent, folder).where("kept").select("id", "body")
+    kept = _classes(docs, doc_id, text, percent, folder).where("kept").select("id", "body")
     id_, body, _ = _keyed(docs, doc_id, text)
     return docs.select(F.struct("*").alias("doc"), id_, body).join(kept, ["id", "body"], "left_semi").select("doc.*")

@@ -114,14 +114,16 @@ def linked_components(rows):
 
 def test_near_against_brute_force(docs, rows):
     found = near_dedup.near_duplicates(docs)
-    assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in found.collect()) == linked_components(rows)
+    assert sorted((order(r.id), r.n_shingles, order(r.component_id), r.kept) for r in found.collect()) == linked_components(rows)
+    assert {r.id for r in found.where("id IS NULL OR component_id IS NULL").collect()} == {None}
     kept = near_dedup.kept_documents(docs)
     assert kept.columns == docs.columns
 
 
-def test_near_keeps_links_that_stars_miss(spark, monkeypatch):
+@pytest.mark.parametrize("block", [100, 200_000])
+def test_near_keeps_links_that_stars_miss(spark, monkeypatch, block):
     """Texts drifting apart by one word each, so that most are not like the smallest one of a bucket."""
-    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     draw = random.Random(3)
     words, rows = [f"w{draw.randrange(10**6)}" for _ in range(60)], []
     for doc_id in range(70):
@@ -134,6 +136,36 @@ def test_near_keeps_links_that_stars_miss(spark, monkeypatch):
     assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in found) == linked_components(rows)
 
 
+def test_near_finds_planted_pairs(spark):
+    """Pairs at a similarity of 0.75 to 0.8, small sets among them, all of which have to be found."""
+    draw = random.Random(9)
+    rows = []
+    for n in range(4000):
+        size = draw.choice([7, 8, 11, 16, 40]) if n % 2 else draw.randrange(30, 90)
+        words = [f"p{n}x{k}" for k in range(size)]
+        shared = size - 4
+        extra = shared // 3  # more shingles on one side, so that shared / (shared + extra) is 0.75 or just above
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words, *(f"q{n}x{k}" for k in range(extra))]))]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert found == {doc_id: doc_id // 2 * 2 for doc_id, _ in rows}
+
+
+def test_near_loses_nothing_in_a_crowded_bucket(spark):
+    """Copies of one text, each changed in many places: some are like the first, some like others only, some alone."""
+    draw = random.Random(21)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for doc_id in range(400):
+        words = list(base)
+        for _ in range(draw.randrange(12)):
+            words[draw.randrange(150)] = f"c{draw.randrange(10**6)}"
+        rows.append((doc_id, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = near_dedup.near_duplicates(frame).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in found) == linked_components(rows)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(50)] + [(60, 61), (61, 60), (5, 5)], "u bigint, v bigint")
     found = {r.node: r.component for r in components.components(links).collect()}
