@@ -63,6 +63,7 @@ class Hashes(dict):
     def __init__(self, lang: str):
         super().__init__()
         self.seed = xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
+        self.pause = np.uint64(xxhash.xxh3_64_intdigest(BREAK, seed=self.seed))
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word, seed=self.seed)
@@ -136,6 +137,7 @@ def _counted(found) -> Iterator[pa.RecordBatch]:
         counter = counts.setdefault(lang, Counter())
         held -= len(counter)
         counter.update(phrases)
+        counter.pop(BREAK, None)
         held += len(counter)
         if held > HELD:
             yield rows()
@@ -161,7 +163,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, content in zip(batch["lang"], batch["content"]):
                 for words, _ in _chunks(words_of(content.as_py()), 0):
-                    yield lang.as_py(), [word for word in words if word != BREAK]
+                    yield lang.as_py(), words
 
     yield from _counted(found())
 
@@ -191,8 +193,7 @@ def count_phrases(sizes: range, frequent: Broadcast, expanded: Broadcast, pairs:
             if len(words) < 2:
                 return
             hashes = numbers.of(words)
-            word = np.fromiter((w != BREAK for w in words), dtype=bool, count=len(words))
-            known = often.has(hashes) & word
+            known = often.has(hashes) & (hashes != numbers.pause)
             at_end = live.has(hashes) & known
             linked = known[:-1] & known[1:]
             if often_pairs is not None:
