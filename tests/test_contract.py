@@ -31,7 +31,7 @@ def test_every_query_has_an_answer():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     assert compare.difference(spark, connection, name, SF_DIR).startswith("ok")
 
