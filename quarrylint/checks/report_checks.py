@@ -172,13 +172,35 @@ def report_issues(spark, sf_dir):
     )
 
 
-@check("a11_failed_scans", f"""WITH {oracle.PART} SELECT 'part_' || k || '.zip' AS project, 'failed' AS status,
-    'Entry leaves the archive root: ../evil.py' AS error, 0 AS files_scanned, '' AS files_list FROM part_rows WHERE s % 5 = 0""")
-def failed_scans(spark, sf_dir):
-    root = files_on_disk.write_archives(spark, sf_dir)
-    files, rejects = archives.load_archives(spark, root)
-    return archives.failed_scans(rejects, files).withColumn("files_list", F.array_join("files_list", ",")).drop("part")
+STATES = f"""WITH {oracle.PART}, states AS (SELECT 'part_' || k || '.zip' AS project, k,
+    CASE WHEN s % 5 = 0 AND s % 11 <> 2 OR s % 7 = 3 THEN 'rejected' WHEN s % 6 = 1 THEN 'failed' WHEN s % 11 = 2 THEN 'empty' ELSE 'ok'
+        END AS status,
+    CASE WHEN s % 5 = 0 AND s % 11 <> 2 THEN 'Entry leaves the archive root: ../evil.py'
+        WHEN s % 7 = 3 THEN 'Damaged entry in zip: notes.txt' WHEN s % 6 = 1 THEN 'Scan stopped at part ' || k END AS error,
+    CASE WHEN s % 5 = 0 OR s % 7 = 3 OR s % 11 = 2 THEN 0 ELSE 3 END AS files_scanned FROM part_rows)"""
+
+
+def _uploads(spark, sf_dir):
+    """Archives of parts, and a crash for some of them."""
+    uploads = archives.open_archives(spark, files_on_disk.write_archives(spark, sf_dir))
+    crashes = made.table(spark, sf_dir, "part").where("p_size % 6 = 1").selectExpr(
+        "concat('part_', p_partkey, '.zip') AS project", "concat('Scan stopped at part ', p_partkey) AS error"
+    )
+    return uploads, archives.scan_states(uploads, crashes)
+
 
+@check("a11_scan_states", STATES + " SELECT project, status, error, files_scanned FROM states")
+def scan_states(spark, sf_dir):
+    return _uploads(spark, sf_dir)[1]
+
+
+@check("a11_failed_scans", STATES + """ SELECT project, status, error, files_scanned,
+    CASE WHEN files_scanned = 3 THEN 'b/c.py,src/__init__.py,src/a.py' ELSE '' END AS files_list
+    FROM states WHERE status IN ('rejected', 'failed')""")
+def failed_scans(spark, sf_dir):
+    uploads, states = _uploads(spark, sf_dir)
+    rows = archives.failed_scans(states, uploads.found())
+    return rows.withColumn("files_list", F.array_join("files_list", ",")).drop("part")
 
 
 @check("k01_json_reports", OVERVIEW + """, firsts AS (SELECT project, min_by(path || ':' || message,

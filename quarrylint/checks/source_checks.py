@@ -9,6 +9,7 @@ from quarrylint.checks import files_on_disk, oracle
 from quarrylint.checks.base import check
 from quarrylint.functions.staging import numbered
 from quarrylint.functions.text import decode, lines, n_lines
+from quarrylint.plans.scan import scan
 from quarrylint.sources import archives, paths, tree
 
 
@@ -22,6 +23,15 @@ def load_tree(spark, sf_dir):
     return tree.load_tree(spark, root, project="tree").select("project", "path", F.md5("content").alias("content_md5"))
 
 
+@check("s02_single_file", """WITH brands AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
+    SELECT 'one' AS project, 'brands.py' AS path, md5(string_agg(p_brand || ' = ' || n, chr(10) ORDER BY p_brand || ' = ' || n))
+        AS content_md5 FROM brands""")
+def single_file(spark, sf_dir):
+    root = files_on_disk.write_tree(files_on_disk.brand_files(spark, sf_dir))
+    found = [tree.load_tree(spark, f"{root}/brands.{suffix}", project="one") for suffix in ("py", "txt")]
+    return found[0].unionByName(found[1]).select("project", "path", F.md5("content").alias("content_md5"))
+
+
 S03_PATH = """CASE s % 8 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'venv/a.py' WHEN 2 THEN 'x/build/y/a.py'
     WHEN 3 THEN '.git/a.py' WHEN 4 THEN 'x/.cache/a.py' WHEN 5 THEN '.dot.py' WHEN 6 THEN 'x/build.py'
     ELSE 'my.venv/a.py' END"""
@@ -51,7 +61,7 @@ def replaced_excludes(spark, sf_dir):
         {{path: 'src/a.py', content: 'x = ' || k || chr(10)}},
         {{path: 'src/__init__.py', content: ''}},
         {{path: 'b/c.py', content: t || chr(10)}}], recursive := true) FROM part_rows)
-    WHERE s % 5 <> 0""")
+    WHERE s % 5 <> 0 AND s % 7 <> 3 AND s % 11 <> 2""")
 def load_archives(spark, sf_dir):
     root = files_on_disk.write_archives(spark, sf_dir)
     files, _ = archives.load_archives(spark, root)
@@ -59,14 +69,26 @@ def load_archives(spark, sf_dir):
 
 
 @check("s05_archive_rejects", f"""WITH {oracle.PART}
-    SELECT 'part_' || k || '.zip' AS archive, 'Entry leaves the archive root: ../evil.py' AS reason
-    FROM part_rows WHERE s % 5 = 0""")
+    SELECT 'part_' || k || '.zip' AS archive, CASE WHEN s % 5 = 0 AND s % 11 <> 2 THEN 'Entry leaves the archive root: ../evil.py'
+        ELSE 'Damaged entry in zip: notes.txt' END AS reason
+    FROM part_rows WHERE s % 5 = 0 AND s % 11 <> 2 OR s % 7 = 3""")
 def archive_rejects(spark, sf_dir):
     root = files_on_disk.write_archives(spark, sf_dir)
     _, rejects = archives.load_archives(spark, root)
     return rejects
 
 
+@check("s05_all_reasons", """SELECT 'part_' || p_partkey || CASE p_partkey % 9 WHEN 1 THEN '.tar' ELSE '.ZIP' END AS archive,
+        CASE p_partkey % 9 WHEN 1 THEN 'Not a .zip file.' WHEN 2 THEN 'Archive is over 4096 bytes'
+        WHEN 3 THEN 'Archive cannot be opened as zip' WHEN 4 THEN 'Archive has more than 4 entries'
+        WHEN 5 THEN 'Entry leaves the archive root: a/../../b.py' WHEN 6 THEN 'Archive unpacks to over 20000 bytes'
+        WHEN 7 THEN 'Encrypted entry in zip: a.py' WHEN 8 THEN 'Damaged entry in zip: notes.txt' END AS reason
+    FROM part WHERE p_partkey % 9 <> 0""")
+def all_reasons(spark, sf_dir):
+    root = files_on_disk.write_odd_archives(spark, sf_dir)
+    return archives.open_archives(spark, root, **files_on_disk.ODD_LIMITS).rejects
+
+
 # Entry tables from line items: an archive per order; sizes make some orders cross the limit.
 S05_LIMIT = 150 * 1024 * 1024
 S05_NAME = "CASE WHEN {tax} >= 8 THEN 'a/../../b.py' WHEN {tax} = 7 THEN 'a/../c.py' ELSE 'd/e.py' END"
@@ -103,6 +125,27 @@ def decoded(spark, sf_dir):
     return raw.select("doc_id", F.md5(decode(F.col("content"))).alias("text_md5"))
 
 
+@check("s06_bad_bytes", r"""SELECT doc_id, md5(chr(65533) || regexp_replace(text, '\r\n?', chr(10), 'g') || chr(65533)) AS text_md5
+    FROM documents""")
+def bad_bytes(spark, sf_dir):
+    """A byte that starts nothing ahead of each text, one that lacks the rest behind it."""
+    raw = made.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "concat(unhex('FF'), cast(text AS binary), unhex('C3')) AS content"
+    )
+    return raw.select("doc_id", F.md5(decode(F.col("content"))).alias("text_md5"))
+
+
+@check("s07_read_failures", f"""WITH {oracle.PART}
+    SELECT project || '/' || folder || '/part_' || k || '.py' AS path, 'Not read: larger than 7 bytes' AS error
+    FROM (SELECT *, CASE s % 4 WHEN 0 THEN 'src' ELSE '_pkg' END AS folder FROM part_rows WHERE s % 4 < 2)
+    WHERE length('x = ' || k) + 1 > 7""")
+def read_failures(spark, sf_dir):
+    """Files that are not read are error rows of the scan; no rule runs on them."""
+    root = files_on_disk.write_tree(files_on_disk.tree_files(spark, sf_dir))
+    done = scan(tree.load_tree(spark, root, project="tree", max_bytes=7), profile=["long-file"])
+    return done.parse_errors.select("path", "error")
+
+
 @check("s08_lines", f"""WITH split AS (SELECT source AS project, doc_id::VARCHAR AS path,
         {oracle.line_list('text')} AS parts FROM documents)
     SELECT project, path, unnest(range(1, len(parts) + 1))::INT AS line_no, unnest(parts) AS text FROM split""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,6 +72,38 @@ def numbered(
     )
 
 
+def cut_by_weight(
+    df: DataFrame, weight: Column, order: Sequence[str], least: int = 1 << 20, folder: str | None = None
+) -> DataFrame:
+    """``df`` in partitions of about equal weight, none above the limit and the weight of one row.
+
+    The limit is ``spark.sql.files.maxPartitionBytes``, or less if there are fewer such shares than
+    cores. Rows are range-partitioned by ``order`` and sorted, so a running sum needs one small sum per
+    partition; its value says which partition a row goes to.
+    """
+    spark = df.sparkSession
+    ranged = (
+        df.withColumn("_weight", weight).repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    ranged = stage(ranged, "weighed", folder).withColumn("_slot", F.shiftright("_place", 33))
+    sums = sorted(map(tuple, ranged.groupBy("_slot").agg(F.sum("_weight")).collect()))
+    total = sum(n for _, n in sums)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    limit = max(1, min(most, max(least, -(-total // work_partitions(spark)))))
+    before, rows = 0, []
+    for slot, n in sums:
+        rows.append((slot, before))
+        before += n
+    offsets = F.broadcast(spark.createDataFrame(rows, "_slot bigint, _before bigint"))
+    ahead = F.sum("_weight").over(Window.partitionBy("_slot").orderBy("_place")) - F.col("_weight")
+    share = F.floor((F.col("_before") + ahead) / limit).cast("int")
+    placed = ranged.join(offsets, "_slot").withColumn("_share", share)
+    return placed.repartitionById(max(1, -(-total // limit)), F.col("_share")).select(*df.columns)
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, hot: int = 1000
 ) -> DataFrame:

@@ -1,143 +1,123 @@
-"""Loading directory trees that all executors can see.
+"""Loading directory trees.
 
-Two steps, so that no list of all paths goes through the driver: a Python data source lists
-subtrees on the executors, then the listed files are spread evenly and read. Spark's own
-``binaryFile`` source is no choice here: it silently drops names that start with ``_`` or ``.``.
+Folders are listed in tasks, round by round: a task opens its folders and some of those it finds, and
+hands the rest on as rows of the next round. No list of folders or files goes through the
+driver. The listed files are then cut into tasks of equal bytes and read. Spark's own ``binaryFile`` source is no
+choice here: it silently drops names that start with ``_`` or ``.``.
 """
 
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarrylint.functions.staging import work_partitions
+from quarrylint.functions.staging import cut_by_weight, stage, work_partitions
 from quarrylint.functions.text import decode
+from quarrylint.sources import stores
 from quarrylint.sources.paths import DEFAULT_EXCLUDES
 
-# Names are bytes on disk, so locations are, too.
 LISTING_DDL = "path STRING, location BINARY, length BIGINT, read_error STRING"
+_LISTED = {"path": pa.string(), "location": pa.binary(), "length": pa.int64(), "read_error": pa.string(), "folder": pa.bool_()}
 _BATCH_BYTES = 32 * 1024 * 1024
-_FILES_PER_SHARD = 20_000
+_BATCH_ROWS = 4096
+#: Folders that a task opens beyond those it was given, and holds at once, before it hands the rest on.
+FOLDERS_AHEAD = 1000
+#: What opening a file costs, in bytes read.
+OPEN_BYTES = 64 * 1024
 
 
-class _Work(InputPartition):
-    """Directories to list, each as (directory, with all below it or only its own files, shard, shards)."""
-
+def _clean(name: str) -> str:
+    """Bytes of a name that are no UTF-8 are spelled out, so different names stay different."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
 
-class FileListing(DataSource):
-    """Options: path, suffix, excludes (names joined by ``/``), hidden (whether to enter hidden folders), slices."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "quarrylint_listing"
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_LISTED)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, kind) for values, kind in zip(columns, _LISTED.values())], names=list(_LISTED)
+    )
 
-    def schema(self) -> str:
-        return LISTING_DDL
 
-    def reader(self, schema) -> "FileListingReader":
-        return FileListingReader(self.options)
+class Lister:
+    """mapInArrow function: folders (path, location) to rows of their files and of folders left to open."""
 
+    def __init__(self, suffix: str, excludes: Iterable[str], hidden: bool):
+        self.suffix, self.excludes, self.hidden, self.ahead = suffix, frozenset(excludes), hidden, FOLDERS_AHEAD
 
-class FileListingReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
-        self.suffix = options.get("suffix", ".py")
-        self.excludes = frozenset(options["excludes"].split("/")) if options.get("excludes") else frozenset()
-        self.hidden = options.get("hidden", "false") == "true"
-        self.slices = int(options.get("slices", "64"))
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for row in self._listed(batches):
+            rows.append(row)
+            if len(rows) == _BATCH_ROWS:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
 
-    def _wanted_dir(self, name: str) -> bool:
+    def _wanted(self, name: str) -> bool:
         return name not in self.excludes and (self.hidden or not name.startswith("."))
 
-    def partitions(self) -> list[InputPartition]:
-        """Open directories level by level until there are enough of them, never below that.
-
-        The driver keeps directory names of the upper levels only. A directory with very many
-        files of its own is shared out by a hash of their names.
-        """
-        if not os.path.isdir(self.root):
-            return [_Work([(self.root, False, 0, 1)])]
-        units: list[tuple] = []
-        level = [self.root]
-        while level and len(units) + len(level) < self.slices:
-            below = []
-            for directory in level:
-                own = 0
-                try:
-                    entries = _scan(directory)
-                except OSError:
-                    entries, own = [], 1  # read() meets the error again and reports it
-                for entry in entries:
-                    if not entry.is_dir(follow_symlinks=False):
-                        own += 1
-                    elif self._wanted_dir(entry.name):
-                        below.append(entry.path)
-                shards = -(-own // _FILES_PER_SHARD)
-                units += [(directory, False, shard, shards) for shard in range(shards)]
-            level = below
-        units += [(directory, True, 0, 1) for directory in level]
-        return [_Work(units[i :: self.slices]) for i in range(min(self.slices, len(units)))] or [_Work([])]
-
-    def read(self, partition: _Work) -> Iterator[tuple]:
-        for directory, deep, shard, shards in partition.value:
-            if os.path.isfile(directory):
-                if directory.endswith(self.suffix):
-                    yield self._row(directory, os.path.basename(directory))
-                continue
-            todo = [directory]
-            while todo:
-                now = todo.pop()
-                try:
-                    entries = _scan(now)
-                except OSError as error:
-                    yield self._error(now, os.path.relpath(now, self.root), error)
-                    continue
-                for entry in entries:
-                    if entry.is_dir():
-                        if deep and not entry.is_symlink() and self._wanted_dir(entry.name):
-                            todo.append(entry.path)
-                    elif entry.name.endswith(self.suffix):
-                        if zlib.crc32(os.fsencode(entry.name)) % shards == shard:
-                            yield self._row(entry.path, os.path.relpath(entry.path, self.root))
-
-    def _row(self, location: str, path: str) -> tuple:
-        try:
-            return (_clean(path), os.fsencode(location), os.stat(location).st_size, None)
-        except OSError as error:
-            return self._error(location, path, error)
-
-    def _error(self, location: str, path: str, error: OSError) -> tuple:
-        return (_clean(path), os.fsencode(location), None, f"Not readable: {error.strerror or error}")
-
-
-def _clean(name: str) -> str:
-    """Bytes of a name that are no UTF-8 are spelled out, so different names stay different."""
-    return os.fsencode(name).decode("utf-8", "backslashreplace")
-
+    def _listed(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        ahead = self.ahead
+        for batch in batches:
+            for given in zip(batch["path"].to_pylist(), batch["location"].to_pylist()):
+                todo = [given]
+                while todo:
+                    path, location = todo.pop()
+                    try:
+                        if not path and not stores.is_folder(location):
+                            yield from self._single(location)
+                            continue
+                        for entry in stores.entries(location):
+                            below = f"{path}/{_clean(entry.name)}" if path else _clean(entry.name)
+                            if entry.folder and self._wanted(entry.name):
+                                if ahead and len(todo) < self.ahead:
+                                    ahead -= 1
+                                    todo.append((below, entry.location))
+                                else:
+                                    yield below, entry.location, None, None, True
+                            elif entry.folder is False and entry.name.endswith(self.suffix):
+                                yield below, entry.location, entry.length, entry.error, False
+                    except OSError as error:
+                        yield path or ".", location, None, stores.reason(error), False
 
-def _scan(directory: str) -> list:
-    with os.scandir(directory) as entries:
-        return list(entries)
+    def _single(self, location: bytes) -> Iterator[tuple]:
+        """A root that is a file is its own tree."""
+        name = os.path.basename(os.fsdecode(location))
+        if name.endswith(self.suffix):
+            yield _clean(name), location, stores.length(location), None, False
 
 
 def list_tree(
     spark: SparkSession, root: str, suffix: str = ".py", excludes: Iterable[str] = DEFAULT_EXCLUDES,
-    hidden: bool = False,
+    hidden: bool = False, folder: str | None = None,
 ) -> DataFrame:
-    """Paths below ``root`` (or ``root`` itself, if it is a file) with their sizes."""
-    spark.dataSource.register(FileListing)
-    slices = 2 * spark.sparkContext.defaultParallelism
-    return (
-        spark.read.format("quarrylint_listing")
-        .options(path=root, suffix=suffix, excludes="/".join(excludes), hidden=str(hidden).lower(), slices=str(slices))
-        .load()
-    )
+    """Paths below ``root`` (or ``root`` itself, if it is a file) with their sizes.
+
+    Each round is a job that writes what it lists; the driver learns only whether folders are left. A
+    round opens every folder it is given and up to ``FOLDERS_AHEAD`` more in each task, so small
+    trees take one round and deep ones no more rounds than they have levels.
+    """
+    lister = Lister(suffix, excludes, hidden)
+    todo = spark.createDataFrame(stores.resolved(spark, root), "path STRING, location BINARY").coalesce(1)
+    listing = None
+    while True:
+        listed = stage(todo.mapInArrow(lister, LISTING_DDL + ", folder BOOLEAN"), "listing", folder)
+        files = listed.where("NOT folder").drop("folder")
+        listing = files if listing is None else listing.unionByName(files)
+        todo = listed.where("folder").select("path", "location")
+        if todo.isEmpty():
+            return listing
+        todo = todo.repartition(work_partitions(spark))
+
+
+def in_equal_tasks(listing: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows of a listing in partitions of about equal bytes, the cost of opening a file included."""
+    weight = F.coalesce("length", F.lit(0)) + OPEN_BYTES
+    return cut_by_weight(listing, weight, ["location"], folder=folder)
 
 
 def _read_bytes(max_bytes: int | None, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +131,10 @@ def _read_bytes(max_bytes: int | None, batches: Iterable[pa.RecordBatch]) -> Ite
                     row["read_error"] = f"Not read: larger than {max_bytes} bytes"
                 else:
                     try:
-                        with open(row["location"], "rb") as handle:
+                        with stores.opened(row["location"]) as handle:
                             content = handle.read()
                     except OSError as error:
-                        row["read_error"] = f"Not readable: {error.strerror or error}"
+                        row["read_error"] = stores.reason(error)
             rows.append({**row, "content": content})
             held += len(content or b"")
             if held >= _BATCH_BYTES:
@@ -173,10 +153,9 @@ def _bytes_batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     )
 
 
-def read_bytes(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Add the bytes of each listed file; listing rows are spread first so that no task holds a tree."""
-    spread = listing.repartition(work_partitions(listing.sparkSession), F.xxhash64("location"))
-    return spread.mapInArrow(
+def read_bytes(listing: DataFrame, max_bytes: int | None = None, folder: str | None = None) -> DataFrame:
+    """Add the bytes of each listed file; no task reads more than its share of bytes and one file."""
+    return in_equal_tasks(listing, folder).mapInArrow(
         lambda batches: _read_bytes(max_bytes, batches),
         ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema) + ", content BINARY",
     )
@@ -189,15 +168,17 @@ def load_tree(
     extra_excludes: Iterable[str] = (),
     project: str | None = None,
     max_bytes: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """``files`` (project, path, content, read_error) of one tree; paths are relative to its root.
 
     A folder that cannot be listed, the root among them, is a row with a read error. Files of any size
-    are read unless ``max_bytes`` is given.
+    are read unless ``max_bytes`` is given. ``root`` may be an address in any store (see ``stores``). The
+    listing is made at once and staged; contents are read with the result.
     """
     names = [*(excludes or DEFAULT_EXCLUDES), *extra_excludes]
-    listing = list_tree(spark, root, ".py", names)
+    listing = list_tree(spark, root, ".py", names, folder=folder)
     name = project or os.path.basename(os.path.abspath(root))
-    return read_bytes(listing, max_bytes).select(
+    return read_bytes(listing, max_bytes, folder).select(
         F.lit(name).alias("project"), "path", decode(F.col("content")).alias("content"), "read_error"
     )
