@@ -2,13 +2,15 @@
 
 1. Equal vectors are one entry with its smallest identifiers (as many as can be answers).
 2. **Tree**: k-means splits a sample of at most ``SAMPLE_VALUES`` numbers into ``BRANCHES`` parts, each
-   part again, until a leaf stands for about ``LEAF_ROWS`` entries. The sample is chosen by a hash of
-   the vectors. Every entry is then indexed: it goes to the leaf that the nearest centres lead to.
+   part again, down to the size of a leaf. The sample is chosen by a hash of the vectors. Every entry
+   is then indexed: it goes to the leaf that the nearest centres lead to.
 3. **Traversal**: best bin first. A priority queue holds the nodes met so far by the inner product of
    query and centre; the best is opened, until as many leaves as asked for, and at least k
    candidates, have been visited.
 4. **Calibration**: up to ``CALIBRATION`` queries are answered exactly by a pass over all entries. The
-   leaves to visit are widened until ``recall`` of their neighbours lie in visited leaves.
+   leaves to visit are widened until ``recall`` of their neighbours lie in visited leaves. A tree starts with about
+   ``LEAVES`` leaves; it gets ``BRANCHES`` times as many as long as that halves the share of all entries that
+   has to be visited. So clustered vectors get deep trees, and where none helps, visits stay few.
 5. **Search**: queries meet the entries of their leaves in blocks of both, so a task has bounded work
    whatever the size of a leaf or the number of its queries; blocks keep their best entries, the
    best of a query are ranked. Scores are sums of products in the order of components, in double precision.
@@ -34,7 +36,7 @@ from quarrylint.functions.staging import join_groups, stage
 
 SAMPLE_VALUES = 4_000_000
 BRANCHES = 8
-LEAF_ROWS = 128
+LEAVES = 64
 LEAF_SAMPLE = 16
 ROUNDS = 12
 CALIBRATION = 256
@@ -160,12 +162,12 @@ def entries_of(rows: DataFrame, most: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def fit(entries: DataFrame, n_entries: int, width: int, leaf_rows: int) -> Tree:
-    """The tree of a sample that is bounded in numbers, whatever there is to index."""
+def sampled(entries: DataFrame, n_entries: int, width: int) -> np.ndarray:
+    """Vectors to fit trees on, bounded in numbers, whatever there is to index."""
     share = min(1.0, SAMPLE_VALUES / width / n_entries)
     chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = (entries.where(chosen) if share < 1 else entries).select("v").orderBy("v").toArrow()["v"].combine_chunks()
-    return Tree(matrix(sample, width), max(LEAF_SAMPLE if share < 1 else 1, round(leaf_rows * share)))
+    sample = (entries.where(chosen) if share < 1 else entries).select("v").orderBy("v").toArrow()["v"]
+    return matrix(sample.combine_chunks(), width)
 
 
 def indexed(tree: Tree, width: int):
@@ -198,29 +200,30 @@ def visited(tree: Tree, width: int, leaves: int, n_ids: list[int], least: int):
     return visit
 
 
-HITS = "query bigint, score double, id bigint, leaf int"
+HITS = "query bigint, score double, id bigint"
 
 
-def _hits(keys, query, scores, ids: pa.Array, row, leaves) -> pa.RecordBatch:
+def _hits(keys, query, scores, ids: pa.Array, row) -> pa.RecordBatch:
     """Rows of HITS, one for each identifier of the entries found."""
     lists = ids.take(pa.array(row))
     times = np.diff(lists.offsets.to_numpy())
     spread = lambda values: pa.array(np.repeat(values, times))
     return pa.RecordBatch.from_arrays(
-        [spread(keys[query]), spread(scores), lists.flatten(), spread(leaves[row].astype(np.int32))],
-        names=["query", "score", "id", "leaf"],
+        [spread(keys[query]), spread(scores), lists.flatten()], names=["query", "score", "id"]
     )
 
 
 def all_hits(keys: np.ndarray, queries: np.ndarray, width: int, most: int):
-    """mapInArrow function: the best of a batch of entries (v, ids, leaf) for each of a few queries."""
+    """mapInArrow function: the best of a batch of entries (key, v, ids) for each of a few queries, with their keys."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(low, BLOCK)
                 query, row, scores = best_pairs(queries, matrix(batch["v"], width), most)
-                yield _hits(keys, query, scores, batch["ids"], row, batch["leaf"].to_numpy())
+                hits = _hits(keys, query, scores, batch["ids"], row)
+                times = np.diff(batch["ids"].take(pa.array(row)).offsets.to_numpy())
+                yield hits.append_column("key", pa.array(np.repeat(batch["key"].to_numpy()[row], times)))
 
     return search
 
@@ -232,10 +235,9 @@ def unit_hits(width: int, most: int):
         asked, held = queries.combine_chunks().to_batches(), entries.combine_chunks().to_batches()
         if not asked or not held:
             return pa.table({name: pa.array([], kind) for name, kind in zip(
-                ("query", "score", "id", "leaf"), (pa.int64(), pa.float64(), pa.int64(), pa.int32()))})
+                ("query", "score", "id"), (pa.int64(), pa.float64(), pa.int64()))})
         query, row, scores = best_pairs(matrix(asked[0]["v"], width), matrix(held[0]["v"], width), most)
-        hits = _hits(asked[0]["key"].to_numpy(), query, scores, held[0]["ids"], row, held[0]["leaf"].to_numpy())
-        return pa.Table.from_batches([hits])
+        return pa.Table.from_batches([_hits(asked[0]["key"].to_numpy(), query, scores, held[0]["ids"], row)])
 
     return search
 
@@ -245,28 +247,54 @@ def _first(hits: DataFrame, most: int) -> DataFrame:
     return hits.withColumn("place", place).where(F.col("place") <= most)
 
 
-def calibrated(tree: Tree, queries: DataFrame, entries: DataFrame, width: int, k: int, recall: float) -> int:
-    """How many leaves have to be visited for ``recall`` of the neighbours of the calibration queries."""
-    n_queries = queries.count()
-    share = min(1.0, CALIBRATION / n_queries)
-    chosen = queries.where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else queries
-    told = chosen.select("key", "v").orderBy("key").toArrow().combine_chunks()
+def known_answers(queries: DataFrame, entries: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, neighbour) as rows of vectors: all neighbours of a few queries, from a pass over all entries."""
+    share = min(1.0, CALIBRATION / queries.count())
+    chosen = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+    told = (queries.where(chosen) if share < 1 else queries).select("key", "v").orderBy("key").toArrow().combine_chunks()
     if not told.num_rows:
-        return tree.leaves
+        return np.empty((0, width)), np.empty((0, width))
     keys, rows = told["key"].to_numpy(), matrix(told["v"].combine_chunks(), width)
-    exact = entries.select("v", "ids", "leaf").mapInArrow(all_hits(keys, rows, width, k + 1), HITS)
-    wanted = _first(exact, k + 1).groupBy("query").agg(F.collect_list("leaf").alias("leaves")).toArrow()
-    ranks, of = [], dict(zip(keys.tolist(), rows))
-    for key, leaves in zip(wanted["query"].to_pylist(), wanted["leaves"].to_pylist()):
-        rank = {leaf: number for number, leaf in enumerate(tree.visits(of[key]), 1)}
-        ranks += [rank[leaf] for leaf in leaves]
-    ranks = np.sort(np.array(ranks))
-    return int(ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)])
+    hits = entries.select("key", "v", "ids").mapInArrow(all_hits(keys, rows, width, k + 1), HITS + ", key bigint")
+    best = _first(hits, k + 1).select("query", "key").join(entries.select("key", "v"), "key")
+    found = best.select("query", "v").toArrow().combine_chunks()
+    asked = rows[np.searchsorted(keys, found["query"].to_numpy())]
+    return asked, matrix(found["v"].combine_chunks(), width)
+
+
+def calibrated(tree: Tree, sample: np.ndarray, asked: np.ndarray, found: np.ndarray, recall: float) -> tuple[int, float]:
+    """Leaves to visit so that ``recall`` of the known answers is met, and the share of all entries they hold."""
+    if not len(asked):
+        return tree.leaves, 1.0
+    queries, of = np.unique(asked, axis=0, return_inverse=True)
+    orders = [np.fromiter(tree.visits(query), dtype=np.int64, count=tree.leaves) for query in queries]
+    ranks = np.empty((len(queries), tree.leaves), dtype=np.int64)
+    for number, order in enumerate(orders):
+        ranks[number, order] = np.arange(1, tree.leaves + 1)
+    met = np.sort(ranks[of.reshape(-1), tree.leaves_for(found)])
+    visits = int(met[max(0, int(np.ceil(recall * len(met))) - 1)])
+    sizes = np.bincount(tree.leaves_for(sample), minlength=tree.leaves)
+    return visits, float(np.mean([sizes[order[:visits]].sum() for order in orders]) / len(sample))
+
+
+def fit(sample: np.ndarray, asked: np.ndarray, found: np.ndarray, recall: float, leaves: int) -> tuple[Tree, int]:
+    """The tree to search and how many of its leaves to visit."""
+    best, least = None, None
+    while True:
+        leaf_rows = max(LEAF_SAMPLE, -(-len(sample) // leaves))
+        tree = Tree(sample, leaf_rows)
+        visits, share = calibrated(tree, sample, asked, found, recall)
+        if best is not None and share > least / 2:
+            return best
+        best, least = (tree, visits), share
+        if leaf_rows == LEAF_SAMPLE:
+            return best
+        leaves *= BRANCHES
 
 
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
-    recall: float = RECALL, leaf_rows: int = LEAF_ROWS, folder: str | None = None,
+    recall: float = RECALL, leaves: int = LEAVES, folder: str | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of each row whose identifier ``every`` divides."""
     spark, most = vectors.sparkSession, k + 1
@@ -279,25 +307,25 @@ def nearest(
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not n_entries:
         return spark.createDataFrame([], schema)
-    tree = fit(entries, n_entries, width, leaf_rows)
+    groups = asking.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    queries = stage(groups.join(entries.select("key", "v"), "v"), "vector-queries", folder)
+    if queries.isEmpty():
+        return spark.createDataFrame([], schema)
+    asked, found = known_answers(queries, entries, width, k)
+    tree, visits = fit(sampled(entries, n_entries, width), asked, found, recall, leaves)
     entries = stage(
         entries.select("key", "v", "ids").mapInArrow(
             indexed(tree, width), "key bigint, v array<double>, ids array<bigint>, leaf int"
         ),
         "vector-index", folder,
     )
-    groups = asking.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    queries = stage(groups.join(entries.select("key", "v"), "v"), "vector-queries", folder)
-    if queries.isEmpty():
-        return spark.createDataFrame([], schema)
     sizes = entries.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("n_ids")).toArrow()
     n_rows, n_ids = np.zeros(tree.leaves, dtype=np.int64), [0] * tree.leaves
     for leaf, n, ids in zip(*(sizes[name].to_pylist() for name in ("leaf", "n", "n_ids"))):
         n_rows[leaf], n_ids[leaf] = n, ids
-    leaves = calibrated(tree, queries, entries, width, k, recall)
     asked = stage(
         queries.select("key", "v").mapInArrow(
-            visited(tree, width, leaves, n_ids, most), "key bigint, v array<double>, leaves array<int>"
+            visited(tree, width, visits, n_ids, most), "key bigint, v array<double>, leaves array<int>"
         ).select("key", "v", F.explode("leaves").alias("leaf")),
         "vector-visits", folder,
     )
@@ -310,7 +338,7 @@ def nearest(
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     left = asked.join(plan, "leaf").select("key", "v", "leaf", own("query_blocks").alias("q"), each("row_blocks").alias("b"))
     right = entries.join(plan, "leaf").select(
-        "v", "ids", "leaf", own("row_blocks").alias("b"), each("query_blocks").alias("q")
+        "v", "ids", "leaf", own("row_blocks").alias("b"), each("query_blocks").alias("q"),
     )
     units = ["leaf", "b", "q"]
     hits = left.groupBy(*units).cogroup(right.groupBy(*units)).applyInArrow(unit_hits(width, most), HITS)

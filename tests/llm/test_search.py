@@ -248,7 +248,7 @@ def test_neighbours_with_ties(spark, monkeypatch, block):
     """All calibration queries are answered in full, so nothing may be missing; integers tie often."""
     monkeypatch.setattr(vector_tree, "BLOCK", block)
     rows = awkward_vectors(random.Random(4))
-    got = answered(vector_tree.nearest(framed(spark, rows), recall=1.0, leaf_rows=16))
+    got = answered(vector_tree.nearest(framed(spark, rows), recall=1.0))
     assert got == plain_nearest(rows, 20, 20)
 
 
@@ -257,7 +257,7 @@ def test_recall_and_scores(spark):
     centres = draw.normal(size=(30, 24))
     points = centres[draw.integers(0, 30, 4000)] + 0.6 * draw.normal(size=(4000, 24))
     rows = [(n, point.tolist()) for n, point in enumerate(points)]
-    got, want = answered(vector_tree.nearest(framed(spark, rows), leaf_rows=40)), plain_nearest(rows, 20, 20)
+    got, want = answered(vector_tree.nearest(framed(spark, rows), leaves=16)), plain_nearest(rows, 20, 20)
     assert got.keys() == want.keys() and all(len(hits) == 20 for hits in got.values())
     scores = {query: dict(hits) for query, hits in plain_nearest(rows, 20, 4000).items()}
     assert all(scores[query][other] == score for query, hits in got.items() for other, score in hits)
