@@ -124,8 +124,8 @@ def handlers(spark, sf_dir):
     return code.handlers(facts_of("handlers")(spark, sf_dir)).drop("bfs")
 
 
-@check("x11_suppression_marks", f"""WITH {oracle.PART} SELECT project, 'imports/part_' || k || '.py' AS path,
-    2 AS lineno FROM part_rows WHERE s % 5 = 0""")
+@check("x11_suppression_marks", f"""WITH {oracle.PART}, rows AS (SELECT *, 'imports/part_' || k || '.py' AS path FROM part_rows)
+    SELECT project, path, 2 AS lineno, 'noqa' AS mark FROM rows WHERE s % 5 = 0
+    UNION ALL SELECT project, path, 9, 'posix' FROM rows WHERE s % 7 = 0""")
 def suppression_marks(spark, sf_dir):
-    marked = F.col("line_text").contains("noqa")
-    return code.imports(facts_of("imports")(spark, sf_dir)).filter(marked).select("project", "path", "lineno")
+    return code.suppressions(facts_of("imports")(spark, sf_dir), ("noqa", "posix"))

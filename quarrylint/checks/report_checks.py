@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylint.checks import corpus as made
 from quarrylint.checks import files_on_disk, oracle
-from quarrylint.checks.base import PROJECTS, check, corpus_projects, corpus_scan
+from quarrylint.checks.base import PROJECTS, Query, check, corpus_projects, corpus_scan
 from quarrylint.functions.staging import numbered, shared_folder
-from quarrylint.operators.registry import builtin_rule, choose_rules
 from quarrylint.plans import history, report
-from quarrylint.plans.scan import scan_facts, scan_issues
+from quarrylint.plans.scan import scan
 from quarrylint.sources import archives
 
 
@@ -50,6 +50,15 @@ def file_breakdown(spark, sf_dir):
     return report.file_breakdown(done.facts, done.issues)
 
 
+@check("a05_breakdown_order", oracle.issues_cte() + """SELECT project, path, row_number() OVER (PARTITION BY project
+        ORDER BY count(checker) DESC, path)::INT AS place
+    FROM files LEFT JOIN issues USING (project, path) GROUP BY project, path""")
+def breakdown_order(spark, sf_dir):
+    done = corpus_scan(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("project").orderBy(*report.breakdown_order()))
+    return report.file_breakdown(done.facts, done.issues).select("project", "path", place.alias("place"))
+
+
 @check("a06_coverage", f"""WITH {oracle.PART}, {oracle.EVENTS}, {oracle.FILES}, {oracle.ERRORS}
     SELECT project, count(*)::INT AS files_scanned, count(errors.path)::INT AS files_with_errors,
         (count(*) - count(errors.path))::INT AS files_analyzed FROM files LEFT JOIN errors USING (project, path) GROUP BY project""")
@@ -68,22 +77,23 @@ def flagged_files(spark, sf_dir):
     return report.flagged_files(corpus_scan(spark, sf_dir).issues)
 
 
-@check("a07_flagged_sources", oracle.issues_cte() + FLAGGED + """ SELECT project, path, rank::INT AS rank,
-    left(split_part(path, '/', 1), 1) AS first_letter FROM flagged WHERE rank <= 30""")
-def flagged_sources(spark, sf_dir):
-    done = corpus_scan(spark, sf_dir)
-    found = report.flagged_sources(done.files, done.issues, max_files=30)
-    # every family starts in its own way; broken files have no issue
-    starts = F.expr("""CASE WHEN path LIKE 'calls%' AND source NOT LIKE 'class %' THEN 'c'
-        WHEN source LIKE 'def h%' THEN 'b' WHEN source LIKE 'def long%' THEN 'l' WHEN source LIKE 'def d_%' THEN 'd'
-        WHEN source LIKE 'from __future__%' THEN 'i' WHEN source LIKE 'def f(a%' AND path LIKE 'defaults%' THEN 'd'
-        WHEN source LIKE 'try:%' THEN 'h' WHEN source LIKE 'def g%' THEN 'n' WHEN source LIKE 'def f(a0%' THEN 'p'
-        WHEN source LIKE 'pass%' THEN 's' END""")
-    return found.select("project", "path", "rank", starts.alias("first_letter"))
+LONG_TEXT = """'def long_one():' || chr(10) || '    x = ' || k || chr(10) || repeat('    pass' || chr(10), 3 * s)
+    || '    return x' || chr(10) || 'class Big:' || chr(10) || repeat('    a = 0' || chr(10), 8 * s)"""
+LONG_RULES = ["long-function", "large-class", "long-file"]
+LONG_SOURCES = oracle.issues_cte(LONG_RULES) + FLAGGED.replace("FROM issues", "FROM issues WHERE path LIKE 'long/%'") + f""", texts AS (SELECT flagged.project, path, rank, {LONG_TEXT} AS text
+    FROM flagged JOIN part_rows ON flagged.project = part_rows.project AND path = 'long/part_' || k || '.py')"""
 
 
-ANNOTATED = """, marked AS (SELECT project, path, 'x = ' || k AS first, severity FROM part_rows JOIN
-    (SELECT project AS p, path, severity FROM issues) i ON i.p = project AND i.path = 'long/part_' || k || '.py')"""
+def _long_scan(spark, sf_dir):
+    return scan(made.families(spark, sf_dir, "long"), profile=LONG_RULES)
+
+
+@check("a07_flagged_sources", LONG_SOURCES + """ SELECT project, path, rank::INT AS rank, md5(left(text, 300)) AS source_md5
+    FROM texts WHERE rank <= 7""")
+def flagged_sources(spark, sf_dir):
+    done = _long_scan(spark, sf_dir)
+    found = report.flagged_sources(done.files, done.issues, max_files=7, max_chars=300)
+    return found.select("project", "path", "rank", F.md5("source").alias("source_md5"))
 
 
 @check("a08_annotated_source", oracle.issues_cte(["long-function", "large-class", "long-file"]) + f""", {oracle.CATALOG},
@@ -94,11 +104,9 @@ ANNOTATED = """, marked AS (SELECT project, path, 'x = ' || k AS first, severity
     SELECT all_lines.project, all_lines.path, all_lines.line_no, checker, message, fix, message IS NOT NULL AS flagged
     FROM all_lines LEFT JOIN marks USING (project, path, line_no)""")
 def annotated_source(spark, sf_dir):
-    rules = choose_rules(["long-function", "large-class", "long-file"])
-    files = made.families(spark, sf_dir, "long")
-    issues = scan_issues(scan_facts(files, rules), rules)
-    sources = report.flagged_sources(files, issues)
-    return report.annotated_source(sources, issues).select(
+    done = _long_scan(spark, sf_dir)
+    sources = report.flagged_sources(done.files, done.issues)
+    return report.annotated_source(sources, done.issues).select(
         "project", "path", "line_no", "checker", "message", "fix", "flagged"
     )
 
@@ -111,11 +119,9 @@ def annotated_source(spark, sf_dir):
         WHEN line_no = n + 2 THEN repeat('    ', n + 1) || 'return x + ' || k ELSE '' END AS text
     FROM near WHERE line_no <= n + 3""")
 def excerpts(spark, sf_dir):
-    rule = builtin_rule("deep-nesting")
-    files = made.families(spark, sf_dir, "nest")
-    issues = scan_issues(scan_facts(files, [rule]), [rule])
-    sources = report.flagged_sources(files, issues)
-    return report.excerpts(sources, issues, context=2).select(
+    done = scan(made.families(spark, sf_dir, "nest"), profile=["deep-nesting"])
+    sources = report.flagged_sources(done.files, done.issues)
+    return report.excerpts(sources, done.issues, context=2).select(
         "project", "path", "line_no", "checker", "line", "flagged", "text"
     )
 
@@ -142,7 +148,7 @@ def project_overview(spark, sf_dir):
     return report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
 
 
-@check("a10_project_report", OVERVIEW + f""", flagged AS (SELECT project, least(30, count(DISTINCT path))::INT AS n_sources
+@check("a10_project_report", OVERVIEW + f""", flagged AS (SELECT project, count(DISTINCT path)::INT AS n_sources
         FROM issues GROUP BY project)
     SELECT project, total, score_overall AS overall, files_scanned, files_analyzed, total AS n_issues,
         files_with_errors AS n_errors, files_scanned AS n_files, coalesce(n_sources, 0) AS n_sources,
@@ -156,11 +162,32 @@ def project_report(spark, sf_dir):
         F.max("summary.total").alias("total"), F.max("score.overall").alias("overall"),
         F.max("files_scanned").alias("files_scanned"), F.max("files_analyzed").alias("files_analyzed"),
         *[F.sum(F.size(c)).cast("int").alias(name) for name, c in lists.items()],
-        F.sum(F.when(F.col("part") == 0, F.size("sources")).otherwise(0)).cast("int").alias("n_sources"),
+        F.sum(F.size("sources")).cast("int").alias("n_sources"),
         F.max("parts").alias("parts"),
     )
 
 
+_DEALT = """ SELECT project, floor(coalesce(sum(strlen(text)) OVER (PARTITION BY project ORDER BY rank
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {bytes})::INT AS part, path, md5(text) AS source_md5
+    FROM (SELECT * REPLACE ({text} AS text) FROM texts WHERE rank <= {sources})"""
+
+
+def _report_sources(**limits) -> Query:
+    def found(spark, sf_dir):
+        whole = report.project_report(_long_scan(spark, sf_dir), **limits)
+        return whole.select("project", "part", F.explode("sources").alias("path", "text")).select(
+            "project", "part", "path", F.md5("text").alias("source_md5")
+        )
+
+    return found
+
+
+check("a10_report_sources", LONG_SOURCES + _DEALT.format(bytes=9000, text="text", sources=1_000_000_000))(
+    _report_sources(part_bytes=9000))
+check("a10_limited_sources", LONG_SOURCES + _DEALT.format(bytes=1000, text="left(text, 250)", sources=6))(
+    _report_sources(max_sources=6, max_chars=250, part_bytes=1000))
+
+
 @check("a10_report_issues", oracle.issues_cte() + f""", {oracle.CATALOG}, ranked AS (SELECT *, row_number() OVER (
         PARTITION BY project ORDER BY phase, path, rule_order, bfs, ord) - 1 AS place FROM issues)
     SELECT project, (place // 50)::INT AS part, (place % 50)::INT AS pos, ranked.rule_id, path AS file, line, message, why, fix
@@ -250,24 +277,48 @@ HISTORY = OVERVIEW + """, runs AS (SELECT project, TIMESTAMP '2024-01-01' + INTE
         score_overall AS overall, total, security, quality FROM whole)"""
 
 
-def _history(spark, sf_dir) -> DataFrame:
+def _overview(spark, sf_dir) -> DataFrame:
     done = corpus_scan(spark, sf_dir)
-    overview = report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
+    return report.project_overview(corpus_projects(spark, sf_dir), done.issues, done.facts, done.parse_errors)
+
+
+def _history(spark, sf_dir) -> str:
+    """A table to which one scan was added twice, as by a job that ran again, and half of it as another scan."""
     scanned_at = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("files_scanned"))  # from 2024-01-01 UTC on
-    rows = history.history_rows(overview, scanned_at)
+    rows = history.history_rows(_overview(spark, sf_dir), scanned_at)
     target = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-    history.append_history(rows, target)
-    return history.read_history(spark, target)
+    even = F.length("project") % 2 == 0
+    history.append_history(rows, target, "one")
+    history.append_history(rows.where(even), target, "one")
+    history.append_history(rows.where(~even), target, "two")
+    return target
 
 
 @check("k03_scan_history", HISTORY + """ SELECT project, epoch(scanned_at)::BIGINT AS scanned_at, overall, total,
     security, quality FROM runs ORDER BY scanned_at DESC, project LIMIT 20""")
 def scan_history(spark, sf_dir):
-    return history.newest(_history(spark, sf_dir)).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
+    return history.newest(history.read_history(spark, _history(spark, sf_dir))).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
+
+
+@check("k03_compacted_history", HISTORY + """ SELECT project, epoch(scanned_at)::BIGINT AS scanned_at, overall, total,
+    security, quality FROM runs ORDER BY scanned_at DESC, project LIMIT 20""")
+def compacted_history(spark, sf_dir):
+    """All that is left in the table after two compactions."""
+    table = _history(spark, sf_dir)
+    history.compact_history(spark, table)
+    history.compact_history(spark, table)
+    return history.read_history(spark, table).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
+
+
+@check("k03_time_of_scan", OVERVIEW + " SELECT project, total, true AS just_now FROM whole")
+def time_of_scan(spark, sf_dir):
+    rows = history.history_rows(_overview(spark, sf_dir))
+    now = F.abs(F.unix_timestamp("scanned_at") - F.unix_timestamp()) < 86400
+    return rows.select("project", "total", now.alias("just_now"))
 
 
 @check("k04_history_view", HISTORY + """ SELECT project, epoch(scanned_at)::BIGINT AS scanned_at, overall || '/100' AS score,
     total || CASE WHEN total = 1 THEN ' issue (' ELSE ' issues (' END || security || ' security, ' || quality || ' quality)' AS counts
     FROM runs ORDER BY scanned_at DESC, project LIMIT 20""")
 def history_view(spark, sf_dir):
-    return history.history_view(_history(spark, sf_dir)).withColumn("scanned_at", F.unix_timestamp("scanned_at"))
+    return history.history_view(history.read_history(spark, _history(spark, sf_dir))).withColumn("scanned_at", F.unix_timestamp("scanned_at"))

@@ -15,7 +15,7 @@ from quarrylint.functions import facts as code
 from quarrylint.functions.staging import numbered
 from quarrylint.operators.catalog import explain_issues, rule_catalog
 from quarrylint.operators.findings import finding
-from quarrylint.operators.registry import Rule, choose_rules
+from quarrylint.operators.registry import Rule, choose_rules, project_rule
 from quarrylint.plans import report, triage
 from quarrylint.plans.scan import in_order, scan, scan_facts, scan_issues
 from quarrylint.sources import tree
@@ -84,6 +84,41 @@ def custom_rules(spark, sf_dir):
     return scan_issues(facts, rules).select("project", "path", "rule_id", "checker", "symbol", "message")
 
 
+@check("c06_project_rule", f"""WITH {oracle.PART}, noted AS (SELECT project, 'dups/part_' || k || '.py' AS path, t
+        FROM part_rows WHERE k::INT % 50 <> 0), placed AS (SELECT *, first_value(path) OVER same AS first FROM noted
+        WINDOW same AS (PARTITION BY project, t ORDER BY path))
+    SELECT project, path, 'same-type' AS checker, 'warning' AS severity, 'Type also in ' || first AS message FROM placed WHERE path <> first
+    UNION ALL SELECT project, 'dups/part_' || k || '.py', 'same-type', 'warning',
+        'Rule ''same-type'' failed on this file: no part ' || k FROM part_rows WHERE k::INT % 50 = 0
+    UNION ALL SELECT DISTINCT project, '', 'same-type', 'warning', 'Rule ''same-type'' failed on this project: too many files'
+        FROM noted WHERE project LIKE '%3'""")
+def project_rule_check(spark, sf_dir):
+    """Files of a project with the type of an earlier one; some files and some projects break the rule."""
+
+    def types(path, content):
+        number = path.split("_")[1].split(".")[0]
+        if int(number) % 50 == 0:
+            raise ValueError(f"no part {number}")
+        yield content.split('a = "')[1].split('"')[0]
+
+    def finish(notes):
+        first = {}
+        for path, kind in notes:
+            if first.setdefault(kind, path) != path:
+                yield {"path": path, "line": 3, "message": f"Type also in {first[kind]}"}
+        if path in last_paths:
+            raise ValueError("too many files")
+
+    files = made.families(spark, sf_dir, "dups")
+    last = files.where("project LIKE '%3'").groupBy("project").agg(
+        F.max(F.when(~F.col("path").rlike("(00|50)[.]py$"), F.col("path"))).alias("path")
+    )
+    last_paths = {r.path for r in last.collect()}  # a row for each of a few brands
+    rule = project_rule("same-type", "quality", types, finish)
+    issues = scan_issues(scan_facts(files, [rule]), [rule], files=files)
+    return issues.select("project", "path", "checker", "severity", "message")
+
+
 @check("c07_explained_issues", oracle.issues_cte() + f""", {oracle.CATALOG}, named AS (
     SELECT project, path, line, CASE WHEN severity = 'info' THEN 'house-rule' ELSE checker END AS checker, message FROM issues)
     SELECT project, path, line, named.checker, message, coalesce(rule_id, 'UNKNOWN') AS rule_id,
@@ -148,7 +183,21 @@ check("q04_search_plain_text", oracle.issues_cte() + _TRIAGE + """WHERE contains
     SELECT project, path, line, checker, severity, message, row_number() OVER (PARTITION BY project
         ORDER BY {oracle.RANK}, path, phase, rule_order, bfs, ord)::INT AS place FROM issues)""")
 def triage_order(spark, sf_dir):
-    return _placed(corpus_scan(spark, sf_dir).issues, triage.triage_order()).select(*_TRIAGE_FIELDS, "place")
+    placed = triage.triage_places(corpus_scan(spark, sf_dir).issues, ["project"])
+    return placed.select(*_TRIAGE_FIELDS, F.col("place").cast("int").alias("place"))
+
+
+@check("q05_locale_order", oracle.issues_cte() + f"""SELECT checker, severity, message, path, row_number() OVER (PARTITION BY checker
+        ORDER BY {oracle.RANK}, path COLLATE en, phase, rule_order, bfs, ord, project, path)::INT AS place
+    FROM (SELECT * REPLACE (CASE length(path) % 3 WHEN 0 THEN upper(path) WHEN 1 THEN replace(path, 'a', 'ä') ELSE path END AS path)
+        FROM issues)""")
+def locale_order(spark, sf_dir):
+    """Paths with capitals and accents, numbered over all projects in the order of a locale."""
+    size = F.length("path") % 3
+    path = F.when(size == 0, F.upper("path")).when(size == 1, F.replace("path", F.lit("a"), F.lit("ä"))).otherwise(F.col("path"))
+    issues = corpus_scan(spark, sf_dir).issues.withColumn("path", path)
+    placed = triage.triage_places(issues, ["checker"], collation="UNICODE")
+    return placed.select("checker", "severity", "message", "path", F.col("place").cast("int").alias("place"))
 
 
 def _placed(issues: DataFrame, order: list) -> DataFrame:

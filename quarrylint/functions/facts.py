@@ -10,10 +10,10 @@ import ast
 import gc
 import hashlib
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,7 +314,7 @@ class _FileFacts:
             "keywords": [
                 {
                     "name": k.arg,
-                    "const": _text(_atom(k.value.value)) if isinstance(k.value, ast.Constant) else None,
+                    "const": _text(_atom(k.value.value)) if _told(k) else None,
                 }
                 for k in node.keywords
             ],
@@ -343,6 +343,14 @@ class _FileFacts:
     }
 
 
+#: Keywords of calls whose constant values rules read; no other value is kept, as it may be a secret.
+TOLD_KEYWORDS = frozenset({"shell"})
+
+
+def _told(keyword: ast.keyword) -> bool:
+    return keyword.arg in TOLD_KEYWORDS and isinstance(keyword.value, ast.Constant)
+
+
 _TREE_PARTS = ("functions", "bodies", "classes", "imports", "names", "exported", "calls", "handlers")
 
 
@@ -468,28 +476,56 @@ def binding_imports(array):
     )
 
 
+def resolved(array: Column, names: Column | None = None) -> Column:
+    """The names that an imports array binds: place of the first binding, line and wording of the last one.
+
+    All of them, or those of ``names`` in its order. Rules and tables of bindings both read this.
+    """
+    bound = binding_imports(array)
+    names = F.array_distinct(F.transform(bound, lambda b: b["local"])) if names is None else names
+
+    def ends(name):
+        own = F.filter(bound, lambda b: b["local"] == name)
+        first, last = F.get(own, F.lit(0)), F.element_at(own, -1)
+        fields = {"lineno": last, "display": last, "line_text": last, "bfs": first, "ord": first}
+        return F.struct(name.alias("local"), *(end[field].alias(field) for field, end in fields.items()))
+
+    return F.transform(names, ends)
+
+
+def has_mark(line_text: Column, marks: Sequence[str]) -> Column:
+    """Whether a line carries one of the marks that suppress a rule."""
+    return F.exists(F.array(*[F.lit(m) for m in marks]).cast("array<string>"), line_text.contains)
+
+
+def imported_from(array: Column, name: Column) -> Column:
+    """The module from which the last from-import of an imports array takes ``name``, or null."""
+    named = F.filter(
+        array, lambda b: (b["form"] == "from") & b["module"].isNotNull() & (b["local"] == name)
+    )
+    return F.get(F.reverse(named), F.lit(0))["module"]
+
+
 def bindings(facts: DataFrame) -> DataFrame:
     """Imported names per file: last line and display text, position of the first binding."""
-    bound = facts.select("project", "path", F.inline(binding_imports(F.col("imports"))))
-    place = F.struct("bfs", "ord")
-    return (
-        bound.groupBy("project", "path", "local")
-        .agg(
-            F.max_by(F.struct("lineno", "display", "line_text"), place).alias("last"),
-            F.min(place).alias("first"),
-        )
-        .select("project", "path", "local", "last.*", "first.bfs", "first.ord")
-    )
+    return facts.select("project", "path", F.inline(resolved(F.col("imports"))))
+
+
+def suppressions(facts: DataFrame, marks: Sequence[str]) -> DataFrame:
+    """Lines of imports that carry a mark, one row for each mark on a line."""
+    found = imports(facts).select("project", "path", "lineno", "line_text").distinct()
+    marked = found.withColumn("mark", F.explode(F.array(*[F.lit(m) for m in marks])))
+    return marked.filter(F.contains("line_text", "mark")).select("project", "path", "lineno", "mark")
 
 
 def import_sources(facts: DataFrame) -> DataFrame:
     """Local name to module for from-imports; the last import of a name decides."""
-    return (
-        imports(facts)
-        .filter((F.col("form") == "from") & F.col("module").isNotNull())
-        .groupBy("project", "path", "local")
-        .agg(F.max_by("module", F.struct("bfs", "ord")).alias("module"))
+    named = F.filter("imports", lambda b: (b["form"] == "from") & b["module"].isNotNull())
+    names = F.array_distinct(F.transform(named, lambda b: b["local"]))
+    pairs = F.transform(
+        names, lambda name: F.struct(name.alias("local"), imported_from(F.col("imports"), name).alias("module"))
     )
+    return facts.select("project", "path", F.inline(pairs))
 
 
 def parse_errors(facts: DataFrame) -> DataFrame:

@@ -72,6 +72,31 @@ def numbered(
     )
 
 
+def running_total(
+    df: DataFrame, within: Sequence[str], order: Sequence[str], weight: str, name: str, folder: str | None = None
+) -> DataFrame:
+    """Exact sum of ``weight`` over the rows of a group before each row, for groups of any size.
+
+    As ``numbered``: partitions are sorted ranges, a group's total in each of them is one small row. What
+    is summed up in one piece is a group's part of one partition.
+    """
+    keys = list(within)
+    ranged = (
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    ranged = stage(ranged, "summed", folder).withColumn("_slot", F.shiftright("_place", 33))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_slot").agg(F.sum(weight).alias("_sum")).select(
+        *keys, "_slot", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(offsets, [*keys, "_slot"])
+        .withColumn(name, F.col("_before") + F.col("_inside")).drop("_slot", "_place", "_inside", "_before")
+    )
+
+
 def cut_by_weight(
     df: DataFrame, weight: Column, order: Sequence[str], least: int = 1 << 20, folder: str | None = None
 ) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarrylint.functions.staging import stage
 from quarrylint.operators import tree_rules
 from quarrylint.operators.catalog import CATEGORIES, NEEDS_TREE, PROFILES, RULE_IDS
 from quarrylint.operators.duplicates import duplicate_code
-from quarrylint.operators.findings import FINDING_DDL
+from quarrylint.operators.findings import FINDING_DDL, finding
 
 
 @dataclass(frozen=True)
@@ -24,7 +28,8 @@ class Rule:
     ``query(facts, **thresholds)`` returns a DataFrame of findings with project and path.
     ``parts`` names the fact columns a rule reads; a file rule fails, as data, if one is missing. Only
     columns that some rule names are gathered; a tree rule that names none may read all of them.
-    ``reads_text`` marks a rule that reads ``content`` and so has to run before extraction.
+    ``reads_text`` marks a rule that reads ``content``: of one file, before extraction, or, with a
+    ``query``, of the files given instead of the facts.
     """
 
     checker: str
@@ -119,3 +124,85 @@ def python_rule(
         reads_text=True,
         rule_id=rule_id,
     )
+
+
+GATHERED_DDL = "project STRING, path STRING, ord INT, note STRING, error STRING"
+_ROWS_OUT = 1000
+
+
+def _rows(rows: Iterable[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size, even if there are none."""
+    kinds = to_arrow_schema(schema)
+    rows = iter(rows)
+    while True:
+        part = list(itertools.islice(rows, _ROWS_OUT))
+        columns = list(zip(*part)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+        if len(part) < _ROWS_OUT:
+            return
+
+
+def _values(batches: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[name].to_pylist() for name in names))
+
+
+def project_rule(
+    checker: str,
+    category: str,
+    gather: Callable[[str, str], Iterable[str]],
+    finish: Callable[[Iterator[tuple[str, str]]], Iterable[dict]],
+    rule_id: str = "UNKNOWN",
+) -> Rule:
+    """A custom rule that compares the files of a project, from two Python functions.
+
+    ``gather(path, content)`` returns the notes of one file, as strings; ``finish(notes)`` takes (path, note)
+    of all files of one project as an iterator, in the order of paths, and returns findings as dicts that
+    name their ``path``. Texts stay where they are: only notes are shuffled, and a project's notes pass through
+    ``finish`` as a stream. If ``gather`` raises, that file gives one warning at line 0 and no notes; if ``finish``
+    does, the project gives one with an empty path, after what it has found.
+    """
+    found_ddl = f"project STRING, path STRING, {FINDING_DDL[len('struct<'):-1].replace(':', ' ')}"
+    gathered_type, found_type = (T._parse_datatype_string(ddl) for ddl in (GATHERED_DDL, found_ddl))
+    fields = dict.fromkeys(f.name for f in found_type.fields[2:])
+    fields.update(severity="warning", line=0, column=0, snippet="", bfs=0, ord=0)
+
+    def notes_of(project: str, path: str, content: str | None) -> list[tuple]:
+        if content is None:
+            return []
+        try:
+            return [(project, path, i, note, None) for i, note in enumerate(gather(path, content))]
+        except Exception as error:
+            return [(project, path, 0, None, f"Rule '{checker}' failed on this file: {error}")]
+
+    def gathering(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _values(batches, ("project", "path", "content"))
+        yield from _rows((row for file in files for row in notes_of(*file)), gathered_type)
+
+    def findings_of(project: str, notes: Iterator[tuple[str, str]]) -> Iterator[tuple]:
+        try:
+            for i, found in enumerate(finish(notes)):
+                found = {**fields, "ord": i, **found}
+                yield (project, found["path"], *(found[name] for name in fields))
+        except Exception as error:
+            text = f"Rule '{checker}' failed on this project: {error}"
+            yield (project, "", *({**fields, "message": text}[name] for name in fields))
+
+    def finishing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_project = itertools.groupby(_values(batches, ("project", "path", "note")), key=lambda row: row[0])
+        yield from _rows(
+            (row for project, rows in by_project for row in findings_of(project, (row[1:] for row in rows))), found_type
+        )
+
+    def query(files: DataFrame) -> DataFrame:
+        gathered = files.select("project", "path", "content").mapInArrow(gathering, gathered_type)
+        gathered = stage(gathered, "notes")
+        notes = gathered.where("error IS NULL").repartition("project").sortWithinPartitions("project", "path", "ord")
+        broken = gathered.where("error IS NOT NULL").select(
+            "project", "path", finding("warning", 0, F.col("error")).alias("found")
+        ).select("project", "path", "found.*")
+        return notes.mapInArrow(finishing, found_type).unionByName(broken)
+
+    return Rule(
+        checker=checker, category=category, query=query, needs_tree=False, reads_text=True, rule_id=rule_id
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrylint.functions.facts import binding_imports
+from quarrylint.functions.facts import binding_imports, has_mark, imported_from, resolved
 from quarrylint.operators.findings import finding, no_findings
 
 
@@ -70,23 +70,11 @@ def unused_imports(marks=IGNORE_MARKS) -> Column:
     unused = F.array_except(
         F.array_except(F.transform(bound, lambda b: b["local"]), F.col("names")), F.col("exported")
     )
-    # First binding gives the place in the report, the last one its line and wording.
-    ends = F.transform(
-        unused,
-        lambda local: F.struct(
-            F.get(F.filter(bound, lambda b: b["local"] == local), F.lit(0)).alias("first"),
-            F.element_at(F.filter(bound, lambda b: b["local"] == local), -1).alias("last"),
-        ),
-    )
-    marked = lambda b: F.exists(
-        F.array(*[F.lit(m) for m in marks]).cast("array<string>"), lambda m: b["line_text"].contains(m)
-    )
     return F.transform(
-        F.filter(ends, lambda e: ~marked(e["last"])),
-        lambda e: finding(
-            "info", e["last"]["lineno"],
-            _text("Import '%s' is never used", e["last"]["display"]),
-            bfs=e["first"]["bfs"], ord=e["first"]["ord"], symbol=e["last"]["display"],
+        F.filter(resolved(F.col("imports"), unused), lambda b: ~has_mark(b["line_text"], marks)),
+        lambda b: finding(
+            "info", b["lineno"], _text("Import '%s' is never used", b["display"]),
+            bfs=b["bfs"], ord=b["ord"], symbol=b["display"],
         ),
     )
 
@@ -184,11 +172,7 @@ def unsafe_subprocess() -> Column:
 
 def _imported_from(call: Column, module: str) -> Column:
     """True if the last from-import that binds the called name takes it from ``module``."""
-    sources = F.filter(
-        "imports",
-        lambda b: (b["form"] == "from") & b["module"].isNotNull() & (b["local"] == call["func"]),
-    )
-    return F.coalesce(F.get(F.reverse(sources), F.lit(0))["module"] == module, F.lit(False))
+    return F.coalesce(imported_from(F.col("imports"), call["func"]) == module, F.lit(False))
 
 
 def weak_crypto() -> Column:

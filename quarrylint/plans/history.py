@@ -1,14 +1,18 @@
-"""Scan history: an append-only Parquet table, read newest first."""
+"""Scan history: a Parquet table that scans are added to, read newest first."""
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylint.functions.staging import remove
+
 KEPT_ROWS = 20  # fixed value: rows shown
 HISTORY_DDL = "project STRING, scanned_at TIMESTAMP, overall INT, total INT, security INT, quality INT"
+_FOLDER = "append-"
 
 
 def history_rows(overview: DataFrame, scanned_at: Column | datetime | None = None) -> DataFrame:
@@ -21,12 +25,36 @@ def history_rows(overview: DataFrame, scanned_at: Column | datetime | None = Non
     )
 
 
-def append_history(rows: DataFrame, table: str) -> None:
-    rows.write.mode("append").parquet(table)
+def append_history(rows: DataFrame, table: str, scan_id: str) -> None:
+    """Add the rows of one scan. Each scan has a folder of its own, so a job that runs again replaces its rows."""
+    if not re.fullmatch(r"[\w.-]+", scan_id):
+        raise ValueError("a scan id is made of letters, digits, dots, hyphens and underscores")
+    rows.withColumn("scan_id", F.lit(scan_id)).write.mode("overwrite").parquet(f"{table}/{_FOLDER}{scan_id}")
 
 
 def read_history(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(HISTORY_DDL).parquet(table)
+    """All rows that are kept; one that a compaction has copied but not yet removed counts once."""
+    rows = spark.read.schema(f"{HISTORY_DDL}, scan_id STRING").parquet(f"{table}/{_FOLDER}*")
+    return rows.dropDuplicates(["scan_id", "project"]).drop("scan_id")
+
+
+def compact_history(spark: SparkSession, table: str, rows: int = KEPT_ROWS) -> None:
+    """Keep the newest ``rows`` only.
+
+    They are copied to a folder of their own, then the older folders go. A run that stops in
+    between leaves copies, which reading counts once and the next compaction removes. Folders that
+    are added meanwhile stay.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{_FOLDER}*"))
+    old = sorted(status.getPath().toString() for status in folders or ())
+    if not old:
+        return
+    every = spark.read.schema(f"{HISTORY_DDL}, scan_id STRING").parquet(*old).dropDuplicates(["scan_id", "project"])
+    number = 1 + max((int(m[1]) for m in (re.search(r"append-compact-(\d+)$", name) for name in old) if m), default=0)
+    newest(every, rows).coalesce(1).write.mode("overwrite").parquet(f"{table}/{_FOLDER}compact-{number}")
+    for folder in old:
+        remove(spark, folder)
 
 
 def newest(history: DataFrame, rows: int = KEPT_ROWS) -> DataFrame:

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import numbered
-from quarrylint.operators.catalog import SEVERITIES, explain_issues, explanation_maps, penalty
+from quarrylint.functions.staging import numbered, running_total, stage
+from quarrylint.operators.catalog import SEVERITIES, explanation_maps, penalty
 from quarrylint.operators.findings import ISSUE_ORDER
 from quarrylint.plans.scan import Scan
 
-# How many sources a report carries and how much of each; band limits.
-MAX_SOURCES = 30
-MAX_SOURCE_CHARS = 60_000
+# Band limits.
 BANDS = ((85, "Great health"), (60, "Needs attention"), (0, "At risk"))
 
 NO_FILES_NOTE = "Nothing to scan: the project has no Python files."
@@ -183,34 +181,75 @@ def flagged_sources(
     return cut.join(flagged_files(issues, max_files, folder), ["project", "path"])
 
 
+def _marked_lines(sources: DataFrame, issues: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Each source as its lines, with the issues that point at one of them, sorted by line.
+
+    The marks of a file are one array and meet its text in one row, so no line is ever shuffled.
+    """
+    order = [c for c in ISSUE_ORDER if c != "path"]
+    mark = F.struct("line", *order, *fields)
+    marks = issues.groupBy("project", "path").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    split = sources.join(marks, ["project", "path"], "left").select(
+        "project", "path", F.split("source", "\n", -1).alias("lines"), "marks"
+    )
+    inside = F.filter("marks", lambda m: (m["line"] > 0) & (m["line"] <= F.size("lines")))
+    kind = split.schema["marks"].dataType
+    return split.select("project", "path", "lines", F.coalesce(inside, F.array().cast(kind)).alias("marks"))
+
+
 def annotated_source(sources: DataFrame, issues: DataFrame) -> DataFrame:
     """Every line of the sources, split at ``\\n`` only, with the issues that point at it.
 
     A line with several issues gives one row for each; a line without any gives one row. Issues
     at line 0 or beyond the cut mark nothing.
     """
-    lines = sources.select("project", "path", F.posexplode(F.split("source", "\n", -1)).alias("pos", "text"))
-    marks = explain_issues(issues).select(
-        "project", "path", F.col("line").alias("line_no"), "severity", "checker", "message", "fix",
-        *[c for c in ISSUE_ORDER if c != "path"],
+    marked = _marked_lines(sources, issues, ("severity", "checker", "message"))
+    none = F.lit(None).cast(marked.schema["marks"].dataType.elementType)
+    row = lambda line, mark: F.struct(
+        line.alias("line_no"), F.get("lines", line - 1).alias("text"), mark.alias("mark")
     )
-    numbered_lines = lines.select("project", "path", (F.col("pos") + 1).alias("line_no"), "text")
-    return numbered_lines.join(marks, ["project", "path", "line_no"], "left").withColumn(
+    flagged = F.transform("marks", lambda m: row(m["line"], m))
+    bare = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.transform("marks", lambda m: m["line"]))
+    rows = marked.select("project", "path", F.inline(F.concat(flagged, F.transform(bare, lambda line: row(line, none)))))
+    _, fix = explanation_maps()
+    known = F.when(F.col("mark").isNotNull(), F.coalesce(fix[F.col("mark.checker")], F.lit("")))
+    return rows.select("project", "path", "line_no", "text", "mark.*", known.alias("fix")).drop("line").withColumn(
         "flagged", F.col("message").isNotNull()
     )
 
 
 def excerpts(sources: DataFrame, issues: DataFrame, context: int = 2) -> DataFrame:
-    """Per issue its line and ``context`` lines around it, as an equi-join on line numbers."""
-    lines = sources.select("project", "path", F.posexplode(F.split("source", "\n", -1)).alias("pos", "text"))
-    wanted = issues.filter("line > 0").select(
-        "project", "path", "checker", "line", *[c for c in ISSUE_ORDER if c != "path"],
-        F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - context), F.col("line") + context)).alias("line_no"),
+    """Per issue its line and ``context`` lines around it, as far as the source has them."""
+    around = lambda m: F.sequence(
+        F.greatest(F.lit(1), m["line"] - context), F.least(F.size("lines"), m["line"] + context)
     )
-    return (
-        lines.select("project", "path", (F.col("pos") + 1).alias("line_no"), "text")
-        .join(wanted, ["project", "path", "line_no"])
-        .withColumn("flagged", F.col("line_no") == F.col("line"))
+    row = lambda line, mark: F.struct(
+        line.alias("line_no"), F.get("lines", line - 1).alias("text"), mark.alias("mark")
+    )
+    marked = _marked_lines(sources, issues, ("checker",))
+    rows = F.flatten(F.transform("marks", lambda m: F.transform(around(m), lambda line: row(line, m))))
+    return marked.select("project", "path", F.inline(rows)).select("project", "path", "line_no", "text", "mark.*").withColumn(
+        "flagged", F.col("line_no") == F.col("line")
+    )
+
+
+def source_parts(
+    files: DataFrame, issues: DataFrame, max_sources: int | None = None, max_chars: int | None = None,
+    part_bytes: int = 16 << 20, folder: str | None = None,
+) -> DataFrame:
+    """(project, part, sources): the flagged sources of a project as maps, dealt in issue order by running bytes.
+
+    No map holds more than ``part_bytes`` and one source, however many sources a project has. Only lengths are
+    put in order; texts are shuffled once, to their part.
+    """
+    flagged = flagged_sources(files, issues, max_sources, max_chars, folder)
+    sized = flagged.select("project", "path", "rank", F.octet_length("source").cast("bigint").alias("bytes"))
+    dealt = running_total(sized, ["project"], ["rank"], "bytes", "before", folder).select(
+        "project", "path", F.floor(F.col("before") / part_bytes).cast("int").alias("part")
+    )
+    entry = F.struct("path", "source")
+    return flagged.join(dealt, ["project", "path"]).groupBy("project", "part").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("sources")
     )
 
 
@@ -220,43 +259,41 @@ def _error_text() -> Column:
 
 def project_report(
     scan: Scan, projects: DataFrame | None = None, part_rows: int = 5000,
-    max_sources: int | None = MAX_SOURCES, max_chars: int | None = MAX_SOURCE_CHARS,
+    max_sources: int | None = None, max_chars: int | None = None, part_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The full nested report: summary, score, coverage, issues, errors, file list, sources.
 
-    A project is one row, part 0, unless one of its lists is longer than ``part_rows``: then the
-    lists go on in parts 1, 2, …, so no row and no task ever holds an unbounded project. Part 0
-    has the sources; every part has the counts, scores, summary and the number of parts. How many
-    sources, and how much of each, are arguments; None stands for all.
+    A project is one row, part 0, unless one of its lists is longer than ``part_rows`` or its sources
+    have more than ``part_bytes``: then lists and sources go on in parts 1, 2, …, so no row and no
+    task ever holds an unbounded project. Every part has the counts, scores, summary and the
+    number of parts. How many sources, and how much of each, are arguments; None stands for all.
     """
     # The staged facts list the files; the source table is read for the flagged texts only.
     projects = scan.facts.select("project").distinct() if projects is None else projects
     head = project_overview(projects, scan.issues, scan.facts, scan.parse_errors)
-    sources = (
-        flagged_sources(scan.files, scan.issues, max_sources, max_chars, scan.folder)
-        .groupBy("project")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "source")))).alias("sources"))
+    sources = stage(
+        source_parts(scan.files, scan.issues, max_sources, max_chars, part_bytes, scan.folder), "report-sources", scan.folder
     )
     longest = F.greatest("total", "files_scanned", "files_with_errors")
     rules = F.array(*[F.lit(rule) for rule in scan.rules])
-    head = head.join(sources, "project", "left").select(
+    most = sources.groupBy("project").agg((F.max("part") + 1).alias("source_parts"))
+    head = head.join(most, "project", "left").select(
         "project",
-        F.greatest(F.lit(1), F.ceil(longest / part_rows)).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(longest / part_rows), "source_parts").cast("int").alias("parts"),
         F.struct(*SUMMARY_COLUMNS).alias("summary"),
         F.struct(*[F.col(f"score_{c}").alias(c) for c in SCORE_COLUMNS]).alias("score"),
         "band", "files_scanned", "files_analyzed", "files_with_errors",
         F.when(F.col("files_scanned") > 0, rules).otherwise(F.array().cast("array<string>")).alias("checkers_run"),
-        F.coalesce("sources", F.create_map().cast("map<string,string>")).alias("sources"),
         "note",
     )
     lists = _report_lists(scan, part_rows)
     # Everything meets on (project, part), so the parts of a huge project stay spread out.
     parts = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parts = parts.withColumn("sources", F.when(F.col("part") == 0, F.col("sources")).otherwise(F.map_filter("sources", lambda k, v: F.lit(False))))
     columns = ["project", "part", *(c for c in head.columns if c != "project")]
-    whole = parts.select(*columns).join(lists, ["project", "part"], "left")
+    whole = parts.select(*columns).join(sources, ["project", "part"], "left").join(lists, ["project", "part"], "left")
     kinds = {f.name: f.dataType for f in lists.schema if f.name not in ("project", "part")}
-    return whole.withColumns({name: F.coalesce(name, F.array().cast(kind)) for name, kind in kinds.items()})
+    lists = {name: F.coalesce(name, F.array().cast(kind)) for name, kind in kinds.items()}
+    return whole.withColumns({**lists, "sources": F.coalesce("sources", F.create_map().cast("map<string,string>"))})
 
 
 def _report_lists(scan: Scan, part_rows: int) -> DataFrame:

@@ -57,7 +57,7 @@ def scan_facts(
         hits = F.when(text.isNotNull(), secret_hits(text)).otherwise(F.array().cast(HIT_DDL))
         columns = columns.withColumn("secret_hits", hits)
     for rule in rules:
-        if rule.reads_text:
+        if rule.reads_text and rule.query is None:
             columns = columns.withColumn(_custom_column(rule), rule.findings())
     if parse or any(rule.needs_tree for rule in rules):
         return extract_facts(columns, parts=_parts(rules))
@@ -115,12 +115,17 @@ def file_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds
     return _issue_columns(issues, F.lit(0))
 
 
-def all_files_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None) -> list[DataFrame]:
-    """Issues of the rules that compare files; they come after all others, in rule order."""
+def all_files_issues(
+    facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None, files: DataFrame | None = None
+) -> list[DataFrame]:
+    """Issues of the rules that compare files; they come after all others, in rule order.
+
+    ``files`` is needed for rules that read texts.
+    """
     found = []
     for order, rule in enumerate(rules):
         if rule.query is not None:
-            rows = rule.query(facts, **_limits(rule, thresholds)).withColumns({
+            rows = rule.query(files if rule.reads_text else facts, **_limits(rule, thresholds)).withColumns({
                 "rule_id": F.lit(rule.rule_id),
                 "checker": F.lit(rule.checker),
                 "category": F.lit(rule.category),
@@ -136,8 +141,10 @@ def _issue_columns(rows: DataFrame, phase: Column) -> DataFrame:
     return ranked.select(*ISSUE_COLUMNS, *order)
 
 
-def scan_issues(facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None) -> DataFrame:
-    parts = all_files_issues(facts, rules, thresholds)
+def scan_issues(
+    facts: DataFrame, rules: Sequence[Rule], thresholds: Thresholds | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    parts = all_files_issues(facts, rules, thresholds, files)
     if any(rule.query is None for rule in rules):
         parts.insert(0, file_issues(facts, rules, thresholds))
     return reduce(DataFrame.unionByName, parts)
@@ -167,7 +174,7 @@ def scan(
     spark = files.sparkSession
     folder = f"{folder or shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     facts = stage(scan_facts(files, rules, partitions, parse), "facts", folder)
-    issues = stage(scan_issues(facts, rules, thresholds), "issues", folder)
+    issues = stage(scan_issues(facts, rules, thresholds, files), "issues", folder)
     errors = parse_errors(facts if "parse_error" in facts.columns else _unparsed(facts))
     return Scan(files, facts, issues, errors, tuple(rule.checker for rule in rules), folder)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylint.functions.staging import numbered
 from quarrylint.operators.findings import ISSUE_ORDER
 
 ALL = "all"
@@ -39,6 +42,19 @@ def triage_order(collation: str | None = None) -> list[Column]:
     return [F.col("severity_rank"), path, *[F.col(c) for c in ISSUE_ORDER if c != "path"], F.col("project"), F.col("path")]
 
 
+def triage_places(
+    issues: DataFrame, within: Sequence[str] = (), collation: str | None = None, folder: str | None = None
+) -> DataFrame:
+    """Issues with ``place``, their number in triage order, in the whole table or ``within`` groups of any size.
+
+    The order of a locale is the order of the range partitions themselves, so no task sorts a group.
+    """
+    path = F.collate("path", collation) if collation else F.col("path")
+    order = ["severity_rank", "_path", *(c for c in ISSUE_ORDER if c != "path"), "project", "path"]
+    placed = numbered(issues.withColumn("_path", path), within, order, "place", folder)
+    return placed.drop("_path")
+
+
 def triage(
     issues: DataFrame,
     category: str = ALL,

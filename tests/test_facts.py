@@ -98,7 +98,7 @@ def test_deep_code_never_raises():
 
 
 def test_lone_surrogates_stay_utf8():
-    facts = file_facts('__all__ = ["\\ud800"]\nf(x="\\ud800")\n')
+    facts = file_facts('__all__ = ["\\ud800"]\nf(shell="\\ud800")\n')
     for text in (facts["exported"][0], facts["calls"][0]["keywords"][0]["const"]):
         text.encode("utf-8")
 

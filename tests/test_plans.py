@@ -1,15 +1,16 @@
 import os
 import re
+import shutil
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import join_groups, numbered, semi_join_spread, stage
+from quarrylint.functions.staging import join_groups, numbered, running_total, semi_join_spread, stage
 from quarrylint.operators import duplicates
 from quarrylint.operators.findings import finding
-from quarrylint.operators.registry import Rule, choose_rules, python_rule
+from quarrylint.operators.registry import Rule, choose_rules, project_rule, python_rule
 from quarrylint.plans import history, report, triage
 from quarrylint.plans.scan import file_issues, in_order, scan, scan_facts, scan_issues
 
@@ -282,14 +283,77 @@ def test_history(spark, tmp_path):
     table = str(tmp_path / "history")
     for day in range(1, 22):
         row = [("p", datetime(2024, 1, day), None if day == 21 else day, 1 if day == 20 else 2, 1, 0)]
-        history.append_history(spark.createDataFrame(row, history.HISTORY_DDL), table)
+        for _ in range(1 + day % 2):  # a job that runs again replaces what it wrote
+            history.append_history(spark.createDataFrame(row, history.HISTORY_DDL), table, f"day-{day}")
+    assert history.read_history(spark, table).count() == 21
     rows = history.history_view(history.read_history(spark, table)).collect()
     assert len(rows) == 20 and rows[0].score == "—/100" and rows[1].score == "20/100"
     assert rows[1].counts == "1 issue (1 security, 0 quality)"
     assert rows[-1].scanned_at == datetime(2024, 1, 2)
+    history.compact_history(spark, table)
+    assert len(os.listdir(table)) == 1 and history.read_history(spark, table).count() == 20
+    assert history.history_view(history.read_history(spark, table)).collect() == rows
+    row = [("q", datetime(2024, 2, 1), 1, 2, 1, 0)]
+    history.append_history(spark.createDataFrame(row, history.HISTORY_DDL), table, "day-22")
+    shutil.copytree(f"{table}/append-compact-1", f"{table}/append-compact-9")  # as if a compaction had stopped
+    assert history.read_history(spark, table).count() == 21
+    history.compact_history(spark, table)
+    assert sorted(os.listdir(table)) == ["append-compact-10"]
+    assert {r.project for r in history.read_history(spark, table).collect()} == {"p", "q"}
+    history.compact_history(spark, str(tmp_path / "none"))
 
 
 def test_history_rows_of_a_scan(done):
     overview = report.project_overview(done.files.select("project").distinct(), done.issues, done.files, done.parse_errors)
     row = history.history_rows(overview, datetime(2024, 5, 1)).first()
     assert (row.project, row.scanned_at, row.overall, row.total) == ("p", datetime(2024, 5, 1), 86, 4)
+
+
+def test_project_rule_streams_notes_and_reports_failures(spark, files_of):
+    def gather(path, content):
+        if "boom" in content:
+            raise ValueError("no notes")
+        return [word for word in content.split() if word != "="]
+
+    def finish(notes):
+        seen = {}
+        for path, word in notes:
+            if word in seen:
+                yield {"path": path, "message": f"{word} also in {seen[word]}", "line": 1}
+            seen.setdefault(word, path)
+            if word == "stop":
+                raise RuntimeError("enough")
+
+    files = files_of({"b.py": "x = 1", "a.py": "x = 2", "c.py": "boom", "d.py": None}).unionByName(
+        files_of({"a.py": "y = y", "b.py": "stop = 1", "c.py": "y = 3"}, project="q")
+    )
+    done = scan(files, profile=[], extra_rules=[project_rule("same-word", "quality", gather, finish)], parse=False)
+    assert rows_of(done.issues, "project", "path", "severity", "line", "message") == [
+        ("p", "b.py", "warning", 1, "x also in a.py"),
+        ("p", "c.py", "warning", 0, "Rule 'same-word' failed on this file: no notes"),
+        ("q", "", "warning", 0, "Rule 'same-word' failed on this project: enough"),
+        ("q", "a.py", "warning", 1, "y also in a.py"),
+    ]
+
+
+def test_excerpts_shuffle_no_lines(done):
+    plan = report.excerpts(report.flagged_sources(done.files, done.issues), done.issues)._jdf.queryExecution().executedPlan()
+    assert "line_no" not in "".join(line for line in plan.toString().split("\n") if "Exchange" in line)
+
+
+def test_running_totals_of_a_hot_group(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 5).alias("g"), F.xxhash64("id").alias("v"), (F.col("id") % 11).alias("w")
+    )
+    before = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = df.withColumn("sum", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    assert rows_of(running_total(df.repartition(9), ["g"], ["v"], "w", "sum"), "g", "v", "sum") == rows_of(wanted, "g", "v", "sum")
+
+
+def test_sources_are_dealt_into_parts(files_of):
+    texts = {f"f{n:02}.py": f"eval({n})\n" + "# filling\n" * n for n in range(40)}
+    done = scan(files_of(texts), profile=["dangerous-exec"])
+    parts = report.project_report(done, part_bytes=500).orderBy("part").collect()
+    assert {path: text for r in parts for path, text in r.sources.items()} == texts
+    assert len(parts) == parts[0].parts > 10
+    assert all(sum(map(len, r.sources.values())) <= 500 + 410 for r in parts)
