@@ -37,8 +37,8 @@ GRAM = 24
 SEGMENT = 1 << 20
 LARGE = 4096
 LAST = (1 << 63) - 1
-RUNS = "digit bigint, run bigint, id bigint, tag int, start int, n int, first boolean"
-KINDS = "digit bigint, id bigint, tag int, start int, n int, repeat boolean"
+RUNS = "digit bigint, run bigint, id bigint, tag bigint, start int, n int, first boolean"
+KINDS = "digit bigint, id bigint, tag bigint, start int, n int, repeat boolean"
 
 
 def segments(contents: list[pa.Scalar], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,7 +150,7 @@ def order_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [np.append(a, value) for a, value in zip(columns, extra[0])]
         flags = np.zeros(len(columns[0]), dtype=bool)
         flags[: int(repeat.sum())] = True
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array(a, kind) for a, kind in zip(columns, types)] + [pa.array(flags)],
             names=[*names, "repeat"],
@@ -158,7 +158,7 @@ def order_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digit, run, place = d[-1], r[-1], tuple(at[:, -1])
 
 
-STRETCHES = "digit bigint, id bigint, tag int, start int, stretch binary"
+STRETCHES = "digit bigint, id bigint, tag bigint, start int, stretch binary"
 
 
 def cut_stretches(length: int):
@@ -217,7 +217,7 @@ def _spans(rows: np.ndarray, inside: np.ndarray, batch: pa.RecordBatch, length:
     )
 
 
-SPANS = "id bigint, tag int, start int, stop int"
+SPANS = "id bigint, tag bigint, start int, stop int"
 PARTS = 4_000
 CHUNK_ROWS = 1_000
 
@@ -279,7 +279,7 @@ def hash_strings(length: int):
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (id, content, spans) to counts, removed spans and the bytes that are left."""
+    """mapInArrow function: (doc_id, content, spans) to counts, removed spans and the bytes that are left."""
     for batch in (whole.slice(low, CHUNK_ROWS) for whole in batches for low in range(0, whole.num_rows, CHUNK_ROWS)):
         table = []
         for content, spans in zip(batch["content"], batch["spans"]):
@@ -296,10 +296,10 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, removed, spans, kept = zip(*table) if table else [()] * 4
         yield pa.RecordBatch.from_arrays(
             [
-                batch["id"], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
+                batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
                 pa.array(kept, pa.binary()),
             ],
-            names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
@@ -309,7 +309,7 @@ def _covered(runs: DataFrame, length: int) -> DataFrame:
 
 def _hot_spans(stretches: DataFrame, length: int) -> DataFrame:
     """Repeated strings of large digits, each string a row, first ones found map side first."""
-    strings = stretches.mapInArrow(hash_strings(length), "one bigint, two bigint, id bigint, tag int, start int")
+    strings = stretches.mapInArrow(hash_strings(length), "one bigint, two bigint, id bigint, tag bigint, start int")
     first = strings.groupBy("one", "two").agg(F.min(F.struct("id", "tag", "start")).alias("first"))
     place = F.struct("id", "tag", "start")
     later = strings.join(first, ["one", "two"]).where(place != F.col("first"))
@@ -322,12 +322,15 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left, ``kept``, per document."""
     content: Column = F.coalesce(F.col(text), F.lit(""))
+    # Rows without an identifier come last; id and tag tell them apart by 112 bits of their text.
+    no_id = F.lit(LAST) - F.xxhash64(content, F.lit(1)).bitwiseAND(F.lit((1 << 48) - 1))
     texts = docs.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("id"),
-        F.hash(content).alias("tag"),
+        F.col(doc_id).cast("bigint").alias("doc_id"),
+        F.coalesce(F.col(doc_id).cast("bigint"), no_id).alias("id"),
+        F.xxhash64(content).alias("tag"),
         content.cast("binary").alias("content"),
     )
-    runs = texts.mapInArrow(find_runs(length, gram), RUNS)
+    runs = texts.drop("doc_id").mapInArrow(find_runs(length, gram), RUNS)
     # What is known to be a repeat needs no company: such runs are dealt evenly.
     dealt = F.when(F.col("first"), F.col("digit")).otherwise(F.xxhash64("id", "start"))
     ordered = stage(
@@ -348,9 +351,6 @@ def remove_repeats(
         .unionByName(_hot_spans(stretches.join(large, "digit", "left_semi"), length))
     )
     per_text = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = texts.join(per_text, ["id", "tag"], "left").select("id", "content", "spans").mapInArrow(
-        cut_texts, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
-    return cut.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept"
+    return texts.join(per_text, ["id", "tag"], "left").select("doc_id", "content", "spans").mapInArrow(
+        cut_texts, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
