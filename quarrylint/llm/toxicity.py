@@ -242,13 +242,18 @@ class ToxicityModel:
 
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_labels: int = 500_000, max_terms: int = 1_000_000, folder: str | None = None,
+    max_labels: int = 200_000, folder: str | None = None,
 ) -> ToxicityModel:
-    """Learn from the labelled rows of ``docs``; pass only rows that may be learned from."""
+    """Learn from the labelled rows of ``docs``; pass only rows that may be learned from.
+
+    At most ``max_labels`` labelled documents are learned from, chosen by a hash of their identifiers among
+    those that ``docs`` has. All their terms count, so this bound is that of the model, too.
+    """
+    own = docs.select(F.col(doc_id).alias("own"))
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("own")).agg(F.max(label).alias("toxic"))
-        .orderBy(F.xxhash64("own"), "own").limit(max_labels)
+        .join(own, "own", "left_semi").orderBy(F.xxhash64("own"), "own").limit(max_labels)
     )
     texts = docs.select(
         F.col(doc_id).alias("own"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content")
@@ -257,7 +262,6 @@ def fit(
         texts.mapInArrow(document_terms, "term bigint, stem bigint, toxic bigint, plain bigint")
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
         .where(F.col("toxic") + F.col("plain") >= LEAST_DOCS)
-        .orderBy(F.desc(F.col("toxic") + F.col("plain")), "term", "stem").limit(max_terms)
     )
     table = terms.toArrow()
     shares = texts.agg(F.avg("toxic")).first()[0]
