@@ -49,12 +49,15 @@ _CODEC = "zstd"
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return len(values.tobytes()).to_bytes(8, "little") + pa.compress(values.tobytes(), codec=_CODEC, asbytes=True)
+    """Compressed byte by byte of all values: the high bytes of small numbers cost next to nothing."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec=_CODEC, asbytes=True)
 
 
 def _unpack(content: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(content[:8], "little")
-    return np.frombuffer(pa.decompress(content[8:], size, codec=_CODEC, asbytes=True), dtype=kind)
+    size, width = int.from_bytes(content[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(content[8:], size, codec=_CODEC, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).reshape(-1)
 
 
 class _WordKeys(dict):
@@ -214,16 +217,22 @@ def _counts_of_counts(totals: np.ndarray) -> bytes:
 
 
 def total_words(table: pa.Table) -> pa.Table:
-    """applyInArrow function of a bucket: to each part the training counts of its words; part -1 has statistics."""
+    """applyInArrow function of a bucket: to each part the training counts of its words and their places.
+
+    ``seen`` has the places among the bucket's distinct words; part -1 has statistics and the number of these.
+    """
     rows = table.to_pylist()
     keys = [np.frombuffer(row["histories"], dtype=np.uint64) for row in rows]
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([_unpack(row["counts"], np.int64) for row in rows])
-    totals = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
-    told, at = [{"part": -1, "bucket": rows[0]["bucket"], "totals": _counts_of_counts(totals)}], 0
+    totals = np.zeros(len(unique), dtype=np.int64)
+    np.add.at(totals, inverse, counts)
+    number = _pack(np.array([len(unique)], dtype=np.int64))
+    told, at = [{"part": -1, "bucket": rows[0]["bucket"], "totals": _counts_of_counts(totals), "seen": number}], 0
     for row, own in zip(rows, keys):
+        places = inverse[at : at + len(own)].astype(np.int64)
         told.append({
-            "part": row["part"], "bucket": row["bucket"], "totals": _pack(totals[inverse[at : at + len(own)]]),
+            "part": row["part"], "bucket": row["bucket"], "totals": _pack(totals[places]), "seen": _pack(places),
         })
         at += len(own)
     return pa.Table.from_batches([_rows(told, TOLD)])
@@ -270,13 +279,21 @@ class Words:
         return np.where(counts > 0, self.discounts.discounted(counts) / self.scale, self.unknown)
 
 
-def ask_pairs(total: int, buckets: int):
-    """mapInArrow function: parts with ``known`` to what they ask of each bucket about pairs."""
+def ask_pairs(total: int, buckets: int, first_codes: dict[int, int]):
+    """mapInArrow function: parts with ``known`` to what they ask of each bucket about pairs.
+
+    Words go by code: their number among all distinct words, of which ``first_codes`` has the first of each bucket
+    (and, as -1, the number of all, the code of the start). Codes are small numbers, in order here.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             part, known = Part.of(row), _known(row)
-            pairs, keys = Pairs.of(part, known, total, buckets), np.append(part.words, START)
+            pairs = Pairs.of(part, known, total, buckets)
+            codes = np.concatenate([
+                first_codes[told["bucket"]] + _unpack(told["seen"], np.int64) for told in row["word_totals"]
+            ])
+            history_codes = np.append(codes, first_codes[-1])
             group_edges = np.searchsorted(pairs.group_bucket, np.arange(buckets + 1))
             edges = np.searchsorted(pairs.group, group_edges)
             followers = np.bincount(pairs.group, minlength=len(pairs.group_bucket))
@@ -286,9 +303,9 @@ def ask_pairs(total: int, buckets: int):
                     continue
                 word = pairs.word[own]
                 yield _rows([{
-                    "bucket": b, "part": row["part"], "histories": keys[pairs.group_history[groups]].tobytes(),
-                    "followers": _pack(followers[groups].astype(np.uint32)), "words": part.words[word].tobytes(),
-                    "known": _pack(known[word].astype(np.uint32)), "counts": _pack(pairs.counts[own].astype(np.uint32)),
+                    "bucket": b, "part": row["part"], "histories": _pack(history_codes[pairs.group_history[groups]]),
+                    "followers": _pack(followers[groups]), "words": _pack(codes[word]),
+                    "known": _pack(known[word]), "counts": _pack(pairs.counts[own]),
                 }], ASKED)
 
     return ask
@@ -299,22 +316,24 @@ def total_pairs(words: Words):
 
     def totals_of(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        histories = [np.frombuffer(row["histories"], dtype=np.uint64) for row in rows]
+        histories = [_unpack(row["histories"], np.int64) for row in rows]
         unique, group = np.unique(np.concatenate(histories), return_inverse=True)
-        followers = np.concatenate([_unpack(row["followers"], np.uint32) for row in rows]).astype(np.int64)
+        followers = np.concatenate([_unpack(row["followers"], np.int64) for row in rows])
         history = np.repeat(group, followers)
-        word = np.concatenate([np.frombuffer(row["words"], dtype=np.uint64) for row in rows])
-        known = np.concatenate([_unpack(row["known"], np.uint32) for row in rows]).astype(np.int64)
-        counts = np.concatenate([_unpack(row["counts"], np.uint32) for row in rows]).astype(np.int64)
+        word = np.concatenate([_unpack(row["words"], np.int64) for row in rows])
+        known = np.concatenate([_unpack(row["known"], np.int64) for row in rows])
+        counts = np.concatenate([_unpack(row["counts"], np.int64) for row in rows])
         order = np.lexsort((word, history))
         opens = np.ones(len(order), dtype=bool)
         opens[1:] = (history[order[1:]] != history[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
         pair = np.empty(len(order), dtype=np.int64)
         pair[order] = np.cumsum(opens) - 1
         heads = order[opens]
-        totals = np.bincount(pair, weights=counts, minlength=len(heads)).astype(np.int64)
+        totals = np.zeros(len(heads), dtype=np.int64)
+        np.add.at(totals, pair, counts)
         of, size = history[heads], len(unique)
-        seen = np.bincount(of, weights=totals, minlength=size).astype(np.int64)
+        seen = np.zeros(size, dtype=np.int64)
+        np.add.at(seen, of, totals)
         ones = np.stack([np.bincount(of[totals == r], minlength=size) for r in range(1, TOP + 1)], axis=1)
         chance = np.where(totals > 0, words.chance(known[heads]), 0.0)
         mass = np.bincount(of, weights=chance, minlength=size)
@@ -325,8 +344,8 @@ def total_pairs(words: Words):
             number = int(followers[at_group : at_group + len(own)].sum())
             told.append({
                 "part": row["part"], "bucket": row["bucket"],
-                "totals": _pack(totals[pair[at_pair : at_pair + number]].astype(np.uint32)),
-                "seen": _pack(seen[groups]), "ones": _pack(ones[groups].astype(np.uint32)), "mass": mass[groups].tobytes(),
+                "totals": _pack(totals[pair[at_pair : at_pair + number]]),
+                "seen": _pack(seen[groups]), "ones": _pack(ones[groups]), "mass": _pack(mass[groups]),
             })
             at_group += len(own)
             at_pair += number
@@ -353,15 +372,15 @@ def score_parts(words: Words, pairs_discounts: Discounts, buckets: int):
         part, known = Part.of(row), _known(row)
         pairs = Pairs.of(part, known, total, buckets)
         told = row["pair_totals"]
-        counts = np.concatenate([_unpack(t["totals"], np.uint32) for t in told]).astype(np.int64)
+        counts = np.concatenate([_unpack(t["totals"], np.int64) for t in told])
         size = len(part.words) + 1
         seen = np.bincount(
             pairs.group_history, weights=np.concatenate([_unpack(t["seen"], np.int64) for t in told]), minlength=size
         )
-        ones_told = np.concatenate([_unpack(t["ones"], np.uint32).reshape(-1, TOP) for t in told]).astype(float)
+        ones_told = np.concatenate([_unpack(t["ones"], np.int64).reshape(-1, TOP) for t in told]).astype(float)
         ones = np.stack([np.bincount(pairs.group_history, weights=ones_told[:, r], minlength=size) for r in range(TOP)], axis=1)
         mass = np.bincount(
-            pairs.group_history, weights=np.concatenate([np.frombuffer(t["mass"]) for t in told]), minlength=size
+            pairs.group_history, weights=np.concatenate([_unpack(t["mass"], np.float64) for t in told]), minlength=size
         )
         lent = ones @ ((1 - factor[1:]) * np.arange(1, TOP + 1))
         scale = np.where(lent > 0, seen, seen + 1)
@@ -398,6 +417,15 @@ def _statistics(told: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(row, dtype=np.int64) for row in rows), np.zeros(TOP + 3, dtype=np.int64))
 
 
+def _first_codes(told: DataFrame) -> dict[int, int]:
+    """The code of each bucket's first word; as -1 the number of all words."""
+    first, codes = 0, {}
+    for bucket, seen in sorted(map(tuple, told.where("part = -1").select("bucket", "seen").collect())):
+        codes[bucket] = first
+        first += int(_unpack(bytes(seen), np.int64)[0])
+    return {**codes, -1: first}
+
+
 def _by_part(told: DataFrame, name: str) -> DataFrame:
     fields = F.struct(*(c for c in told.columns if c != "part"))
     return told.where("part >= 0").groupBy("part").agg(F.sort_array(F.collect_list(fields)).alias(name))
@@ -427,10 +455,10 @@ def katz_scores(
         parts.mapInArrow(ask_words(buckets), ASKED).groupBy("bucket").applyInArrow(total_words, TOLD), "katz-words", folder
     )
     words = Words.of(_statistics(told_words))
-    with_words = parts.join(_by_part(told_words.select("part", "bucket", "totals"), "word_totals"), "part")
+    with_words = parts.join(_by_part(told_words.select("part", "bucket", "totals", "seen"), "word_totals"), "part")
     total = words.discounts.total
     told_pairs = stage(
-        with_words.mapInArrow(ask_pairs(total, buckets), ASKED).groupBy("bucket").applyInArrow(total_pairs(words), TOLD),
+        with_words.mapInArrow(ask_pairs(total, buckets, _first_codes(told_words)), ASKED).groupBy("bucket").applyInArrow(total_pairs(words), TOLD),
         "katz-pairs", folder,
     )
     pairs = Discounts.of(_statistics(told_pairs))
