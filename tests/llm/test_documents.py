@@ -211,6 +211,18 @@ def test_repeats_in_texts_of_two_letters(spark, monkeypatch, large):
     assert sorted(got, key=repr) == removed(rows, 12)
 
 
+def test_texts_without_identifier_whose_short_hashes_are_equal(spark):
+    """Two different ones, of which a hash of 32 bits would make one document."""
+    texts = spark.range(300_000).select(F.concat_ws(" ", *(F.md5(F.concat(F.lit(f"{k} "), "id")) for k in range(4))).alias("text"))
+    twins = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where(F.size("texts") == 2)
+    pair = twins.first().texts
+    rows = [(None, pair[0]), (None, pair[1]), (None, pair[1]), (5, "x" + pair[0])]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found), key=repr)
+    assert got == removed(rows, 100)
+    assert sorted(r.n_removed for r in found) == [0, 0, 0, len(pair[0])]
+
+
 def test_segments_overlap_by_less_than_a_string(monkeypatch):
     import pyarrow as pa
 

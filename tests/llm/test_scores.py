@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -367,6 +368,29 @@ def test_katz_against_brute_force(docs, rows, monkeypatch, part_tokens):
     assert np.array([g[4:] for g in got]) == pytest.approx(np.array([w[4:] for w in wanted]), rel=1e-6)
 
 
+def test_counts_beyond_32_bits():
+    """A word and a pair seen more than 2^32 times, in two parts of one bucket."""
+    often = 3 << 31
+    packed = lambda *values: katz._pack(np.array(values, dtype=np.int64))
+    asked = [
+        {"bucket": 4, "part": n, "histories": np.array([7, 9 + n], dtype=np.uint64).tobytes(), "counts": packed(often + n, n)}
+        for n in (0, 1)
+    ]
+    told = katz.total_words(pa.Table.from_batches([katz._rows(asked, katz.ASKED)])).to_pylist()
+    assert [katz._unpack(row["totals"], np.int64).tolist() for row in told[1:]] == [[2 * often + 1, 0], [2 * often + 1, 1]]
+    assert [katz._unpack(row["seen"], np.int64).tolist() for row in told] == [[3], [0, 1], [0, 2]]
+    assert np.frombuffer(told[0]["totals"], dtype=np.int64)[:2].tolist() == [2 * often + 2, 2]
+    pairs = [
+        {"bucket": 4, "part": n, "histories": packed(5), "followers": packed(2), "words": packed(0, 1 + n),
+         "known": packed(often, often), "counts": packed(often + n, 1)}
+        for n in (0, 1)
+    ]
+    words = katz.Words.of(np.array([4 * often, 3, 0, 0, 0, 0, 0, 0]))
+    told = katz.total_pairs(words)(pa.Table.from_batches([katz._rows(pairs, katz.ASKED)])).to_pylist()
+    assert [katz._unpack(row["totals"], np.int64).tolist() for row in told[1:]] == [[2 * often + 1, 1]] * 2
+    assert [katz._unpack(row["seen"], np.int64).tolist() for row in told[1:]] == [[2 * often + 3]] * 2
+
+
 def test_katz_of_empty_tables(docs, no_docs):
     assert katz.katz_scores(no_docs, F.lit(True)).collect() == []
     assert all(r.n_known == 0 for r in katz.katz_scores(docs, F.lit(False)).collect())
