@@ -63,7 +63,37 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_suffix_dedup")
+@query(
+    "op5_suffix_dedup",
+    r"""
+    WITH texts AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes, strlen(coalesce(text, '')) AS n_bytes FROM documents
+    ), strings AS (
+        SELECT doc_id, start, md5(substr(bytes, 2 * start + 1, 200)) AS string
+        FROM (SELECT doc_id, bytes, unnest(range(n_bytes - 99)) AS start FROM texts)
+    ), later AS (
+        SELECT doc_id, start FROM strings
+        QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id, start) > 1
+    ), opened AS (
+        SELECT doc_id, start, start > coalesce(lag(start) OVER places + 100, -1) AS opens
+        FROM later WINDOW places AS (PARTITION BY doc_id ORDER BY start)
+    ), spans AS (
+        SELECT doc_id, min(start) AS start, max(start) + 100 AS stop
+        FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM opened) GROUP BY doc_id, span
+    ), gaps AS (
+        SELECT doc_id, stop AS low, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS high FROM spans
+        UNION ALL SELECT doc_id, 0, min(start) FROM spans GROUP BY doc_id
+    ), kept AS (
+        SELECT doc_id, string_agg(substr(bytes, 2 * low + 1, 2 * (coalesce(high, n_bytes) - low)), '' ORDER BY low) AS bytes
+        FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+    ), counts AS (
+        SELECT doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS n_removed FROM spans GROUP BY doc_id
+    )
+    SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept.bytes, texts.bytes))) AS kept_sha256
+    FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -131,7 +161,34 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_near_dedup")
+@query(
+    "op10_near_dedup",
+    r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+        FROM documents
+    ), shingled AS (
+        SELECT DISTINCT doc_id, array_to_string(words[place : place + 4], ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS place FROM worded WHERE len(words) > 0)
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+    ), met AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+        FROM shingled a JOIN shingled b USING (shingle) GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+    ), reached AS (
+        SELECT a, b FROM links
+        UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_, d.doc_id) AS component_id,
+           coalesce(least_, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id)
+    LEFT JOIN (SELECT a AS doc_id, min(b) AS least_ FROM reached GROUP BY a) USING (doc_id)
+    """,
+)
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
