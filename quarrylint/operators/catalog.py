@@ -28,20 +28,20 @@ RULES = (
      "What a line does depends on all conditions around it, and here there are many.",
      "Turn outer conditions around so that the main path stays at the left."),
     ("QUAL006", "too-many-parameters", "quality", True,
-     "Long parameter lists are easy to call wrongly.",
-     "Group related values in an object or split the function."),
+     "Two arguments swapped by a caller go unnoticed.",
+     "Pass one object for values that always travel together."),
     ("QUAL007", "long-file", "quality", False,
      "A very long file usually holds several subjects.",
      "Split it by subject into modules."),
     ("QUAL008", "large-class", "quality", True,
-     "A large class has more than one responsibility.",
-     "Move related methods into classes of their own."),
+     "Every method can touch all of its state.",
+     "See which methods share fields, and part the class there."),
     ("QUAL009", "mutable-default-arg", "quality", True,
      "All calls without the argument work on one and the same object.",
      "Make the object inside the function when the argument is missing."),
     ("QUAL010", "broad-exception", "quality", True,
-     "Catching everything hides errors nobody thought of.",
-     "Name the exceptions that are expected and handle them."),
+     "A typing mistake in the block ends up in the same handler.",
+     "List what the block is known to raise."),
     ("SEC001", "hardcoded-secret", "security", False,
      "Whoever gets a copy of the sources gets the key as well, also from old commits.",
      "Withdraw the key, issue a new one and hand it to the program when it starts."),
@@ -52,11 +52,11 @@ RULES = (
      "A shell interprets the command, so input can add commands.",
      "Pass a list of arguments and leave the shell out."),
     ("SEC004", "weak-crypto", "security", True,
-     "Collisions for this hash can be made on purpose.",
-     "Use SHA-256 or newer, and a password hash for passwords."),
+     "Two inputs of one digest can be computed.",
+     "SHA-256 for sums; scrypt or argon2 where people type the input."),
     ("SEC005", "unsafe-deserialization", "security", True,
-     "Loading a pickle can run code chosen by its author.",
-     "Use a plain data format such as JSON for foreign input."),
+     "The bytes name functions that are called while they are read.",
+     "Exchange JSON, or sign the bytes and check that first."),
     ("SEC006", "sql-injection-risk", "security", True,
      "Input that is part of the query text can change the query.",
      "Pass values as query parameters."),
