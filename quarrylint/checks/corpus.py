@@ -123,6 +123,6 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents themselves as files: a project per source."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "source AS project", "cast(doc_id AS string) AS path", "text AS content"
     )
