@@ -1,14 +1,15 @@
-"""Language-model scoring: a bigram model with Katz backoff, learned from all texts that may be learned from.
+"""Language-model scoring: n-grams with Katz backoff, learned from all texts that may be learned from.
 
 Texts are kept as *parts*: one row holds about a million tokens as numbers into the part's own word list.
 Counts are gathered and looked up in one exchange per order: each part sends its distinct n-grams with
 their counts to the buckets of their histories, which add them up and send the totals back to the parts.
 So an n-gram crosses the network once per part, however often it occurs, and no table is broadcast.
 
-- Words: P1(w) = d(c) c / N. What discounting leaves is the chance of an unknown word.
-- Pairs: P(w|h) = d(c) c / c(h) for pairs seen in training, else alpha(h) P1(w), where alpha(h) is what the
-  pairs of h leave, divided by what P1 leaves for words not seen after h. Both sums are exact, over all of
-  the history's pairs. A history never seen has P(w|h) = P1(w).
+- Words: P(w) = d(c) c / N. What discounting leaves is the chance of an unknown word.
+- Longer n-grams, pairs first, up to ``order`` words: P(w|h) = d(c) c / c(h) for those seen in training, else
+  alpha(h) P(w|h'), where h' is h without its first word and alpha(h) is what the n-grams of h leave, divided by
+  what P(.|h') leaves for words not seen after h. Both sums are exact, over all n-grams of the history. A
+  history never seen has P(w|h) = P(w|h'). Each order adds one exchange; what it says is staged for the next.
 - d is the Good-Turing discount after Katz for counts up to ``TOP``. If the counts of counts give no
   discount between 0 and 1, half a count is taken off instead; a history whose counts are all above ``TOP``
   lends the weight of one count. Every distribution sums to 1 over the words known and the unknown word.
@@ -16,7 +17,9 @@ So an n-gram crosses the network once per part, however often it occurs, and no
 A frequent history is spread over several buckets by the following word: as many as its share of all
 tokens asks for. Totals of its pieces are added up by each part.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end; the first word follows a start. A
+Words are told apart by hashes of 64 bits, and so are histories of two words and more.
+
+Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end; the first word follows starts. A
 null text is empty and has its end only. Repeated rows count as often as they stand; null identifiers are
 kept and are not held out. Empty tables give empty results; other columns are ignored. Without training
 texts every token is unknown and has probability 1.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ REMEMBERED = 300_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
 PARTS = "part bigint, ids array<bigint>, learned binary, sizes binary, words binary, tokens binary"
-ASKED = "bucket int, part bigint, histories binary, followers binary, words binary, known binary, counts binary"
+ASKED = "bucket int, part bigint, histories binary, followers binary, words binary, shorter binary, counts binary"
 TOLD = "part bigint, bucket int, totals binary, seen binary, ones binary, mass binary"
 _CODEC = "zstd"
 
@@ -139,47 +142,94 @@ def _high(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _longer(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their histories and words."""
+    keys = (histories ^ (histories >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words
+    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Histories:
+    """What the tokens of a part follow; the last history is that of a text's first token."""
+
+    of_token: np.ndarray  # the history that each token ends, for the token after it
+    keys: np.ndarray
+    often: np.ndarray  # training count over all parts
+
+    @staticmethod
+    def words(part: Part, known: np.ndarray) -> Histories:
+        texts = known[np.searchsorted(part.words, END)]
+        return Histories(part.tokens, np.append(part.words, START), np.append(known, texts))
+
+
 @dataclass(frozen=True)
-class Pairs:
-    """Distinct pairs of a part, in the order in which they are sent, and histories by bucket."""
+class Grams:
+    """Distinct n-grams of a part, in the order in which they are sent, and histories by bucket."""
 
-    token_pair: np.ndarray  # pair of each token
-    history: np.ndarray  # per pair: place among words, len(words) for the start
+    token_gram: np.ndarray  # n-gram of each token
+    history: np.ndarray  # per n-gram: place among histories
     word: np.ndarray
     counts: np.ndarray  # training count in this part
-    group: np.ndarray  # per pair: its (bucket, history)
+    shorter: np.ndarray  # chance of the n-gram without its first word
+    group: np.ndarray  # per n-gram: its (bucket, history)
     group_bucket: np.ndarray
     group_history: np.ndarray
+    histories: Histories
 
     @staticmethod
-    def of(part: Part, known: np.ndarray, total: int, buckets: int) -> Pairs:
-        """``known``: training counts of the part's words over all parts, of which there are ``total``."""
-        size = len(part.words)
+    def of(part: Part, histories: Histories, chance: np.ndarray, total: int, buckets: int) -> Grams:
+        """``chance``: of each token by shorter n-grams; ``total``: training tokens of all parts."""
+        size, keys = len(histories.keys), histories.keys
         before = np.empty_like(part.tokens)
-        before[1:] = part.tokens[:-1]
-        before[np.cumsum(part.sizes) - part.sizes] = size
-        codes, token_pair = np.unique(before * (size + 1) + part.tokens, return_inverse=True)
-        counts = np.bincount(token_pair, weights=part.learned[part.doc], minlength=len(codes)).astype(np.int64)
-        history, word = codes // (size + 1), codes % (size + 1)
-        keys = np.append(part.words, START)
-        often = np.append(known, known[np.searchsorted(part.words, END)])
-        pieces = np.clip(-(-often * buckets // max(total, 1)), 1, buckets)
+        before[1:] = histories.of_token[:-1]
+        before[np.cumsum(part.sizes) - part.sizes] = size - 1
+        codes, token_gram = np.unique(before * len(part.words) + part.tokens, return_inverse=True)
+        counts = np.bincount(token_gram, weights=part.learned[part.doc], minlength=len(codes)).astype(np.int64)
+        history, word = codes // len(part.words), codes % len(part.words)
+        pieces = np.clip(-(-histories.often * buckets // max(total, 1)), 1, buckets)
         home = _high(keys, buckets)
         piece = (part.words[word] & np.uint64(0xFFFFFFFF)).astype(np.int64) % pieces[history]
         bucket = (home[history] + piece) % buckets
         order = np.lexsort((word, history, bucket))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
+        shorter = np.empty(len(order))
+        shorter[place[token_gram]] = chance
         used = np.unique(history)
         all_history = np.repeat(used, pieces[used])
         first = np.cumsum(pieces[used]) - pieces[used]
         all_bucket = (home[all_history] + np.arange(len(all_history)) - np.repeat(first, pieces[used])) % buckets
-        groups = np.unique(all_bucket * (size + 1) + all_history)
-        return Pairs(
-            place[token_pair], history[order], word[order], counts[order],
-            np.searchsorted(groups, bucket[order] * (size + 1) + history[order]),
-            groups // (size + 1), groups % (size + 1),
+        groups = np.unique(all_bucket * size + all_history)
+        return Grams(
+            place[token_gram], history[order], word[order], counts[order], shorter,
+            np.searchsorted(groups, bucket[order] * size + history[order]), groups // size, groups % size, histories,
+        )
+
+    def told(self, part: Part, told: list[dict], discounts: Discounts) -> tuple[np.ndarray, Histories]:
+        """From what all parts have: the chance of each token, and these n-grams as histories of longer ones."""
+        factor, size = discounts.factor, len(self.histories.keys)
+        counts = np.concatenate([_unpack(t["totals"], np.int64) for t in told])
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            return np.bincount(self.group_history, weights=values, minlength=size)
+
+        seen = sums(np.concatenate([_unpack(t["seen"], np.int64) for t in told]))
+        ones_told = np.concatenate([_unpack(t["ones"], np.int64).reshape(-1, TOP) for t in told]).astype(float)
+        mass = sums(np.concatenate([_unpack(t["mass"], np.float64) for t in told]))
+        lent = np.stack([sums(ones_told[:, r]) for r in range(TOP)], axis=1) @ ((1 - factor[1:]) * np.arange(1, TOP + 1))
+        scale = np.where(lent > 0, seen, seen + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(seen > 0, np.where(lent > 0, lent, 1.0) / scale / (1 - mass), 1.0)
+            chance = np.where(
+                counts > 0, discounts.discounted(counts) / scale[self.history], alpha[self.history] * self.shorter
+            )
+        keys, starts = self.histories.keys, self.histories.keys[-1:]
+        longer = Histories(
+            self.token_gram, np.append(_longer(keys[self.history], part.words[self.word]), _longer(starts, starts)),
+            np.append(counts, self.histories.often[-1]),
         )
+        return chance[self.token_gram], longer
 
 
 def _rows(table: list[dict], names: str) -> pa.RecordBatch:
@@ -279,40 +329,68 @@ class Words:
         return np.where(counts > 0, self.discounts.discounted(counts) / self.scale, self.unknown)
 
 
-def ask_pairs(total: int, buckets: int, first_codes: dict[int, int]):
-    """mapInArrow function: parts with ``known`` to what they ask of each bucket about pairs.
+@dataclass(frozen=True)
+class Model:
+    """What is known of all parts; ``discounts`` are those of pairs and longer n-grams, as far as they are counted."""
+
+    words: Words
+    first_codes: dict[int, int]
+    buckets: int
+    discounts: tuple[Discounts, ...] = ()
+
+    def climb(self, part: Part, row: dict) -> tuple[np.ndarray, Histories]:
+        """Order by order: the chance of each token by what was told, and the histories of the next order."""
+        known = _known(row)
+        chance, histories = self.words.chance(known)[part.tokens], Histories.words(part, known)
+        for number, discounts in enumerate(self.discounts, 2):
+            chance, histories = self.grams(part, histories, chance).told(part, row[f"totals_{number}"], discounts)
+        return chance, histories
+
+    def grams(self, part: Part, histories: Histories, chance: np.ndarray) -> Grams:
+        return Grams.of(part, histories, chance, self.words.discounts.total, self.buckets)
+
+
+def ask_grams(model: Model):
+    """mapInArrow function: parts with what they were told to what they ask of each bucket about the next order.
 
     Words go by code: their number among all distinct words, of which ``first_codes`` has the first of each bucket
-    (and, as -1, the number of all, the code of the start). Codes are small numbers, in order here.
+    (and, as -1, the number of all, the code of the start). Codes are small numbers, in order here. So do
+    histories of one word; longer ones go by key. Of shorter n-grams, words go by count, others by chance.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            part, known = Part.of(row), _known(row)
-            pairs = Pairs.of(part, known, total, buckets)
+            part, known, buckets = Part.of(row), _known(row), model.buckets
+            chance, histories = model.climb(part, row)
+            grams = model.grams(part, histories, chance)
             codes = np.concatenate([
-                first_codes[told["bucket"]] + _unpack(told["seen"], np.int64) for told in row["word_totals"]
+                model.first_codes[told["bucket"]] + _unpack(told["seen"], np.int64) for told in row["word_totals"]
             ])
-            history_codes = np.append(codes, first_codes[-1])
-            group_edges = np.searchsorted(pairs.group_bucket, np.arange(buckets + 1))
-            edges = np.searchsorted(pairs.group, group_edges)
-            followers = np.bincount(pairs.group, minlength=len(pairs.group_bucket))
+            if model.discounts:
+                history_codes, shorter = histories.keys.view(np.int64), grams.shorter
+            else:
+                history_codes, shorter = np.append(codes, model.first_codes[-1]), known[grams.word]
+            group_edges = np.searchsorted(grams.group_bucket, np.arange(buckets + 1))
+            edges = np.searchsorted(grams.group, group_edges)
+            followers = np.bincount(grams.group, minlength=len(grams.group_bucket))
             for b in range(buckets):
                 groups, own = slice(*group_edges[b : b + 2]), slice(*edges[b : b + 2])
                 if groups.start == groups.stop:
                     continue
-                word = pairs.word[own]
                 yield _rows([{
-                    "bucket": b, "part": row["part"], "histories": _pack(history_codes[pairs.group_history[groups]]),
-                    "followers": _pack(followers[groups]), "words": _pack(codes[word]),
-                    "known": _pack(known[word]), "counts": _pack(pairs.counts[own]),
+                    "bucket": b, "part": row["part"], "histories": _pack(history_codes[grams.group_history[groups]]),
+                    "followers": _pack(followers[groups]), "words": _pack(codes[grams.word[own]]),
+                    "shorter": _pack(shorter[own]), "counts": _pack(grams.counts[own]),
                 }], ASKED)
 
     return ask
 
 
-def total_pairs(words: Words):
-    """applyInArrow function of a bucket: to each part the counts of its pairs and sums over its histories."""
+def total_grams(words: Words | None):
+    """applyInArrow function of a bucket: to each part the counts of its n-grams and sums over its histories.
+
+    ``words`` turns counts of words into chances; without it, parts have sent chances.
+    """
 
     def totals_of(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -321,34 +399,34 @@ def total_pairs(words: Words):
         followers = np.concatenate([_unpack(row["followers"], np.int64) for row in rows])
         history = np.repeat(group, followers)
         word = np.concatenate([_unpack(row["words"], np.int64) for row in rows])
-        known = np.concatenate([_unpack(row["known"], np.int64) for row in rows])
+        shorter = np.concatenate([_unpack(row["shorter"], np.int64 if words else np.float64) for row in rows])
         counts = np.concatenate([_unpack(row["counts"], np.int64) for row in rows])
         order = np.lexsort((word, history))
         opens = np.ones(len(order), dtype=bool)
         opens[1:] = (history[order[1:]] != history[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
-        pair = np.empty(len(order), dtype=np.int64)
-        pair[order] = np.cumsum(opens) - 1
+        gram = np.empty(len(order), dtype=np.int64)
+        gram[order] = np.cumsum(opens) - 1
         heads = order[opens]
         totals = np.zeros(len(heads), dtype=np.int64)
-        np.add.at(totals, pair, counts)
+        np.add.at(totals, gram, counts)
         of, size = history[heads], len(unique)
         seen = np.zeros(size, dtype=np.int64)
         np.add.at(seen, of, totals)
         ones = np.stack([np.bincount(of[totals == r], minlength=size) for r in range(1, TOP + 1)], axis=1)
-        chance = np.where(totals > 0, words.chance(known[heads]), 0.0)
+        chance = np.where(totals > 0, words.chance(shorter[heads]) if words else shorter[heads], 0.0)
         mass = np.bincount(of, weights=chance, minlength=size)
         told = [{"part": -1, "bucket": rows[0]["bucket"], "totals": _counts_of_counts(totals)}]
-        at_group = at_pair = 0
+        at_group = at_gram = 0
         for row, own in zip(rows, histories):
             groups = group[at_group : at_group + len(own)]
             number = int(followers[at_group : at_group + len(own)].sum())
             told.append({
                 "part": row["part"], "bucket": row["bucket"],
-                "totals": _pack(totals[pair[at_pair : at_pair + number]]),
+                "totals": _pack(totals[gram[at_gram : at_gram + number]]),
                 "seen": _pack(seen[groups]), "ones": _pack(ones[groups]), "mass": _pack(mass[groups]),
             })
             at_group += len(own)
-            at_pair += number
+            at_gram += number
         return pa.Table.from_batches([_rows(told, TOLD)])
 
     return totals_of
@@ -363,32 +441,13 @@ SCORES = (
 )
 
 
-def score_parts(words: Words, pairs_discounts: Discounts, buckets: int):
+def score_parts(model: Model):
     """mapInArrow function: parts with all that was told to one row per document."""
-    factor = pairs_discounts.factor
-    total, distinct = words.discounts.total, words.discounts.distinct
+    total, distinct = model.words.discounts.total, model.words.discounts.distinct
 
     def score(row: dict) -> pa.RecordBatch:
         part, known = Part.of(row), _known(row)
-        pairs = Pairs.of(part, known, total, buckets)
-        told = row["pair_totals"]
-        counts = np.concatenate([_unpack(t["totals"], np.int64) for t in told])
-        size = len(part.words) + 1
-        seen = np.bincount(
-            pairs.group_history, weights=np.concatenate([_unpack(t["seen"], np.int64) for t in told]), minlength=size
-        )
-        ones_told = np.concatenate([_unpack(t["ones"], np.int64).reshape(-1, TOP) for t in told]).astype(float)
-        ones = np.stack([np.bincount(pairs.group_history, weights=ones_told[:, r], minlength=size) for r in range(TOP)], axis=1)
-        mass = np.bincount(
-            pairs.group_history, weights=np.concatenate([_unpack(t["mass"], np.float64) for t in told]), minlength=size
-        )
-        lent = ones @ ((1 - factor[1:]) * np.arange(1, TOP + 1))
-        scale = np.where(lent > 0, seen, seen + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(seen > 0, np.where(lent > 0, lent, 1.0) / scale / (1 - mass), 1.0)
-            one = words.chance(known)
-            h, w = pairs.history, pairs.word
-            chance = np.where(counts > 0, pairs_discounts.discounted(counts) / scale[h], alpha[h] * one[w])
+        chance, _ = model.climb(part, row)
         number = len(part.ids)
         base = np.log10((known + 0.1) / (total + 0.1 * (distinct + 1)))
         return _rows(
@@ -398,7 +457,7 @@ def score_parts(words: Words, pairs_discounts: Discounts, buckets: int):
                     part.ids, part.learned.tolist(), part.sizes.tolist(),
                     np.bincount(part.doc, weights=(known > 0)[part.tokens], minlength=number).astype(int).tolist(),
                     np.bincount(part.doc, weights=base[part.tokens], minlength=number).tolist(),
-                    np.bincount(part.doc, weights=np.log10(chance)[pairs.token_pair], minlength=number).tolist(),
+                    np.bincount(part.doc, weights=np.log10(chance), minlength=number).tolist(),
                 )
             ],
             SCORES,
@@ -432,12 +491,16 @@ def _by_part(told: DataFrame, name: str) -> DataFrame:
 
 
 def katz_scores(
-    docs: DataFrame, learned: Column, doc_id: str = "doc_id", text: str = "text", folder: str | None = None
+    docs: DataFrame, learned: Column, doc_id: str = "doc_id", text: str = "text", folder: str | None = None,
+    order: int = 2,
 ) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score (log10) per document.
 
-    ``learned`` is true for rows that the model is learned from.
+    ``learned`` is true for rows that the model is learned from, ``order`` the most words of an n-gram (1: words
+    alone).
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Parts stay where they are: their table is bucketed, so that only answers move to them.
@@ -454,15 +517,15 @@ def katz_scores(
     told_words = stage(
         parts.mapInArrow(ask_words(buckets), ASKED).groupBy("bucket").applyInArrow(total_words, TOLD), "katz-words", folder
     )
-    words = Words.of(_statistics(told_words))
-    with_words = parts.join(_by_part(told_words.select("part", "bucket", "totals", "seen"), "word_totals"), "part")
-    total = words.discounts.total
-    told_pairs = stage(
-        with_words.mapInArrow(ask_pairs(total, buckets, _first_codes(told_words)), ASKED).groupBy("bucket").applyInArrow(total_pairs(words), TOLD),
-        "katz-pairs", folder,
-    )
-    pairs = Discounts.of(_statistics(told_pairs))
-    scored = with_words.join(_by_part(told_pairs, "pair_totals"), "part").mapInArrow(
-        score_parts(words, pairs, buckets), SCORES
-    )
-    return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
+    model = Model(Words.of(_statistics(told_words)), _first_codes(told_words), buckets)
+    with_told = parts.join(_by_part(told_words.select("part", "bucket", "totals", "seen"), "word_totals"), "part")
+    for number in range(2, order + 1):
+        told = stage(
+            with_told.mapInArrow(ask_grams(model), ASKED).groupBy("bucket")
+            .applyInArrow(total_grams(model.words if number == 2 else None), TOLD),
+            f"katz-{number}", folder,
+        )
+        model = replace(model, discounts=(*model.discounts, Discounts.of(_statistics(told))))
+        with_told = with_told.join(_by_part(told, f"totals_{number}"), "part")
+    scored = with_told.mapInArrow(score_parts(model), SCORES)
+    return scored.withColumn("train_tokens", F.lit(model.words.discounts.total).cast("bigint"))

@@ -311,13 +311,15 @@ def test_awkward_texts_have_a_score(docs, no_docs, spark):
 # Language model
 
 
-def katz_by_hand(train, texts):
+def katz_by_hand(train, texts, order):
     top = katz.TOP
-    count = collections.Counter(w for t in train for w in t)
-    after = collections.defaultdict(collections.Counter)
+    grams = [collections.defaultdict(collections.Counter) for _ in range(order)]
     for t in train:
-        for h, w in zip([None, *t], t):
-            after[h][w] += 1
+        padded = [None] * order + t
+        for at, w in enumerate(t, order):
+            for n in range(order):
+                grams[n][tuple(padded[at - n : at])][w] += 1
+    count = grams[0][()]
 
     def discounts(counts):
         n = collections.Counter(counts)
@@ -325,41 +327,45 @@ def katz_by_hand(train, texts):
         f = [((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) if n[r] and rest != 1 else 0 for r in range(1, top + 1)]
         return f if all(0 < v < 1 for v in f) else [(r - 0.5) / r for r in range(1, top + 1)]
 
-    one, two = discounts(count.values()), discounts([c for m in after.values() for c in m.values()])
-
     def chances(counts, f):
         left = sum(c * (1 - f[c - 1]) for c in counts.values() if c <= top)
         scale = sum(counts.values()) + (0 if left else 1)
         return {w: c * (f[c - 1] if c <= top else 1) / scale for w, c in counts.items()}, (left or 1) / scale
 
-    words, unknown = chances(count, one)
-    model = {}
-    for h, m in after.items():
-        seen, left = chances(m, two)
-        model[h] = seen, left / (1 - sum(words[w] for w in m))
-    for seen, alpha in list(model.values())[:20]:
-        assert sum(seen.values()) + alpha * (sum(p for w, p in words.items() if w not in seen) + unknown) == pytest.approx(1)
+    factors = [discounts([c for m in after.values() for c in m.values()]) for after in grams]
+    words, unknown = chances(count, factors[0])
+    model = [{} for _ in grams]
+
+    def chance(h, w):
+        if not h:
+            return words.get(w, unknown)
+        seen, alpha = model[len(h)].get(h, ({}, 1.0))
+        return seen[w] if w in seen else alpha * chance(h[1:], w)
+
+    for n in range(1, order):
+        for h, m in grams[n].items():
+            seen, left = chances(m, factors[n])
+            model[n][h] = seen, left / (1 - sum(chance(h[1:], w) for w in m))
+        for h in list(model[n])[:20]:
+            assert sum(chance(h, w) for w in [*words, "unknown"]) == pytest.approx(1)
 
     def score(t):
-        total = 0.0
-        for h, w in zip([None, *t], t):
-            seen, alpha = model.get(h, ({}, 1.0))
-            total += math.log10(seen[w] if w in seen else alpha * words.get(w, unknown))
-        return total
+        padded = [None] * order + t
+        return sum(math.log10(chance(tuple(padded[at - order + 1 : at]), w)) for at, w in enumerate(t, order))
 
     n, v = sum(count.values()), len(count)
     base = [sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t) for t in texts]
     return [(len(t), sum(w in count for w in t), b, score(t)) for t, b in zip(texts, base)], n
 
 
-@pytest.mark.parametrize("part_tokens", [3000, 1_000_000])
-def test_katz_against_brute_force(docs, rows, monkeypatch, part_tokens):
+@pytest.mark.parametrize("part_tokens, order", [(3000, 2), (1_000_000, 2), (3000, 3), (1_000_000, 4), (3000, 1)])
+def test_katz_against_brute_force(docs, rows, monkeypatch, part_tokens, order):
     monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)
     tokens = [[*(text or "").encode().lower().split(), b"\n"] for _, text in rows]
     learn = [doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0 for doc_id, _ in rows]
-    want, total = katz_by_hand([t for t, own in zip(tokens, learn) if own], tokens)
+    want, total = katz_by_hand([t for t, own in zip(tokens, learn) if own], tokens, order)
     learned = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False))
-    found = katz.katz_scores(docs, learned).collect()
+    found = katz.katz_scores(docs, learned, order=order).collect()
     assert {r.train_tokens for r in found} == {total}
     key = lambda row: (row[0] is None, row[0] or 0, row[2])
     got = sorted(((r.doc_id, r.learned, r.n_tokens, r.n_known, r.base_score, r.score) for r in found), key=key)
@@ -382,18 +388,21 @@ def test_counts_beyond_32_bits():
     assert np.frombuffer(told[0]["totals"], dtype=np.int64)[:2].tolist() == [2 * often + 2, 2]
     pairs = [
         {"bucket": 4, "part": n, "histories": packed(5), "followers": packed(2), "words": packed(0, 1 + n),
-         "known": packed(often, often), "counts": packed(often + n, 1)}
+         "shorter": packed(often, often), "counts": packed(often + n, 1)}
         for n in (0, 1)
     ]
     words = katz.Words.of(np.array([4 * often, 3, 0, 0, 0, 0, 0, 0]))
-    told = katz.total_pairs(words)(pa.Table.from_batches([katz._rows(pairs, katz.ASKED)])).to_pylist()
+    told = katz.total_grams(words)(pa.Table.from_batches([katz._rows(pairs, katz.ASKED)])).to_pylist()
     assert [katz._unpack(row["totals"], np.int64).tolist() for row in told[1:]] == [[2 * often + 1, 1]] * 2
     assert [katz._unpack(row["seen"], np.int64).tolist() for row in told[1:]] == [[2 * often + 3]] * 2
 
 
 def test_katz_of_empty_tables(docs, no_docs):
     assert katz.katz_scores(no_docs, F.lit(True)).collect() == []
-    assert all(r.n_known == 0 for r in katz.katz_scores(docs, F.lit(False)).collect())
+    assert katz.katz_scores(no_docs, F.lit(True), order=3).collect() == []
+    assert all(r.n_known == r.score == 0 for r in katz.katz_scores(docs, F.lit(False), order=3).collect())
+    with pytest.raises(ValueError):
+        katz.katz_scores(docs, F.lit(True), order=0)
 
 
 # Mixing
