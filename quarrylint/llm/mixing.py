@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylint.functions.staging import stage
+from quarrylint.functions.staging import running_total, stage
 
 POINTS = 64
 PASSES = 7
@@ -138,9 +138,8 @@ def mixing_plan(
         .where("passes > 0")
         .withColumn("epoch", F.explode(F.expr("sequence(0L, passes - 1)")))
     )
-    turn = Window.partitionBy("_source", "epoch").orderBy("_turn", "_block")
     visits = visits.withColumn("_turn", F.xxhash64(F.lit(seed), "_source", "epoch", "_block"))
-    visits = visits.withColumn("start", F.sum("held").over(turn) - F.col("held")).withColumn(
+    visits = running_total(visits, ["_source", "epoch"], ["_turn", "_block"], "held", "start", folder).withColumn(
         "left", F.col("share") - F.col("epoch") * F.col("tokens") - F.col("start")
     )
     visits = visits.where("left > 0 OR held = 0 AND left >= 0 OR tokens = 0").select(
