@@ -10,9 +10,9 @@
    S in a text of n tokens counts lambda * S - ln(K n) if positive, and the sum over segments becomes a
    probability by a logistic curve.
 
-The classifier is fitted on at most ``max_labels`` labelled rows (those with the smallest hash of their
-identifier) and keeps at most ``max_terms`` terms, the most frequent; so all that is sent to tasks or to
-the driver is bounded by these parameters. Every text is scored whole.
+The classifier is fitted on at most ``max_labels`` labelled documents (those with the smallest hash of their
+identifier); all their terms in ``LEAST_DOCS`` documents or more count, so that parameter bounds what is sent to
+tasks and to the driver. Every text is scored whole.
 
 A null text is empty; empty texts have no segment and get the lowest score. Rows with a null label teach
 nothing; if rows label a document both ways, it counts as toxic. Without toxic or without other

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -286,6 +287,72 @@ def test_segments_against_definition(scores):
     assert all(sum(scores[a:b]) == round(s) for a, b, s in found)
 
 
+def test_scores_against_brute_force(spark):
+    draw = random.Random(6)
+    plain, vile = ["kind", "kindly", "stones", "stoned", "sun", "été"], ["vile", "vileness", "idiot", "idiots", "rot", "rotten"]
+    texts = {}
+    for n in range(120):
+        share = 0.6 if n % 4 == 0 else 0.1
+        texts[n] = " ".join(draw.choice(vile if draw.random() < share else plain) for _ in range(draw.randrange(1, 15)))
+    texts |= {120: None, 121: "", 122: "?!", 123: "Idiotic KINDNESS unheard"}
+    labelled = [(n, int(n % 4 == 0)) for n in range(80)] + [(1, 1), (2, None), (None, 1), (999, 1), (122, 0)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    model = toxicity.fit(docs, spark.createDataFrame(labelled, "doc_id bigint, toxic int"))
+
+    words_in = {n: re.findall(r"\w+", (text or "").lower()) for n, text in texts.items()}
+    label = {}
+    for n, toxic in labelled:
+        if toxic is not None and n in texts:
+            label[n] = max(toxic, label.get(n, 0))
+    found = collections.defaultdict(lambda: [0, 0])
+    for n, toxic in label.items():
+        for term in {(w, False) for w in words_in[n]} | {(w[:4], True) for w in words_in[n]}:
+            found[term][not toxic] += 1
+    found = {term: pair for term, pair in found.items() if sum(pair) >= toxicity.LEAST_DOCS}
+    base = sum(label.values()) / len(label)
+
+    def share(term, prior):
+        toxic, other = found[term]
+        return (toxic + 10 * prior) / (toxic + other + 10)
+
+    scores = {}
+    for term in found:
+        word, is_stem = term
+        odds = share(term, base if is_stem else share((word[:4], True), base))
+        scores[term] = math.log(odds / (1 - odds)) - math.log(base / (1 - base)) - toxicity.MARGIN
+    often = {term: pair[1] for term, pair in found.items()}
+    for (word, is_stem), pair in found.items():
+        if not is_stem:
+            often[word[:4], True] -= pair[1]
+    often = {term: max(n, 0) for term, n in often.items()}
+    low, high = 1e-3, 64.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        above = sum(n * math.exp(middle * scores[term]) for term, n in often.items()) > sum(often.values())
+        low, high = (low, middle) if above else (middle, high)
+    assert model.weights.rate == pytest.approx(low)
+
+    def scored(words):
+        values = [scores.get((w, False), scores.get((w[:4], True), -toxicity.MARGIN)) for w in words]
+        return [s for *_, s in all_segments(values)]
+
+    parts = {n: scored(words) for n, words in words_in.items()}
+    best = [low * max(parts[n], default=0) - math.log(len(words_in[n])) for n, toxic in label.items() if not toxic and words_in[n]]
+    log_k = sum(best) / len(best) - np.euler_gamma
+    assert model.log_k == pytest.approx(log_k)
+    x = {
+        n: math.log1p(sum(max(low * s - math.log(len(words_in[n])) - log_k, 0) for s in parts[n])) for n in texts
+    }
+    curve = lambda at: 1 / (1 + math.exp(-(model.slope * at + model.intercept)))
+    # The logistic curve is the best one: at the maximum of the likelihood with its prior, slopes vanish.
+    missed = {n: toxic - curve(round(x[n], 2)) for n, toxic in label.items() if words_in[n]}
+    assert sum(missed.values()) == pytest.approx(0.1 * model.intercept, abs=1e-6)
+    assert sum(m * round(x[n], 2) for n, m in missed.items()) == pytest.approx(0.1 * model.slope, abs=1e-6)
+    got = {r.doc_id: r.score for r in model.scored(docs).collect()}
+    assert got == pytest.approx({n: curve(at) for n, at in x.items()})
+    assert len({round(v, 6) for v in got.values()}) > 20
+
+
 def test_toxic_texts_are_found_in_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -433,6 +500,79 @@ def test_mix_reaches_the_weights(spark):
     assert abs(first["big"] / first.sum() - got["big"] / sum(got.values())) < 0.05
 
 
+def mix_by_hand(spark, rows, target, limit, budget, block_docs):
+    """``rows``: identifier, source, tokens, order. Gives identifier, pass, block, place and weight of each visit."""
+    groups = collections.defaultdict(list)
+    for row in rows:
+        groups[row[1]].append(row)
+    tokens = {s: sum(row[2] for row in group) for s, group in groups.items()}
+    real = {s: n for s, n in tokens.items() if n}
+
+    def weights(exponent):
+        raw = {s: n**exponent for s, n in real.items()}
+        return {s: w / sum(raw.values()) for s, w in raw.items()}
+
+    def mixed(w):
+        return budget if budget is not None else max(real[s] / w[s] for s in real)
+
+    def last(holds):
+        """The largest exponent for which ``holds``, which it does up to some point."""
+        low, high = 0.0, 1.0
+        if holds(high):
+            return high
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if holds(middle) else (low, middle)
+        return low
+
+    exponent = max(
+        last(lambda e: -sum(w * math.log(w) for w in weights(e).values()) >= target * math.log(len(real))),
+        last(lambda e: max(w / real[s] for s, w in weights(e).items()) * mixed(weights(e)) > limit),
+    )
+    weight = weights(exponent)
+    size = min(mixed(weight), limit * min(real[s] / w for s, w in weight.items()))
+    visits = []
+    for s, group in groups.items():
+        blocks, share = collections.defaultdict(list), round(weight.get(s, 0) * size)
+        for row in group:
+            blocks[row[3] % -(-len(group) // block_docs)].append(row)
+        passes = -(-share // tokens[s]) if tokens[s] else 1
+        visits += [(s, epoch, block, content, share) for epoch in range(passes) for block, content in blocks.items()]
+    keys = spark.createDataFrame([v[:3] for v in visits], "s string, e bigint, b bigint")
+    turn = {tuple(r)[:3]: r.turn for r in keys.select("*", F.xxhash64(F.lit(0), "s", "e", "b").alias("turn")).collect()}
+    out, used = [], collections.Counter()
+    for s, epoch, block, content, share in sorted(visits, key=lambda v: (v[0], v[1], turn[v[:3]], v[2])):
+        at = used[s] / share if share else 0.0
+        left = share - used[s]
+        used[s] += sum(row[2] for row in content)
+        if not tokens[s] or left > 0:
+            for order in sorted({row[3] for row in content}):
+                alike = [row for row in content if row[3] == order]
+                left -= sum(row[2] for row in alike)
+                if tokens[s] and left < 0:
+                    break
+                out += [(row[0], epoch, block, round(at, 9), round(weight.get(s, 0.0), 9)) for row in alike]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("target, limit, budget", [(1.0, 3.0, None), (0.9, 50.0, None), (0.7, 2.0, 20_000.0), (1.0, 1.0, 1e9)])
+def test_mix_against_brute_force(spark, target, limit, budget):
+    draw = random.Random(9)
+    rows = [
+        (n, " ".join("w" * draw.randrange(1, 60)), "big" if n % 10 < 7 else f"s{n % 10}" if n % 30 else "rare")
+        for n in range(1500)
+    ]
+    rows += [(2000, None, "void"), (2001, "", "void"), (3, rows[3][1], rows[3][2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    orders = mixing.measured(docs, "doc_id", "text", "source", 0).select("doc.doc_id", "_source", "_tokens", "_order").collect()
+    want = mix_by_hand(spark, [tuple(row) for row in orders], target, limit, budget, 16)
+    mixed = mixing.mix(docs, target_entropy=target, repetition_limit=limit, budget=budget, block_docs=16)
+    got = mixed.select("doc.doc_id", "epoch", "block", F.round("at", 9), F.round("weight", 9)).collect()
+    got = sorted(map(tuple, got))
+    assert [row[:3] for row in got] == [row[:3] for row in want]
+    assert np.array([row[3:] for row in got]) == pytest.approx(np.array([row[3:] for row in want]), abs=1e-6)
+
+
 def test_mix_of_a_budget_and_of_nothing(spark, docs, no_docs):
     total = docs.select(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     mixed = mixing.mix(docs, target_entropy=0.5, repetition_limit=1.0, budget=float(total // 2), block_docs=8)
