@@ -357,3 +357,15 @@ def test_sources_are_dealt_into_parts(files_of):
     assert {path: text for r in parts for path, text in r.sources.items()} == texts
     assert len(parts) == parts[0].parts > 10
     assert all(sum(map(len, r.sources.values())) <= 500 + 410 for r in parts)
+
+
+def shuffled_joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "SortMergeJoin [project" in line and "path" in line]
+
+
+def test_flagged_texts_are_never_broadcast(spark, done):
+    made = done.files.select("project", "path", F.repeat("content", 1000).alias("content"))  # estimated at a few bytes
+    assert len(shuffled_joins(report.flagged_sources(made, done.issues))) == 1
+    parts = report.source_parts(made, done.issues)
+    assert len(shuffled_joins(parts)) >= 2
