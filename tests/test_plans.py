@@ -369,3 +369,10 @@ def test_flagged_texts_are_never_broadcast(spark, done):
     assert len(shuffled_joins(report.flagged_sources(made, done.issues))) == 1
     parts = report.source_parts(made, done.issues)
     assert len(shuffled_joins(parts)) >= 2
+
+
+def test_marks_are_never_broadcast(done):
+    sources = report.flagged_sources(done.files, done.issues)
+    for df in (report.annotated_source(sources, done.issues), report.excerpts(sources, done.issues)):
+        assert len(shuffled_joins(df)) == 2
+    assert len(shuffled_joins(report.file_breakdown(done.files, done.issues))) == 1
