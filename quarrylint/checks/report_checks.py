@@ -88,11 +88,11 @@ def _long_scan(spark, sf_dir):
     return scan(made.families(spark, sf_dir, "long"), profile=LONG_RULES)
 
 
-@check("a07_flagged_sources", LONG_SOURCES + """ SELECT project, path, rank::INT AS rank, md5(left(text, 300)) AS source_md5
-    FROM texts WHERE rank <= 7""")
+@check("a07_flagged_sources", oracle.issues_cte() + FLAGGED + f""", {oracle.TEXTS}
+    SELECT project, path, rank::INT AS rank, md5(text) AS source_md5 FROM flagged JOIN texts USING (project, path)""")
 def flagged_sources(spark, sf_dir):
-    done = _long_scan(spark, sf_dir)
-    found = report.flagged_sources(done.files, done.issues, max_files=7, max_chars=300)
+    done = corpus_scan(spark, sf_dir)
+    found = report.flagged_sources(done.files, done.issues)
     return found.select("project", "path", "rank", F.md5("source").alias("source_md5"))
 
 

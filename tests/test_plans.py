@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 import shutil
@@ -376,3 +377,18 @@ def test_marks_are_never_broadcast(done):
     for df in (report.annotated_source(sources, done.issues), report.excerpts(sources, done.issues)):
         assert len(shuffled_joins(df)) == 2
     assert len(shuffled_joins(report.file_breakdown(done.files, done.issues))) == 1
+
+
+def test_a07_flagged_sources_are_whole(spark, tmp_path):
+    """All files with an issue, however many a project has, with all of their text."""
+    from quarrylint.checks import queries
+
+    parts = [(k, "Brand#1", "STEEL", 20 + k % 30) for k in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(n, 7) for n in range(24)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.QUERIES["a07_flagged_sources"](spark, str(tmp_path)).collect()
+    files = queries.QUERIES["a07_flagged_files"](spark, str(tmp_path)).collect()
+    assert {(r.project, r.path, r.rank) for r in found} == {(r.project, r.path, r.rank) for r in files}
+    assert max(r.rank for r in found) > 7 and {r.path.split("/")[0] for r in found} > {"calls", "long", "nest", "imports"}
+    whole = "def long_one():\n    x = 9\n" + "    pass\n" * 87 + "    return x\nclass Big:\n" + "    a = 0\n" * 232
+    assert hashlib.md5(whole.encode()).hexdigest() in {r.source_md5 for r in found}
