@@ -193,7 +193,7 @@ check("a10_limited_sources", LONG_SOURCES + _DEALT.format(bytes=1000, text="left
     SELECT project, (place // 50)::INT AS part, (place % 50)::INT AS pos, ranked.rule_id, path AS file, line, message, why, fix
     FROM ranked JOIN catalog USING (checker)""")
 def report_issues(spark, sf_dir):
-    parts = report.project_report(corpus_scan(spark, sf_dir), part_rows=50)
+    parts = report.project_report(corpus_scan(spark, sf_dir), part_rows=50, with_sources=False)
     return parts.select("project", "part", F.posexplode("issues").alias("pos", "i")).select(
         "project", "part", "pos", "i.rule_id", "i.file", "i.line", "i.message", "i.why", "i.fix"
     )
@@ -235,7 +235,9 @@ def failed_scans(spark, sf_dir):
     SELECT project, total::VARCHAR AS total, critical::VARCHAR AS critical, total AS n_issues, files_with_errors AS n_errors,
         first_issue FROM whole LEFT JOIN firsts USING (project)""")
 def json_reports(spark, sf_dir):
-    whole = report.project_report(corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir), part_rows=50)
+    whole = report.project_report(
+        corpus_scan(spark, sf_dir), corpus_projects(spark, sf_dir), part_rows=50, with_sources=False
+    )
     documents = report.json_reports(whole)
     field = lambda path: F.get_json_object("document", path)
     first = F.concat(field("$.issues[0].file"), F.lit(":"), field("$.issues[0].message"))

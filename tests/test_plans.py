@@ -379,6 +379,22 @@ def test_marks_are_never_broadcast(done):
     assert len(shuffled_joins(report.file_breakdown(done.files, done.issues))) == 1
 
 
+def test_report_without_sources_reads_no_text(files_of, tmp_path):
+    done = scan(files_of({f"m{i:02}.py": "eval(x)\n" * (i % 4) for i in range(30)}), folder=str(tmp_path))
+    lean = report.project_report(done, part_rows=7, with_sources=False).orderBy("part").drop("sources").collect()
+    assert not [name for name in os.listdir(done.folder) if name.startswith(("report-sources", "summed"))]
+    assert lean == report.project_report(done, part_rows=7).orderBy("part").drop("sources").collect()
+
+
+def test_report_heads_put_nothing_in_order(files_of, tmp_path):
+    done = scan(files_of({"a.py": "eval(x)\n", "b.py": "x = 1\n"}), folder=str(tmp_path))
+    staged = set(os.listdir(done.folder))
+    head = report.report_heads(done).collect()
+    assert set(os.listdir(done.folder)) == staged
+    whole = report.project_report(done).select(*report.report_heads(done).columns).collect()
+    assert head == whole and head[0].checkers_run == list(done.rules)
+
+
 def test_a07_flagged_sources_are_whole(spark, tmp_path):
     """All files with an issue, however many a project has, with all of their text."""
     from quarrylint.checks import queries
