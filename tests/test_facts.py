@@ -4,8 +4,10 @@ import ast
 import pathlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
+from quarrylint.functions import facts
 from quarrylint.functions.facts import file_facts
 
 SOURCES = sorted(pathlib.Path(ast.__file__).parent.glob("*.py"))[:60]
@@ -106,3 +108,24 @@ def test_lone_surrogates_stay_utf8():
 def test_unreadable_file_has_no_facts():
     facts = file_facts(None)
     assert facts["n_lines"] is None and facts["functions"] == []
+
+
+def test_equal_short_texts_are_parsed_once(monkeypatch):
+    texts = ["eval(x)\n", "import a\n"] * 50 + ["x = 1\n" * 400] * 2 + [None]
+    parsed = []
+    whole = facts.file_facts
+    monkeypatch.setattr(facts, "file_facts", lambda text, parts: parsed.append(text) or whole(text, parts))
+    batch = pa.RecordBatch.from_pydict({"content": pa.array(texts, pa.string())})
+    rows = [row for out in facts._extract(16, frozenset(facts._TREE_PARTS), [batch]) for row in out.to_pylist()]
+    assert len(parsed) == 2 + 2 + 1
+    wanted = [whole(text) for text in texts]
+    assert [(r["n_lines"], r["names"], len(r["calls"])) for r in rows] == [
+        (w["n_lines"], w["names"], len(w["calls"])) for w in wanted
+    ]
+
+
+def test_names_and_places_of_every_kind_of_child():
+    text = "@d\nclass C(B, metaclass=M):\n    x: int = y\n    z = [a, {**b, 'k': c}][i:j]\n\ndef f() -> r: pass\n"
+    found = file_facts(text)
+    assert found["names"] == sorted({"d", "B", "M", "x", "int", "y", "z", "a", "b", "c", "i", "j", "r"})
+    assert [f["bfs"] for f in found["functions"]] == [1 << 32 | 10]
