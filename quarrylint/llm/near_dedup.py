@@ -19,6 +19,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -105,6 +106,7 @@ SKETCH = "id bigint, body bigint, n_shingles bigint, hi bigint, lo bigint, keys
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (id, body, content) to set size, fingerprint of the set and band keys."""
+    gc.collect()  # what earlier tasks of the worker have left
     for batch in batches:
         sizes, prints, keys = [], [], []
         for content in batch["content"]:
@@ -120,15 +122,18 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["id", "body", "n_shingles", "hi", "lo", "keys"],
         )
+    _hashes.clear()
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (node, content) to the set as one binary."""
+    gc.collect()  # what earlier tasks of the worker have left
     for whole in batches:
         for low in range(0, whole.num_rows, CHUNK_ROWS):
             batch = whole.slice(low, CHUNK_ROWS)
             sets = [shingle_set(content.as_py()).tobytes() for content in batch["content"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
+    _hashes.clear()
 
 
 def compared(percent: int):

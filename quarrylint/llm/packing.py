@@ -19,6 +19,7 @@ null identifiers are kept. Empty tables give empty results; other columns are ig
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylint.functions.staging import stage
-from quarrylint.llm.word_ids import encoder
+from quarrylint.llm.word_ids import WordIds
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
 PLACES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
@@ -43,7 +44,15 @@ def cut_pieces(file: str, capacity: int, end_id: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, seen = encoder(file).of, TaskContext.get().partitionId(), {}
+        gc.collect()  # what earlier tasks of the worker have left, their words above all
+        words = WordIds(file)
+        try:
+            yield from cut(batches, words.of)
+        finally:
+            words.forget()
+
+    def cut(batches: Iterator[pa.RecordBatch], ids_of) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
             for low in range(0, whole.num_rows, CHUNK_ROWS):
                 batch = whole.slice(low, CHUNK_ROWS)

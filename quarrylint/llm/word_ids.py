@@ -73,20 +73,15 @@ class WordIds:
         if any(string in content for string in self.special):
             return self._whole(content.decode("utf-8", "replace"))
         if len(self.words) > self.room:
-            self.words.clear()
-            self.parts.clear()
+            self.forget()
         return b"".join(map(self.words.__getitem__, content.split()))
 
+    def forget(self) -> None:
+        """Let go of all words. A task does so at its end: its encoder is of no use to the next one of the worker,
+        which unpickles one of its own, and would lie about until Python looks for cycles."""
+        self.words.clear()
+        self.parts.clear()
+
 
 def _packed(ids: list[int]) -> bytes:
     return b"".join([number.to_bytes(4, "little") for number in ids])
-
-
-_encoders: dict[str, WordIds] = {}
-
-
-def encoder(file: str) -> WordIds:
-    """One encoder per worker and file, so that later tasks of the worker know the words of earlier ones."""
-    if file not in _encoders:
-        _encoders[file] = WordIds(file)
-    return _encoders[file]

@@ -1,6 +1,7 @@
 """Quality, toxicity, language model, packing, mixing and chats: Spark against brute force."""
 
 import collections
+import gc
 import itertools
 import math
 import random
@@ -619,3 +620,16 @@ def test_blocks_of_turns_do_not_matter(spark, monkeypatch):
         turns[conv].append(text)
     longest = {c for c, t in turns.items() if not any(len(o) > len(t) and o[: len(t)] == t for o in turns.values())}
     assert {c for c, *_ in answers[0]} == {min(o for o in longest if turns[o] == turns[c]) for c in longest}
+
+
+def test_a_packing_task_leaves_no_words(spark):
+    """What a task has learnt is let go of at its end; the next one of the worker could not use it."""
+    rows = spark.createDataFrame([(n, f"w{n} x{n}".encode()) for n in range(200)], "doc_id long, content binary")
+    cut = packing.cut_pieces(FILE, 300, 1, False)
+
+    def left(batches):
+        n = sum(batch.num_rows for batch in cut(batches))
+        words = sum(len(o.words) for o in gc.get_objects() if type(o).__name__ == "WordIds")
+        yield pa.RecordBatch.from_pydict({"n": [n], "words": [words]})
+
+    assert rows.repartition(3).mapInArrow(left, "n long, words long").agg(F.sum("n"), F.sum("words")).first() == (200, 0)
