@@ -124,6 +124,57 @@ def test_equal_short_texts_are_parsed_once(monkeypatch):
     ]
 
 
+# Digits in every place where they are, or are not, a number of their own; ``{}`` is a number that varies.
+DIGITS = [
+    "def f(x):\n    a = {}\n    return -{} + x[{}:{}]\n",
+    "def f():\n    return '\\1 {} \\{} \\x4{} %{}d', b'{}', f'{{x:{}}} {} {{{}=}}', 0x{}, {}.{}, 1e{}, {}_0, 0{}, {}j\n",
+    "def f():\n    'part {}'\n    return a{}, 'a' '{}' \"'{}\", {} .real, {}if x else {}\n",
+    "def f():\n    pass  # {}\nimport a  # line {}\n",
+    "__all__ = ['a {}', 'b']\ndef f():\n    return run(c, shell={})\n",
+    "def f(:\n    return {}\n",
+    "def f():\n    return \\\n{}\n\n\fdef g{}(a={}):\n    match a:\n        case {} | -{}: return {}\n",
+    "def f():\n    return " + "{} + " * 900 + "1\n",
+]
+
+
+@pytest.mark.parametrize("pattern", DIGITS)
+def test_files_that_differ_in_numbers_only_have_their_own_facts(pattern):
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    for number in ["5", "3", "0", "12", "7", "007", "5", "1" * 18, "1" * 19, "9", "1_0", "x", "\u0663"]:
+        text = pattern.replace("{{", "\0").replace("{}", number).replace("\0", "{").replace("}}", "}")
+        assert known.facts(text) == file_facts(text)
+
+
+def test_shapes_of_real_code_have_their_own_facts(parsed):
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    for tree, text, _ in parsed:
+        lines = text.split("\n")
+        for node in tree.body:
+            part = "\n".join(lines[node.lineno - 1:node.end_lineno])
+            for digits in ("0123456789", "0213456798", "0987654321", "1234567890"):
+                varied = part.translate(str.maketrans("0123456789", digits))
+                assert known.facts(varied) == file_facts(varied)
+
+
+def test_files_that_differ_in_numbers_only_are_parsed_three_times(monkeypatch):
+    parsed = []
+    whole = ast.parse
+    monkeypatch.setattr(facts.ast, "parse", lambda text: parsed.append(text) or whole(text))
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    texts = ["def f(x):\n" + "    x += 1\n" * 300 + f"    return {i}\n" for i in range(100)]
+    digests = {known.facts(text)["bodies"][0]["digest"] for text in texts}
+    assert len(digests) == 100 and len(parsed) == 3
+
+
+def test_shapes_are_forgotten_beyond_a_fixed_size(monkeypatch):
+    monkeypatch.setattr(facts, "REMEMBERED", 1000)
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    for i in range(500):
+        text = f"a{i} = {i}\n"
+        assert known.facts(text) == file_facts(text)
+    assert sum(map(len, known.rows)) == known.size <= 1000
+
+
 def test_names_and_places_of_every_kind_of_child():
     text = "@d\nclass C(B, metaclass=M):\n    x: int = y\n    z = [a, {**b, 'k': c}][i:j]\n\ndef f() -> r: pass\n"
     found = file_facts(text)
