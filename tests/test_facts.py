@@ -180,3 +180,19 @@ def test_names_and_places_of_every_kind_of_child():
     found = file_facts(text)
     assert found["names"] == sorted({"d", "B", "M", "x", "int", "y", "z", "a", "b", "c", "i", "j", "r"})
     assert [f["bfs"] for f in found["functions"]] == [1 << 32 | 10]
+
+
+def test_files_of_one_shape_share_their_facts_in_one_batch():
+    shapes = ["def f(x):\n    return {}\n", "import a  # {}\n", "def g():\n    'a {}'\n    return [{}, 0{}, x{}]\n", "x = '\\0' \0{}\n"]
+    texts = [shape.format(*[i % 50] * 4) for i in range(1500) for shape in shapes[:1]]
+    texts += [None, "", "7", "x = 1\n" * 3000, *(shape.format(*[i] * 4) for i in range(9) for shape in shapes)]
+    table = pa.RecordBatch.from_pydict({"path": pa.array(map(str, range(len(texts) + 1))), "content": pa.array(["0", *texts], pa.string())})
+    batches = list(facts._extract(256, frozenset(facts._TREE_PARTS), [table.slice(1)]))
+    assert len(batches) == 1
+    batches[0].validate(full=True)
+    rows = batches[0].to_pylist()
+    assert [row.pop("path") for row in rows] == [str(i + 1) for i in range(len(texts))]
+    wanted = [facts._row_of(text, frozenset(facts._TREE_PARTS), facts._digest) for text in texts]
+    assert rows == wanted
+    few = list(facts._extract(4, frozenset(facts._TREE_PARTS), [table.slice(1)]))
+    assert [row for batch in few for row in batch.drop_columns(["path"]).to_pylist()] == wanted
