@@ -101,6 +101,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _let_go() -> None:
+    """At the end of a task: words, and buffers that Arrow keeps for the next batch, go."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 SKETCH = "id bigint, body bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>"
 
 
@@ -122,7 +128,8 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["id", "body", "n_shingles", "hi", "lo", "keys"],
         )
-    _hashes.clear()
+        batch = content = None  # else they would lie there while the next batch is read
+    _let_go()
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,8 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(low, CHUNK_ROWS)
             sets = [shingle_set(content.as_py()).tobytes() for content in batch["content"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
-    _hashes.clear()
+        whole = batch = None
+    _let_go()
 
 
 def compared(percent: int):
@@ -149,6 +157,8 @@ def compared(percent: int):
                 links.append(100 * shared >= percent * (len(a) + len(b) - shared))
             taken = pa.array(np.flatnonzero(links))
             yield pa.RecordBatch.from_arrays([batch["u"].take(taken), batch["v"].take(taken)], names=["u", "v"])
+            batch = left = right = a = b = None
+        _let_go()
 
     return compare
 

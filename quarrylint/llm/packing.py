@@ -50,6 +50,7 @@ def cut_pieces(file: str, capacity: int, end_id: int, with_ids: bool):
             yield from cut(batches, words.of)
         finally:
             words.forget()
+            pa.default_memory_pool().release_unused()
 
     def cut(batches: Iterator[pa.RecordBatch], ids_of) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -77,6 +78,7 @@ def cut_pieces(file: str, capacity: int, end_id: int, with_ids: bool):
                     columns.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            whole = batch = content = None  # else they would lie there while the next batch is read
 
     return pieces
 

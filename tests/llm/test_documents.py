@@ -3,11 +3,16 @@
 import hashlib
 import random
 import re
+import weakref
+from types import SimpleNamespace
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylint.llm import components, exact_dedup, line_dedup, near_dedup, suffix_dedup
+from quarrylint.llm import components, exact_dedup, line_dedup, near_dedup, packing, suffix_dedup
 from tests_llm_helpers import order  # noqa: E402
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -239,3 +244,30 @@ def test_segments_overlap_by_less_than_a_string(monkeypatch):
 )
 def test_empty_table(no_docs, operator):
     assert operator(no_docs).collect() == []
+
+
+def _alone(make):
+    """Batches, each of which has to be gone before the next one is asked for."""
+    last = None
+    for _ in range(3):
+        assert last is None or last() is None
+        batch = make()
+        last = weakref.ref(batch)
+        yield batch
+        del batch
+
+
+def test_tasks_hold_one_batch_of_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    ids, texts = pa.array([1, 2]), pa.array([b"one two three four five six", b""])
+    numbers = pa.array([[1, 2], [3]], pa.list_(pa.uint64())).to_pylist()
+    sets = pa.array([np.array(each, dtype=np.uint64).tobytes() for each in numbers])
+    tasks = [
+        (near_dedup.sketches, {"id": ids, "body": ids, "content": texts}),
+        (near_dedup.full_sets, {"node": ids, "content": texts}),
+        (near_dedup.compared(75), {"u": ids, "v": ids, "left": sets, "right": sets}),
+        (packing.cut_pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 1, False), {"doc_id": ids, "content": texts}),
+    ]
+    for task, columns in tasks:
+        found = [batch.num_rows for batch in task(_alone(lambda: pa.RecordBatch.from_pydict(columns)))]  # noqa: B023
+        assert found == [2, 2, 2]
