@@ -1,6 +1,7 @@
 """The extractor on its own: plain Python, no session, against the standard library."""
 
 import ast
+import re
 import pathlib
 from collections import defaultdict
 
@@ -166,6 +167,62 @@ def test_files_that_differ_in_numbers_only_are_parsed_three_times(monkeypatch):
     assert len(digests) == 100 and len(parsed) == 3
 
 
+# Words between quotes, inside strings and between them, and digits at the end of names; ``@`` is what varies.
+WORDS = [
+    "def f_@(x):\n    'part @'\n    a = \"@\"\n    return a, '@', \"it's '@' \", b'@', rb\"@\", u'@', f'@', f'{x}@', f\"{x['@']}\"\n",
+    "def f():\n    return ''@'' or \"\"\"@\"\"\" or 'a'@'b' or \"@'\n",
+    "def f(x):\n    return 'a'@'b'\n",
+    "def f(x):\n    return \"\"@\"\" @ ''\n",
+    "x = 'a\\'@'  # '@\n",
+    "def f():\n    return '\\N{DIGIT @}', '\\x4@', '\\@', \"\\N{@}\", '\\\"@\"'\n",
+    "__all__ = ['@', \"a\"]\nimport a@, b  # '@'\n",
+    "import a  # '@'\ndef f(): run(c, shell='@', k=\"@\")\n",
+    "class C@:\n    def m@(self, a@): return self.b@ + c@\n    async def n1@(self): 'only @'\n    def m@(self): return '@'\n",
+    "def d@():\n    def e@(): return '@'\n    return md@(x), 1@, 1.e@, 0x@, 1_@, 1if x@ else 2, a.b@, x@y, x@\u00e9, \u00e9@\n",
+    "def f@(:\n    return '@'\n",
+    "def f_@(x):\n    match x:\n        case '@' | {'@': y@}: return f'{x!r:>@}' '@' \"@\"\n",
+]
+
+
+@pytest.mark.parametrize("pattern", WORDS)
+def test_files_that_differ_in_words_have_their_own_facts(pattern):
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    words = ["5", "17", "3", "007", "abc", "if", "else", "x1", "md5", "a.b-c_9", "None", "rb", "0x1f", "1_0", "e5", "and",
+             "in", "4e00", "", "x y", "\u0663", "LATIN SMALL LETTER A", "12", "5", "abc"]
+    for word in [*words, *words]:
+        text = pattern.replace("@", word)
+        assert known.facts(text) == file_facts(text), text
+
+
+def test_wide_shapes_of_real_code_have_their_own_facts(parsed):
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    for tree, text, _ in parsed:
+        lines = text.split("\n")
+        for node in tree.body:
+            part = "\n".join(lines[node.lineno - 1:node.end_lineno])
+            for i in range(5):
+                varied = re.sub(r"(?<=['\"])([\w.-]+)(?=['\"])|\b([A-Za-z_]+)\d+\b", lambda m: f"{m[1] or m[2]}{i}", part)
+                assert known.facts(varied) == file_facts(varied)
+
+
+def test_files_that_differ_in_quoted_words_and_names_are_parsed_three_times(monkeypatch):
+    parsed = []
+    whole = ast.parse
+    monkeypatch.setattr(facts.ast, "parse", lambda text: parsed.append(text) or whole(text))
+    texts = [f"def d_{i}(x):\n    'part {i}'\n    a = '{i * 7:x}'\n    return a * {i}\n" for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"content": pa.array(texts, pa.string())})
+    rows = [row for out in facts._extract(256, frozenset(facts._TREE_PARTS), [batch]) for row in out.to_pylist()]
+    assert [row["functions"][0]["name"] for row in rows] == [row["bodies"][0]["name"] for row in rows]
+    assert [row["functions"][0]["name"] for row in rows] == [f"d_{i}" for i in range(100)]
+    assert len({row["bodies"][0]["digest"] for row in rows}) == 100 and len(parsed) == 3
+
+
+def test_a_shape_is_never_taken_for_a_wide_one():
+    known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
+    for text in ['\nx = "a"\n', '\nx = "b"\n', '\nx = "c"\n', '5\nx = "7"\n', '\nx = "7"\n', '5\nx = "a"\n'] * 4:
+        assert known.facts(text) == file_facts(text)
+
+
 def test_shapes_are_forgotten_beyond_a_fixed_size(monkeypatch):
     monkeypatch.setattr(facts, "REMEMBERED", 1000)
     known = facts._KnownShapes(frozenset(facts._TREE_PARTS))
