@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import compare  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
+from quarrylint.checks.base import corpus_projects  # noqa: E402
 from quarrylint.checks.queries import ORACLE, QUERIES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,5 +37,10 @@ def test_query_equals_sql(spark, connection, name):
     assert compare.difference(spark, connection, name, SF_DIR).startswith("ok")
 
 
+def test_projects_are_read_from_the_scan(spark):
+    read = corpus_projects(spark, SF_DIR).inputFiles()
+    assert not [name for name in read if name.endswith(("part.parquet", "events.parquet"))]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

@@ -188,6 +188,21 @@ def test_custom_rules(files_of):
     ]
 
 
+def test_rules_over_entries_are_not_asked_about_files_without_any(files_of):
+    def first_call():
+        name = F.get("calls", F.lit(0))["func"]
+        return F.array(finding("info", 1, F.coalesce(name, F.raise_error(F.lit("a file without calls")))))
+
+    own = Rule("first-call", "quality", findings=first_call, parts=("calls",), over="calls")
+    rules = [*choose_rules(["hardcoded-secret", "dangerous-exec", "mutable-default-arg"]), own]
+    facts = scan_facts(files_of(SAMPLE), rules)
+    assert rows_of(file_issues(facts, rules), "path", "checker", "message", "rule_order") == [
+        ("a.py", "dangerous-exec", "eval() runs text as code", 1), ("a.py", "first-call", "eval", 3),
+        ("a.py", "mutable-default-arg", "Function 'f' shares a mutable default between calls", 2),
+        ("b.py", "hardcoded-secret", "Possible secret in code: high-entropy", 0),
+    ]
+
+
 def test_scores_and_bands(spark, done):
     row = report.scores(done.issues).first()
     # security 100 - 20 - 10, quality 100 - 10 - 2
