@@ -375,6 +375,23 @@ def test_sources_are_dealt_into_parts(files_of):
     assert all(sum(map(len, r.sources.values())) <= 500 + 410 for r in parts)
 
 
+def test_sources_are_gathered_by_their_own_bytes(spark, files_of, tmp_path, monkeypatch):
+    """Texts are staged one a row, and a task gathers few maps, however well the texts compress."""
+    texts = {f"f{n:02}.py": f"eval({n})\n" + "# filling\n" * 4000 for n in range(60)}
+    done = scan(files_of(texts), profile=["dangerous-exec"], folder=str(tmp_path))
+    monkeypatch.setattr(report, "GATHERED_BYTES", 100_000, raising=False)
+    whole = report.project_report(done, part_rows=7, part_bytes=100_000)
+    staged, = (name for name in os.listdir(done.folder) if name.startswith("report-sources"))
+    assert spark.read.parquet(f"{done.folder}/{staged}").count() == len(texts)
+    for parts in (whole.filter("size(sources) > 0"), report.source_parts(done.files, done.issues, part_bytes=100_000)):
+        rows = parts.select("part", "sources", F.spark_partition_id().alias("task")).collect()
+        assert {path: text for r in rows for path, text in r.sources.items()} == texts and len(rows) == 24
+        assert len({r.task for r in rows}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(len(r.files_list) for r in whole.select("files_list").collect()) == len(texts)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2  # sources and lists; ENSURE_REQUIREMENTS over neither
+
+
 def shuffled_joins(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [line for line in plan.split("\n") if "SortMergeJoin [project" in line and "path" in line]
